@@ -1,8 +1,9 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from strandlake.llm import line_dedup
+from strandlake.llm import line_dedup, quality_rules
 
 QUERIES = {
+    "op10_quality_rules": quality_rules.op10,
     "op6_line_dedup": line_dedup.op6,
 }
 ORACLES = {
