@@ -1,8 +1,9 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from strandlake.llm import line_dedup, quality_rules, token_binary
+from strandlake.llm import line_dedup, pii, quality_rules, token_binary
 
 QUERIES = {
+    "op7_pii": pii.op7,
     "op9_token_binary": token_binary.op9,
     "op10_quality_rules": quality_rules.op10,
     "op6_line_dedup": line_dedup.op6,
