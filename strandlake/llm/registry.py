@@ -1,8 +1,10 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from strandlake.llm import line_dedup, pii, quality_rules, token_binary
+from strandlake.llm import importance, line_dedup, pii, quality_rules, token_binary, url_filter
 
 QUERIES = {
+    "op1_importance": importance.op1,
+    "op5_url_filter": url_filter.op5,
     "op7_pii": pii.op7,
     "op9_token_binary": token_binary.op9,
     "op10_quality_rules": quality_rules.op10,
