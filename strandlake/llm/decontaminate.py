@@ -128,7 +128,6 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         covered, count, longest = tile(rows["doc_pos"].to_numpy(), rows["item_pos"].to_numpy(), size, n)
         return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "item_id": [rows["item_id"].iloc[0]], "item_tokens": [size], "covered": [covered], "tiles": [count], "longest": [longest]})
 
-    # Seeds that cannot reach half of the cover anyway are dropped before the tiling: distinct seed positions bound it.
     pairs = found.select("doc_id", "item_id", "item_tokens", "doc_pos", "item_pos")
     out = pairs.groupBy("doc_id", "item_id").applyInPandas(tiles, "doc_id long, item_id long, item_tokens long, covered long, tiles long, longest long")
     return out.withColumn("coverage", F.col("covered") / F.col("item_tokens"))

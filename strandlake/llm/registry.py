@@ -1,8 +1,9 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from strandlake.llm import importance, line_dedup, pii, quality_rules, token_binary, url_filter
+from strandlake.llm import decontaminate, importance, line_dedup, pii, quality_rules, token_binary, url_filter
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3,
     "op1_importance": importance.op1,
     "op5_url_filter": url_filter.op5,
     "op7_pii": pii.op7,
