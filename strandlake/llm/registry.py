@@ -1,8 +1,9 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from strandlake.llm import decontaminate, importance, jaccard_join, line_dedup, pii, quality_rules, token_binary, url_filter
+from strandlake.llm import decontaminate, importance, jaccard_join, line_dedup, pii, quality_rules, substring_dedup, token_binary, url_filter
 
 QUERIES = {
+    "op8_substring_dedup": substring_dedup.op8,
     "op4_jaccard_join": jaccard_join.op4,
     "op3_decontaminate": decontaminate.op3,
     "op1_importance": importance.op1,
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6,
 }
 ORACLES = {
+    "op8_substring_dedup": substring_dedup.ORACLE,
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
 }

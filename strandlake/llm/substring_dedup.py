@@ -18,15 +18,13 @@ A window is removed from a document exactly if its word sequence also starts in
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import id_filter, in_filter, read, settled, stored
-from strandlake.llm.kernels import Rolling, chunks, long_array, raw, sliding_min, window_starts, word_bounds, word_hashes, words_of
+from strandlake.llm.common import id_filter, in_filter, read, stored
+from strandlake.llm.kernels import Rolling, chunks, long_array, raw, sliding_min, window_starts, word_bounds, words_of
 
 WINDOW = 50
 ANCHOR = 16
@@ -79,7 +77,6 @@ def open_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
             for part in chunks(batch, "t"):
                 hashes, at = words_of(part["t"])
                 roll = Rolling(hashes)
-                flat = part["p"].values if isinstance(part["p"], pa.ListArray) else part["p"].flatten()
                 flat = part["p"].flatten()
                 per = np.diff(part["p"].offsets.to_numpy())
                 s, n, a = (flat.field(x).to_numpy() for x in range(3))
