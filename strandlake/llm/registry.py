@@ -1,8 +1,9 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from strandlake.llm import decontaminate, importance, jaccard_join, line_dedup, pii, quality_rules, substring_dedup, token_binary, url_filter
+from strandlake.llm import decontaminate, importance, jaccard_join, line_dedup, piece_sampling, pii, quality_rules, substring_dedup, token_binary, url_filter
 
 QUERIES = {
+    "op2_piece_sampling": piece_sampling.op2,
     "op8_substring_dedup": substring_dedup.op8,
     "op4_jaccard_join": jaccard_join.op4,
     "op3_decontaminate": decontaminate.op3,
