@@ -1,4 +1,6 @@
 """All queries over the driver's tables, with their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from strandlake.plans import queries_rows
+
+QUERIES: dict = dict(queries_rows.Q)
+ORACLES: dict = dict(queries_rows.O)
