@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import canonical, expected_errors, hamming, parse_header, revcomp
 from strandlake.operators.filters import first_of_group
-from strandlake.operators.joins import kmer_rows
 
 VARIANT = ["chrom", "pos", "ref", "alt"]
 FEATURE = ["seqid", "start", "stop", "strand"]
@@ -120,7 +119,7 @@ def dedupe_containment(df: DataFrame, k: int = 31, id_col: str = "name", min_ide
     short = df.where(b >= k).select(F.col(id_col).alias("s"), F.col("bases").alias("sb"))
     both = short.select("s", "sb", F.explode(F.array("sb", revcomp(F.col("sb")))).alias("q"))
     seeds = both.select("s", "q", F.explode(F.array(F.left("q", F.lit(k)), F.right("q", F.lit(k))) if min_identity < 100 else F.array(F.left("q", F.lit(k)))).alias("kmer"))
-    places = kmer_rows(df, id_col, k, rcomp=False).select(F.col(id_col).alias("l"), "kmer").distinct()
+    places = short.select(F.col("s").alias("l"), F.explode(F.transform(F.sequence(F.lit(1), F.length("sb") - k + 1), lambda i: F.substring("sb", i, F.lit(k)))).alias("kmer")).distinct()
     cand = seeds.join(places, "kmer").where("s <> l").select("s", "l", "q").distinct()
     full = cand.join(df.select(F.col(id_col).alias("l"), F.col("bases").alias("lb")), "l")
     longer = (F.length("lb") > F.length("q")) | ((F.length("lb") == F.length("q")) & (F.col("l") < F.col("s")))
