@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +108,6 @@ def mask_entropy(df: DataFrame, key: str, window: int = 80, k: int = 5, least: f
 
     A window is window bases (the whole sequence where it is shorter). Uses one pass of Arrow batches; a sequence
     stays in its row."""
-    import pandas as pd
-
     columns = df.columns
 
     def run(batches):
@@ -227,8 +226,6 @@ def sam_to_old(df: DataFrame, cigar: str = "cigar") -> DataFrame:
 
 def sam_to_new(df: DataFrame, reference: DataFrame) -> DataFrame:
     """"M" runs as "=" and "X" by comparing the read with its reference (name, bases), both in the row."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def expand(cigars: pd.Series, seqs: pd.Series, refs: pd.Series, starts: pd.Series) -> pd.Series:
         import re
