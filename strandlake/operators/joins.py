@@ -50,13 +50,13 @@ def rename_ref(df: DataFrame, mapping: DataFrame, column: str = "rname") -> Data
     return df.join(m, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
 
-def rename_by_mapping(contigs: DataFrame, aln: DataFrame) -> DataFrame:
+def rename_by_mapping(contigs: DataFrame, aln: DataFrame, digits: int = 2) -> DataFrame:
     """contigs (name, length) with coverage and majority taxon in the name; aln has rname, ref_len, taxid."""
     cov = aln.groupBy("rname").agg(F.sum("ref_len").alias("covered"))
     votes = aln.groupBy("rname", "taxid").agg(F.count("*").alias("n"))
     best = votes.groupBy("rname").agg(F.max(F.struct("n", (-F.col("taxid")).alias("t"))).alias("b")).select("rname", (-F.col("b.t")).alias("taxid"))
     rows = contigs.join(cov, F.col("name") == F.col("rname"), "left").drop("rname").join(best, F.col("name") == F.col("rname"), "left").drop("rname")
-    text = F.format_string("%s cov_%.2f tid_%d", "name", F.coalesce(F.col("covered") / F.col("length"), F.lit(0.0)), F.coalesce("taxid", F.lit(0)))
+    text = F.format_string(f"%s cov_%.{digits}f tid_%d", "name", F.coalesce(F.col("covered") / F.col("length"), F.lit(0.0)), F.coalesce("taxid", F.lit(0)))
     return rows.withColumn("renamed", text).drop("covered", "taxid")
 
 

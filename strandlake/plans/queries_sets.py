@@ -55,9 +55,9 @@ def _(a, p):
     return jo.rename_ref(a, m).select("aln_id", "rname")
 
 
-@query("rename_by_mapping", "dv_contigs", "dv_aln", sql="with v as (select rname, pos%5 as taxid, count(*) as n from dv_aln group by all), b as (select rname, taxid from (select *, row_number() over (partition by rname order by n desc, taxid) as k from v) where k=1), c as (select rname, sum(ref_len) as s from dv_aln group by all) select d.name || printf(' cov_%.2f tid_%d', round(coalesce(c.s/length(bases),0.0)::double,2), coalesce(b.taxid,0)::bigint) as renamed from dv_contigs d left join c on c.rname=d.name left join b on b.rname=d.name")
+@query("rename_by_mapping", "dv_contigs", "dv_aln", sql="with v as (select rname, pos%5 as taxid, count(*) as n from dv_aln group by all), b as (select rname, taxid from (select *, row_number() over (partition by rname order by n desc, taxid) as k from v) where k=1), c as (select rname, sum(ref_len) as s from dv_aln group by all) select d.name || printf(' cov_%.6f tid_%d', coalesce(c.s/length(bases),0.0)::double, coalesce(b.taxid,0)::bigint) as renamed from dv_contigs d left join c on c.rname=d.name left join b on b.rname=d.name")
 def _(c, a):
-    return jo.rename_by_mapping(c.withColumn("length", F.length("bases")), a.withColumn("taxid", F.col("pos") % 5)).select("renamed")
+    return jo.rename_by_mapping(c.withColumn("length", F.length("bases")), a.withColumn("taxid", F.col("pos") % 5), 6).select("renamed")
 
 
 @query("merge_tables", "dv_var", sql="with a as (select pos as k, max(chrom || sample || ref) as m from dv_var where sample='s0' group by 1), b as (select pos as k, max(chrom || sample || ref) as m from dv_var where sample='s1' and pos%2=0 group by 1) select coalesce(a.k,b.k) as key, a.m as v, b.m as v_b from a full join b on a.k=b.k")
