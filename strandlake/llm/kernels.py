@@ -18,7 +18,7 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOW = np.arange(256, dtype=np.uint8)
 LOW[65:91] += 32
 _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(65535, BASE, np.uint64)]))
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
