@@ -227,6 +227,11 @@ def filter_taxa(df: DataFrame, ids: list[int], closure: DataFrame, include: bool
     return df.join(below, column, "left_semi" if include else "left_anti")
 
 
+def filter_assembly_summary(df: DataFrame, ids: list[int], closure: DataFrame, include: bool = True) -> DataFrame:
+    """Rows of an assembly summary table (taxid) by taxon."""
+    return filter_taxa(df, ids, closure, include)
+
+
 def filter_silva(df: DataFrame, taxa: DataFrame, eukaryota: int, closure: DataFrame, name: str = "name") -> DataFrame:
     """Headers whose last ";" part names a node; under eukaryotes, organelle and bacterial lineages go."""
     rows = df.withColumn("__leaf", F.trim(F.element_at(F.split(name, ";"), -1)))

@@ -167,6 +167,26 @@ def majority_ancestor(groups: DataFrame, closure: DataFrame, share: float = 0.5)
     return hits.groupBy("group").agg(F.min_by("ancestor", F.struct("d", "ancestor")).alias("majority"))
 
 
+def to_taxid(df: DataFrame, accessions: DataFrame, name: str = "name") -> DataFrame:
+    """Names with their taxon before them; accessions has accession and taxid. Unknown ones get -1."""
+    rows = df.withColumn("accession", F.regexp_extract(name, "^[^ |.]+", 0)).join(accessions.select("accession", "taxid").dropDuplicates(["accession"]), "accession", "left")
+    return rows.withColumn("taxid", F.coalesce("taxid", F.lit(-1).cast("bigint"))).withColumn(name, F.concat(F.lit("tid|"), F.col("taxid").cast("string"), F.lit("|"), name)).drop("accession")
+
+
+def split_by_taxa(df: DataFrame, closure: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """Rows (taxid) with route: the name of the ancestor at a level, "unknown" without one."""
+    at = closure.join(nodes.where(F.col("level") == level).select(F.col("id").alias("ancestor"), F.col("name").alias("route")), "ancestor").select(F.col("id").alias("taxid"), "route")
+    return df.join(at, "taxid", "left").withColumn("route", F.coalesce("route", F.lit("unknown")))
+
+
+def accession_patterns(df: DataFrame, column: str) -> DataFrame:
+    """(shape, n, space): digits as D, letters as L; space is the log10 of how many accessions fit the shape."""
+    shape = F.regexp_replace(F.regexp_replace(column, "[A-Za-z]", "L"), "[0-9]", "D")
+    g = df.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"))
+    count = lambda c: F.length("shape") - F.length(F.replace("shape", F.lit(c), F.lit("")))
+    return g.withColumn("space", F.round(count("D") * F.log10(F.lit(10.0)) + count("L") * F.log10(F.lit(26.0)), 6))
+
+
 def bin_contigs(contigs: DataFrame, max_difference: float, gc_step: float = 0.02, depth_step: float = 0.5) -> DataFrame:
     """(id, bin): contigs (id, gc, depth, vector) in neighbouring cells of GC and log depth whose vectors lie near each
     other are linked; bins are the components, alone ones their own."""

@@ -163,6 +163,21 @@ def seal(reads: DataFrame, refs: DataFrame, k: int = 31, min_hits: int = 1, min_
     return top.drop("ties").withColumnsRenamed({read_id: "read", "__ref": "ref"})
 
 
+def split_ribo(df: DataFrame, refs: DataFrame, k: int = 31, read_id: str = "ordinal") -> DataFrame:
+    """Rows with the ribosomal type (refs: type, bases) that shares most k-mers; "other" without any."""
+    best = seal(df, refs.withColumnRenamed("type", "name"), k, read_id=read_id).select(F.col("read").alias(read_id), F.col("ref").alias("type"))
+    return df.join(best, read_id, "left").withColumn("type", F.coalesce("type", F.lit("other")))
+
+
+def read_positions(df: DataFrame, expected: DataFrame, max_hdist: int = 1) -> DataFrame:
+    """(ordinal, x, y, distance): place on the flowcell and distance of the barcode to the nearest expected one."""
+    from strandlake.functions.sequence import parse_header
+
+    h = df.select("ordinal", "barcode", parse_header(F.col("name")).alias("h"))
+    near = assign_barcodes(df, expected, max_hdist).select("barcode", "distance")
+    return h.join(near, "barcode").select("ordinal", "h.x", "h.y", "distance")
+
+
 def kmer_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two k-mer count tables (kmer, count) to a histogram of (depth_a, depth_b)."""
     x, y = a.select("kmer", F.col("count").alias("depth_a")), b.select("kmer", F.col("count").alias("depth_b"))

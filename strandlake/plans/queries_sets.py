@@ -783,15 +783,32 @@ def _(r, c):
     return si.clade_search(q, ref, "id", 1)
 
 
-@query("tax_rename", "dv_tax", "dv_reads", sql="select r.ordinal, 'tid|' || t.id::varchar || '|' || r.name as name from dv_reads r join dv_tax t on t.id=1000+r.ordinal%2000")
+@query("tax_rename", "dv_tax", "dv_reads", sql="select r.ordinal, 'tid|' || coalesce(t.id,-1)::varchar || '|acc' || (r.ordinal%3000)::varchar || '.1' as name from dv_reads r left join dv_tax t on t.id=1000+r.ordinal%3000")
 def _(t, r):
-    m = r.select("ordinal", "name", (1000 + F.col("ordinal") % 2000).alias("id")).join(t.select("id"), "id")
-    return m.select("ordinal", F.concat(F.lit("tid|"), F.col("id").cast("string"), F.lit("|"), "name").alias("name"))
+    acc = t.select(F.concat(F.lit("acc"), (F.col("id") - 1000).cast("string")).alias("accession"), F.col("id").alias("taxid"))
+    named = r.select("ordinal", F.concat(F.lit("acc"), (F.col("ordinal") % 3000).cast("string"), F.lit(".1")).alias("name"))
+    return gr.to_taxid(named, acc.where("taxid >= 1000")).select("ordinal", "name")
 
 
-@query("accession_patterns", "dv_reads", sql="select regexp_replace(regexp_replace(name,'[A-Za-z]','L','g'),'[0-9]','D','g') as shape, count(*) as n from dv_reads group by 1")
+@query("split_by_taxa", "dv_tax", "orders", "nation", "region", sql=f"with {CLOSURE} select coalesce(t.name,'unknown') as route, count(*) as n from orders o left join (select c.id, t.name from clo c join dv_tax t on t.id=c.ancestor where t.level=8) t on t.id=1000+o.o_custkey*2 group by 1")
+def _(t, o, n, r):
+    return gr.split_by_taxa(o.select((1000 + F.col("o_custkey") * 2).alias("taxid")), gr.tax_closure(t), t, 8).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query("accession_patterns", "dv_reads", sql="with s as (select regexp_replace(regexp_replace(name,'[A-Za-z]','L','g'),'[0-9]','D','g') as shape, count(*) as n from dv_reads group by 1) select shape, n, round((length(shape)-length(replace(shape,'D','')))*log10(10.0)+(length(shape)-length(replace(shape,'L','')))*log10(26.0),6) as space from s")
+def _(r):
+    return gr.accession_patterns(r, "name")
+
+
+@query("read_position_table", "dv_reads", sql="with e as (select distinct barcode as e from dv_reads where ordinal%24<6), d as (select b.barcode, min(hamming(b.barcode,e))::bigint as distance from (select distinct barcode from dv_reads) b, e group by all) select ordinal, (ordinal*37)%5000 as x, (ordinal*91)%5000 as y, distance from dv_reads join d using(barcode)")
 def _(r):
-    return r.groupBy(F.regexp_replace(F.regexp_replace("name", "[A-Za-z]", "L"), "[0-9]", "D").alias("shape")).agg(F.count("*").alias("n"))
+    return jo.read_positions(r, r.where("ordinal % 24 < 6").select("barcode"))
+
+
+@query("split_ribo", "dv_reads", "dv_contigs")
+def _(r, c):
+    refs = c.where("contig_id < 40").select(F.concat(F.lit("t"), (F.col("contig_id") % 4).cast("string")).alias("type"), "bases")
+    return jo.split_ribo(r.select("ordinal", "bases"), refs, 7).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("pair_merge", "dv_reads", sql=f"select ordinal, 70::bigint as \"insert\", 26::bigint as overlap, substr(bases,1,70) as merged from dv_reads where not contains(bases,'N') and ordinal<1000")
