@@ -286,7 +286,11 @@ FIT_TEXTS = 250
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_TEXTS) -> dict:
     """Weights from a bounded sample. Long texts count with their stretches around places only."""
     rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
-    return train([r["t"] for r in rows.orderBy("h", "t").limit(most).collect()])
+    least = [r["h"] for r in rows.select("h").orderBy("h").limit(most).collect()]
+    if not least:
+        return {}
+    # only the chosen texts reach the driver: hashes are ordered first, then the texts at or below the last one
+    return train([r["t"] for r in rows.where(F.col("h") <= least[-1]).limit(most).orderBy("h", "t").collect()])
 
 
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string"
