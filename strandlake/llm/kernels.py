@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,16 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))[:n]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers are used again, by other stages too."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about size bytes of text; a longer text is a piece of its own."""
     lengths = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -41,6 +52,7 @@ def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK) -> Iterator[pa.R
         to = max(at + 1, int(np.searchsorted(lengths, done + size, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
