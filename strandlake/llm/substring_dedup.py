@@ -10,7 +10,8 @@ it. Sending every window through a shuffle would move the corpus many times over
 2. Paths join on the anchor. Anchors of a single document are dropped by partial aggregates. A path whose key also
    starts in a smaller document is covered as a whole: its source coordinates give the span.
 3. Anchors with more than one path key are branches: windows of different paths may still be equal. Only there the
-   first occurrence of each path is opened into windows, which join on their own hash to find shared parts.
+   first occurrence of each path is opened into windows, which join on their own hash to find shared parts. What is
+   found in it holds as well for later occurrences of the path in the same document, moved by their distance.
 4. Spans are merged per document, and the words under them go.
 
 A window is removed from a document exactly if its word sequence also starts in a document with a smaller id.
@@ -63,7 +64,7 @@ def paths(rows: DataFrame) -> DataFrame:
 
 
 def open_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Windows (i, s, a, h) of the paths in spans (i, s, n, a); the documents are dropped at the scan by a filter
+    """Windows (i, s, f, a, h) of the paths in spans (i, s, n, a), f being a path's s; the documents are dropped at the scan by a filter
     unless they have such a path."""
     words = id_filter(spans, "i")
     per_doc = spans.groupBy("i").agg(F.collect_list(F.struct("s", "n", "a")).alias("p"))
@@ -86,11 +87,12 @@ def open_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
                 pos = np.repeat(s, n) + step
                 begin = np.repeat(base, n) + pos
                 yield pa.RecordBatch.from_arrays(
-                    [part["i"].take(pa.array(np.repeat(at_doc, n))), pa.array(pos.astype(np.int32)), pa.array(np.repeat(a, n)), long_array(roll.ranges(begin, begin + WINDOW))], names=["i", "s", "a", "h"]
+                    [part["i"].take(pa.array(np.repeat(at_doc, n))), pa.array(pos.astype(np.int32)), pa.array(np.repeat(s, n)), pa.array(np.repeat(a, n)), long_array(roll.ranges(begin, begin + WINDOW))],
+                    names=["i", "s", "f", "a", "h"],
                 )
 
     some = rows.mapInArrow(near, "i long, t string").dropDuplicates(["i"])
-    return some.join(per_doc.hint("shuffle_hash"), "i").select("i", "t", "p").mapInArrow(run, "i long, s int, a long, h long")
+    return some.join(per_doc.hint("shuffle_hash"), "i").select("i", "t", "p").mapInArrow(run, "i long, s int, f int, a long, h long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,12 +104,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = found.groupBy("a").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.min("k").alias("k0"), F.max("k").alias("k1"))
     shared = anchors.where("lo <> hi").select("a", (F.col("k0") != F.col("k1")).alias("branch"))
     near = stored(found.join(shared, "a"))
-    first = near.groupBy("a", "k").agg(F.min(F.struct("i", "s")).alias("f"), F.max("i").alias("last"), F.first("n").alias("n"), F.first("branch").alias("branch"))
-    first = stored(first.select("a", "k", F.col("f.i").alias("fi"), F.col("f.s").alias("fs"), "last", "n", "branch"))
+    first = near.groupBy("a", "k").agg(F.min(F.struct("i", "s")).alias("f"), F.max(F.struct(F.bitwise_not("i"), "s")).alias("l"), F.max("i").alias("last"), F.first("n").alias("n"), F.first("branch").alias("branch"))
+    first = stored(first.select("a", "k", F.col("f.i").alias("fi"), F.col("f.s").alias("fs"), F.col("l.s").alias("ls"), "last", "n", "branch"))
     whole = near.join(first.where("fi <> last").select("a", "k", "fi"), ["a", "k"]).where("i > fi").select("i", "s", (F.col("s") + F.col("n") + WINDOW - 1).alias("e"))
     windows = stored(open_windows(rows, first.where("branch").select(F.col("fi").alias("i"), F.col("fs").alias("s"), "n", "a")))
     earliest = windows.groupBy("a", "h").agg(F.min("i").alias("fi"), F.max("i").alias("last")).where("fi <> last")
-    part = windows.join(earliest, ["a", "h"]).where("i > fi").select("i", "s", (F.col("s") + WINDOW).alias("e"))
+    part = stored(windows.join(earliest, ["a", "h"]).where("i > fi").select("i", "s", "f", "a"))
+    again = near.join(first.where("branch and fs <> ls").select("a", "k", "fi", "fs"), ["a", "k"]).where("i = fi and s > fs").select("i", "a", F.col("fs").alias("f"), (F.col("s") - F.col("fs")).alias("d"))
+    moved = part.join(again, ["i", "a", "f"]).select("i", F.col("s") + F.col("d"))
+    part = part.select("i", "s").union(moved).select("i", "s", (F.col("s") + WINDOW).alias("e"))
     return whole.union(part).groupBy("i").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 

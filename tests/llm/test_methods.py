@@ -375,3 +375,20 @@ def test_pipeline(spark):
         assert (i not in left) == hit
     five = stage["encode"](spark, four, SF).toPandas()
     assert set(five["doc_id"]) == left and five["decoded_ok"].all()
+
+
+def test_windows_of_a_passage_repeated_in_one_document(spark):
+    rnd = random.Random(3)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    c, d = new(60), new(75)
+    q = new(70) + c + new(70)
+    docs = {1: c, 2: q + new(5) + q + q, 3: new(9) + d + q[40:190], 4: q + d + new(60) + q + d, -(2**63): d[:55] + new(3), 6: new(200)}
+    first, want = {}, {}
+    for i in sorted(docs):
+        w, gone = docs[i], set()
+        for s in range(len(w) - 49):
+            if first.setdefault(tuple(w[s : s + 50]), i) < i:
+                gone.update(range(s, s + 50))
+        want[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
+    got = substring_dedup.dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert want[2][1] == 180 and {r[0]: tuple(r[1:]) for r in got} == want
