@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, plus a semi-Markov conditional random field that scores whole spans.
 
-The patterns give the base spans. Around every place that could hold personal data (a digit, an at sign, or a
-known cue word) a dynamic program over tokens chooses segments of at most LONGEST tokens and their kinds jointly;
-features look at the whole segment (its shape, digit count, check sum, the token before it). A segment can only be
+The patterns give the base spans. Around every place that could hold personal data (a digit or an at sign) a
+dynamic program over tokens chooses segments and their kinds jointly. A segment has at most LONGEST tokens, or any
+number of them if it is written as cards and phones are (NUMBER) and has at most MOST_DIGITS digits; features look at the whole segment (its shape, digit count, check sum, the token before it). A segment can only be
 an entity if it holds such a place, so tokens elsewhere are outside for certain and the program runs on the
 stretches around them: the result is that of one run over the whole text.
 """
@@ -65,6 +65,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # -- the field --------------------------------------------------------------------------------------------------
 
 LONGEST = 4
+#: What a longer segment is made of, and the most digits of a card.
+NUMBER = re.compile(r"[\x20().0-9+-]+")
+MOST_DIGITS = 19
 AROUND = 3
 OUTSIDE = "-"
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -149,12 +152,27 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     ]
 
 
+def ends(text: str, tokens: list[tuple[int, int]], i: int) -> list[int]:
+    """The ends of all segments that start at token i, in order."""
+    out = list(range(i + 1, min(len(tokens), i + LONGEST) + 1))
+    start = trim(text, tokens[i][0], tokens[min(len(tokens), i + 2) - 1][1])[0]
+    digits = sum(len(DIGIT.findall(text, *tokens[x])) for x in range(i, out[-1]))
+    for j in range(i + LONGEST + 1, len(tokens) + 1):
+        digits += len(DIGIT.findall(text, *tokens[j - 1]))
+        # all before the last token, which may end in marks that are trimmed
+        if digits > MOST_DIGITS or not NUMBER.fullmatch(text, start, tokens[j - 1][0]):
+            break
+        if NUMBER.fullmatch(text, start, trim(text, start, tokens[j - 1][1])[1]):
+            out.append(j)
+    return out
+
+
 def segments(text, tokens, weights, kinds):
     """Scores of all segments: (i, j, kind) -> score. OUTSIDE has one-token segments of score 0."""
     found = {}
     for i in range(len(tokens)):
         found[i, i + 1, OUTSIDE] = 0.0
-        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
+        for j in ends(text, tokens, i):
             if PLACE.search(text, tokens[i][0], tokens[j - 1][1]):
                 f = features(text, tokens, i, j)
                 for k in kinds:
@@ -196,8 +214,9 @@ def gold(text: str, tokens: list[tuple[int, int]], spans: list[tuple[str, int, i
     """The segmentation that the spans say, as far as token ends allow."""
     at, out = 0, []
     while at < len(tokens):
-        for kind, a, b in spans:
-            fits = [j for j in range(at + 1, min(len(tokens), at + LONGEST) + 1) if trim(text, tokens[at][0], tokens[j - 1][1]) == (a, b)]
+        near = [x for x in spans if tokens[at][0] <= x[1] < tokens[at][1]]
+        for kind, a, b in near:
+            fits = [j for j in ends(text, tokens, at) if trim(text, tokens[at][0], tokens[j - 1][1]) == (a, b)]
             if fits:
                 out.append((at, fits[0], kind))
                 at = fits[0]
@@ -208,6 +227,26 @@ def gold(text: str, tokens: list[tuple[int, int]], spans: list[tuple[str, int, i
     return out
 
 
+#: Longer stretches are cut into training cases of about so many tokens.
+CASE = 40
+
+
+def cases_of(text: str, tokens: list[tuple[int, int]], truth: list[tuple[int, int, str]]) -> list[tuple]:
+    """A stretch as training cases (text, tokens, truth), cut between segments of the truth; each case repeats the last
+    AROUND tokens, or the last segment, of the one before it."""
+    out, s, e = [], 0, 0
+    while e < len(truth):
+        at = truth[s][0]
+        e = max(e, s) + 1
+        while e < len(truth) and truth[e][1] - at <= CASE:
+            e += 1
+        out.append((text, tokens[at : truth[e - 1][1]], [(i - at, j - at, k) for i, j, k in truth[s:e]]))
+        s = e - 1
+        while s > 0 and truth[e - 1][1] - truth[s][0] < AROUND:
+            s -= 1
+    return out
+
+
 def corrupt(text: str, spans: list, rng: random.Random) -> tuple[str, list]:
     """A copy whose spans are still personal data but miss the patterns: a phone without its plus sign, a card
     with a mistyped digit, other separators. Shows the field what the patterns cannot."""
@@ -238,7 +277,8 @@ def train(texts: list[str], rounds: int = 6, rate: float = 0.3, decay: float = 1
     for t in texts:
         spans = base_spans(t)
         for text, found in [(t, spans), *(corrupt(t, spans, rng) for _ in range(2))]:
-            cases += [(text, tokens, gold(text, tokens, found)) for tokens in tokens_near(text) if len(tokens) <= 40]
+            for tokens in tokens_near(text):
+                cases += cases_of(text, tokens, gold(text, tokens, found))
     weights: dict = {}
     for r in range(rounds):
         rng.shuffle(cases)

@@ -392,3 +392,26 @@ def test_windows_of_a_passage_repeated_in_one_document(spark):
         want[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
     got = substring_dedup.dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
     assert want[2][1] == 180 and {r[0]: tuple(r[1:]) for r in got} == want
+
+
+def test_field_takes_numbers_of_many_groups_and_long_stretches():
+    whole = lambda t: pii.tokens_near(t)[0]
+    for number in ("06 12 34 56 78", "33 6 12 34 56 78", "4012 8888 8888 1882 123", " ".join("4012888888881882123"), "(0) 6 - 12 - 34 - 56 - 78"):
+        t = f'tel "{number}". now'
+        tokens = whole(t)
+        scored = pii.segments(t, tokens, {}, pii.KINDS)
+        assert any(k == "phone" and pii.trim(t, tokens[i][0], tokens[j - 1][1]) == (5, 5 + len(number)) for i, j, k in scored)
+    t = "x +33 6 12 34 56 78 or card 4 0 1 2 8 8 8 8 8 8 8 8 1 8 8 1 end"
+    tokens = whole(t)
+    assert [(t[tokens[i][0] : tokens[j - 1][1]], k) for i, j, k in pii.gold(t, tokens, pii.base_spans(t)) if k != pii.OUTSIDE] == [("+33 6 12 34 56 78", "phone"), ("4 0 1 2 8 8 8 8 8 8 8 8 1 8 8 1", "card")]
+    # a run of numbers in which nothing else stands: without it there is nothing to learn from
+    dense = " ".join(f"call +1 302 555 {i:04d} or {i}" for i in range(60))
+    tokens = whole(dense)
+    truth = pii.gold(dense, tokens, pii.base_spans(dense))
+    cases = pii.cases_of(dense, tokens, truth)
+    at = {x: i for i, x in enumerate(tokens)}
+    again = [[(at[c[i]], at[c[j - 1]] + 1, k) for i, j, k in g] for _, c, g in cases]
+    assert len(tokens) > 300 and max(len(c) for _, c, _ in cases) <= 40
+    assert sorted(set().union(*again)) == truth and all(set(x) & set(y) for x, y in itertools.pairwise(again))
+    w = pii.train([dense])
+    assert w and [x[0] for x in pii.field_spans("please call 06 12 34 56 78 today", pii.train([f"please call +33 6 12 34 {i} 78 today and buy" for i in range(10, 60)]), [])] == ["phone"]
