@@ -3,18 +3,21 @@
 Hosts and paths are cut with column expressions. Names that run together ("casinowin") are split by Viterbi over a
 unigram model of words that hosts and paths of the corpus show between marks; multinomial naive Bayes then scores the
 words of host and path. It learns from hosts that show a seed word on its own between marks.
+
+The counts of all words stay a Spark table. Substrings of the distinct names join it, so that each name is split and
+scored with the words it holds; a name of any length is split as a whole.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections import ChainMap
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import ascii_lower, read
+from strandlake.llm.common import ascii_lower, read, stored
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = [
@@ -26,9 +29,10 @@ RULES = [
 ]
 #: Words that mark a host as unwanted when they stand alone between marks; the model learns from such hosts.
 SEED_WORDS = ["ads", "adult", "bet", "bets", "casino", "cheap", "crack", "escort", "loan", "loans", "pills", "poker", "porn", "replica", "sex", "spam", "track", "viagra", "warez", "xxx"]
-#: The models keep at most so many words, the most frequent ones; they are held by every task.
-MOST_WORDS = 50_000
+#: Longer words are known only as whole names.
 LONGEST_WORD = 24
+#: Words of up to so many letters are held by every task; the alphabet has 47,988 of them.
+SHORT_WORD = 3
 MARKS = "[^a-z0-9]+"
 
 
@@ -51,46 +55,30 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return out
 
 
-class Splitter:
-    """From a name to its most likely words. Unknown stretches cost more with each letter; names seen are remembered,
-    up to a bound."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1.0
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.unknown = math.log(total) + 2.0
-        self.seen: dict[str, tuple[str, ...]] = {}
-
-    def __call__(self, name: str) -> tuple[str, ...]:
-        if name not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[name] = self.best(name)
-        return self.seen[name]
-
-    def best(self, name: str) -> tuple[str, ...]:
-        best = [(0.0, 0)]
-        for j in range(1, len(name) + 1):
-            spans = ((best[i][0] + self.cost.get(name[i:j], self.unknown + 2.5 * (j - i)), i) for i in range(max(0, j - LONGEST_WORD), j))
-            best.append(min(spans))
-        out, j = [], len(name)
-        while j:
-            i = best[j][1]
-            out.append(name[i:j])
-            j = i
-        return tuple(out[::-1])
-
-
-def words_of(host: str, path: str, split) -> list[str]:
-    """Words of the host without its last label, and of the path."""
-    names = re.split(MARKS, host.rpartition(".")[0]) + re.split(MARKS, path.lower())
-    return [w for n in names if n and not n.isdigit() for w in split(n[:2000])]
-
-
-def fit(pages: DataFrame, url_col: str = "url", seeds: list[str] = SEED_WORDS) -> tuple[dict, dict, float]:
-    """(word counts for the splitter, log odds of each word for "block", prior log odds), from all URLs."""
+def split(name: str, cost: dict[str, float], unknown: float) -> tuple[str, ...]:
+    """From a name to its most likely words. Unknown stretches cost more with each letter."""
+    best = [(0.0, 0)]
+    for j in range(1, len(name) + 1):
+        spans = ((best[i][0] + cost.get(name[i:j], unknown + 2.5 * (j - i)), i) for i in range(max(0, j - LONGEST_WORD), j))
+        best.append(min(spans))
+    if name in cost:
+        best[-1] = min(best[-1], (cost[name], 0))
+    out, j = [], len(name)
+    while j:
+        i = best[j][1]
+        out.append(name[i:j])
+        j = i
+    return tuple(out[::-1])
+
+
+def names(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), MARKS), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
+
+
+def fit(pages: DataFrame, url_col: str = "url", seeds: list[str] = SEED_WORDS) -> tuple[DataFrame, dict]:
+    """All words (w, n, bad, alone: times seen, in hosts with a seed word, and where the splitter learns), and totals,
+    from all URLs."""
     host, path = host_and_path(F.col(url_col))
-    names = lambda c: F.filter(F.split(F.lower(c), MARKS), lambda x: (x != "") & ~x.rlike("^[0-9]+$") & (F.length(x) <= LONGEST_WORD))
     bare = F.regexp_replace(host, "\\.[^.]*$", "")
     marked = F.array_join(F.filter(F.split(bare, "\\."), lambda x: x.rlike("[^a-z0-9]")), ".")
     urls = pages.select(host.alias("h"), names(bare).alias("hw"), names(marked).alias("dw"), names(path).alias("pw"))
@@ -101,36 +89,77 @@ def fit(pages: DataFrame, url_col: str = "url", seeds: list[str] = SEED_WORDS) -
     words = urls.select("bad", F.explode(F.concat(tag("hw", "h"), tag("dw", "d"), tag("pw", "p"))).alias("t")).groupBy("t.w").agg(
         F.count_if(F.col("t.kind") != "d").alias("n"), F.count_if(F.col("bad") & (F.col("t.kind") != "d")).alias("bad"), F.count_if(F.col("t.kind") != "h").alias("alone")
     )
-    found = words.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()
+    words = stored(words)
     total, bad = urls.agg(F.count("*"), F.count_if("bad")).first()
-    nb, ng = sum(r["bad"] for r in found) + len(found) + 1, sum(r["n"] - r["bad"] for r in found) + len(found) + 1
-    odds = {r["w"]: math.log((r["bad"] + 1) / nb) - math.log((r["n"] - r["bad"] + 1) / ng) for r in found}
-    counts = {r["w"]: r["alone"] for r in found if r["alone"]}
-    for s in seeds:  # known words even where no host shows them alone
-        counts.setdefault(s, 1)
-        odds.setdefault(s, math.log(2 / nb) - math.log(1 / ng))
-    return counts, odds, math.log((bad + 1) / (total - bad + 1))
+    n, nb, ng, alone = words.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum(F.col("n") - F.col("bad")), F.lit(0)), F.coalesce(F.sum("alone"), F.lit(0))).first()
+    # seeds are known words even where no host shows them alone
+    found = {r["w"]: r["alone"] for r in words.where(F.col("w").isin(seeds)).collect()}
+    words = words.withColumn("alone", F.when(F.col("w").isin(seeds), F.greatest("alone", F.lit(1))).otherwise(F.col("alone")))
+    if new := sorted(set(seeds) - set(found)):
+        words = words.union(pages.sparkSession.createDataFrame([(s, 1, 1, 1) for s in new], "w string, n long, bad long, alone long"))
+    alone += sum(not found.get(s) for s in set(seeds))
+    return words, {"bad": nb + n + 1, "good": ng + n + 1, "alone": alone + 1.0, "prior": math.log((bad + 1) / (total - bad + 1))}
+
+
+def split_names(distinct: DataFrame, words: DataFrame, totals: dict) -> DataFrame:
+    """(name, words, odds) of distinct names: each word with its log odds for "block"."""
+    keyed = distinct.select(F.md5("name").alias("k"), "name")
+
+    def substrings(frames):
+        for f in frames:
+            out: list[tuple[str, str]] = []
+            for k, name in zip(f["k"], f["name"], strict=True):
+                for i in range(len(name) - SHORT_WORD):
+                    out += [(k, name[i:j]) for j in range(i + SHORT_WORD + 1, min(len(name), i + LONGEST_WORD) + 1)]
+                    if len(out) > 100_000:
+                        yield pd.DataFrame(out, columns=["k", "w"])
+                        out = []
+                if len(name) > LONGEST_WORD:
+                    out.append((k, name))
+            yield pd.DataFrame(out, columns=["k", "w"])
+
+    is_long = F.length("w") > SHORT_WORD
+    hits = keyed.mapInPandas(substrings, "k string, w string").join(words.where(is_long), "w").groupBy("k").agg(F.collect_set(F.struct("w", "n", "bad", "alone")).alias("hits"))
+    short = [tuple(r) for r in words.where(~is_long).select("w", "n", "bad", "alone").collect()]
+    unknown = math.log(totals["alone"]) + 2.0
+
+    def costs(rows):
+        return {w: -math.log(alone / totals["alone"]) for w, _, _, alone in rows if alone}
+
+    def odds(rows):
+        return {w: math.log((bad + 1) / totals["bad"]) - math.log((n - bad + 1) / totals["good"]) for w, n, bad, _ in rows}
+
+    def run(frames):
+        short_costs, short_odds = costs(short), odds(short)
+        for f in frames:
+            out = []
+            for name, found in zip(f["name"], f["hits"], strict=True):
+                rows = [(x["w"], x["n"], x["bad"], x["alone"]) for x in found] if found is not None else []
+                cut = split(name, ChainMap(costs(rows), short_costs), unknown)
+                score = odds(rows)
+                out.append((name, list(cut), [score.get(x, short_odds.get(x, 0.0)) for x in cut]))
+            yield pd.DataFrame(out, columns=["name", "words", "odds"])
+
+    return keyed.join(hits, "k", "left").select("name", "hits").mapInPandas(run, "name string, words array<string>, odds array<double>")
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, score, words. score is the model's log odds for "block"; without
     a rule a score over 0 blocks. URLs without a host are allowed, score null."""
-    counts, odds, prior = fit(pages, url_col)
-    split = Splitter(counts)
-
-    @F.pandas_udf("struct<score double, words string>")
-    def model(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        out = []
-        for h, p in zip(hosts, paths, strict=True):
-            w = words_of(h, p, split)
-            out.append((prior + sum(odds.get(x, 0.0) for x in w) if h else None, " ".join(w)))
-        return pd.DataFrame(out, columns=["score", "words"])
-
+    words, totals = fit(pages, url_col)
     host, path = host_and_path(F.col(url_col))
-    cut = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    cut = cut.withColumns({"r": longest_rule(F.col("host"), F.col("path"), rules), "m": model("host", "path")})
-    learned = F.when(F.col("m.score") > 0, "block").otherwise("allow")
-    return cut.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), learned).alias("verdict"), "m.score", "m.words")
+    cut = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    cut = stored(cut.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)))
+    # words of the host without its last label, and of the path
+    bare = F.when(F.contains("host", F.lit(".")), F.regexp_replace("host", "\\.[^.]*$", "")).otherwise("")
+    parts = cut.select("row", F.posexplode(F.concat(names(bare), names(F.col("path")))).alias("at", "name"))
+    split_up = stored(split_names(parts.select("name").distinct(), words, totals))
+    per_row = parts.join(split_up, "name").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "words", "odds"))).alias("p"))
+    score = F.aggregate(F.flatten(F.col("p.odds")), F.lit(0.0), lambda x, y: x + y)
+    score = F.when(F.col("host") != "", F.lit(totals["prior"]) + F.coalesce(score, F.lit(0.0)))
+    judged = cut.join(per_row, "row", "left").withColumns({"score": score, "words": F.coalesce(F.array_join(F.flatten(F.col("p.words")), " "), F.lit(""))})
+    learned = F.when(F.col("score") > 0, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), learned).alias("verdict"), "score", "words")
 
 
 def op5(spark, sf_dir):

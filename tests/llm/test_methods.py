@@ -13,11 +13,12 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from strandlake.llm import decontaminate, importance, jaccard_join, kernels, piece_sampling, pii, quality_rules, substring_dedup, token_binary
+from strandlake.llm import decontaminate, importance, jaccard_join, kernels, piece_sampling, pii, quality_rules, substring_dedup, token_binary, url_filter
 from strandlake.llm.common import in_filter, read
 from tests.conftest import SF
 
@@ -415,3 +416,28 @@ def test_field_takes_numbers_of_many_groups_and_long_stretches():
     assert sorted(set().union(*again)) == truth and all(set(x) & set(y) for x, y in itertools.pairwise(again))
     w = pii.train([dense])
     assert w and [x[0] for x in pii.field_spans("please call 06 12 34 56 78 today", pii.train([f"please call +33 6 12 34 {i} 78 today and buy" for i in range(10, 60)]), [])] == ["phone"]
+
+
+def test_url_words_all_count_and_names_stay_whole(spark):
+    rnd = random.Random(1)
+    new = lambda n: "".join(rnd.choice("bcdfghjk") for _ in range(n))
+    many = [f"http://h{i}.org/{' '.join(f'a{i}x{j}' for j in range(500))}" for i in range(101)]  # over 50,000 words, each seen once or twice
+    many = many + many
+    rare, long = "zebrafarm", new(40)
+    urls = [*many, f"http://casino-x.org/{rare}", f"http://q.org/{long}", f"http://{new(2100)}{rare}casino.org/", f"http://x{long}.org/{long}"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages).where(F.col("page_id") >= len(many)).collect()}
+    a, b, c, d = (got[len(many) + i] for i in range(4))
+    assert a["words"] == f"casino x {rare}" and b["words"] == f"q {long}"
+    assert c["words"].endswith(f" {rare} casino") and len(c["words"].replace(" ", "")) == 2100 + len(rare) + 6
+    assert d["words"].split()[-1] == long and "".join(d["words"].split()) == f"x{long}{long}"
+    # exact log odds of the rare word from all words
+    count, bad = Counter(), Counter()
+    for u in urls:
+        host, _, path = u.removeprefix("http://").partition("/")
+        w = [x for x in re.split("[^a-z0-9]+", host.rpartition(".")[0]) + re.split("[^a-z0-9]+", path) if x and not x.isdigit()]
+        count.update(w)
+        bad.update(w if "casino" in w else [])
+    nb, ng = sum(bad.values()) + len(count) + 1, sum(count.values()) - sum(bad.values()) + len(count) + 1
+    want = math.log(2 / len(urls)) + sum(math.log((bad[x] + 1) / nb) - math.log((count[x] - bad[x] + 1) / ng) for x in ("casino", "x", rare))
+    assert a["score"] == pytest.approx(want, abs=1e-9)
