@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +18,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset: a folder of our own in the
+    warehouse, which executors share too; a machine-local folder only in local mode, where there is one machine."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="strandlake-")
+        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            import tempfile
+
+            found = tempfile.mkdtemp(prefix="strandlake-")
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/strandlake-{uuid.uuid4().hex}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -42,6 +47,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("table-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does just that where all is ASCII, and is faster."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -83,6 +98,33 @@ def in_filter(words, ids):
     return (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def drop_ids(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in bad (one column of longs). Rows that a fixed-size filter over bad lets go
+    are kept where they are scanned; only suspects meet bad in a join, so texts are not shuffled. Null ids stay."""
+    import pyarrow as pa
+
+    bad = stored(bad.toDF("__bad").where("__bad is not null").distinct())
+    words = id_filter(bad, "__bad")
+    at = docs.columns.index(id_col)
+
+    def suspects(batch):
+        import numpy as np
+
+        ids = batch.column(at).cast("int64")
+        return in_filter(words, ids.fill_null(0).to_numpy().astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+    def clean(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~suspects(batch)))
+
+    def maybe(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(suspects(batch)))
+
+    near = docs.mapInArrow(maybe, docs.schema)
+    return docs.mapInArrow(clean, docs.schema).union(near.join(bad, near[id_col].cast("long") == bad["__bad"], "left_anti"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links, as rows (node, component): component is the least node reached.
 
