@@ -17,6 +17,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset: a folder of our own in the
     warehouse, which executors share too; a machine-local folder only in local mode, where there is one machine."""

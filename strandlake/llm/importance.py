@@ -1,10 +1,11 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, of target text (labelled good) and of raw text (all documents), give each
-document the log ratio of its likelihoods. Gumbel noise seeded by the document's id is added and the k largest keys
-are the sample: that draws k documents without replacement in proportion to their importance weights. k is the number
-of documents whose log ratio passes a cutoff that labelled holdout rows set, so that a clean document, whose ratio
-stands far above the noise, stays.
+document the log ratio of its likelihoods, per word and times SHARPNESS, as its log importance weight. Gumbel noise
+seeded by the document's id is added and the k largest keys are a sample: that draws k documents without replacement in
+proportion to their weights. Two samples are read from the same keys. For the classifier, k is the number of documents
+whose weight passes a cutoff that labelled rows set which took no part in the target model: clean documents stand far
+above the noise and stay. For a training sample, k is any share of the accepted ones, and there the draw decides.
 
 N-grams are single words and pairs, of the lower-cased word and of its shape (runs of small letters, capitals,
 digits and each mark); a word equal to the one before counts as a repeat sign.
@@ -24,6 +25,12 @@ BUCKETS = 1 << 16
 #: The target model and the cutoff are fitted on at most so many labelled rows each, those of least hash.
 TARGET_ROWS = 20_000
 HOLDOUT_ROWS = 20_000
+#: Labelled rows of this remainder (of two, by hash) fit the target model, the others set the cutoff.
+FIT_PART = 0
+#: Log weights are the mean log ratio of a word's n-grams times this.
+SHARPNESS = 8.0
+#: Share of the accepted documents that the sample has.
+SAMPLE_SHARE = 0.5
 REPEAT = U(0x51AB5E11CA7E60F1)
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -108,7 +115,7 @@ def score(batch: pa.RecordBatch, ratio: np.ndarray, seed: int, i: str = "i", t:
     weights = []
     for part in chunks(batch, t):
         grams, at = ngrams(part[t])
-        weights.append(sums_by_text(ratio[grams].sum(axis=1), at))
+        weights.append(SHARPNESS * sums_by_text(ratio[grams].sum(axis=1), at) / np.maximum(1, np.diff(at)))
     log_weight = np.concatenate(weights) if weights else np.zeros(0)
     ids = batch[i].fill_null(-1).to_numpy().astype(np.int64)
     return log_weight, log_weight + gumbel(ids, batch[i].is_valid().to_numpy(zero_copy_only=False), seed)
@@ -153,10 +160,11 @@ def best_cutoff(weights: np.ndarray, good: np.ndarray, cost: float = 10.0) -> fl
 
 
 class Model:
-    """The fitted ratio, the seed of the noise, and the smallest key (as ordered bits) that is drawn."""
+    """The fitted ratio, the seed of the noise, the smallest keys (as ordered bits) that are accepted and sampled, the
+    cutoff of log weights, and how many rows pass it."""
 
-    def __init__(self, ratio, seed, least_key, cutoff, drawn):
-        self.ratio, self.seed, self.least_key, self.cutoff, self.drawn = ratio, seed, least_key, cutoff, drawn
+    def __init__(self, ratio, seed, least_key, least_sampled, cutoff, drawn):
+        self.ratio, self.seed, self.least_key, self.least_sampled, self.cutoff, self.drawn = ratio, seed, least_key, least_sampled, cutoff, drawn
 
 
 SCORES = "doc_id long, log_weight double, key double, key_bits long"
@@ -171,25 +179,32 @@ def scores(docs: DataFrame, ratio: np.ndarray, seed: int, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, SCORES)
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = 17) -> tuple[Model, DataFrame]:
+def fit_part(labels: DataFrame) -> DataFrame:
+    """labels by id (good if any row says so), with in_fit: whether an id fits the target model or sets the cutoff."""
+    label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return label.withColumn("in_fit", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == FIT_PART)
+
+
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float = SAMPLE_SHARE) -> tuple[Model, DataFrame]:
     """(model, scored rows). labels has doc_id and quality; an id labelled twice counts as good if any label says so.
-    Empty and null texts have weight 0. Without labels everything is drawn."""
-    label = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ratio = fit_ratio(docs, least_hashed(label, "quality = 1", TARGET_ROWS, 1))
+    Empty and null texts have weight 0. Without labels everything is accepted."""
+    label = fit_part(labels)
+    ratio = fit_ratio(docs, least_hashed(label.where("in_fit"), "quality = 1", TARGET_ROWS, 1))
     scored = settled(scores(docs, ratio, seed))
-    holdout = label.where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(HOLDOUT_ROWS)
+    holdout = label.where("not in_fit").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(HOLDOUT_ROWS)
     rows = scored.join(holdout, "doc_id").select("log_weight", "quality").toPandas()
     cutoff = best_cutoff(rows["log_weight"].to_numpy(np.float64), rows["quality"].to_numpy() == 1) if len(rows) else -np.inf
     k = scored.where(F.col("log_weight") >= float(cutoff)).count()
-    least = kth_largest(scored, "key_bits", k)
-    return Model(ratio, seed, least if least is not None else 2**63 - 1, cutoff, k), scored
+    least, sampled = (2**63 - 1 if x is None else x for x in (kth_largest(scored, "key_bits", n) for n in (k, int(k * share))))
+    return Model(ratio, seed, least, sampled, cutoff, k), scored
 
 
-def classify(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
-    """Per row: doc_id, log_weight, gumbel_key, accepted. Keys equal to the k-th are all drawn, so rows that repeat
-    an id and a text share their fate."""
-    model, scored = fit(docs, labels, seed)
-    return scored.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), (F.col("key_bits") >= model.least_key).alias("accepted"))
+def classify(docs: DataFrame, labels: DataFrame, seed: int = 17, share: float = SAMPLE_SHARE) -> DataFrame:
+    """Per row: doc_id, log_weight, gumbel_key, accepted, sampled (drawn when a share of the accepted is). Keys equal to
+    the k-th are all drawn, so rows that repeat an id and a text share their fate."""
+    model, scored = fit(docs, labels, seed, share)
+    drawn = {"accepted": model.least_key, "sampled": model.least_sampled}
+    return scored.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), *[(F.col("key_bits") >= least).alias(name) for name, least in drawn.items()])
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:

@@ -1,18 +1,25 @@
 """Personal data: fixed patterns, plus a semi-Markov conditional random field that scores whole spans.
 
-The patterns give the base spans. Around every place that could hold personal data (a digit or an at sign) a
-dynamic program over tokens chooses segments and their kinds jointly. A segment has at most LONGEST tokens, or any
-number of them if it is written as cards and phones are (NUMBER) and has at most MOST_DIGITS digits; features look at the whole segment (its shape, digit count, check sum, the token before it). A segment can only be
-an entity if it holds such a place, so tokens elsewhere are outside for certain and the program runs on the
-stretches around them: the result is that of one run over the whole text.
+The patterns give the base spans. Around every place that could hold personal data (a digit, an at sign or an at in
+brackets) a dynamic program over tokens chooses segments and their kinds jointly. A segment has at most LONGEST tokens,
+or any number of them if it is written as cards and phones are (NUMBER) and has at most MOST_DIGITS digits; features
+look at the whole segment (its shape, digit count, check sum, the token before it). A segment can only be an entity if
+it holds such a place, so tokens elsewhere are outside for certain and the program runs on the stretches around them:
+the result is that of one run over the whole text.
+
+The field learns from a bounded sample of texts, as they are and with their base spans rewritten so that the patterns
+miss them. A part of the sample is held out; the posterior that a span needs is set there, by the share of rewritten
+spans that are found again.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +34,8 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-PLACE = re.compile(r"[0-9@]")
+#: [at], (dot) and the like: marks of an email that are spelt out.
+PLACE = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.IGNORECASE)
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -65,53 +73,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # -- the field --------------------------------------------------------------------------------------------------
 
 LONGEST = 4
-#: What a longer segment is made of, and the most digits of a card.
-NUMBER = re.compile(r"[\x20().0-9+-]+")
+#: What a longer segment is made of, and the most digits of a card; or an address with its marks spelt out.
+NUMBER = re.compile(r"[\x20()./0-9+-]+")
+SPELT = re.compile(r"[\w.%+-]+\s*[\[({]at[\])}]\s*[\w-]+(\s*([\[({]dot[\])}]|\.)\s*[\w-]+)+", re.IGNORECASE)
 MOST_DIGITS = 19
 AROUND = 3
 OUTSIDE = "-"
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-#: A token of more code points than this is cut into pieces of this length for scoring; no text is left out.
-TOKEN_CHARS = 256
 
 
 def tokens_near(text: str) -> list[list[tuple[int, int]]]:
-    """Stretches of tokens around places: each token with a digit or at sign and AROUND tokens on both sides."""
+    """Stretches of tokens around places: each token with a place and AROUND tokens on both sides, those that meet as
+    one."""
+    if not PLACE.search(text):
+        return []
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    starts = [a for a, _ in tokens]
     out: list[list[tuple[int, int]]] = []
-    before: list[tuple[int, int]] = []
-    open_for, pos = 0, 0
-    place = PLACE.search(text)
-    while place:
-        if not open_for and place.start() - pos > 4 * TOKEN_CHARS:  # skip what is far from any place
-            pos = place.start() - 4 * TOKEN_CHARS
-            while pos > 0 and text[pos - 1] not in " \t\n\x0b\x0c\r" and pos > place.start() - 8 * TOKEN_CHARS:
-                pos -= 1
-            before = []
-        m = TOKEN.search(text, pos)
-        if not m:
-            break
-        for a in range(m.start(), m.end(), TOKEN_CHARS):
-            token = (a, min(a + TOKEN_CHARS, m.end()))
-            if PLACE.search(text, *token):
-                if open_for:
-                    out[-1].append(token)
-                else:
-                    out.append([*before[-AROUND:], token])
-                open_for = AROUND + 1
-            elif open_for:
-                out[-1].append(token)
-            open_for = max(0, open_for - 1)
-            before.append(token)
-            del before[:-AROUND]
-        pos = m.end()
-        if place.start() < pos:
-            place = PLACE.search(text, pos)
-        if not place and open_for:  # the tail of the last stretch
-            for m in TOKEN.finditer(text, pos):
-                if not open_for:
-                    break
-                out[-1].append((m.start(), min(m.start() + TOKEN_CHARS, m.end())))
-                open_for -= 1
+    at = done = 0  # tokens up to done are in a stretch
+    for m in PLACE.finditer(text):
+        if done and m.start() < tokens[at][1]:
+            continue  # in the same token
+        at = bisect.bisect_right(starts, m.start()) - 1
+        first, last = max(0, at - AROUND), min(len(tokens), at + AROUND + 1)
+        if not done or first > done:
+            out.append(tokens[first:last])
+        else:
+            out[-1] += tokens[max(done, first) : last]
+        done = max(done, last)
     return out
 
 
@@ -149,6 +138,8 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
         f"sum={13 <= len(digits) <= 19 and letters == 0}:{len(digits) > 12 and luhn(''.join(digits))}",
         f"before={before}" if not before[-1:].isdigit() else "before=0",
         f"bare={not digits and '@' not in s}",
+        f"spelt={bool(SPELT.fullmatch(s))}",
+        f"number={len(digits) > 6 and bool(NUMBER.fullmatch(s))}",
     ]
 
 
@@ -156,6 +147,8 @@ def ends(text: str, tokens: list[tuple[int, int]], i: int) -> list[int]:
     """The ends of all segments that start at token i, in order."""
     out = list(range(i + 1, min(len(tokens), i + LONGEST) + 1))
     start = trim(text, tokens[i][0], tokens[min(len(tokens), i + 2) - 1][1])[0]
+    if spelt := SPELT.match(text, start, tokens[-1][1]):
+        return sorted({*out, *(j for j in range(i + 1, len(tokens) + 1) if trim(text, tokens[i][0], tokens[j - 1][1])[1] == spelt.end())})
     digits = sum(len(DIGIT.findall(text, *tokens[x])) for x in range(i, out[-1]))
     for j in range(i + LONGEST + 1, len(tokens) + 1):
         digits += len(DIGIT.findall(text, *tokens[j - 1]))
@@ -167,17 +160,22 @@ def ends(text: str, tokens: list[tuple[int, int]], i: int) -> list[int]:
     return out
 
 
+def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
+    """(i, j, features) of all segments that may be an entity."""
+    return [(i, j, features(text, tokens, i, j)) for i in range(len(tokens)) for j in ends(text, tokens, i) if PLACE.search(text, tokens[i][0], tokens[j - 1][1])]
+
+
+def scores(n: int, found: list, weights: dict, kinds: list[str]) -> dict:
+    """Scores of all segments of n tokens: (i, j, kind) -> score. OUTSIDE has one-token segments of score 0."""
+    out = {(i, i + 1, OUTSIDE): 0.0 for i in range(n)}
+    for i, j, f in found:
+        for k in kinds:
+            out[i, j, k] = sum([weights.get((k, x), 0.0) for x in f])
+    return out
+
+
 def segments(text, tokens, weights, kinds):
-    """Scores of all segments: (i, j, kind) -> score. OUTSIDE has one-token segments of score 0."""
-    found = {}
-    for i in range(len(tokens)):
-        found[i, i + 1, OUTSIDE] = 0.0
-        for j in ends(text, tokens, i):
-            if PLACE.search(text, tokens[i][0], tokens[j - 1][1]):
-                f = features(text, tokens, i, j)
-                for k in kinds:
-                    found[i, j, k] = sum(weights.get((k, x), 0.0) for x in f)
-    return found
+    return scores(len(tokens), candidates(text, tokens), weights, kinds)
 
 
 def log_sums(n: int, scored: dict) -> tuple[list[float], list[float]]:
@@ -247,21 +245,30 @@ def cases_of(text: str, tokens: list[tuple[int, int]], truth: list[tuple[int, in
     return out
 
 
+def rewritten(kind: str, s: str, rng: random.Random) -> str:
+    """A span as people write it where the patterns miss it."""
+    if kind == "email":
+        user, _, host = s.partition("@")
+        dotted = host.replace(".", rng.choice([" [dot] ", "[dot]", " (dot) "]))
+        return rng.choice([f"{user} [at] {host}", f"{user}(at){host}", f"{user} @ {host}", f"{user}[at]{dotted}", f"{user} (at) {dotted}", f"{user}@ {host}"])
+    if kind == "phone":
+        bare = s.lstrip("+")
+        return rng.choice([bare, "00" + bare, bare.replace(" ", "-"), bare.replace(" ", "."), bare.replace("-", " "), re.sub(r"^\+[0-9]+ ", "", s)])
+    if kind == "card":
+        digits = "".join(DIGIT.findall(s))
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return rng.choice([".", "  ", "/", " - "]).join(groups)
+    return s.replace(".", rng.choice(["[.]", "(.)", " . "]))
+
+
 def corrupt(text: str, spans: list, rng: random.Random) -> tuple[str, list]:
-    """A copy whose spans are still personal data but miss the patterns: a phone without its plus sign, a card
-    with a mistyped digit, other separators. Shows the field what the patterns cannot."""
+    """A copy whose spans are still personal data but miss the patterns, and its spans. Shows the field what the
+    patterns cannot."""
     out, at, found = [], 0, []
     for kind, a, b in sorted(spans, key=lambda x: x[1]):
         if a < at:
             continue
-        s = text[a:b]
-        if kind == "phone":
-            s = rng.choice([s.lstrip("+"), s.lstrip("+").replace(" ", "-"), re.sub(r"^\+[0-9]+ ", "", s)])
-        elif kind == "card":
-            p = rng.randrange(len(s))
-            s = s[:p] + str((int(s[p]) + 1) % 10) + s[p + 1 :] if s[p].isdigit() else s
-        elif kind == "ip":
-            s = s.rpartition(".")[0] + "." + str(rng.randrange(256, 999))
+        s = rewritten(kind, text[a:b], rng)
         out.append(text[at:a])
         start = sum(map(len, out))
         out.append(s)
@@ -270,37 +277,41 @@ def corrupt(text: str, spans: list, rng: random.Random) -> tuple[str, list]:
     return "".join([*out, text[at:]]), found
 
 
+#: Copies of texts with rewritten spans that the field learns from.
+COPIES = 600
+
+
 def train(texts: list[str], rounds: int = 6, rate: float = 0.3, decay: float = 1e-3, seed: int = 5) -> dict:
     """Weights of the field from texts labelled by their base spans, by stochastic gradient on the log likelihood."""
     rng = random.Random(seed)
     cases = []
-    for t in texts:
-        spans = base_spans(t)
-        for text, found in [(t, spans), *(corrupt(t, spans, rng) for _ in range(2))]:
-            for tokens in tokens_near(text):
-                cases += cases_of(text, tokens, gold(text, tokens, found))
+    some = [(t, x) for t in texts if (x := base_spans(t))]
+    again = [corrupt(*rng.choice(some), rng) for _ in range(COPIES)] if some else []
+    for of_copy, (text, found) in [*((False, (t, base_spans(t))) for t in texts), *((True, x) for x in again)]:
+        for tokens in tokens_near(text):
+            for _, own, truth in cases_of(text, tokens, gold(text, tokens, found)):
+                right = {x for x in truth if x[2] != OUTSIDE}
+                if right or not of_copy:  # what else copies hold has been seen
+                    cases.append((len(own), candidates(text, own), right))
     weights: dict = {}
     for r in range(rounds):
         rng.shuffle(cases)
         step = rate / (1 + r)
-        for text, tokens, truth in cases:
-            scored = segments(text, tokens, weights, KINDS)
-            ahead, back = log_sums(len(tokens), scored)
-            right = {x for x in truth if x[2] != OUTSIDE}
-            for (i, j, k), s in scored.items():
-                if k == OUTSIDE:
-                    continue
-                p = math.exp(ahead[i] + s + back[j] - back[0])
-                g = ((i, j, k) in right) - p
-                if abs(g) > 1e-3:
-                    for x in features(text, tokens, i, j):
-                        w = weights.get((k, x), 0.0)
-                        weights[k, x] = w + step * (g - decay * w)
+        for n, found, right in cases:
+            scored = scores(n, found, weights, KINDS)
+            ahead, back = log_sums(n, scored)
+            for i, j, f in found:
+                for k in KINDS:
+                    g = ((i, j, k) in right) - math.exp(ahead[i] + scored[i, j, k] + back[j] - back[0])
+                    if abs(g) > 1e-3:
+                        for x in f:
+                            w = weights.get((k, x), 0.0)
+                            weights[k, x] = w + step * (g - decay * w)
     return weights
 
 
-def field_spans(text: str, weights: dict, taken: list, least: float = 0.7) -> list[tuple[str, int, int]]:
-    """Spans of the field's best segmentation, each of posterior least or more, that touch no base span."""
+def scored_spans(text: str, weights: dict, taken: list) -> list[tuple[str, int, int, float]]:
+    """Spans of the field's best segmentation that touch no base span, each with the log of its posterior."""
     out = []
     for tokens in tokens_near(text):
         if all(any(a <= p.start() < b for _, a, b in taken) for p in PLACE.finditer(text, tokens[0][0], tokens[-1][1])):
@@ -308,35 +319,74 @@ def field_spans(text: str, weights: dict, taken: list, least: float = 0.7) -> li
         scored = segments(text, tokens, weights, KINDS)
         ahead, back = log_sums(len(tokens), scored)
         for i, j, k in best_segments(len(tokens), scored):
-            if k != OUTSIDE and ahead[i] + scored[i, j, k] + back[j] - back[0] >= math.log(least):
+            if k != OUTSIDE:
                 a, b = trim(text, tokens[i][0], tokens[j - 1][1])
                 if not any(a < y and x < b for _, x, y in taken):
-                    out.append((k, a, b))
+                    out.append((k, a, b, ahead[i] + scored[i, j, k] + back[j] - back[0]))
     return out
 
 
+def field_spans(text: str, weights: dict, taken: list, least: float = 0.7) -> list[tuple[str, int, int]]:
+    """Spans of the field of posterior least or more."""
+    return [x[:3] for x in scored_spans(text, weights, taken) if x[3] >= math.log(least)]
+
+
 def digest(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
 
-#: Texts the field is fitted on: at most this many, those with the least hash of the id among texts with a place.
-FIT_TEXTS = 250
+#: Texts the field is fitted on: at most this many, those with the least hash of the id among texts with a place. Every
+#: HELD_OUT-th of them sets the cutoff instead.
+FIT_TEXTS = 300
+HELD_OUT = 6
+#: The cutoff is the highest posterior of these at which this share of held-out rewritten spans is found.
+CUTOFFS = [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]
+RECALL = 0.95
+
+
+class Field(NamedTuple):
+    weights: dict
+    least: float
+
+
+def planted(texts: list[str], seed: int) -> list[tuple[str, list, list]]:
+    """(text, spans that the patterns miss, spans that they find) of texts with rewritten base spans."""
+    rng, out = random.Random(seed), []
+    for t in texts:
+        if spans := base_spans(t):
+            text, found = corrupt(t, spans, rng)
+            base = base_spans(text)
+            out.append((text, [x for x in found if not any(x[1] < b and a < x[2] for _, a, b in base)], base))
+    return out
+
+
+def cutoff(texts: list[str], weights: dict) -> float:
+    """The posterior that spans need, from texts the weights have not seen."""
+    want, logs = 0, []
+    for text, missed, base in planted(texts, 11):
+        got = {x[:3]: x[3] for x in scored_spans(text, weights, base)}
+        want += len(missed)
+        logs += [got[x] for x in missed if x in got]
+    fit = [c for c in CUTOFFS if sum(x >= math.log(c) for x in logs) >= RECALL * want]
+    return fit[0] if fit and want else CUTOFFS[-1 if want else 3]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_TEXTS) -> dict:
-    """Weights from a bounded sample. Long texts count with their stretches around places only."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_TEXTS) -> Field:
+    """The field from a bounded sample. Long texts count with their stretches around places only."""
     rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
     least = [r["h"] for r in rows.select("h").orderBy("h").limit(most).collect()]
     if not least:
-        return {}
+        return Field({}, 1.0)
     # only the chosen texts reach the driver: hashes are ordered first, then the texts at or below the last one
-    return train([r["t"] for r in rows.where(F.col("h") <= least[-1]).limit(most).orderBy("h", "t").collect()])
+    texts = [r["t"] for r in rows.where(F.col("h") <= least[-1]).limit(most).orderBy("h", "t").collect()]
+    weights = train([t for i, t in enumerate(texts) if i % HELD_OUT])
+    return Field(weights, cutoff(texts[::HELD_OUT], weights))
 
 
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string"
 
 
-def find_pii(docs: DataFrame, weights: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, base counts by kind, base_spans and spans (base and field) as kind:start:end lists.
     Null texts have none; rows with a null or repeated id are judged like all others."""
 
@@ -345,7 +395,7 @@ def find_pii(docs: DataFrame, weights: dict, id_col: str = "doc_id", text_col: s
             rows = []
             for i, t in zip(batch["i"].to_pylist(), batch["t"].to_pylist(), strict=True):
                 base = base_spans(t) if t else []
-                more = field_spans(t, weights, base) if t and PLACE.search(t) else []
+                more = field_spans(t, field.weights, base, field.least) if t and PLACE.search(t) else []
                 n = [sum(k == x[0] for x in base) for k in KINDS]
                 rows.append((i, *n, digest(base), digest(base + more)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if at > 4 else pa.int64()) for at, c in enumerate(zip(*rows, strict=True))], names=[x.split()[0] for x in OUT.split(", ")])

@@ -65,7 +65,6 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
         F.char_length(F.regexp_replace("t", GAP, "")).alias("word_chars"),
         (F.char_length("t") - F.char_length(F.regexp_replace("t", SYMBOLS, ""))).alias("n_symbols"),
         F.regexp_count("t", F.lit("[^\\x20\\x09-\\x0D]!!|\\b\\p{Lu}{3,}\\b")).alias("shouts"),
-        F.regexp_count("t", F.lit("(?<![^\\x20\\x09-\\x0D])([^\\x20\\x09-\\x0D]{1,200}+)[\\x20\\x09-\\x0D]{1,20}+\\1(?![^\\x20\\x09-\\x0D])")).alias("echoes"),
     )
     n = split.select(
         "doc_id",
@@ -77,7 +76,7 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
         words_in_repeats(F.col("w")).cast("long").alias("n_repeat_words"),
         F.size("l").alias("n_lines"),
         "shouts",
-        "echoes",
+        F.size(F.filter("w", lambda w, i: w.eqNullSafe(F.get("w", i - 1)))).alias("echoes"),
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return n.select(

@@ -14,14 +14,13 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import read, stored
-from strandlake.llm.kernels import raw
+from strandlake.llm.kernels import chunks, raw
 
 U = np.uint64
 BITS = 18
@@ -229,14 +228,38 @@ def shared_words(path: str) -> Words:
 
 # -- jobs -------------------------------------------------------------------------------------------------------
 
-SEGMENTS = "shard long, seq long, n_tokens long, doc_ids binary, has_id binary, lengths binary, payload binary"
+SEGMENTS = "shard long, seq long, n_tokens long, payload binary"
+DOCS_MAGIC = b"DOCS1\0"
+NO_ID = np.iinfo(np.int64).min
+
+
+def pack(ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> bytes:
+    """A segment of documents: their ids, whether each has one, how many tokens each has, and a crc32 of these; then the
+    coded tokens."""
+    table = b"".join([ids.astype("<i8").tobytes(), known.astype("u1").tobytes(), lengths.astype("<u8").tobytes()])
+    return DOCS_MAGIC + struct.pack("<QI", len(ids), zlib.crc32(table)) + table + encode(flat)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, known, lengths, tokens) of a segment. Raises ValueError where a checksum differs."""
+    if data[: len(DOCS_MAGIC)] != DOCS_MAGIC:
+        raise ValueError("not a segment of documents")
+    at = len(DOCS_MAGIC)
+    n, crc = struct.unpack_from("<QI", data, at)
+    at += struct.calcsize("<QI")
+    if zlib.crc32(data[at : at + 17 * n]) != crc:
+        raise ValueError("the checksum of the documents differs")
+    ids, known, lengths = np.frombuffer(data, "<i8", n, at), np.frombuffer(data, "u1", n, at + 8 * n).astype(bool), np.frombuffer(data, "<u8", n, at + 9 * n)
+    flat = decode(data[at + 17 * n :])
+    if int(lengths.sum()) != len(flat):
+        raise ValueError("the documents' lengths do not add up")
+    return ids, known, lengths.astype(np.int64), flat
 
 
 def write_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes every text and writes the segments; returns the stored table (shard, seq, n_tokens, doc_ids,
-    has_id, lengths, payload), in ascending id order by (shard, seq). Null texts are empty (one id, END); rows
-    with a null id come first; rows that repeat an id follow one another. A document is never split: one of over
-    SEGMENT ids is a segment of its own."""
+    """Encodes every text and writes the segments; returns the stored table (shard, seq, n_tokens, payload), in
+    ascending id order by (shard, seq). Null texts are empty (one id, END); rows with a null id come first; rows that
+    repeat an id follow one another. A document is never split: one of over SEGMENT ids is a segment of its own."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -245,21 +268,19 @@ def write_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
         def segment():
             ids, lengths, flat = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            known = ids != np.iinfo(np.int64).min
-            return pd.DataFrame({"shard": [shard], "seq": [seq], "n_tokens": [len(flat)], "doc_ids": [ids.astype("<i8").tobytes()], "has_id": [known.astype("u1").tobytes()], "lengths": [lengths.astype("<u8").tobytes()], "payload": [encode(flat)]})
+            payload = pack(ids, ids != NO_ID, lengths, flat)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((shard, pa.int64()), (seq, pa.int64()), (len(flat), pa.int64()), (payload, pa.binary()))], names=["shard", "seq", "n_tokens", "payload"])
 
-        schema = pa.schema([("shard", pa.int64()), ("seq", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("has_id", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for piece in chunks(batch, "text"):
                 flat, lengths = words.encode(piece["text"])
-                parts.append((piece["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(), lengths, flat))
+                parts.append((piece["doc_id"].fill_null(NO_ID).to_numpy(), lengths, flat))
                 held += len(flat)
                 if held >= SEGMENT:
-                    yield pa.RecordBatch.from_pandas(segment(), schema, preserve_index=False)
+                    yield segment()
                     parts, held, seq = [], 0, seq + 1
         if parts:
-            yield pa.RecordBatch.from_pandas(segment(), schema, preserve_index=False)
+            yield segment()
 
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return stored(ranged.mapInArrow(run, SEGMENTS))
@@ -281,18 +302,16 @@ def read_segments(segments: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                flat = decode(row["payload"])
-                lengths = np.frombuffer(row["lengths"], "<u8").astype(np.int64)
+                ids, known, lengths, flat = unpack(row["payload"])
                 ends = np.cumsum(lengths)
                 buffer = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
                 sums = [zlib.crc32(buffer[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                known = np.frombuffer(row["has_id"], "u1").astype(bool)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=~known), pa.array(row["first"] + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())],
+                    [pa.array(ids, mask=~known), pa.array(row["first"] + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.select("payload", "doc_ids", "has_id", "lengths", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("payload", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9(spark, sf_dir):

@@ -1,11 +1,13 @@
-"""URL filters: rules by host and path, and for all other URLs a naive Bayes model over segmented host words.
+"""URL filters: rules by host and path, and for all other URLs a naive Bayes model over segmented host and path words.
 
 Hosts and paths are cut with column expressions. Names that run together ("casinowin") are split by Viterbi over a
-unigram model of words that hosts and paths of the corpus show between marks; multinomial naive Bayes then scores the
-words of host and path. It learns from hosts that show a seed word on its own between marks.
+unigram model of words that hosts and paths of the corpus show between marks. Multinomial naive Bayes is trained on the
+words that these splits give, all URLs counted: a URL is an example of "block" where a seed word stands in its host
+between marks, else of "allow". Seed words are examples, not rules: what else such hosts and their paths are made of
+scores as well.
 
-The counts of all words stay a Spark table. Substrings of the distinct names join it, so that each name is split and
-scored with the words it holds; a name of any length is split as a whole.
+The counts of all words stay a Spark table. Substrings of the distinct names join it, so that each name is split with
+the words it holds; a name of any length is split as a whole.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Words that mark a host as unwanted when they stand alone between marks; the model learns from such hosts.
+#: Words that mark a host as an example of "block" when they stand between marks.
 SEED_WORDS = ["ads", "adult", "bet", "bets", "casino", "cheap", "crack", "escort", "loan", "loans", "pills", "poker", "porn", "replica", "sex", "spam", "track", "viagra", "warez", "xxx"]
 #: Longer words are known only as whole names.
 LONGEST_WORD = 24
@@ -75,34 +77,23 @@ def names(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), MARKS), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
 
 
-def fit(pages: DataFrame, url_col: str = "url", seeds: list[str] = SEED_WORDS) -> tuple[DataFrame, dict]:
-    """All words (w, n, bad, alone: times seen, in hosts with a seed word, and where the splitter learns), and totals,
-    from all URLs."""
-    host, path = host_and_path(F.col(url_col))
-    bare = F.regexp_replace(host, "\\.[^.]*$", "")
-    marked = F.array_join(F.filter(F.split(bare, "\\."), lambda x: x.rlike("[^a-z0-9]")), ".")
-    urls = pages.select(host.alias("h"), names(bare).alias("hw"), names(marked).alias("dw"), names(path).alias("pw"))
-    urls = urls.withColumn("bad", F.arrays_overlap("hw", F.array(*map(F.lit, seeds)))).where("h <> ''")
-    # kind h: a word or a whole name of a host, d: one between marks, p: of a path. Names without marks may be words run
-    # together, so the splitter does not learn from them.
-    tag = lambda c, kind: F.transform(c, lambda x: F.struct(x.alias("w"), F.lit(kind).alias("kind")))
-    words = urls.select("bad", F.explode(F.concat(tag("hw", "h"), tag("dw", "d"), tag("pw", "p"))).alias("t")).groupBy("t.w").agg(
-        F.count_if(F.col("t.kind") != "d").alias("n"), F.count_if(F.col("bad") & (F.col("t.kind") != "d")).alias("bad"), F.count_if(F.col("t.kind") != "h").alias("alone")
-    )
-    words = stored(words)
-    total, bad = urls.agg(F.count("*"), F.count_if("bad")).first()
-    n, nb, ng, alone = words.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum(F.col("n") - F.col("bad")), F.lit(0)), F.coalesce(F.sum("alone"), F.lit(0))).first()
-    # seeds are known words even where no host shows them alone
-    found = {r["w"]: r["alone"] for r in words.where(F.col("w").isin(seeds)).collect()}
-    words = words.withColumn("alone", F.when(F.col("w").isin(seeds), F.greatest("alone", F.lit(1))).otherwise(F.col("alone")))
-    if new := sorted(set(seeds) - set(found)):
-        words = words.union(pages.sparkSession.createDataFrame([(s, 1, 1, 1) for s in new], "w string, n long, bad long, alone long"))
-    alone += sum(not found.get(s) for s in set(seeds))
-    return words, {"bad": nb + n + 1, "good": ng + n + 1, "alone": alone + 1.0, "prior": math.log((bad + 1) / (total - bad + 1))}
-
-
-def split_names(distinct: DataFrame, words: DataFrame, totals: dict) -> DataFrame:
-    """(name, words, odds) of distinct names: each word with its log odds for "block"."""
+def bare_host(host: Column) -> Column:
+    """A host without its last label."""
+    return F.when(F.contains(host, F.lit(".")), F.regexp_replace(host, "\\.[^.]*$", "")).otherwise("")
+
+
+def unigrams(urls: DataFrame, seeds: list[str] = SEED_WORDS) -> tuple[DataFrame, float]:
+    """(w, n) of words that stand between marks, in paths and in host labels with marks, and the sum of n. Labels without
+    marks may be words run together, so the splitter does not learn from them. Seed words count as seen once."""
+    marked = F.array_join(F.filter(F.split(bare_host(F.col("host")), "\\."), lambda x: x.rlike("[^a-z0-9]")), ".")
+    words = urls.select(F.explode(F.concat(names(marked), names(F.col("path")))).alias("w"))
+    known = urls.sparkSession.createDataFrame([(s,) for s in sorted(set(seeds))], "w string")
+    words = stored(words.withColumn("n", F.lit(1)).union(known.withColumn("n", F.lit(0))).groupBy("w").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n")))
+    return words, words.agg(F.sum("n")).first()[0] + 1.0
+
+
+def split_names(distinct: DataFrame, words: DataFrame, total: float) -> DataFrame:
+    """(name, words) of distinct names."""
     keyed = distinct.select(F.md5("name").alias("k"), "name")
 
     def substrings(frames):
@@ -119,47 +110,61 @@ def split_names(distinct: DataFrame, words: DataFrame, totals: dict) -> DataFram
             yield pd.DataFrame(out, columns=["k", "w"])
 
     is_long = F.length("w") > SHORT_WORD
-    hits = keyed.mapInPandas(substrings, "k string, w string").join(words.where(is_long), "w").groupBy("k").agg(F.collect_set(F.struct("w", "n", "bad", "alone")).alias("hits"))
-    short = [tuple(r) for r in words.where(~is_long).select("w", "n", "bad", "alone").collect()]
-    unknown = math.log(totals["alone"]) + 2.0
-
-    def costs(rows):
-        return {w: -math.log(alone / totals["alone"]) for w, _, _, alone in rows if alone}
-
-    def odds(rows):
-        return {w: math.log((bad + 1) / totals["bad"]) - math.log((n - bad + 1) / totals["good"]) for w, n, bad, _ in rows}
+    hits = keyed.mapInPandas(substrings, "k string, w string").join(words.where(is_long), "w").groupBy("k").agg(F.collect_set(F.struct("w", "n")).alias("hits"))
+    short = {r["w"]: -math.log(r["n"] / total) for r in words.where(~is_long).collect()}
+    unknown = math.log(total) + 2.0
 
     def run(frames):
-        short_costs, short_odds = costs(short), odds(short)
         for f in frames:
             out = []
             for name, found in zip(f["name"], f["hits"], strict=True):
-                rows = [(x["w"], x["n"], x["bad"], x["alone"]) for x in found] if found is not None else []
-                cut = split(name, ChainMap(costs(rows), short_costs), unknown)
-                score = odds(rows)
-                out.append((name, list(cut), [score.get(x, short_odds.get(x, 0.0)) for x in cut]))
-            yield pd.DataFrame(out, columns=["name", "words", "odds"])
+                own = {x["w"]: -math.log(x["n"] / total) for x in found} if found is not None else {}
+                out.append((name, list(split(name, ChainMap(own, short), unknown))))
+            yield pd.DataFrame(out, columns=["name", "words"])
+
+    return stored(keyed.join(hits, "k", "left").select("name", "hits").mapInPandas(run, "name string, words array<string>"))
+
 
-    return keyed.join(hits, "k", "left").select("name", "hits").mapInPandas(run, "name string, words array<string>, odds array<double>")
+def segmented(urls: DataFrame, seeds: list[str] = SEED_WORDS) -> DataFrame:
+    """(row, at, bad, words): the words of each name of each URL (row, host, path), and whether a seed word stands between
+    marks in its host."""
+    parts = urls.select("row", F.arrays_overlap(names(bare_host(F.col("host"))), F.array(*map(F.lit, seeds))).alias("bad"), F.posexplode(F.concat(names(bare_host(F.col("host"))), names(F.col("path")))).alias("at", "name"))
+    return stored(parts.join(split_names(parts.select("name").distinct(), *unigrams(urls, seeds)), "name").select("row", "at", "bad", "words"))
+
+
+def fit(parts: DataFrame) -> tuple[DataFrame, float]:
+    """(w, odds): log odds of each word for "block", and those of a URL without words, by counts of all URLs with names
+    in parts (rows of segmented())."""
+    words = stored(parts.select("bad", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")))
+    n, nb, ng = words.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum(F.col("n") - F.col("b")), F.lit(0))).first()
+    total, bad = parts.where("at = 0").agg(F.count("*"), F.count_if("bad")).first()
+    odds = F.log((F.col("b") + 1) / float(nb + n + 1)) - F.log((F.col("n") - F.col("b") + 1) / float(ng + n + 1))
+    return words.select("w", odds.alias("odds")), math.log((bad + 1) / (total - bad + 1))
+
+
+def scored(parts: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
+    """(row, score, words) of URLs with names: log odds for "block". Words that the model has not seen have none."""
+    odds, prior = model
+    words = parts.select("row", "at", F.posexplode("words").alias("nth", "w")).join(odds, "w", "left")
+    per_row = words.groupBy("row").agg(F.sum(F.coalesce("odds", F.lit(0.0))).alias("s"), F.array_sort(F.collect_list(F.struct("at", "nth", "w"))).alias("p"))
+    return per_row.select("row", (F.lit(prior) + F.round("s", 9)).alias("score"), F.array_join("p.w", " ").alias("words"))
+
+
+def cut_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    host, path = host_and_path(F.col(url_col))
+    return stored(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")))
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, score, words. score is the model's log odds for "block"; without
     a rule a score over 0 blocks. URLs without a host are allowed, score null."""
-    words, totals = fit(pages, url_col)
-    host, path = host_and_path(F.col(url_col))
-    cut = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    cut = stored(cut.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules)))
-    # words of the host without its last label, and of the path
-    bare = F.when(F.contains("host", F.lit(".")), F.regexp_replace("host", "\\.[^.]*$", "")).otherwise("")
-    parts = cut.select("row", F.posexplode(F.concat(names(bare), names(F.col("path")))).alias("at", "name"))
-    split_up = stored(split_names(parts.select("name").distinct(), words, totals))
-    per_row = parts.join(split_up, "name").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "words", "odds"))).alias("p"))
-    score = F.aggregate(F.flatten(F.col("p.odds")), F.lit(0.0), lambda x, y: x + y)
-    score = F.when(F.col("host") != "", F.lit(totals["prior"]) + F.coalesce(score, F.lit(0.0)))
-    judged = cut.join(per_row, "row", "left").withColumns({"score": score, "words": F.coalesce(F.array_join(F.flatten(F.col("p.words")), " "), F.lit(""))})
-    learned = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), learned).alias("verdict"), "score", "words")
+    urls = cut_urls(pages, id_col, url_col)
+    parts = segmented(urls.where("host <> ''"))
+    model = fit(parts)
+    judged = urls.join(scored(parts, model), "row", "left").withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
+    score = F.when(F.col("host") != "", F.coalesce("score", F.lit(model[1])))
+    learned = F.when(score > 0, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), learned).alias("verdict"), score.alias("score"), F.coalesce("words", F.lit("")).alias("words"))
 
 
 def op5(spark, sf_dir):
