@@ -1,31 +1,37 @@
-"""Substring dedup by a compacted de Bruijn graph over word windows.
-
-The edges of the graph are the k-word windows (k = 50) of all documents, each joining the two (k - 1)-word windows in
-it. Sending every window through a shuffle would move the corpus many times over, so the graph is built compacted:
-
-1. A window's anchor is the least hash of the 16-word k-mers in it. Equal windows have equal anchors. Along a
-   document, consecutive windows with one anchor form a path; a path's key is its anchor and the hash of all its words.
-   Windows inside such a path follow one another without a branch wherever that key occurs, so the path stands for
-   them all (a sparse, minimizer-delimited form of the unitig).
-2. Paths join on the anchor. Anchors of a single document are dropped by partial aggregates. A path whose key also
-   starts in a smaller document is covered as a whole: its source coordinates give the span.
-3. Anchors with more than one path key are branches: windows of different paths may still be equal. Only there the
-   first occurrence of each path is opened into windows, which join on their own hash to find shared parts. What is
-   found in it holds as well for later occurrences of the path in the same document, moved by their distance.
-4. Spans are merged per document, and the words under them go.
+"""Substring dedup by a compacted de Bruijn graph over token k-mers.
+
+Nodes are (k - 1)-word runs and edges the k-word windows (k = 50) of all documents. Sending every window through a
+shuffle would move the corpus many times over, so edges are made in bundles where they are read:
+
+1. A window's anchor is the least hash of the 16-word k-mers in it. Equal windows have equal anchors. Along a document,
+   consecutive windows with one anchor form a path, one edge from the node before it to the node after it (its first
+   and last 49 words). Its key is its anchor, a rolling hash of its words and a digest of its bytes: equal keys have
+   equal words by two hashes of which one does not build on the other. Edges of a single document are dropped by partial
+   aggregates on the anchor.
+2. Edges that several documents hold are the repeated part of the graph. In- and out-degrees come from aggregates; where
+   a node has one edge in and one out, a join makes the second edge follow the first. Pointer doubling over these joins
+   compacts nonbranching paths to unitigs, each edge with its offset in words. Edges on a cycle stay single.
+3. An edge of a document that also is in a smaller one is covered; neighbouring edges of a unitig that come from the same
+   place of the same source document are one span, with its source coordinates.
+4. Anchors with more than one key are where paths branch: windows of different edges may still be equal. Only there the
+   first occurrence of each edge is opened into single windows, which join on their own hash and digest. What is found
+   in it holds as well for later occurrences of the edge in the same document, moved by their distance.
+5. The words under the spans go.
 
 A window is removed from a document exactly if its word sequence also starts in a document with a smaller id.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import id_filter, in_filter, read, stored
-from strandlake.llm.kernels import Rolling, chunks, long_array, raw, sliding_min, window_starts, word_bounds, words_of
+from strandlake.llm.common import discard, id_filter, in_filter, read, stored
+from strandlake.llm.kernels import Rolling, chunks, long_array, raw, sliding_min, window_starts, word_bounds, word_hashes
 
 WINDOW = 50
 ANCHOR = 16
@@ -35,37 +41,88 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
 
 
-def text_paths(words: np.ndarray, at: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
-    """(text, start, windows, anchor, key) of the paths of all texts: maximal runs of windows with one anchor."""
-    start, text = window_starts(at, window)
+class Words:
+    """The words of a string array: their hashes, where each text's begin, and their bytes with one space between."""
+
+    def __init__(self, texts: pa.Array):
+        data, offsets = raw(texts)
+        starts, ends, self.at = word_bounds(data, offsets)
+        self.hashes = word_hashes(data, starts, ends)
+        self.roll = Rolling(self.hashes)
+        self.bytes = b" ".join(data.tobytes()[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)) if len(starts) else b""
+        self.ends = np.cumsum(ends - starts + 1) - 1
+        self.starts = self.ends - (ends - starts)
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64 bits of a digest of the bytes of each word range (not empty)."""
+        held = memoryview(self.bytes)
+        cut = zip(self.starts[start].tolist(), self.ends[end - 1].tolist(), strict=True)
+        return np.frombuffer(b"".join(hashlib.blake2b(held[a:b], digest_size=8).digest() for a, b in cut), np.uint64)
+
+
+def text_paths(words: Words, window: int = WINDOW, anchor: int = ANCHOR):
+    """(text, start, windows, anchor) of the paths of all texts: maximal runs of windows with one anchor."""
+    start, text = window_starts(words.at, window)
     empty = np.zeros(0, np.int64)
     if not len(start):
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    roll = Rolling(words)
-    k = np.arange(len(words) - anchor + 1)
-    least = sliding_min(roll.ranges(k, k + anchor), window - anchor + 1)[start]
-    new = np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
-    first = np.flatnonzero(new)
+        return empty, empty, empty, empty.view(np.uint64)
+    k = np.arange(len(words.hashes) - anchor + 1)
+    least = sliding_min(words.roll.ranges(k, k + anchor), window - anchor + 1)[start]
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
     n = np.diff(np.concatenate([first, [len(start)]]))
-    a = start[first]
-    return text[first], a - at[:-1][text[first]], n, least[first], roll.ranges(a, a + n + window - 1)
+    return text[first], start[first] - words.at[:-1][text[first]], n, least[first]
+
+
+PATHS = ["i long", "s int", "n int", "a long", "k long", "v long", "from long", "to long"]
 
 
 def paths(rows: DataFrame) -> DataFrame:
-    """(i, s, n, a, k): document, first window, number of windows, anchor, key."""
+    """(i, s, n, a, k, v, from, to): document, first window, number of windows, anchor, hash and digest of the words,
+    nodes."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "t"):
-                text, s, n, a, k = text_paths(*words_of(part["t"]))
-                yield pa.RecordBatch.from_arrays([part["i"].take(pa.array(text)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), long_array(a), long_array(k)], names=["i", "s", "n", "a", "k"])
-
-    return rows.mapInArrow(run, "i long, s int, n int, a long, k long")
+                words = Words(part["t"])
+                text, s, n, a = text_paths(words)
+                x = words.at[:-1][text] + s
+                end = x + n + WINDOW - 1
+                long = [words.roll.ranges(x, end), words.digests(x, end), words.roll.ranges(x, x + WINDOW - 1), words.roll.ranges(x + n, end)]
+                yield pa.RecordBatch.from_arrays([part["i"].take(pa.array(text)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), long_array(a), *map(long_array, long)], names=[c.split()[0] for c in PATHS])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c.split()[0]}` {c.split()[1]}" for c in PATHS))
+
+
+def unitigs(edges: DataFrame) -> DataFrame:
+    """(k, u, o): each edge's unitig (the key of its first edge) and its offset there in words. edges has k, n (windows),
+    from and to, one row each."""
+    e = stored(edges)
+    once = lambda node: e.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("c")).where("c = 1").select("node")
+    plain = stored(once("from").join(once("to"), "node"))
+    before = e.select(F.col("to").alias("node"), F.col("k").alias("p"), F.col("n").alias("o")).join(plain, "node")
+    after = e.select(F.col("from").alias("node"), "k").join(plain, "node")
+    follows = after.join(before, "node").where("k <> p").select("k", "p", F.col("o").cast("long"))
+    state = e.select("k").join(follows, "k", "left")
+    state = stored(state.select("k", F.coalesce("p", "k").alias("u"), F.coalesce("o", F.lit(0)).cast("long").alias("o"), F.col("p").isNull().alias("done")))
+    left, rounds = state.where("not done").count(), 0
+    # after r rounds an edge knows the one 2**r before it; edges of a cycle never reach a first one
+    while left:
+        ahead = state.select(F.col("k").alias("u"), F.col("u").alias("p"), F.col("o").alias("d"), F.col("done").alias("over"))
+        jumped = state.where("not done").join(ahead, "u").select("k", F.col("p").alias("u"), (F.col("o") + F.col("d")).alias("o"), F.col("over").alias("done"))
+        state = stored(state.where("done").union(jumped))
+        still, rounds = state.where("not done").count(), rounds + 1
+        if still == left and 2**rounds > 2 * left:
+            break
+        left = still
+    alone = ~F.col("done")
+    out = stored(state.select("k", F.when(alone, F.col("k")).otherwise(F.col("u")).alias("u"), F.when(alone, 0).otherwise(F.col("o")).cast("long").alias("o")))
+    discard(e, plain)
+    return out
 
 
 def open_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Windows (i, s, f, a, h) of the paths in spans (i, s, n, a), f being a path's s; the documents are dropped at the scan by a filter
-    unless they have such a path."""
+    """Windows (i, s, f, a, h, v) of the paths in spans (i, s, n, a), f being a path's s; the documents are dropped at the
+    scan by a filter unless they have such a path."""
     words = id_filter(spans, "i")
     per_doc = spans.groupBy("i").agg(F.collect_list(F.struct("s", "n", "a")).alias("p"))
 
@@ -76,44 +133,71 @@ def open_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "t"):
-                hashes, at = words_of(part["t"])
-                roll = Rolling(hashes)
+                own = Words(part["t"])
                 flat = part["p"].flatten()
                 per = np.diff(part["p"].offsets.to_numpy())
                 s, n, a = (flat.field(x).to_numpy() for x in range(3))
-                base = np.repeat(at[:-1], per)
+                base = np.repeat(own.at[:-1], per)
                 at_doc = np.repeat(np.arange(len(per)), per)
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 pos = np.repeat(s, n) + step
                 begin = np.repeat(base, n) + pos
+                hashes = [own.roll.ranges(begin, begin + WINDOW), own.digests(begin, begin + WINDOW)]
                 yield pa.RecordBatch.from_arrays(
-                    [part["i"].take(pa.array(np.repeat(at_doc, n))), pa.array(pos.astype(np.int32)), pa.array(np.repeat(s, n)), pa.array(np.repeat(a, n)), long_array(roll.ranges(begin, begin + WINDOW))],
-                    names=["i", "s", "f", "a", "h"],
+                    [part["i"].take(pa.array(np.repeat(at_doc, n))), pa.array(pos.astype(np.int32)), pa.array(np.repeat(s, n)), pa.array(np.repeat(a, n)), *map(long_array, hashes)],
+                    names=["i", "s", "f", "a", "h", "v"],
                 )
 
-    some = rows.mapInArrow(near, "i long, t string").dropDuplicates(["i"])
-    return some.join(per_doc.hint("shuffle_hash"), "i").select("i", "t", "p").mapInArrow(run, "i long, s int, f int, a long, h long")
+    some = rows.mapInArrow(near, "i long, t string").groupBy("i").agg(F.min("t").alias("t"))
+    return some.join(per_doc.hint("shuffle_hash"), "i").select("i", "t", "p").mapInArrow(run, "i long, s int, f int, a long, h long, v long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, spans): per document with repeated windows the word ranges [s, e) to remove, unmerged.
+def runs(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans (i, s, e, fi, fs) of hits (i, s, n, fi, fs and keys): windows s to s + n in document i, of the words at fs in
+    document fi. Hits of one key that follow each other without a gap are one span."""
+    keys = ["i", "fi", "shift", *keys]
+    before = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    placed = hits.withColumn("shift", F.col("s") - F.col("fs")).dropDuplicates([*keys, "s"])
+    placed = placed.withColumn("run", F.col("s") - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    merged = placed.groupBy(*keys, "run").agg(F.min("s").alias("s"), F.sum("n").alias("n"), F.min("fs").alias("fs"))
+    return merged.select("i", "s", (F.col("s") + F.col("n") + WINDOW - 1).cast("int").alias("e"), "fi", "fs")
+
+
+def sourced_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(i, s, e, fi, fs): word ranges [s, e) of documents to remove, each with the place fs in the smaller document fi that
+    has the same words. Ranges of one document may overlap.
 
-    Rows that repeat an id are taken to repeat its text."""
+    Rows that repeat an id are taken to repeat its text; of several texts the least is opened."""
     rows = _rows(docs, id_col, text_col)
     found = paths(rows)
     anchors = found.groupBy("a").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.min("k").alias("k0"), F.max("k").alias("k1"))
-    shared = anchors.where("lo <> hi").select("a", (F.col("k0") != F.col("k1")).alias("branch"))
+    shared = stored(anchors.where("lo <> hi").select("a", (F.col("k0") != F.col("k1")).alias("branch")))
     near = stored(found.join(shared, "a"))
-    first = near.groupBy("a", "k").agg(F.min(F.struct("i", "s")).alias("f"), F.max(F.struct(F.bitwise_not("i"), "s")).alias("l"), F.max("i").alias("last"), F.first("n").alias("n"), F.first("branch").alias("branch"))
-    first = stored(first.select("a", "k", F.col("f.i").alias("fi"), F.col("f.s").alias("fs"), F.col("l.s").alias("ls"), "last", "n", "branch"))
-    whole = near.join(first.where("fi <> last").select("a", "k", "fi"), ["a", "k"]).where("i > fi").select("i", "s", (F.col("s") + F.col("n") + WINDOW - 1).alias("e"))
+    key = ["a", "k", "v"]
+    first = near.groupBy(*key).agg(
+        F.min(F.struct("i", "s")).alias("f"), F.max(F.struct(F.bitwise_not("i"), "s")).alias("l"), F.max("i").alias("last"), *[F.first(c).alias(c) for c in ("n", "branch", "from", "to")]
+    )
+    first = stored(first.select(*key, F.col("f.i").alias("fi"), F.col("f.s").alias("fs"), F.col("l.s").alias("ls"), "last", "n", "branch", "from", "to"))
+    edges = first.where("fi <> last")
+    # one row for each k: keys of one rolling hash and several digests, should there be any, stay single
+    compact = unitigs(edges.groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "from", "to")], F.count("*").alias("c")).where("c = 1").drop("c"))
+    placed = stored(edges.join(compact, "k", "left").select(*key, "fi", "fs", F.coalesce("u", "k").alias("u")))
+    whole = runs(near.join(placed, key).where("i > fi").select("i", "s", "n", "fi", "fs", "u"), ["u"])
     windows = stored(open_windows(rows, first.where("branch").select(F.col("fi").alias("i"), F.col("fs").alias("s"), "n", "a")))
-    earliest = windows.groupBy("a", "h").agg(F.min("i").alias("fi"), F.max("i").alias("last")).where("fi <> last")
-    part = stored(windows.join(earliest, ["a", "h"]).where("i > fi").select("i", "s", "f", "a"))
-    again = near.join(first.where("branch and fs <> ls").select("a", "k", "fi", "fs"), ["a", "k"]).where("i = fi and s > fs").select("i", "a", F.col("fs").alias("f"), (F.col("s") - F.col("fs")).alias("d"))
-    moved = part.join(again, ["i", "a", "f"]).select("i", F.col("s") + F.col("d"))
-    part = part.select("i", "s").union(moved).select("i", "s", (F.col("s") + WINDOW).alias("e"))
-    return whole.union(part).groupBy("i").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    earliest = windows.groupBy("a", "h", "v").agg(F.min(F.struct("i", "s")).alias("w"), F.max("i").alias("last"))
+    earliest = stored(earliest.where("w.i <> last").select("a", "h", "v", F.col("w.i").alias("fi"), F.col("w.s").alias("fs")))
+    part = stored(windows.join(earliest, ["a", "h", "v"]).where("i > fi").select("i", "s", "f", "a", "fi", "fs"))
+    again = near.join(first.where("branch and fs <> ls").select(*key, "fi", "fs"), key).where("i = fi and s > fs").select("i", "a", F.col("fs").alias("f"), (F.col("s") - F.col("fs")).alias("d"))
+    moved = part.join(again, ["i", "a", "f"]).select("i", (F.col("s") + F.col("d")).alias("s"), "fi", "fs")
+    single = runs(part.select("i", "s", "fi", "fs").union(moved).withColumn("n", F.lit(1)), [])
+    out = stored(whole.union(single))
+    discard(shared, near, first, compact, placed, windows, earliest, part)
+    return out
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(i, spans): per document with repeated windows the word ranges [s, e) to remove, unmerged."""
+    return sourced_spans(docs, id_col, text_col).groupBy("i").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def kept_words(data: np.ndarray, offsets: np.ndarray, spans: list) -> list[tuple[int, int, bytes]]:

@@ -374,10 +374,37 @@ def test_filter_passes_what_it_has_seen(spark):
 
 
 def test_window_paths():
-    words, at = kernels.words_of(pa.array([" ".join(f"a{i}" for i in range(130)), "x y", " ".join(f"a{i}" for i in range(30, 130))]))
-    text, start, n, anchor, key = substring_dedup.text_paths(words, at)
+    words = substring_dedup.Words(pa.array([" ".join(f"a{i}" for i in range(130)), "x y", "  ".join(f"a{i}" for i in range(30, 130))]))
+    text, start, n, anchor = substring_dedup.text_paths(words)
     assert [int(n[text == t].sum()) for t in range(3)] == [81, 0, 51]
-    assert set(key[text == 2].tolist()) & set(key[text == 0].tolist())
+    x = words.at[:-1][text] + start
+    for hashes in (words.roll.ranges(x, x + n + 49), words.digests(x, x + n + 49)):
+        assert set(hashes[text == 2].tolist()) & set(hashes[text == 0].tolist())
+    assert words.digests(np.array([0]), np.array([2]))[0] == int.from_bytes(hashlib.blake2b(b"a0 a1", digest_size=8).digest(), "little")
+
+
+def test_unitigs(spark):
+    """Chains are compacted, branches end them, cycles stay single."""
+    chain = [(k, k % 7 + 1, 100 + k, 101 + k) for k in range(1, 40)]
+    branch = [(50, 2, 140, 300), (51, 3, 140, 301), (52, 4, 300, 302), (53, 1, 400, 300)]  # 39 leads to two edges, 300 is entered twice
+    cycle = [(60, 5, 500, 501), (61, 5, 501, 502), (62, 5, 502, 500)]
+    got = {r["k"]: (r["u"], r["o"]) for r in substring_dedup.unitigs(spark.createDataFrame(chain + branch + cycle, "k long, n int, `from` long, `to` long")).collect()}
+    at = 0
+    for k, n, _, _ in chain:
+        assert got[k] == (1, at)
+        at += n
+    assert all(got[k] == (k, 0) for k in (50, 51, 52, 53, 60, 61, 62))
+
+
+def test_spans_have_their_source(spark):
+    """Every span's words stand at its source coordinates in a smaller document."""
+    docs = read(spark, SF, "documents")
+    words = {i: re.findall(f"[^{SPACE}]+", t or "") for i, t in texts().items()}
+    spans = substring_dedup.sourced_spans(docs).collect()
+    assert len(spans) > 20
+    for r in spans:
+        assert r["fi"] < r["i"] and r["e"] - r["s"] >= substring_dedup.WINDOW
+        assert words[r["i"]][r["s"] : r["e"]] == words[r["fi"]][r["fs"] : r["fs"] + r["e"] - r["s"]]
 
 
 def test_pipeline(spark):
