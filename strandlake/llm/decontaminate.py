@@ -2,20 +2,24 @@
 
 Tokens are lower-cased words without marks around them. Every run of MIN_MATCH tokens is a seed with a rolling
 Karp-Rabin hash; seeds of documents are dropped at the scan unless a fixed-size filter over the benchmark's seeds
-passes them, and the rest joins the benchmark's seeds. Matches of a document and an item are maximal runs of seeds on
-a diagonal. Greedy string tiling then marks the longest match again and again, none overlapping another, and the share
+passes them, and the rest joins the benchmark's seeds. An item of fewer tokens is one seed as a whole and
+meets only documents that are made of just these tokens: so short a run inside a longer text is no evidence. Matches of a
+document and an item are maximal runs of seeds on a diagonal, found by a window, so that a phrase that both repeat is a
+row for each diagonal. Greedy string tiling then marks the longest match again and again, none overlapping another, and the share
 of the item's tokens under tiles is its coverage: a reordered passage is covered in pieces.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import FILTER_BITS, id_filter, in_filter, read
+from strandlake.llm.common import FILTER_BITS, drop_ids, id_filter, in_filter, read, stored
 from strandlake.llm.kernels import LOW, Rolling, chunks, raw, window_starts, word_bounds, word_hashes
 
 MIN_MATCH = 4
@@ -78,21 +82,22 @@ def document_seeds(docs: DataFrame, words: np.ndarray, id_col: str = "doc_id", t
 
 
 def tile(doc_pos: np.ndarray, item_pos: np.ndarray, item_tokens: int, n: int) -> tuple[int, int, int]:
-    """(tokens of the item under tiles, tiles, longest tile) by greedy string tiling over seed pairs (n tokens each).
-
-    In each round the longest match of unmarked tokens is marked, ties to the least item then document position;
-    what is left of a match that a tile cuts counts again while it has n tokens."""
-    n = min(n, item_tokens)
+    """tile_runs() of seed pairs (n tokens each)."""
     order = np.lexsort((doc_pos, doc_pos - item_pos))
     d, i = doc_pos[order], item_pos[order]
     if not len(d):
         return 0, 0, 0
-    new = np.concatenate([[True], (np.diff(d) != 1) | (np.diff(i) != 1)])
-    begin = np.flatnonzero(new)
-    length = np.diff(np.concatenate([begin, [len(d)]])) + n - 1
-    matches = [(-int(m), int(a), int(b)) for m, a, b in zip(length, i[begin], d[begin], strict=True)]
-    import heapq
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 1) | (np.diff(i) != 1)]))
+    return tile_runs(d[begin], i[begin], np.diff(np.concatenate([begin, [len(d)]])), item_tokens, n)
 
+
+def tile_runs(doc_pos: np.ndarray, item_pos: np.ndarray, length: np.ndarray, item_tokens: int, n: int) -> tuple[int, int, int]:
+    """(tokens of the item under tiles, tiles, longest tile) by greedy string tiling over runs of seeds on diagonals.
+
+    In each round the longest match of unmarked tokens is marked, ties to the least item then document position;
+    what is left of a match that a tile cuts counts again while it has n tokens."""
+    n = min(n, item_tokens)
+    matches = [(-int(m) - n + 1, int(a), int(b)) for m, a, b in zip(length, item_pos, doc_pos, strict=True)]
     heapq.heapify(matches)
     item_marked, doc_marked, tiles, longest = np.zeros(item_tokens, bool), set(), 0, 0
     while matches:
@@ -118,18 +123,22 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     """Per document and item that share a seed: doc_id, item_id, item_tokens, covered, tiles, longest, coverage.
 
     A document id that is repeated with one text counts once; with several texts, their seeds count together."""
-    bench = benchmark_seeds(items, item_col, item_text, n)
+    bench = stored(benchmark_seeds(items, item_col, item_text, n))
     words = id_filter(bench.select("seed"), "seed", FILTER_BITS)
     found = document_seeds(docs, words, id_col, text_col, n).join(bench, "seed")
+    by = ["doc_id", "item_id", "item_tokens", "shift"]
+    placed = found.select(*by[:3], (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "doc_pos", "item_pos").dropDuplicates([*by, "doc_pos"])
+    placed = placed.withColumn("run", F.col("doc_pos") - F.row_number().over(Window.partitionBy(*by).orderBy("doc_pos")))
+    runs = placed.groupBy(*by, "run").agg(F.min("doc_pos").alias("doc_pos"), F.min("item_pos").alias("item_pos"), F.count("*").alias("n")).drop("run", "shift")
 
     def tiles(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates()
         size = int(rows["item_tokens"].iloc[0])
-        covered, count, longest = tile(rows["doc_pos"].to_numpy(), rows["item_pos"].to_numpy(), size, n)
+        covered, count, longest = tile_runs(rows["doc_pos"].to_numpy(), rows["item_pos"].to_numpy(), rows["n"].to_numpy(), size, n)
         return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "item_id": [rows["item_id"].iloc[0]], "item_tokens": [size], "covered": [covered], "tiles": [count], "longest": [longest]})
 
-    pairs = found.select("doc_id", "item_id", "item_tokens", "doc_pos", "item_pos")
-    out = pairs.groupBy("doc_id", "item_id").applyInPandas(tiles, "doc_id long, item_id long, item_tokens long, covered long, tiles long, longest long")
+    # a number of its own: the rows are few, but each group is work
+    dealt = runs.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "doc_id", "item_id")
+    out = dealt.groupBy("doc_id", "item_id").applyInPandas(tiles, "doc_id long, item_id long, item_tokens long, covered long, tiles long, longest long")
     return out.withColumn("coverage", F.col("covered") / F.col("item_tokens"))
 
 
@@ -143,8 +152,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = MIN_COVERAGE,
 
 def decontaminate(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
     """The rows of docs whose id is not contaminated, with all their columns. Null ids and null texts stay."""
-    bad = contaminated(docs, items, **names).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == F.col("__bad"), "left_anti")
+    return drop_ids(docs, contaminated(docs, items, **names).select("doc_id"), names.get("id_col", "doc_id"))
 
 
 def op3(spark, sf_dir):
