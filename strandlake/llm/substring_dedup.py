@@ -49,7 +49,8 @@ class Words:
         starts, ends, self.at = word_bounds(data, offsets)
         self.hashes = word_hashes(data, starts, ends)
         self.roll = Rolling(self.hashes)
-        self.bytes = b" ".join(data.tobytes()[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)) if len(starts) else b""
+        flat = data.tobytes()
+        self.bytes = b" ".join([flat[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         self.ends = np.cumsum(ends - starts + 1) - 1
         self.starts = self.ends - (ends - starts)
 
