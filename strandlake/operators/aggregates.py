@@ -204,20 +204,35 @@ def normalize(df: DataFrame, k: int, target: int = 100, min_depth: int = 5, id_c
 
 
 def ecc_by_depth(df: DataFrame, k: int, low: int = 2, high: int = 5, id_col: str = "ordinal") -> DataFrame:
-    """(id, pos, old, new): a base under k consecutive k-mers of depth up to low is corrected if one other base gives
-    k-mers of depth high or more. k-mers here keep their strand; a read has at most one correction."""
+    """(id, pos, old, new): a base is corrected if the run of k-mers of depth up to low around it is as long as one wrong
+    base makes it (k, or less at an end of the read) and one other base alone gives a k-mer of depth high or more.
+    k-mers here keep their strand; errors of a read that lie k or more apart are corrected each."""
     rows = kmer_rows(df, id_col, k, rcomp=False)
     counts = rows.groupBy("kmer").agg(F.count("*").alias("count"))
     weak = rows.join(counts, "kmer").where(F.col("count") <= low)
     island = weak.withColumn("g", F.col("pos") - F.row_number().over(Window.partitionBy(id_col).orderBy("pos")))
-    runs = island.groupBy(id_col, "g").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.min_by("kmer", F.desc("pos") if False else -F.col("pos")).alias("kmer")).where(F.col("n") == k)
-    # the wrong base is the first of the last weak k-mer
-    tries = runs.select(id_col, F.col("last").alias("pos"), F.left("kmer", F.lit(1)).alias("old"), F.substring("kmer", 2, k).alias("tail"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("new")).where("new <> old")
-    good = tries.withColumn("kmer", F.concat("new", "tail")).join(counts.where(F.col("count") >= high), "kmer")
-    alone = F.count("*").over(Window.partitionBy(id_col))
+    runs = island.groupBy(id_col, "g").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min_by("kmer", "pos").alias("a"), F.max_by("kmer", "pos").alias("z"))
+    runs = runs.join(df.select(id_col, (F.length("bases") - k).alias("end")), id_col)
+    # the wrong base is the first of the last weak k-mer, or at the read's end the last of the first one
+    head = (F.col("n") == k) | ((F.col("n") < k) & (F.col("first") == 0))
+    runs = runs.where(head | ((F.col("n") < k) & (F.col("last") == F.col("end"))))
+    tries = runs.select(
+        id_col, F.when(head, F.col("last")).otherwise(F.col("first") + k - 1).alias("pos"), F.when(head, F.left("z", F.lit(1))).otherwise(F.right("a", F.lit(1))).alias("old"),
+        head.alias("head"), F.when(head, F.substring("z", 2, k)).otherwise(F.left("a", F.lit(k - 1))).alias("rest"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("new"),
+    ).where("new <> old")
+    good = tries.withColumn("kmer", F.when(F.col("head"), F.concat("new", "rest")).otherwise(F.concat("rest", "new"))).join(counts.where(F.col("count") >= high), "kmer")
+    alone = F.count("*").over(Window.partitionBy(id_col, "pos"))
     return good.withColumn("c", alone).where("c = 1").select(id_col, big("pos").alias("pos"), "old", "new")
 
 
+def discard_weak(df: DataFrame, k: int, low: int = 2, most: float = 0.0, id_col: str = "ordinal") -> DataFrame:
+    """Rows of reads in which no more than a share of k-mers has a depth up to low. Reads without k-mers stay."""
+    rows = kmer_rows(df, id_col, k)
+    counts = rows.groupBy("kmer").agg(F.count("*").alias("count"))
+    bad = rows.join(counts, "kmer").groupBy(id_col).agg((F.count_if(F.col("count") <= low) / F.count("*")).alias("share")).where(F.col("share") > most)
+    return df.join(bad.select(id_col), id_col, "left_anti")
+
+
 # -- coverage ---------------------------------------------------------------------------------------------------
 
 

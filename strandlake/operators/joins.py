@@ -189,16 +189,23 @@ def add_ssu(sketches: DataFrame, ssu: DataFrame) -> DataFrame:
     return sketches.join(ssu.select("taxid", F.col("bases").alias("ssu")).dropDuplicates(["taxid"]), "taxid", "left")
 
 
-def pair_vectors(contigs: DataFrame, rate: float = 0.5, gc_step: float = 0.02, seed: int = 1) -> DataFrame:
-    """Training rows for pairs of contigs (id, gc, vector, genome) in neighbouring GC cells: differences and the label
-    whether both are of one genome, sampled to the given share of ones."""
+def pair_vectors(contigs: DataFrame, rate: float | None = 0.5, gc_step: float = 0.02, seed: int = 1, max_depth_ratio: float | None = None, max_distance: float | None = None) -> DataFrame:
+    """Training rows for pairs of contigs (id, gc, vector, genome, and depth where its ratio is bounded) in neighbouring
+    GC cells: differences and the label whether both are of one genome, sampled to the given share of ones (None: all).
+    Pairs whose depths differ by a larger ratio, or whose vectors are further apart, are left out."""
     from strandlake.functions.sequence import vector_distance
 
     cell = F.floor(F.col("gc") / gc_step)
     a = contigs.withColumn("cell", F.explode(F.array(cell, cell + 1)))
     b = contigs.withColumnsRenamed({c: f"{c}_b" for c in contigs.columns}).withColumn("cell_b", F.floor(F.col("gc_b") / gc_step))
     near = a.join(b, F.col("cell") == F.col("cell_b")).where((F.col("id") < F.col("id_b")) | ((F.floor(F.col("gc") / gc_step) != F.col("cell_b")) & (F.col("id") != F.col("id_b"))))
+    if max_depth_ratio is not None:
+        near = near.where(F.greatest("depth", "depth_b") <= max_depth_ratio * F.least("depth", "depth_b"))
     rows = near.select("id", "id_b", F.abs(F.col("gc") - F.col("gc_b")).alias("gc_difference"), vector_distance(F.col("vector"), F.col("vector_b")).alias("distance"), (F.col("genome") == F.col("genome_b")).cast("int").alias("label"))
+    if max_distance is not None:
+        rows = rows.where(F.col("distance") <= max_distance)
+    if rate is None:
+        return rows
     n = rows.groupBy("label").count().toPandas().set_index("label")["count"].to_dict()
     zeros, ones = n.get(0, 0), n.get(1, 0)
     if not zeros or not ones:

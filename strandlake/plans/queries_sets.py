@@ -292,9 +292,31 @@ def _(r):
     return ag.normalize(r, 9, 12, 5)
 
 
-@query("kmer_error_filter", "dv_reads")
+#: Reads of 40 templates, so that depths are high, with a wrong base in some of them.
+PLANTED = "t as (select ordinal, bases from dv_reads where ordinal<40), b as (select r.ordinal, t.bases, case when r.ordinal%11=7 then 1+(r.ordinal*7)%90 end as spot from dv_reads r join t on t.ordinal=r.ordinal%40), p as (select ordinal, case when spot is null then bases else substr(bases,1,(spot-1)::int) || translate(substr(bases,spot::int,1),'ACGT','CGTA') || substr(bases,(spot+1)::int) end as bases from b)"
+
+
+def planted(r):
+    t = r.where("ordinal < 40").select(F.col("ordinal").alias("k"), F.col("bases").alias("b"))
+    at = F.when(F.col("ordinal") % 11 == 7, (1 + (F.col("ordinal") * 7) % 90).cast("int"))
+    rows = r.select("ordinal", (F.col("ordinal") % 40).alias("k"), at.alias("at")).join(t, "k")
+    wrong = F.concat(F.substring("b", F.lit(1), F.col("at") - 1), F.translate(F.substring("b", F.col("at"), F.lit(1)), "ACGT", "CGTA"), F.substring("b", F.col("at") + 1, F.length("b")))
+    return rows.select("ordinal", F.when(F.col("at").isNull(), F.col("b")).otherwise(wrong).alias("bases"))
+
+
+@query("kmer_error_filter", "dv_reads", sql=f"""with {PLANTED}, {km('q','p','ordinal',15,False)}, c as (select kmer, count(*) as n from q group by all),
+g as (select ordinal, pos, kmer, pos - row_number() over (partition by ordinal order by pos) as g from q join c using(kmer) where n<=2),
+u as (select ordinal, count(*) as n, min(pos) as first, max(pos) as last, min_by(kmer,pos) as a, max_by(kmer,pos) as z from g group by ordinal, g),
+v as (select u.*, n=15 or (n<15 and first=0) as head from u join p using(ordinal) where n=15 or (n<15 and (first=0 or last=length(bases)-15))),
+y as (select ordinal, case when head then last else first+14 end as pos, case when head then z[1] else a[15] end as old, new, case when head then new || z[2:] else a[:14] || new end as kmer from v, (select unnest(['A','C','G','T']) as new)),
+ok as (select y.*, count(*) over (partition by ordinal, pos) as k from y join c using(kmer) where n>=5 and new<>old) select ordinal, pos::bigint as pos, old, new from ok where k=1""")
+def _(r):
+    return ag.ecc_by_depth(planted(r), 15)
+
+
+@query("kmer_error_discard", "dv_reads", sql=f"with {PLANTED}, {km('q','p','ordinal',15)}, c as (select kmer, count(*) as n from q group by all), bad as (select ordinal from q join c using(kmer) group by all having count(*) filter (where n<=2)/count(*)>0.1) select ordinal from p where ordinal not in (select ordinal from bad)")
 def _(r):
-    return ag.ecc_by_depth(r.where("ordinal < 1400"), 15)
+    return ag.discard_weak(planted(r), 15, most=0.1).select("ordinal")
 
 
 @query("depth_per_base", "dv_aln", sql=f"with {DEPTH} select contig, unnest(range(start,stop+1)) as pos, depth from seg")

@@ -25,19 +25,46 @@ def read_fasta(spark: SparkSession, path, min_len: int = 0, break_len: int = 0)
     return rows
 
 
-def read_fastq(spark: SparkSession, path, qin: int = 33) -> DataFrame:
-    """(name, bases, quals) with offset 33. Files split at "@" line starts; a quality line that begins with "@" is put
-    back to its record: a piece without a "+" line belongs to the piece before it."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    record = F.regexp_extract_all("value", F.lit("(?:^|\n)(@[^\n]*\r?\n[A-Za-z.*-]*\r?\n\\+[^\n]*\r?\n[^\n]*)"), 1)
-    rows = raw.select("file", F.posexplode(record).alias("n", "r"))
-    p = F.split(F.regexp_replace("r", "\r", ""), "\n")
-    out = rows.select("file", F.col("n").cast("bigint").alias("ordinal"), F.substring(_at(p, 0), F.lit(2), F.length("r")).alias("name"), _at(p, 1).alias("bases"), _at(p, 3).alias("quals"))
+def read_fastq(spark: SparkSession, path, qin: int = 33, malformed: str = "raise") -> DataFrame:
+    """(file, ordinal, name, pair, bases, quals) with offset 33; pair is 1 or 2 where the name says so ("/1", " 2:..."),
+    ordinal counts the records of a file.
+
+    Files split at "@" line starts. A quality line that begins with "@" splits its record: the piece that ends in the
+    "+" line and the next piece, in the same block or first in the one after it, are put together. What is no record
+    raises an error; with malformed="keep" it is a row whose name is null and whose bases hold its text."""
+    raw = spark.read.text(path, lineSep="\n@").select(F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n+$", "").alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("size"))
+    rows = raw.withColumn("at", F.monotonically_increasing_id())
+    n_lines = F.size(F.split("v", "\n"))
+    # the first record of a file keeps its "@"; a record without bases loses its empty last line
+    rows = rows.withColumn("n", n_lines).withColumn("v", F.when(F.col("n") > 1, F.regexp_replace("v", "^@", "")).otherwise(F.col("v")))
+    rows = rows.withColumns({"v": F.when(F.col("v").rlike("^[^\n]*\n\n\\+[^\n]*$"), F.concat("v", F.lit("\n"))).otherwise(F.col("v"))}).withColumn("n", n_lines)
+    whole, odd = rows.where("n = 4"), rows.where("n <> 4")
+    heads, tails = odd.where("n = 3"), odd.where("n = 1").select("file", F.col("block").alias("block2"), F.col("at").alias("at2"), F.col("v").alias("tail"))
+    near = F.when(tails["block2"] == heads["block"], F.col("at2") == F.col("at") + 1).otherwise(tails["block2"] == heads["block"] + heads["size"])
+    joined = heads.join(tails, ["file"]).where(near)
+    # a block has one head at most that reaches into the next block: its last; and one tail that belongs there: its first
+    last = F.row_number().over(Window.partitionBy("file", "at").orderBy("at2"))
+    joined = joined.withColumn("k", last).where("k = 1")
+    whole = whole.select("file", "block", "at", "v").union(joined.select("file", "block", "at", F.concat("v", F.lit("\n@"), "tail")))
+    used = joined.select("file", F.col("at")).union(joined.select("file", "at2"))
+    rest = odd.where("v <> ''").join(used, ["file", "at"], "left_anti").select("file", "block", "at", "v")
+    p = F.split("v", "\n")
+    fits = F.startswith(_at(p, 2), F.lit("+")) & (F.length(_at(p, 1)) == F.length(_at(p, 3)))
+    every = whole.withColumn("ok", fits).union(rest.withColumn("ok", F.lit(False)))
+    name = F.when(F.col("ok"), _at(p, 0))
+    if malformed == "raise":
+        name = F.when(F.col("ok"), _at(p, 0)).otherwise(F.raise_error(F.concat(F.lit("no FASTQ record: "), F.left("v", F.lit(200)))))
+    out = every.select("file", "block", "at", name.alias("name"), F.when(F.col("ok"), _at(p, 1)).otherwise(F.col("v")).alias("bases"), F.when(F.col("ok"), _at(p, 3)).alias("quals"))
     if qin == 64:
         from strandlake.functions.sequence import letters
 
         out = out.withColumn("quals", F.array_join(F.transform(letters(F.col("quals")), lambda c: F.char(F.ascii(c) - 31)), ""))
-    return out
+    # ordinals: places in a block, after the counts of the blocks before it
+    blocks = out.groupBy("file", "block").agg(F.count("*").alias("c"))
+    before = blocks.select("file", "block", (F.sum("c").over(Window.partitionBy("file").orderBy("block")) - F.col("c")).alias("before"))
+    placed = out.join(before, ["file", "block"]).withColumn("ordinal", F.col("before") + F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1)
+    mate = F.coalesce(F.regexp_extract("name", "(?:/| )([12])(?::.*)?$", 1), F.lit(""))
+    return placed.select("file", "ordinal", "name", F.when(mate != "", mate.cast("int")).alias("pair"), "bases", "quals")
 
 
 def pair_reads(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
@@ -100,10 +127,27 @@ def read_gff(spark: SparkSession, path) -> DataFrame:
 
 
 def read_gbff(spark: SparkSession, path) -> DataFrame:
-    """Features of GenBank flat files: locus, type, start, stop, strand."""
-    loci = spark.read.text(path, lineSep="\n//\n").select(F.regexp_extract("value", "LOCUS +(\\S+)", 1).alias("seqid"), F.explode(F.regexp_extract_all("value", F.lit("(?m)^ {5}([A-Za-z_]+ +(?:complement\\()?[<>]?[0-9]+\\.\\.[<>]?[0-9]+)"), 1)).alias("f"))
-    n = lambda i: F.regexp_extract("f", "([0-9]+)\\.\\.[<>]?([0-9]+)", i).cast("bigint")
-    return loci.select("seqid", F.regexp_extract("f", "^[A-Za-z_]+", 0).alias("type"), n(1).alias("start"), n(2).alias("stop"), F.when(F.contains("f", F.lit("complement")), "-").otherwise("+").alias("strand"))
+    """Features of GenBank and EMBL flat files, one row for each interval of a location (join and order have several):
+    seqid, feature (its number in the record), part, type, start, stop, strand, attributes (a map; bare ones are
+    empty)."""
+    loci = spark.read.text(path, lineSep="\n//").where("value rlike '\\S'")
+    # an EMBL feature line is a GenBank one with FT before it
+    plain = F.regexp_replace("value", "(?m)^FT   ", "     ")
+    named = F.coalesce(F.nullif(F.regexp_extract("value", "LOCUS +(\\S+)", 1), F.lit("")), F.regexp_extract("value", "(?m)^ID +([^\\s;]+)", 1))
+    feature = F.regexp_extract_all("v", F.lit("(?m)^ {5}([A-Za-z_][^\\n]*(?:\\n {21}[^\\n]*)*)"), 1)
+    rows = loci.select(named.alias("seqid"), plain.alias("v")).select("seqid", F.posexplode(feature).alias("feature", "f"))
+    where = F.regexp_replace(F.regexp_extract("f", "(?s)^[A-Za-z_']+\\s+(.*?)(?=\\n {21}/|$)", 1), "\\s", "")
+    tags = F.regexp_extract_all("f", F.lit('(?m)^ {21}/([A-Za-z_]+(?:=(?:"[^"]*"|[^\\n]*))?)'), 1)
+    value = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_extract(t, "(?s)=(.*)", 1), '^"|"$', ""), "\\s*\\n\\s*", " ")
+    attributes = F.map_from_arrays(F.transform(F.array_distinct(F.transform(tags, lambda t: F.substring_index(t, "=", 1))), lambda k: k), F.transform(F.array_distinct(F.transform(tags, lambda t: F.substring_index(t, "=", 1))), lambda k: value(F.element_at(F.filter(tags, lambda t: F.substring_index(t, "=", 1) == k), 1))))
+    rows = rows.select("seqid", "feature", F.regexp_extract("f", "^[A-Za-z_']+", 0).alias("type"), where.alias("w"), attributes.alias("attributes"))
+    # inside complement( ) up to its closing bracket every interval is on the minus strand
+    parts = F.regexp_extract_all("w", F.lit("(complement\\((?:[^()]|\\([^()]*\\))*\\)|[<>]?[0-9]+(?:\\.\\.[<>]?[0-9]+)?)"), 1)
+    strand = lambda p: F.when(F.startswith(p, F.lit("c")), "-").otherwise("+")
+    each = lambda p: F.transform(F.regexp_extract_all(p, F.lit("([0-9]+(?:\\.\\.[<>]?[0-9]+)?)"), 1), lambda i: F.struct(strand(p).alias("strand"), i.alias("i")))
+    spans = rows.select("seqid", "feature", "type", "attributes", F.posexplode(F.flatten(F.transform(parts, each))).alias("part", "s"))
+    ends = [F.regexp_extract("s.i", f"{p}", 1).cast("bigint").alias(c) for p, c in (("^([0-9]+)", "start"), ("([0-9]+)$", "stop"))]
+    return spans.select("seqid", F.col("feature").cast("bigint").alias("feature"), (F.col("part") + 1).cast("bigint").alias("part"), "type", *ends, "s.strand", "attributes")
 
 
 def read_phylip(spark: SparkSession, path) -> DataFrame:
@@ -180,7 +224,18 @@ def to_json_report(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def convert(spark: SparkSession, source: str, target: str, kind_in: str, kind_out: str, keep=None) -> None:
-    """Reader to writer in one stage, with an optional filter."""
+def convert(spark: SparkSession, source: str, target: str, kind_in: str, kind_out: str, keep=None, mates: str | None = None, rate: float = 1.0, seed: int = 1) -> None:
+    """Reader to writer in one stage, with an optional filter and share of the rows (by a hash of the name). With mates, a
+    second FASTQ file of the first one's mates, pairs are filtered and drawn as one (a row with bases1 and bases2) and
+    written interleaved."""
+    from strandlake.operators.windows import sample
+
+    if mates is not None:
+        pairs = pair_reads(read_fastq(spark, source), read_fastq(spark, mates))
+        pairs = sample(pairs.where(keep) if keep is not None else pairs, rate, seed, "name")
+        rows = pairs.select("ordinal", "name", F.explode(F.array(*[F.struct(F.lit(n).alias("mate"), F.col(f"bases{n}").alias("bases"), F.col(f"quals{n}").alias("quals")) for n in (1, 2)])).alias("r"))
+        rows = rows.select((2 * F.col("ordinal") + F.col("r.mate") - 1).alias("ordinal"), "name", "r.bases", "r.quals")
+        write_reads(rows, target, kind_out, order="ordinal")
+        return
     df = read_sam(spark, source)[1].withColumnsRenamed({"qname": "name", "seq": "bases", "qual": "quals"}) if kind_in == "sam" else {"fasta": read_fasta, "fastq": read_fastq}[kind_in](spark, source)
-    write_reads(df.where(keep) if keep is not None else df, target, kind_out)
+    write_reads(sample(df.where(keep) if keep is not None else df, rate, seed, "name"), target, kind_out)

@@ -188,3 +188,49 @@ def test_limit_stream(spark, tmp_path):
 @pytest.mark.parametrize("bases,want", [("ACGTN", "NACGT"), ("acgu", "acgt"), ("", ""), ("RYKM", "KMRY")])
 def test_revcomp(spark, bases, want):
     assert one(spark, S.revcomp(F.col("b")).alias("x"), b=bases)["x"] == want
+
+
+def test_fastq_that_splits(spark, tmp_path):
+    """Blocks end anywhere, also in a quality line that begins like a record."""
+    import random
+
+    r, text, want = random.Random(2), [], []
+    for i in range(700):
+        n = r.randrange(1, 60)
+        bases, quals = "".join(r.choice("ACGTN") for _ in range(n)), "".join(r.choice("@@+I!") for _ in range(n))
+        want.append((i, f"r{i} {1 + i % 2}:N:0:AC", 1 + i % 2, bases, quals))
+        text.append(f"@{want[-1][1]}\n{bases}\n+\n{quals}\n")
+    p = tmp_path / "x.fq"
+    p.write_text("".join(text))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for size in ("701b", "1499b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = fm.read_fastq(spark, str(p)).select("ordinal", "name", "pair", "bases", "quals").collect()
+            assert sorted(map(tuple, rows)) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_malformed_fastq(spark, tmp_path):
+    import pytest
+
+    p = tmp_path / "x.fq"
+    p.write_text("@a\nACGT\n+\nIIII\n@b\nACGT\n+\nIII\n@c\nAC\n")
+    with pytest.raises(Exception, match="no FASTQ record"):
+        fm.read_fastq(spark, str(p)).collect()
+    rows = fm.read_fastq(spark, str(p), malformed="keep").collect()
+    assert sorted(str(r["name"]) for r in rows) == ["None", "None", "a"]
+
+
+def test_joined_locations_and_embl(spark, tmp_path):
+    g = tmp_path / "x.gb"
+    g.write_text('LOCUS       L1  9 bp\n     CDS             complement(join(5..9,\n                     20..<30))\n                     /gene="x"\n                     /pseudo\n     gene            7\n//\n')
+    rows = [tuple(r)[2:7] for r in fm.read_gbff(spark, str(g)).orderBy("feature", "part").collect()]
+    assert rows == [(1, "CDS", 5, 9, "-"), (2, "CDS", 20, 30, "-"), (1, "gene", 7, 7, "+")]
+    e = tmp_path / "x.embl"
+    e.write_text('ID   E1; SV 1;\nFT   CDS             join(1..2,4..6)\nFT                   /gene="y z"\n//\n')
+    got = fm.read_gbff(spark, str(e)).orderBy("part").collect()
+    assert [(r["seqid"], r["start"], r["stop"], r["attributes"]) for r in got] == [("E1", 1, 2, {"gene": "y z"}), ("E1", 4, 6, {"gene": "y z"})]
