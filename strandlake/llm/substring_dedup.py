@@ -106,12 +106,16 @@ def unitigs(edges: DataFrame) -> DataFrame:
     state = e.select("k").join(follows, "k", "left")
     state = stored(state.select("k", F.coalesce("p", "k").alias("u"), F.coalesce("o", F.lit(0)).cast("long").alias("o"), F.col("p").isNull().alias("done")))
     left, rounds = state.where("not done").count(), 0
-    # after r rounds an edge knows the one 2**r before it; edges of a cycle never reach a first one
+
+    def jumped(some: DataFrame) -> DataFrame:
+        ahead = some.select(F.col("k").alias("u"), F.col("u").alias("p"), F.col("o").alias("d"), F.col("done").alias("over"))
+        further = some.where("not done").join(ahead, "u").select("k", F.col("p").alias("u"), (F.col("o") + F.col("d")).alias("o"), F.col("over").alias("done"))
+        return some.where("done").union(further)
+
+    # after r jumps an edge knows the one 2**r before it; edges of a cycle never reach a first one
     while left:
-        ahead = state.select(F.col("k").alias("u"), F.col("u").alias("p"), F.col("o").alias("d"), F.col("done").alias("over"))
-        jumped = state.where("not done").join(ahead, "u").select("k", F.col("p").alias("u"), (F.col("o") + F.col("d")).alias("o"), F.col("over").alias("done"))
-        state = stored(state.where("done").union(jumped))
-        still, rounds = state.where("not done").count(), rounds + 1
+        state = stored(jumped(jumped(state)))
+        still, rounds = state.where("not done").count(), rounds + 2
         if still == left and 2**rounds > 2 * left:
             break
         left = still
