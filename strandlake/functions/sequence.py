@@ -181,8 +181,29 @@ def vector_distance(a: Column, b: Column, metric: str = "abs") -> Column:
     raise ValueError(metric)
 
 
+#: Sequences are cut into pieces of so many k-mers, as the cost of a substring grows with its place.
+PIECE = 2000
+
+
+def pieces(bases: Column, k: int) -> Column:
+    """Pieces (array of strings) that hold PIECE k-mers each, the last fewer; none for a sequence shorter than k."""
+    n = F.length(bases) - (k - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), lambda i: F.substring(bases, i * PIECE + 1, F.lit(PIECE + k - 1)))
+    return F.when(n >= 1, cut).otherwise(F.array().cast("array<string>"))
+
+
+def words(called: Column, k: int, rcomp: bool) -> Column:
+    """All k-mers (array of strings) of a piece in which all that is not ACGT is N, canonical with rcomp: a k-mer's reverse
+    complement is read from that of the piece, so no k-mer is turned around on its own."""
+    n = F.length(called) - (k - 1)
+    own = lambda i: F.substring(called, i, F.lit(k))
+    if not rcomp:
+        return F.transform(F.sequence(F.lit(1), n), own)
+    back = F.reverse(F.translate(called, "ACGT", "TGCA"))
+    return F.transform(F.array(back), lambda b: F.transform(F.sequence(F.lit(1), n), lambda i: F.least(own(i), F.substring(b, n - i + 1, F.lit(k)))))[0]
+
+
 def kmers(bases: Column, k: int) -> Column:
     """All k-mers of ACGT only, in order (array of strings)."""
-    n = F.length(bases) - (k - 1)
-    all_of = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(bases, i, F.lit(k)))
-    return F.when(n >= 1, F.filter(all_of, lambda x: ~x.rlike("[^ACGT]"))).otherwise(F.array().cast("array<string>"))
+    each = F.transform(pieces(F.regexp_replace(bases, "[^ACGT]", "N"), k), lambda p: words(p, k, False))
+    return F.filter(F.flatten(each), lambda x: ~F.contains(x, F.lit("N")))

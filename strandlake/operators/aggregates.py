@@ -122,11 +122,7 @@ def polymer_hist(df: DataFrame, per_sequence: bool = False, bases: str = "bases"
 
 def kmer_count(df: DataFrame, k: int, rcomp: bool = True, min_count: int = 1, bases: str = "bases") -> DataFrame:
     """(kmer, count), exact, by partial and final hash aggregates."""
-    from strandlake.functions.sequence import canonical
-
-    rows = df.select(F.explode(kmers(F.col(bases), k)).alias("kmer"))
-    rows = rows.select(canonical(F.col("kmer")).alias("kmer")) if rcomp else rows
-    out = rows.groupBy("kmer").agg(F.count("*").alias("count"))
+    out = kmer_rows(df.select(F.lit(0).alias("__i"), bases), "__i", k, bases, rcomp).groupBy("kmer").agg(F.count("*").alias("count"))
     return out.where(F.col("count") >= min_count) if min_count > 1 else out
 
 

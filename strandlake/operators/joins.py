@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import canonical, hamming, revcomp
+from strandlake.functions.sequence import PIECE, canonical, hamming, pieces, revcomp, words
 from strandlake.operators.filters import small
 
 
+#: Panels of at most so many rows are broadcast.
+PANEL = 10_000
+
+
 def base_name(name: Column) -> Column:
     return F.regexp_replace(F.split_part(name, F.lit(" "), F.lit(1)), "/[12]$", "")
 
@@ -82,15 +86,30 @@ def transpose(df: DataFrame, key: str, names: list) -> DataFrame:
     return df.unpivot(key, rest, "column", "value").groupBy("column").pivot(key, names).agg(F.first("value"))
 
 
-def assign_barcodes(observed: DataFrame, expected: DataFrame, max_hdist: int = 1, clearzone: int = 1) -> DataFrame:
-    """Distinct observed barcodes with the nearest expected one if it is near and the runner-up far enough.
-
-    Expected barcodes are a panel (tens to thousands): they meet every distinct observed barcode."""
-    pairs = observed.select("barcode").distinct().join(F.broadcast(expected.select(F.col("barcode").alias("expected")).distinct()))
-    ranked = pairs.withColumn("d", hamming(F.col("barcode"), F.col("expected")))
-    best = ranked.groupBy("barcode").agg(F.min(F.struct("d", "expected")).alias("b"), F.sort_array(F.collect_list("d")).alias("ds"))
-    clear = (F.col("b.d") <= max_hdist) & (F.coalesce(F.get("ds", F.lit(1)), F.lit(1 << 20)) - F.col("b.d") >= clearzone)
-    return best.select("barcode", F.when(clear, F.col("b.expected")).alias("assigned"), F.col("b.d").cast("bigint").alias("distance"))
+def assign_barcodes(observed: DataFrame, expected: DataFrame, max_hdist: int = 1, clearzone: int = 1, split_at: int = 0, max_sum: int | None = None) -> DataFrame:
+    """(barcode, assigned, distance): distinct observed barcodes with the nearest expected one if it is near and the
+    runner-up at least clearzone further.
+
+    With split_at, barcodes are two indexes (the first has so many letters; a separator is not counted): max_hdist holds
+    for each of them and max_sum for both. Expected barcodes are a panel: it is broadcast if a count shows it small, else
+    both sides meet in blocks."""
+    from strandlake.operators.similarity import in_blocks
+
+    o, e = observed.select("barcode").distinct(), expected.select(F.col("barcode").alias("expected")).distinct()
+    pairs = o.join(F.broadcast(e)) if e.limit(PANEL + 1).count() <= PANEL else in_blocks(o, e, "barcode", "expected")
+    cut = lambda c, x: F.left(c, F.lit(split_at)) if x == 0 else F.regexp_replace(F.substring(c, split_at + 1, 1 << 20), "^[^A-Za-z]", "")
+    if split_at:
+        d1, d2 = (hamming(cut(F.col("barcode"), x), cut(F.col("expected"), x)) for x in (0, 1))
+        d, fits = d1 + d2, (d1 <= max_hdist) & (d2 <= max_hdist) & (d1 + d2 <= (2 * max_hdist if max_sum is None else max_sum))
+    else:
+        d = hamming(F.col("barcode"), F.col("expected"))
+        fits = d <= max_hdist
+    ranked = pairs.select("barcode", "expected", d.alias("d"), fits.alias("fits"))
+    nearest = F.row_number().over(Window.partitionBy("barcode").orderBy("d", "expected"))
+    runner_up = F.lead("d").over(Window.partitionBy("barcode").orderBy("d", "expected"))
+    best = ranked.withColumns({"n": nearest, "next": runner_up}).where("n = 1")
+    clear = F.col("fits") & (F.coalesce("next", F.lit(1 << 20)) - F.col("d") >= clearzone)
+    return best.select("barcode", F.when(clear, F.col("expected")).alias("assigned"), F.col("d").cast("bigint").alias("distance"))
 
 
 def cut_gff(contigs: DataFrame, features: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -141,31 +160,46 @@ def compare_sam(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
 
 def kmer_rows(df: DataFrame, id_col: str, k: int, bases: str = "bases", rcomp: bool = True) -> DataFrame:
     """(id, pos, kmer): k-mers of ACGT only, canonical with rcomp, position from 0."""
-    n = F.length(bases)
-    rows = df.where(n >= k).select(id_col, F.posexplode(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(bases, i, F.lit(k)))).alias("pos", "kmer"))
-    rows = rows.where(~F.col("kmer").rlike("[^ACGT]"))
-    return rows.withColumn("kmer", canonical(F.col("kmer"))) if rcomp else rows
-
-
-def seal(reads: DataFrame, refs: DataFrame, k: int = 31, min_hits: int = 1, min_fraction: float = 0.0, ambiguous: str = "first", read_id: str = "ordinal", ref_id: str = "name") -> DataFrame:
-    """(read, ref, hits, kmers): the reference with the most k-mers of the read. Ties: first name, toss, or all."""
-    r = kmer_rows(reads, read_id, k)
-    total = r.groupBy(read_id).agg(F.count("*").alias("kmers"))
-    keys = kmer_rows(refs.withColumnRenamed(ref_id, "__ref"), "__ref", k).select("__ref", "kmer").distinct()
-    hits = r.join(keys, "kmer").groupBy(read_id, "__ref").agg(F.count("*").alias("hits")).join(total, read_id)
+    cut = df.select(id_col, F.regexp_replace(bases, "[^ACGT]", "N").alias("__c")).select(id_col, F.posexplode(pieces(F.col("__c"), k)).alias("__piece", "__c"))
+    rows = cut.select(id_col, "__piece", F.posexplode(words(F.col("__c"), k, rcomp)).alias("pos", "kmer")).where(~F.contains("kmer", F.lit("N")))
+    return rows.select(id_col, (F.col("__piece") * PIECE + F.col("pos")).alias("pos"), "kmer")
+
+
+def seal(reads: DataFrame, refs: DataFrame, k: int = 31, min_hits: int = 1, min_fraction: float = 0.0, ambiguous: str = "random", read_id: str = "ordinal", ref_id: str = "name", hdist: int = 0, clearzone: int = 0, mask_middle: bool = False, seed: int = 1) -> DataFrame:
+    """(read, ref, hits, kmers): the reference with the most k-mers of the read. References within clearzone hits of the
+    best are ties: "random" takes one by a hash of read and reference, "first" the first name, "toss" none, "all" all.
+
+    hdist 1 lets a read's k-mer match a reference's with one other base; mask_middle ignores the middle base (two of
+    an even k) on both sides. A read's equal k-mers are counted before they meet the references."""
+    mid = slice((k - 1) // 2, k // 2 + 1)
+    masked = lambda c: F.concat(F.left(c, F.lit(mid.start)), F.lit("N" * (mid.stop - mid.start)), F.substring(c, mid.stop + 1, k)) if mask_middle else F.col(c)
+    # a masked k-mer is compared on the strand of its unmasked canonical form
+    r = kmer_rows(reads, read_id, k).select(read_id, masked("kmer").alias("kmer")).groupBy(read_id, "kmer").agg(F.count("*").alias("__n"))
+    total = r.groupBy(read_id).agg(F.sum("__n").alias("kmers"))
+    keys = kmer_rows(refs.withColumnRenamed(ref_id, "__ref"), "__ref", k).select("__ref", "kmer")
+    if hdist == 1:
+        one = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.concat(F.left("kmer", i - 1), b, F.substring("kmer", i + 1, F.lit(k)))))
+        keys = keys.distinct().select("__ref", F.explode(F.flatten(one)).alias("kmer")).select("__ref", canonical(F.col("kmer")).alias("kmer"))
+    elif hdist:
+        raise ValueError("hdist is 0 or 1")
+    keys = keys.select("__ref", masked("kmer").alias("kmer")).distinct()
+    hits = r.join(keys, "kmer").groupBy(read_id, "__ref").agg(F.sum("__n").alias("hits")).join(total, read_id)
     hits = hits.where((F.col("hits") >= min_hits) & (F.col("hits") >= min_fraction * F.col("kmers")))
     w = Window.partitionBy(read_id)
-    top = hits.withColumn("m", F.max("hits").over(w)).where("hits = m").withColumn("ties", F.count("*").over(w)).drop("m")
-    if ambiguous == "first":
-        top = top.withColumn("n", F.row_number().over(w.orderBy("__ref"))).where("n = 1").drop("n")
+    top = hits.withColumn("m", F.max("hits").over(w)).where(F.col("hits") >= F.col("m") - clearzone).withColumn("ties", F.count("*").over(w)).drop("m")
+    order = {"first": [F.col("__ref")], "random": [F.xxhash64(read_id, "__ref", F.lit(seed)), F.col("__ref")]}
+    if ambiguous in order:
+        top = top.withColumn("n", F.row_number().over(w.orderBy(*order[ambiguous]))).where("n = 1").drop("n")
     elif ambiguous == "toss":
         top = top.where("ties = 1")
+    elif ambiguous != "all":
+        raise ValueError(f"ambiguous is random, first, toss or all, not {ambiguous}")
     return top.drop("ties").withColumnsRenamed({read_id: "read", "__ref": "ref"})
 
 
 def split_ribo(df: DataFrame, refs: DataFrame, k: int = 31, read_id: str = "ordinal") -> DataFrame:
     """Rows with the ribosomal type (refs: type, bases) that shares most k-mers; "other" without any."""
-    best = seal(df, refs.withColumnRenamed("type", "name"), k, read_id=read_id).select(F.col("read").alias(read_id), F.col("ref").alias("type"))
+    best = seal(df, refs.withColumnRenamed("type", "name"), k, read_id=read_id, ambiguous="first").select(F.col("read").alias(read_id), F.col("ref").alias("type"))
     return df.join(best, read_id, "left").withColumn("type", F.coalesce("type", F.lit("other")))
 
 

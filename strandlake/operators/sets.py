@@ -139,6 +139,14 @@ def overlap_edges(df: DataFrame, min_overlap: int = 200, id_col: str = "name") -
     return hit.groupBy("a", "b").agg(F.max("n").cast("bigint").alias("overlap"))
 
 
+def overlap_clusters(df: DataFrame, min_overlap: int = 200, id_col: str = "name") -> DataFrame:
+    """(id, cluster): the least id that overlaps reach; a sequence without overlaps is alone."""
+    from strandlake.operators.graphs import connected_components
+
+    found = connected_components(overlap_edges(df, min_overlap, id_col)).withColumnRenamed("node", id_col)
+    return df.select(id_col).distinct().join(found, id_col, "left").select(id_col, F.coalesce("component", id_col).alias("cluster"))
+
+
 def diff_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Lines (ordinal, value) that differ by position; a missing line is null."""
     x, y = a.select("ordinal", F.col("value").alias("a")), b.select("ordinal", F.col("value").alias("b"))

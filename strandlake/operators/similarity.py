@@ -82,51 +82,96 @@ def clade_search(q: DataFrame, r: DataFrame, by: str, hits: int = 1, metric: str
     return d.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= hits)
 
 
+def in_blocks(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, block: int = 2000) -> DataFrame:
+    """Every query with every row (columns of both, no name in common). Both are dealt to blocks of about so many rows, and
+    each pair of blocks meets in one equi-join key: no side is broadcast and no task holds more than two blocks."""
+    n = {x: max(1, -(-df.count() // block)) for x, df in (("q", queries), ("r", rows))}
+    deal = lambda df, key, own, other: df.withColumn(f"__{own}", F.pmod(F.xxhash64(key), F.lit(n[own]))).withColumn(f"__{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n[other] - 1).cast("bigint"))))
+    return deal(queries, query_id, "q", "r").join(deal(rows, row_id, "r", "q"), ["__q", "__r"]).drop("__q", "__r")
+
+
+def identity(a: str, b: str) -> Column:
+    """1 - edit distance / longer length."""
+    return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 6)
+
+
 def identity_pairs(df: DataFrame, id_col: str = "name", k: int = 8) -> DataFrame:
-    """(a, b, identity) of sequences that share a k-mer: 1 - edit distance / longer length. Set k to 0 for all pairs
-    of a small table."""
-    s = df.select(F.col(id_col), "bases")
-    side = lambda n: s.select(F.col(id_col).alias(n), F.col("bases").alias(f"s{n}"))
-    if k:
-        keys = kmer_rows(df, id_col, k, rcomp=False).select(id_col, "kmer").distinct()
-        pairs = keys.withColumnRenamed(id_col, "a").join(keys.withColumnRenamed(id_col, "b"), "kmer").where("a < b").select("a", "b").distinct()
-        rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    else:
-        rows = side("a").join(F.broadcast(side("b")), F.col("a") < F.col("b"))
-    return rows.select("a", "b", F.round(1 - F.levenshtein("sa", "sb") / F.greatest(F.length("sa"), F.length("sb")), 6).alias("identity"))
+    """(a, b, identity) of sequences that share a k-mer."""
+    side = lambda n: df.select(F.col(id_col).alias(n), F.col("bases").alias(f"s{n}"))
+    keys = kmer_rows(df, id_col, k, rcomp=False).select(id_col, "kmer").distinct()
+    pairs = keys.withColumnRenamed(id_col, "a").join(keys.withColumnRenamed(id_col, "b"), "kmer").where("a < b").select("a", "b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", identity("sa", "sb").alias("identity"))
+
+
+def identity_search(queries: DataFrame, refs: DataFrame, id_col: str = "name") -> DataFrame:
+    """(a, b, identity) of all queries and references of other names, in blocks."""
+    side = lambda df, n: df.select(F.col(id_col).alias(n), F.col("bases").alias(f"s{n}"))
+    return in_blocks(side(queries, "a"), side(refs, "b"), "a", "b").where("a <> b").select("a", "b", identity("sa", "sb").alias("identity"))
 
 
 def seeded_search(queries: DataFrame, refs: DataFrame, max_subs: int = 3) -> DataFrame:
-    """(query, ref, pos, subs): best place (0-based) of short queries in references without gaps; queries are a panel."""
-    q = F.broadcast(queries.select(F.col("name").alias("query"), F.col("bases").alias("q")))
-    rows = refs.select(F.col("name").alias("ref"), F.col("bases").alias("r")).join(q, F.length("r") >= F.length("q"))
-    places = F.transform(F.sequence(F.lit(0), F.length("r") - F.length("q")), lambda i: F.struct(hamming(F.substring("r", i + 1, F.length("q")), F.col("q")).alias("subs"), i.alias("pos")))
-    best = rows.withColumn("b", F.array_min(places))
-    return best.where(F.col("b.subs") <= max_subs).select("query", "ref", F.col("b.pos").cast("bigint").alias("pos"), F.col("b.subs").cast("bigint").alias("subs"))
+    """(query, ref, pos, subs): best place (0-based) of short queries in references without gaps, up to max_subs
+    differences. A query is cut into max_subs + 1 pieces of which one fits exactly (pigeonhole): pieces join the
+    references' words, so that only places with a piece in common are compared. Queries of one length meet at a time."""
+    q = queries.select(F.col("name").alias("query"), F.col("bases").alias("q"), F.length("bases").alias("n")).where(F.col("n") > max_subs)
+    m = max_subs + 1
+    cut = F.transform(F.sequence(F.lit(0), F.lit(max_subs)), lambda i: F.struct(F.floor(i * F.col("n") / m).cast("int").alias("at"), F.floor((i + 1) * F.col("n") / m).cast("int").alias("end")))
+    seeds = q.select("query", "q", "n", F.explode(cut).alias("c")).select("query", "q", "n", F.col("c.at").alias("at"), F.substring("q", F.col("c.at") + 1, F.col("c.end") - F.col("c.at")).alias("seed"))
+    sizes = [r[0] for r in seeds.select(F.length("seed")).distinct().collect()]  # a few lengths
+    words = refs.select(F.col("name").alias("ref"), F.col("bases").alias("r"), F.explode(F.array(*map(F.lit, sizes))).alias("w")).where(F.length("r") >= F.col("w"))
+    words = words.select("ref", "r", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("r") - F.col("w") + 1), lambda i: F.substring("r", i, F.col("w")))).alias("place", "seed"))
+    near = seeds.join(words, "seed").withColumn("pos", F.col("place") - F.col("at")).where((F.col("pos") >= 0) & (F.col("pos") + F.col("n") <= F.length("r")))
+    subs = near.select("query", "ref", F.col("pos").cast("bigint").alias("pos"), hamming(F.substring("r", F.col("pos") + 1, F.col("n")), F.col("q")).cast("bigint").alias("subs")).where(F.col("subs") <= max_subs)
+    return subs.groupBy("query", "ref").agg(F.min(F.struct("subs", "pos")).alias("b")).select("query", "ref", "b.pos", "b.subs")
+
+
+def best_overlap(one: list[str], two: list[str], least: int, min_overlap: int):
+    """(mismatches, overlap, insert) of pairs of one length each, mate two turned around: the insert size of the least
+    mismatch share, the longer overlap first, then the smaller insert. An overlap of 0 stands for none."""
+    import numpy as np
+
+    a, b = (np.array([list(x.encode("utf-32-le")[::4]) for x in side], np.uint8) for side in (one, two))
+    n1, n2 = a.shape[1], b.shape[1]
+    best = np.full(len(one), np.inf)
+    found = np.zeros((3, len(one)), np.int64)
+    for i in range(least, n1 + n2 - min_overlap + 1):
+        start, stop = max(i - n2, 0), min(n1, i)
+        if stop <= start:
+            continue
+        wrong = (a[:, start:stop] != b[:, start - (i - n2) : stop - (i - n2)]).sum(1)
+        ratio = wrong / (stop - start)
+        better = (ratio < best) | ((ratio == best) & (stop - start > found[1]))
+        best[better] = ratio[better]
+        found[0][better], found[1][better], found[2][better] = wrong[better], stop - start, i
+    return found
 
 
 def merge_pairs(df: DataFrame, min_overlap: int = 12, min_insert: int = 15, max_ratio: float = 0.09, id_col: str = "ordinal") -> DataFrame:
     """(id, insert, overlap, mismatches, merged): mates bases1 and bases2 merged at the overlap of the least mismatch
     share, the longer first; null where none passes. Inserts shorter than a read trim its end (adapter)."""
-    b2 = revcomp(F.col("bases2"))
-    n1, n2 = F.length("bases1"), F.length("bases2")
-
-    def at(i: Column) -> Column:  # insert size i: mate 2 ends at i
-        start = F.greatest(i - n2, F.lit(0))
-        stop = F.least(n1, i)
-        a = F.substring("bases1", start + 1, stop - start)
-        b = F.substring(b2, start - (i - n2) + 1, stop - start)
-        m = hamming(a, b)
-        return F.struct((m / (stop - start)).alias("ratio"), (-(stop - start)).alias("o"), i.alias("insert"), m.alias("m"))
-
-    sizes = F.sequence(F.lit(max(min_insert, min_overlap)), n1 + n2 - min_overlap)
-    best = F.array_min(F.transform(sizes, at))
-    rows = df.withColumn("b", best)
-    ok = (F.col("b.ratio") <= max_ratio) & (-F.col("b.o") >= min_overlap)
-    i = F.col("b.insert")
-    merged = F.when(i <= n1, F.left("bases1", i)).otherwise(F.concat("bases1", F.substring(b2, n2 - (i - n1) + 1, i - n1)))
+    import numpy as np
+    import pandas as pd
+
+    rows = df.select(id_col, "bases1", revcomp(F.col("bases2")).alias("b2"))
+    columns = [id_col, "bases1", "b2", "m", "o", "i"]
+
+    def run(frames):
+        for f in frames:
+            out = np.zeros((3, len(f)), np.int64)
+            one, two = f["bases1"].fillna("").to_numpy(object), f["b2"].fillna("").to_numpy(object)
+            size = pd.DataFrame({"a": [len(x) for x in one], "b": [len(x) for x in two]})
+            for (n1, n2), at in size.groupby(["a", "b"]).indices.items():
+                if n1 and n2:
+                    out[:, at] = best_overlap(list(one[at]), list(two[at]), max(min_insert, min_overlap), min_overlap)
+            yield f.assign(m=out[0], o=out[1], i=out[2])[columns]
+
+    kind = dict(df.dtypes)[id_col]
+    best = rows.mapInPandas(run, f"`{id_col}` {kind}, bases1 string, b2 string, m bigint, o bigint, i bigint")
+    ok = (F.col("o") >= min_overlap) & (F.col("m") / F.col("o") <= max_ratio)
+    n1, n2, i = F.length("bases1"), F.length("b2"), F.col("i").cast("int")
+    merged = F.when(i <= n1, F.left("bases1", i)).otherwise(F.concat("bases1", F.substring("b2", n2 - (i - n1) + 1, i - n1)))
     pick = lambda c: F.when(ok, c)
-    return rows.select(id_col, pick(i.cast("bigint")).alias("insert"), pick((-F.col("b.o")).cast("bigint")).alias("overlap"), pick(F.col("b.m").cast("bigint")).alias("mismatches"), pick(merged).alias("merged"))
+    return best.select(id_col, pick(F.col("i")).alias("insert"), pick(F.col("o")).alias("overlap"), pick(F.col("m")).alias("mismatches"), pick(merged).alias("merged"))
 
 
 def trim_by_overlap(df: DataFrame, **limits) -> DataFrame:

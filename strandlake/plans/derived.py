@@ -51,9 +51,11 @@ from orders""",
     ),
     "dv_edges": (
         ["embeddings"],
-        """select a.vec_id as a, b.vec_id as b, cast(a.label as bigint) as la, cast(b.label as bigint) as lb
-from embeddings a join embeddings b on a.label=b.label and a.vec_id<b.vec_id
-where (a.vec_id+b.vec_id)%17=0""",
+        """select a, b, la, lb from (
+  select vec_id as a, lead(vec_id, 1) over (partition by label order by vec_id) as b, cast(label as bigint) as la, cast(label as bigint) as lb from embeddings
+  union all select vec_id, lead(vec_id, 2) over (partition by label order by vec_id), cast(label as bigint), cast(label as bigint) from embeddings
+  union all select vec_id, lead(vec_id, 5) over (partition by label order by vec_id), cast(label as bigint), cast(label as bigint) from embeddings) x
+where b is not null""",
     ),
     "dv_features": (
         ["lineitem"],

@@ -22,6 +22,12 @@ def km(name: str, source: str, key: str, k: int, canonical: bool = True) -> str:
     return f"{name} as (select {key}, i as pos, {c} as kmer from (select *, unnest(range(0,greatest(0,length(bases)-{k}+1))) as i from {source}) where not regexp_matches({x},'[^ACGT]'))"
 
 
+def vectors(e):
+    """All components of the vectors as columns, with a label of two values; and their names."""
+    names = [f"f{i}" for i in range(e.select(F.max(F.size("embedding"))).first()[0])]
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(names)], (F.col("label") % 2).cast("double").alias("label")), names
+
+
 # -- joins ------------------------------------------------------------------------------------------------------
 
 
@@ -66,18 +72,18 @@ def _(v):
     return jo.merge_tables(rows.where("sample = 's0'").drop("sample"), rows.where("sample = 's1' and k % 2 = 0").drop("sample"), "k", "k", "v").select("key", "v", "v_b")
 
 
-@query("matrix_to_columns", "nation", sql="select a.n_name as \"row\", b.n_name as \"column\", (a.n_nationkey*100+b.n_nationkey)::bigint as value_a, (a.n_nationkey+b.n_nationkey)::bigint as value_b from nation a join nation b on b.n_name<a.n_name where a.n_nationkey<6 and b.n_nationkey<6")
+@query("matrix_to_columns", "nation", sql="select a.n_name as \"row\", b.n_name as \"column\", (a.n_nationkey*100+b.n_nationkey)::bigint as value_a, (a.n_nationkey+b.n_nationkey)::bigint as value_b from nation a join nation b on b.n_name<a.n_name")
 def _(n):
-    names = n.where("n_nationkey < 6").select("n_name", "n_nationkey")
+    names = n.select("n_name", "n_nationkey")
     keys = [r["n_name"] for r in names.orderBy("n_nationkey").collect()]
     cell = lambda f: names.select(F.col("n_name").alias("row"), *[f(i).cast("bigint").alias(k) for i, k in enumerate(keys)])
     return jo.matrices_to_columns(cell(lambda i: F.col("n_nationkey") * 100 + i), cell(lambda i: F.col("n_nationkey") + i), "row")
 
 
-@query("transpose", "region", sql="select 'a' as \"column\", sum(case when r_regionkey=0 then r_regionkey+1 end)::bigint as k0, sum(case when r_regionkey=1 then r_regionkey+1 end)::bigint as k1 from region union all select 'b', sum(case when r_regionkey=0 then r_regionkey*2 end)::bigint, sum(case when r_regionkey=1 then r_regionkey*2 end)::bigint from region")
+@query("transpose", "region", sql="select 'a' as \"column\", " + ", ".join(f"sum(case when r_regionkey={i} then r_regionkey+1 end)::bigint as k{i}" for i in range(5)) + " from region union all select 'b', " + ", ".join(f"sum(case when r_regionkey={i} then r_regionkey*2 end)::bigint" for i in range(5)) + " from region")
 def _(r):
-    t = r.where("r_regionkey < 2").select(F.concat(F.lit("k"), F.col("r_regionkey").cast("string")).alias("id"), (F.col("r_regionkey") + 1).cast("bigint").alias("a"), (F.col("r_regionkey") * 2).cast("bigint").alias("b"))
-    return jo.transpose(t, "id", ["k0", "k1"])
+    t = r.select(F.concat(F.lit("k"), F.col("r_regionkey").cast("string")).alias("id"), (F.col("r_regionkey") + 1).cast("bigint").alias("a"), (F.col("r_regionkey") * 2).cast("bigint").alias("b"))
+    return jo.transpose(t, "id", [f"k{i}" for i in range(5)])
 
 
 @query("barcode_assign", "dv_reads", sql="with o as (select distinct case when ordinal%5=0 then 'T' || substr(barcode,2) else barcode end as barcode from dv_reads), e as (select distinct barcode as e from dv_reads where ordinal%24<16), p as (select barcode, e, hamming(barcode,e) as d from o, e), r as (select *, row_number() over (partition by barcode order by d, e) as k, lead(d) over (partition by barcode order by d, e) as nx from p) select barcode, case when d<=1 and coalesce(nx,1048576)-d>=1 then e end as assigned, d::bigint as distance from r where k=1")
@@ -86,6 +92,13 @@ def _(r):
     return jo.assign_barcodes(o, r.where("ordinal % 24 < 16").select("barcode"))
 
 
+@query("barcode_assign_dual", "dv_reads", sql="with o as (select distinct case when ordinal%5=0 then 'T' || substr(barcode,2) when ordinal%7=0 then substr(barcode,1,7) || 'A' else barcode end as b from dv_reads), e as (select distinct barcode as e from dv_reads), p as (select substr(b,1,4) || '+' || substr(b,5) as barcode, substr(e,1,4) || '+' || substr(e,5) as e, hamming(substr(b,1,4),substr(e,1,4)) as d1, hamming(substr(b,5),substr(e,5)) as d2 from o, e), r as (select *, row_number() over (partition by barcode order by d1+d2, e) as k, lead(d1+d2) over (partition by barcode order by d1+d2, e) as nx from p) select barcode, case when d1<=1 and d2<=1 and d1+d2<=1 and coalesce(nx,1048576)-d1-d2>=1 then e end as assigned, (d1+d2)::bigint as distance from r where k=1")
+def _(r):
+    dual = lambda c: F.concat(F.left(c, F.lit(4)), F.lit("+"), F.substring(c, 5, 4))
+    seen = F.when(F.col("ordinal") % 5 == 0, F.concat(F.lit("T"), F.substring("barcode", 2, 10))).when(F.col("ordinal") % 7 == 0, F.concat(F.left("barcode", F.lit(7)), F.lit("A"))).otherwise(F.col("barcode"))
+    return jo.assign_barcodes(r.select(dual(seen).alias("barcode")), r.select(dual(F.col("barcode")).alias("barcode")), 1, 1, split_at=4, max_sum=1)
+
+
 @query("cut_gff", "dv_contigs", "dv_features", sql=f"select f.feature_id, f.line, case when strand='-' then {rc('substr(bases,start::int,(stop-start+1)::int)')} else substr(bases,start::int,(stop-start+1)::int) end as bases from dv_features f join dv_contigs c on c.name=f.seqid where type='CDS'")
 def _(c, f):
     return jo.cut_gff(c, f, ["CDS"]).select("feature_id", "line", "bases")
@@ -98,10 +111,10 @@ def _(r):
     return jo.cut_primers(n, hit(10 + F.col("ordinal") % 7), hit(50 + F.col("ordinal") % 9)).select("ordinal", "bases")
 
 
-@query("interval_overlap", "dv_features", sql="with a as (select * from dv_features where line=1 and feature_id%4=0), b as (select * from dv_features where line=2 and feature_id%4=1) select a.seqid, count(*) as n, sum(a.start*b.stop)::bigint as s from a join b on a.seqid=b.seqid and a.start<=b.stop and b.start<=a.stop group by all")
+@query("interval_overlap", "dv_features", sql="with a as (select * from dv_features where line=1), b as (select * from dv_features where line=2) select a.seqid, count(*) as n, sum(a.start*b.stop)::bigint as s from a join b on a.seqid=b.seqid and a.start<=b.stop and b.start<=a.stop group by all")
 def _(f):
     f = f.select("seqid", "start", "stop", "line", "feature_id")
-    j = jo.interval_join(f.where("line = 1 and feature_id % 4 = 0"), f.where("line = 2 and feature_id % 4 = 1"), "seqid", 16)
+    j = jo.interval_join(f.where("line = 1"), f.where("line = 2"), "seqid", 16)
     return j.groupBy("seqid").agg(F.count("*").alias("n"), F.sum(F.col("start") * F.col("stop_b")).alias("s"))
 
 
@@ -132,17 +145,23 @@ def _(r, c):
     return jo.kmer_intersection(ag.kmer_count(r, 5), ag.kmer_count(c, 5))
 
 
-SEAL = f"with {km('r','dv_reads','ordinal',7)}, {km('c','(select * from dv_contigs where contig_id<200)','name',7)}, k as (select distinct name, kmer from c), h as (select ordinal, name, count(*) as hits from r join k using(kmer) group by all), t as (select ordinal, count(*) as kmers from r group by all), m as (select *, row_number() over (partition by ordinal order by hits desc, name) as rn from h where hits>=3)"
+SEAL = f"with {km('r','dv_reads','ordinal',9)}, {km('c','dv_contigs','name',9)}, k as (select distinct name, kmer from c), h as (select ordinal, name, count(*) as hits from r join k using(kmer) group by all), t as (select ordinal, count(*) as kmers from r group by all), m as (select *, row_number() over (partition by ordinal order by hits desc, name) as rn from h where hits>=2)"
 
 
 @query("kmer_classify", "dv_reads", "dv_contigs", sql=SEAL + " select m.ordinal as \"read\", name as ref, hits, kmers from m join t using(ordinal) where rn=1")
 def _(r, c):
-    return jo.seal(r, c.where("contig_id < 200"), 7, min_hits=3)
+    return jo.seal(r, c, 9, min_hits=2, ambiguous="first")
 
 
 @query("split_by_reference", "dv_reads", "dv_contigs", sql=SEAL + " select name as ref, count(*) as reads from m where rn=1 group by all")
 def _(r, c):
-    return jo.seal(r, c.where("contig_id < 200"), 7, min_hits=3).groupBy("ref").agg(F.count("*").alias("reads"))
+    return jo.seal(r, c, 9, min_hits=2, ambiguous="first").groupBy("ref").agg(F.count("*").alias("reads"))
+
+
+@query("kmer_classify_near", "dv_contigs", sql=f"with {km('r','(select contig_id, substr(bases,1,17) || translate(substr(bases,18,1),chr(65) || chr(67) || chr(71) || chr(84),chr(67) || chr(71) || chr(84) || chr(65)) || substr(bases,19,16) as bases from dv_contigs)','contig_id',21)}, {km('c','dv_contigs','name',21)}, y as (select name, substr(kmer,1,(i-1)::int) || b || substr(kmer,(i+1)::int) as x from c, (select unnest(range(1,22)) as i), (select unnest(['A','C','G','T']) as b)), k as (select distinct name, least(x,{rc('x')}) as kmer from y), h as (select contig_id, name, count(*) as hits from r join k using(kmer) group by all) select contig_id as \"read\", name as ref, hits from h")
+def _(c):
+    wrong = F.concat(F.left("bases", F.lit(17)), F.translate(F.substring("bases", 18, 1), "ACGT", "CGTA"), F.substring("bases", 19, 16))
+    return jo.seal(c.select("contig_id", wrong.alias("bases")), c, 21, ambiguous="all", read_id="contig_id", hdist=1, clearzone=1 << 20).select("read", "ref", "hits")
 
 
 @query("add_ssu", "dv_tax", "dv_contigs", sql="select t.id as taxid, c.bases as ssu from dv_tax t left join dv_contigs c on c.contig_id=t.id")
@@ -150,9 +169,9 @@ def _(t, c):
     return jo.add_ssu(t.select(F.col("id").alias("taxid")), c.select(F.col("contig_id").alias("taxid"), "bases"))
 
 
-@query("kmer_contam_filter", "dv_reads", "dv_contigs", sql=f"with {km('r','dv_reads','ordinal',7)}, {km('c','(select * from dv_contigs where contig_id<200)','name',7)}, h as (select ordinal,pos from r where kmer in (select kmer from c)), g as (select ordinal, pos - row_number() over (partition by ordinal order by pos) as g from h), u as (select ordinal, count(*) as n from g group by ordinal, g) select ordinal as \"read\", max(n) as longest from u group by all having max(n)>=2")
+@query("kmer_contam_filter", "dv_reads", "dv_contigs", sql=f"with {km('r','dv_reads','ordinal',9)}, {km('c','dv_contigs','name',9)}, h as (select ordinal,pos from r where kmer in (select kmer from c)), g as (select ordinal, pos - row_number() over (partition by ordinal order by pos) as g from h), u as (select ordinal, count(*) as n from g group by ordinal, g) select ordinal as \"read\", max(n) as longest from u group by all having max(n)>=2")
 def _(r, c):
-    return jo.bloom_filter_reads(r, c.where("contig_id < 200"), 7, 2)
+    return jo.bloom_filter_reads(r, c, 9, 2)
 
 
 ENDS = "case when strand='-' then start else stop end as e, case when strand='-' then stop else start end as s"
@@ -227,11 +246,11 @@ def _(a):
     return ag.edit_hists(sam_like(a), "errors")
 
 
-@query("match_by_position", "dv_aln", sql="with l as (select ref_len as m, 1+pos%3 as x from dv_aln where ref_len<=5), u as (select m, x, unnest(range(0,m+x+6)) as pos from l) select pos, count(*) filter (where pos<m) as match, count(*) filter (where pos>=m and pos<m+x) as sub, count(*) filter (where pos>=m+x and pos<m+x+2) as ins, count(*) filter (where pos>=m+x+2) as clip from u group by all")
+@query("match_by_position", "dv_aln", sql="with l as (select ref_len as m, 1+pos%3 as x from dv_aln), u as (select m, x, unnest(range(0,m+x+6)) as pos from l) select pos, count(*) filter (where pos<m) as match, count(*) filter (where pos>=m and pos<m+x) as sub, count(*) filter (where pos>=m+x and pos<m+x+2) as ins, count(*) filter (where pos>=m+x+2) as clip from u group by all")
 def _(a):
     from strandlake.plans.queries_rows import sam_like
 
-    return ag.match_by_position(sam_like(a.where("ref_len <= 5")))
+    return ag.match_by_position(sam_like(a))
 
 
 @query("polymer_hist", "dv_contigs", sql="with r as (select unnest(regexp_extract_all(bases,'(A+|C+|G+|T+)')) as r from dv_contigs), h as (select r[1] as base, length(r) as length, count(*) as runs from r group by all) select *, (sum(runs) over (partition by base order by length desc))::bigint as at_least from h")
@@ -443,9 +462,9 @@ def _(t, o):
     return filter_taxa(o.withColumn("taxid", 1000 + F.col("o_custkey")), [11, 12], gr.tax_closure(t)).select("o_orderkey")
 
 
-@query("common_ancestor", "dv_tax", "orders", sql=f"with {CLOSURE}, g as (select distinct o_orderkey%50 as \"group\", 1000+o_custkey as id from orders where o_orderkey%200<50), n as (select \"group\", count(*) as n from g group by all), h as (select \"group\", ancestor, count(*) as c, min(distance) as d from g join clo using(id) group by all) select h.\"group\", arg_min(ancestor, d) as lca from h join n using(\"group\") where c=n group by all")
+@query("common_ancestor", "dv_tax", "orders", sql=f"with {CLOSURE}, g as (select distinct o_orderkey%50 as \"group\", 1000+o_custkey as id from orders), n as (select \"group\", count(*) as n from g group by all), h as (select \"group\", ancestor, count(*) as c, min(distance) as d from g join clo using(id) group by all) select h.\"group\", arg_min(ancestor, d) as lca from h join n using(\"group\") where c=n group by all")
 def _(t, o):
-    g = o.where("o_orderkey % 200 < 50").select((F.col("o_orderkey") % 50).alias("group"), (1000 + F.col("o_custkey")).alias("id"))
+    g = o.select((F.col("o_orderkey") % 50).alias("group"), (1000 + F.col("o_custkey")).alias("id"))
     return gr.lca(g, gr.tax_closure(t))
 
 
@@ -500,9 +519,9 @@ def _(r):
     return ag.hic_junctions(r.select(F.lit("20S76M").alias("cigar"), F.col("bases").alias("seq")))
 
 
-@query("kmer_positions", "dv_reads", "dv_contigs", sql=f"with {km('r','dv_reads','ordinal',7)}, {km('c','(select * from dv_contigs where contig_id<100)','name',7)} select pos, count(*) as hits from r where kmer in (select kmer from c) group by all")
+@query("kmer_positions", "dv_reads", "dv_contigs", sql=f"with {km('r','dv_reads','ordinal',9)}, {km('c','dv_contigs','name',9)} select pos, count(*) as hits from r where kmer in (select kmer from c) group by all")
 def _(r, c):
-    return ag.kmer_positions(r, c.where("contig_id < 100").select("bases"), 7)
+    return ag.kmer_positions(r, c.select("bases"), 9)
 
 
 @query("shared_lines", "dv_var", sql="select a.sample as file, b.sample as file_b, count(*) as shared from (select distinct sample, lower(chrom) || pos::varchar as v from dv_var where pos%2=0) a join (select distinct sample, lower(chrom) || pos::varchar as v from dv_var where pos%3=0) b using(v) group by all")
@@ -571,9 +590,9 @@ def _(a):
     return wi.delta_rows(ag.depth_per_base(ag.depth_segments(a))).withColumn("depth", F.col("depth").cast("bigint"))
 
 
-@query("gaps_islands", "dv_features", sql="with p as (select seqid, unnest(range(start,stop+1)) as p from dv_features where feature_id%5=0), d as (select distinct seqid, p from p), g as (select seqid, p, p - row_number() over (partition by seqid order by p) as g from d) select seqid, min(p) as start, max(p) as stop from g group by seqid, g")
+@query("gaps_islands", "dv_features", sql="with p as (select seqid, unnest(range(start,stop+1)) as p from dv_features), d as (select distinct seqid, p from p), g as (select seqid, p, p - row_number() over (partition by seqid order by p) as g from d) select seqid, min(p) as start, max(p) as stop from g group by seqid, g")
 def _(f):
-    return wi.merge_ranges(f.where("feature_id % 5 = 0").select("seqid", "start", "stop"), "seqid")
+    return wi.merge_ranges(f.select("seqid", "start", "stop"), "seqid")
 
 
 @query("call_peaks", "dv_reads")
@@ -628,9 +647,9 @@ def _(r):
     return st.kmer_set(ag.kmer_count(r, 7), 10, 60)
 
 
-@query("kmer_neighbors", "dv_reads", sql="with s as (select distinct substr(bases,1,6) as kmer from dv_reads where ordinal<50) select distinct substr(kmer,1,(i-1)::int) || b || substr(kmer,(i+1)::int) as kmer from s, (select unnest(range(1,7)) as i), (select unnest(['A','C','G','T']) as b) union select kmer from s")
+@query("kmer_neighbors", "dv_reads", sql=f"with {km('k','dv_reads','ordinal',8,False)}, s as (select kmer from k group by all having count(*)>=3) select distinct substr(kmer,1,(i-1)::int) || b || substr(kmer,(i+1)::int) as kmer from s, (select unnest(range(1,9)) as i), (select unnest(['A','C','G','T']) as b) union select kmer from s")
 def _(r):
-    return st.kmer_neighbors(r.where("ordinal < 50").select(F.left("bases", F.lit(6)).alias("kmer")))
+    return st.kmer_neighbors(ag.kmer_count(r, 8, rcomp=False, min_count=3).select("kmer"))
 
 
 @query("dedupe_exact", "dv_reads", sql=f"select min(ordinal) as ordinal from dv_reads group by least(bases,{rc('bases')})")
@@ -643,18 +662,28 @@ def _(r):
     return st.dedupe(r.select("ordinal", F.left("bases", F.lit(8)).alias("bases")), unique_only=True).select("ordinal")
 
 
-@query("dedupe_containment", "dv_contigs", sql="with s as (select contig_id::varchar as name, substr(bases,5,30) as bases from dv_contigs where contig_id<150 union all select 'x' || contig_id::varchar, bases from dv_contigs where contig_id<100) select a.name from s a where not exists (select 1 from s b where a.name<>b.name and (contains(b.bases,a.bases) or contains(b.bases," + rc("a.bases") + ")) and (length(b.bases)>length(a.bases) or (length(b.bases)=length(a.bases) and b.name<a.name)))")
+@query("dedupe_containment", "dv_contigs", sql="with s as (select contig_id::varchar as name, substr(bases,5,30) as bases from dv_contigs union all select 'x' || contig_id::varchar, bases from dv_contigs where contig_id%3<2), k as (select name, bases, unnest([substr(bases,1,15), substr(" + rc("bases") + ",1,15)]) as seed from s), p as (select name as l, bases as lb, substr(bases,(i+1)::int,15) as seed from (select *, unnest(range(0,length(bases)-14)) as i from s)) select name from s where name not in (select k.name from k join p using(seed) where l<>name and (contains(lb,k.bases) or contains(lb," + rc("k.bases") + ")) and (length(lb)>length(k.bases) or (length(lb)=length(k.bases) and l<k.name)))")
+def _(c):
+    part = c.select(F.col("contig_id").cast("string").alias("name"), F.substring("bases", 5, 30).alias("bases"))
+    whole = c.where("contig_id % 3 < 2").select(F.concat(F.lit("x"), F.col("contig_id").cast("string")).alias("name"), "bases")  # the others are held by nothing
+    return st.dedupe_containment(part.union(whole), 15).select("name")
+
+
+OVERLAPS = "s as (select contig_id as name, substr(bases,1,30) as b from dv_contigs union all select contig_id+5000000, substr(bases,15,26) from dv_contigs), p as (select name, b, i, substr(b,(i+1)::int,15) as seed from (select *, unnest(range(0,length(b)-14)) as i from s)), e as (select p.name as a, s.name as b, length(p.b)-i as overlap from p join s on substr(s.b,1,15)=p.seed where p.name<>s.name and starts_with(s.b, substr(p.b,(i+1)::int)))"
+
+
+def overlapping(c):
+    return c.select(F.col("contig_id").alias("name"), F.left("bases", F.lit(30)).alias("bases")).union(c.select((F.col("contig_id") + 5_000_000).alias("name"), F.substring("bases", 15, 26).alias("bases")))
+
+
+@query("overlap_edges", "dv_contigs", sql=f"with {OVERLAPS} select a, b, max(overlap)::bigint as overlap from e group by all")
 def _(c):
-    part = c.where("contig_id < 150").select(F.col("contig_id").cast("string").alias("name"), F.substring("bases", 5, 30).alias("bases"))
-    whole = c.where("contig_id < 100").select(F.concat(F.lit("x"), F.col("contig_id").cast("string")).alias("name"), "bases")
-    return st.dedupe_containment(part.union(whole).where("bases not like '%zz%'"), 15).select("name")
+    return st.overlap_edges(overlapping(c), 15)
 
 
-@query("overlap_clusters", "dv_contigs", sql="with s as (select contig_id as name, substr(bases,1,30) as b from dv_contigs where contig_id<300 union all select contig_id+5000, substr(bases,15,26) from dv_contigs where contig_id<300), e as (select x.name as a, y.name as b, length(x.b)-p as overlap from s x, s y, (select unnest(range(0,20)) as p) where x.name<>y.name and length(x.b)-p>=15 and starts_with(y.b, substr(x.b,(p+1)::int)) and length(y.b)>=length(x.b)-p) select a, b, max(overlap)::bigint as overlap from e group by all")
+@query("overlap_clusters", "dv_contigs", sql=f"with {OVERLAPS}, x as (select a, b from e union select b, a from e), r(a, t) as (select name, name from s union select r.a, x.b from r join x on x.a=r.t) select a as name, min(t) as cluster from r group by all")
 def _(c):
-    a = c.where("contig_id < 300").select(F.col("contig_id").alias("name"), F.left("bases", F.lit(30)).alias("bases"))
-    b = c.where("contig_id < 300").select((F.col("contig_id") + 5000).alias("name"), F.substring("bases", 15, 26).alias("bases"))
-    return st.overlap_edges(a.union(b), 15)
+    return st.overlap_clusters(overlapping(c), 15)
 
 
 @query("count_duplicates", "dv_reads", sql="with g as (select bases, count(*) as n from dv_reads group by all) select sum(n)::bigint as reads, sum(n-1)::bigint as duplicates, round(sum(n-1)/sum(n),6) as fraction from g")
@@ -734,21 +763,26 @@ def _(c):
     return si.clade_search(s, s, "clade", 2)
 
 
-@query("vector_distance", "embeddings", sql="with e as (select vec_id, embedding::double[] as e from embeddings where vec_id<60) select a.vec_id as a, b.vec_id as b, round(list_sum(list_transform(range(1,len(a.e)+1), lambda i: abs(a.e[i]-b.e[i]))),5) as d, round(1-list_dot_product(a.e,b.e)/sqrt(list_dot_product(a.e,a.e)*list_dot_product(b.e,b.e)),5) as c from e a join e b on a.vec_id<b.vec_id")
+@query("vector_distance", "embeddings", sql="with e as (select vec_id, embedding::double[] as e from embeddings) select a.vec_id as a, b.vec_id as b, round(list_sum(list_transform(range(1,len(a.e)+1), lambda i: abs(a.e[i]-b.e[i]))),5) as d, round(1-list_dot_product(a.e,b.e)/sqrt(list_dot_product(a.e,a.e)*list_dot_product(b.e,b.e)),5) as c from e a join e b on a.vec_id%20=0 and a.vec_id<>b.vec_id")
 def _(e):
-    x = e.where("vec_id < 60").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    p = x.select(F.col("vec_id").alias("a"), F.col("e").alias("ea")).join(F.broadcast(x.select(F.col("vec_id").alias("b"), F.col("e").alias("eb"))), F.col("a") < F.col("b"))
+    x = e.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    p = si.in_blocks(x.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("e").alias("ea")), x.select(F.col("vec_id").alias("b"), F.col("e").alias("eb")), "a", "b").where("a <> b")
     return p.select("a", "b", F.round(S.vector_distance(F.col("ea"), F.col("eb")), 5).alias("d"), F.round(S.vector_distance(F.col("ea"), F.col("eb"), "cosine"), 5).alias("c"))
 
 
-@query("all_to_all_identity", "dv_contigs", sql="with s as (select name, substr(bases,1,20) as b from dv_contigs where contig_id<80) select x.name as a, y.name as b, round(1-levenshtein(x.b,y.b)/20,6) as identity from s x join s y on x.name<y.name")
+@query("all_to_all_identity", "dv_contigs", sql="select x.name as a, y.name as b, round(1-levenshtein(x.bases,y.bases)/greatest(length(x.bases),length(y.bases)),6) as identity from dv_contigs x join dv_contigs y on x.contig_id%20=0 and x.name<>y.name")
 def _(c):
-    return si.identity_pairs(c.where("contig_id < 80").select("name", F.left("bases", F.lit(20)).alias("bases")), k=0)
+    return si.identity_search(c.where("contig_id % 20 = 0"), c)
+
+
+@query("shared_kmer_identity", "dv_reads", sql=f"with {km('k','dv_reads','ordinal',24,False)}, u as (select distinct bases from dv_reads), s as (select bases, unnest(range(0,length(bases)-23)) as i from u), x as (select distinct bases, substr(bases,(i+1)::int,24) as kmer from s where not regexp_matches(substr(bases,(i+1)::int,24),'[^ACGT]')), p as (select distinct a.bases as a, b.bases as b from x a join x b using(kmer) where a.bases<b.bases) select a, b, round(1-levenshtein(a,b)/greatest(length(a),length(b)),6) as identity from p")
+def _(r):
+    return si.identity_pairs(r.select("bases").distinct().withColumn("name", F.col("bases")), k=24)
 
 
-@query("seeded_alignment_search", "dv_contigs", sql="with q as (select name as query, substr(bases,5,10) as q from dv_contigs where contig_id<5), r as (select name as ref, bases as r from dv_contigs where contig_id<400), h as (select query, ref, i as pos, hamming(substr(r,(i+1)::int,10),q) as subs from (select *, unnest(range(0,length(r)-10+1)) as i from q, r)), m as (select *, row_number() over (partition by query, ref order by subs, pos) as k from h) select query, ref, pos, subs::bigint as subs from m where k=1 and subs<=4")
+@query("seeded_alignment_search", "dv_contigs", sql="with q as (select name as query, substr(bases,5,10) as q from dv_contigs where contig_id%20=0), h as (select query, name as ref, i as pos, hamming(substr(bases,(i+1)::int,10),q) as subs from (select *, unnest(range(0,length(bases)-10+1)) as i from dv_contigs), q), m as (select query, ref, min(subs*1000+pos) as m from h group by all) select query, ref, m%1000 as pos, (m//1000)::bigint as subs from m where m//1000<=3")
 def _(c):
-    return si.seeded_search(c.where("contig_id < 5").select("name", F.substring("bases", 5, 10).alias("bases")), c.where("contig_id < 400"), 4)
+    return si.seeded_search(c.where("contig_id % 20 = 0").select("name", F.substring("bases", 5, 10).alias("bases")), c, 3)
 
 
 @query("representative_set", "dv_edges")
@@ -767,7 +801,8 @@ def _(e):
 
 @query("identity_tree", "dv_contigs")
 def _(c):
-    p = si.identity_pairs(c.where("contig_id < 24").select(F.col("contig_id").alias("name"), F.left("bases", F.lit(20)).alias("bases")), k=0)
+    cut = lambda a, n: c.select((F.col("contig_id") * 10 + a).alias("name"), F.substring("bases", a, n).alias("bases"))  # noqa: E731  pieces of a contig are its relatives
+    p = si.identity_pairs(cut(1, 40).union(cut(3, 38)).union(cut(6, 35)), k=20)
     return gr.id_tree(p, gr.connected_components(p.where("identity >= 0.3")))
 
 
@@ -776,9 +811,9 @@ def _(c):
     return gr.kmer_filter_set(jo.kmer_rows(c, "contig_id", 6), "contig_id")
 
 
-@query("connected_components", "dv_edges", sql="with x as (select a, b from dv_edges where (a+b)%34=0 union all select b, a from dv_edges where (a+b)%34=0), r(a, t) as (select a, a from x union select r.a, x.b from r join x on x.a=r.t) select a as node, min(t) as component from r group by all")
+@query("connected_components", "dv_edges", sql="with e as (select a, b from dv_edges where (a*7+b*3)%100<40), x as (select a, b from e union select b, a from e), r(a, t) as (select a, a from x union select r.a, x.b from r join x on x.a=r.t) select a as node, min(t) as component from r group by all")
 def _(e):
-    return gr.connected_components(e.where("(a + b) % 34 = 0"))
+    return gr.connected_components(e.where("(a * 7 + b * 3) % 100 < 40"))  # edges of the smaller weights, as in dbscan_refine
 
 
 @query("bin_contigs", "dv_contigs")
@@ -800,7 +835,7 @@ def _(e):
 
 @query("recluster_by_kmer", "dv_reads", "dv_contigs")
 def _(r, c):
-    q = si.clade_spectra(r.where("ordinal < 300").withColumn("id", F.concat(F.lit("r"), F.col("ordinal").cast("string"))), "id")
+    q = si.clade_spectra(r.withColumn("id", F.concat(F.lit("r"), F.col("ordinal").cast("string"))), "id")
     ref = si.clade_spectra(c.withColumn("id", F.concat(F.lit("c"), (F.col("contig_id") % 20).cast("string"))), "id")
     return si.clade_search(q, ref, "id", 1)
 
@@ -827,21 +862,25 @@ def _(r):
     return jo.read_positions(r, r.where("ordinal % 24 < 6").select("barcode"))
 
 
-@query("split_ribo", "dv_reads", "dv_contigs")
+@query("split_ribo", "dv_reads", "dv_contigs", sql=f"with {km('r','dv_reads','ordinal',9)}, {km('c','(select contig_id%4 as type, bases from dv_contigs)','type',9)}, k as (select distinct type, kmer from c), h as (select ordinal, 't' || type::varchar as type, count(*) as n from r join k using(kmer) group by all), b as (select ordinal, type from (select *, row_number() over (partition by ordinal order by n desc, type) as rn from h) where rn=1) select coalesce(b.type,'other') as type, count(*) as n from dv_reads left join b using(ordinal) group by 1")
 def _(r, c):
-    refs = c.where("contig_id < 40").select(F.concat(F.lit("t"), (F.col("contig_id") % 4).cast("string")).alias("type"), "bases")
-    return jo.split_ribo(r.select("ordinal", "bases"), refs, 7).groupBy("type").agg(F.count("*").alias("n"))
+    refs = c.select(F.concat(F.lit("t"), (F.col("contig_id") % 4).cast("string")).alias("type"), "bases")
+    return jo.split_ribo(r.select("ordinal", "bases"), refs, 9).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("pair_merge", "dv_reads", sql=f"select ordinal, 70::bigint as \"insert\", 26::bigint as overlap, substr(bases,1,70) as merged from dv_reads where not contains(bases,'N') and ordinal<1000")
+@query("pair_merge", "dv_reads", sql="select ordinal, 56+ordinal%21 as \"insert\", 96-56-ordinal%21 as overlap, substr(translate(bases,'N','A'),1,(56+ordinal%21)::int) as merged from dv_reads")
 def _(r):
-    p = r.where("bases not like '%N%' and ordinal < 1000").select("ordinal", F.left("bases", F.lit(48)).alias("bases1"), S.revcomp(F.substring("bases", 23, 48)).alias("bases2"))
+    n = (56 + F.col("ordinal") % 21).cast("int")  # inserts of all lengths that leave an overlap of 20 to 40
+    p = r.withColumn("bases", F.translate("bases", "N", "A")).select("ordinal", F.left("bases", F.lit(48)).alias("bases1"), S.revcomp(F.substring("bases", n - 47, F.lit(48))).alias("bases2"))
     return si.merge_pairs(p, 16).select("ordinal", "insert", "overlap", "merged")
 
 
-@query("adapter_trim_by_overlap", "dv_reads", sql="select ordinal, substr(bases,1,30) as bases1 from dv_reads where not contains(bases,'N') and ordinal<1000")
+@query("adapter_trim_by_overlap", "dv_reads", sql="select ordinal, substr(translate(bases,'N','A'),1,(25+ordinal%16)::int) as bases1 from dv_reads")
 def _(r):
-    p = r.where("bases not like '%N%' and ordinal < 1000").select("ordinal", F.left("bases", F.lit(48)).alias("bases1"), F.concat(S.revcomp(F.left("bases", F.lit(30))), F.lit("ACACTCTTTCCCTACACG")).alias("bases2"))
+    n = (25 + F.col("ordinal") % 16).cast("int")  # inserts shorter than the reads, which run into the adapters
+    insert = F.left("bases", n)
+    one, two = F.lit("AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"), F.lit("ACACTCTTTCCCTACACGACGCTCTTCCGATCT")
+    p = r.withColumn("bases", F.translate("bases", "N", "A")).select("ordinal", F.left(F.concat(insert, one), F.lit(48)).alias("bases1"), F.left(F.concat(S.revcomp(insert), two), F.lit(48)).alias("bases2"))
     return si.trim_by_overlap(p, min_overlap=20).select("ordinal", "bases1")
 
 
@@ -878,7 +917,7 @@ def _(c):
 
 @query("unitigs", "dv_reads")
 def _(r):
-    return gr.unitigs(ag.kmer_count(r.where("ordinal < 40"), 15, rcomp=False).select("kmer"), 15)
+    return gr.unitigs(ag.kmer_count(r, 15, rcomp=False).select("kmer"), 15)
 
 
 @query("label_repair", "dv_aln", sql="select aln_id, case when pos%4=3 then -1 when pos%4=2 then 1 else 0 end::bigint as fixed, pos%4<>3 as valid from dv_aln")
@@ -889,15 +928,16 @@ def _(a):
 
 @query("train_classifier", "embeddings")
 def _(e):
-    rows = e.select(*[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)], (F.col("label") % 2).cast("double").alias("label"))
-    return si.evaluate(rows, si.train(rows, [f"f{i}" for i in range(4)]))
+    rows, names = vectors(e)
+    held = F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0  # takes no part in training
+    return si.evaluate(rows.where(held), si.train(rows.where(~held), names))
 
 
 @query("cross_cohort_eval", "embeddings")
 def _(e):
-    rows = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)], (F.col("label") % 2).cast("double").alias("label"))
-    sets = {"even": rows.where("vec_id % 2 = 0"), "odd": rows.where("vec_id % 2 = 1")}
-    return si.cross_eval({n: si.train(d, [f"f{i}" for i in range(4)]) for n, d in sets.items()}, sets)
+    rows, names = vectors(e)
+    sets = {n: rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(2)) == i) for i, n in enumerate(("even", "odd"))}
+    return si.cross_eval({n: si.train(d, names) for n, d in sets.items()}, sets)
 
 
 # -- streaming flows in batch form ------------------------------------------------------------------------------
