@@ -248,16 +248,24 @@ def depth_per_base(segments: DataFrame) -> DataFrame:
 
 
 def covstats(segments: DataFrame, contigs: DataFrame, aln: DataFrame) -> DataFrame:
-    """Per contig (name, bases): fold, covered bases and share, deviation, reads by strand, reference GC."""
+    """Per contig (name, bases): fold, covered bases and share, median and deviation of the depth over all bases, reads by
+    strand, reference GC; and the reads' GC where aln has it (gc, of each read; weighted by its length ref_len)."""
     from strandlake.functions.sequence import gc
 
     n = F.col("stop") - F.col("start") + 1
     cov = segments.groupBy("contig").agg(F.sum(n).alias("covered"), F.sum(n * F.col("depth")).alias("total"), F.sum(n * F.col("depth") * F.col("depth")).alias("squares"), F.max("depth").alias("max_depth"))
-    strands = aln.groupBy(F.col("rname").alias("contig")).agg(F.count_if(F.col("strand") == 0).alias("plus_reads"), F.count_if(F.col("strand") == 1).alias("minus_reads"))
+    more = {"read_gc": F.round(F.sum(F.col("gc") * F.col("ref_len")) / F.sum("ref_len"), 6)} if "gc" in aln.columns else {}
+    strands = aln.groupBy(F.col("rname").alias("contig")).agg(F.count_if(F.col("strand") == 0).alias("plus_reads"), F.count_if(F.col("strand") == 1).alias("minus_reads"), *[v.alias(k) for k, v in more.items()])
     c = contigs.select(F.col("name").alias("contig"), F.length("bases").cast("bigint").alias("length"), F.round(gc(F.col("bases")), 6).alias("ref_gc"))
-    rows = c.join(cov, "contig", "left").join(strands, "contig", "left").fillna(0)
+    # bases by depth, those without coverage first: a row for each depth and contig
+    hist = segments.groupBy("contig", "depth").agg(F.sum(n).alias("n")).join(c.select("contig", "length"), "contig").join(cov.select("contig", "covered"), "contig")
+    upto = F.sum("n").over(Window.partitionBy("contig").orderBy("depth")) + F.greatest(F.col("length") - F.col("covered"), F.lit(0))
+    none = F.greatest(F.col("length") - F.col("covered"), F.lit(0))
+    half = hist.withColumn("upto", upto).groupBy("contig").agg(F.min(F.when(2 * F.col("upto") >= F.greatest("length", "covered"), F.col("depth"))).alias("m"), F.max(2 * none >= F.greatest("length", "covered")).alias("low"))
+    median = half.select("contig", F.when(F.col("low"), 0).otherwise(F.col("m")).cast("bigint").alias("median_fold"))
+    rows = c.join(cov, "contig", "left").join(strands, "contig", "left").join(median, "contig", "left").fillna(0)
     mean = F.col("total") / F.col("length")
-    return rows.select("contig", "length", "ref_gc", F.round(mean, 6).alias("avg_fold"), "covered", F.round(100 * F.least(F.col("covered"), F.col("length")) / F.col("length"), 6).alias("covered_percent"), "max_depth", "plus_reads", "minus_reads", F.round(F.sqrt(F.greatest(F.col("squares") / F.col("length") - mean * mean, F.lit(0.0))), 6).alias("std_dev"))
+    return rows.select("contig", "length", "ref_gc", F.round(mean, 6).alias("avg_fold"), "covered", F.round(100 * F.least(F.col("covered"), F.col("length")) / F.col("length"), 6).alias("covered_percent"), "max_depth", "median_fold", "plus_reads", "minus_reads", *more, F.round(F.sqrt(F.greatest(F.col("squares") / F.col("length") - mean * mean, F.lit(0.0))), 6).alias("std_dev"))
 
 
 def bincov(segments: DataFrame, size: int) -> DataFrame:
@@ -318,8 +326,12 @@ def call_variants(obs: DataFrame, segments: DataFrame, min_count: int = 2, min_f
     The score is a documented stand-in: mean quality times the square root of the count, less 10 for one strand only
     and 5 for alleles only near read ends."""
     g = obs.groupBy("chrom", "pos", "ref", "alt").agg(F.count("*").alias("count"), F.sum("base_qual").alias("qual_sum"), F.max("base_qual").alias("qual_max"), F.max("mapq").alias("mapq_max"), F.count_if(F.col("strand") == 0).alias("plus"), F.max("end_distance").alias("end_max"))
-    s = segments.select(F.col("contig").alias("chrom"), F.col("start").alias("a"), F.col("stop").alias("b"), "depth")
-    rows = g.join(s, (g["chrom"] == s["chrom"]) & F.col("pos").between(F.col("a"), F.col("b")), "left").drop(s["chrom"]).drop("a", "b").fillna(0, ["depth"])
+    from strandlake.operators.joins import interval_join
+
+    # places meet depth runs in bins; no two runs of a contig hold one place
+    places = g.select("chrom", F.col("pos").alias("start"), F.col("pos").alias("stop")).distinct()
+    s = interval_join(places, segments.select(F.col("contig").alias("chrom"), "start", "stop", "depth"), "chrom")
+    rows = g.join(s.select("chrom", F.col("start").alias("pos"), F.col("depth_b").alias("depth")), ["chrom", "pos"], "left").fillna(0, ["depth"])
     score = F.col("qual_sum") / F.col("count") * F.sqrt("count") - F.when((F.col("plus") == 0) | (F.col("plus") == F.col("count")), 10).otherwise(0) - F.when(F.col("end_max") < 5, 5).otherwise(0)
     fraction = F.col("count") / F.greatest("depth", "count")
     rows = rows.withColumns({"fraction": F.round(fraction, 6), "score": F.round(score, 6)})

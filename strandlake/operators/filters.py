@@ -202,11 +202,17 @@ def filter_homopolymer(df: DataFrame, symbols: str = "GC", at_least: int = 6, ba
     return df.where(~F.col(bases).rlike("|".join(f"{s}{{{at_least},}}" for s in symbols)))
 
 
-def filter_by_tile(df: DataFrame, metrics: list[str], xsize: int = 500, ysize: int = 500, deviations=None, fractions=None, absolutes=None, least_reads: int = 500) -> DataFrame:
+def filter_by_tile(df: DataFrame, metrics: list[str], xsize: int = 500, ysize: int = 500, deviations=None, fractions=None, absolutes=None, least_reads: int = 500, target: int = 0) -> DataFrame:
     """Reads (lane, tile, x, y and metric columns) outside bad micro-tiles. A tile is bad if a metric lies below the
     mean over tiles by more than d deviations and f times the mean and an absolute amount. Tiles with fewer reads
-    than the lesser of least_reads and a quarter of the mean do not count in the statistics and stay."""
+    than the lesser of least_reads and a quarter of the mean do not count in the statistics and stay. With a target,
+    micro-tiles are widened, the shorter side first, until they hold so many reads on average (or a whole tile)."""
     d, f, a = deviations or [1.5] * len(metrics), fractions or [0.05] * len(metrics), absolutes or [0.0] * len(metrics)
+    if target:
+        reads, span_x, span_y = df.agg(F.count("*"), F.max("x"), F.max("y")).first()
+        near = lambda: df.select("lane", "tile", F.floor(F.col("x") / xsize), F.floor(F.col("y") / ysize)).distinct().count()
+        while reads and (xsize <= span_x or ysize <= span_y) and reads < target * near():
+            xsize, ysize = (2 * xsize, ysize) if xsize <= ysize else (xsize, 2 * ysize)
     rows = df.withColumns({"bx": F.floor(F.col("x") / xsize), "by": F.floor(F.col("y") / ysize)})
     cell = ["lane", "tile", "bx", "by"]
     tiles = rows.groupBy(*cell).agg(F.count("*").alias("reads"), *[F.avg(m).alias(m) for m in metrics])

@@ -29,9 +29,11 @@ def edit_header(name: Column, pair: int | None = None, underscores: bool = False
     return F.concat(out, F.lit(f" /{pair}")) if pair else out
 
 
-def quality_trim(bases: Column, quals: Column, trimq: float = 6.0, offset: int = 33) -> Column:
+def quality_trim(bases: Column, quals: Column, trimq: float = 6.0, offset: int = 33, mode: str = "both", window: int = 4) -> Column:
     """Struct (bases, quals, trimmed): the stretch with the largest sum of (base quality error share): each base adds
-    the trim threshold's error less its own, and the best run is kept (both ends trimmed at once)."""
+    the trim threshold's error less its own, and the best run is kept (both ends trimmed at once). With mode "left" or
+    "right" only that end is trimmed to the run; with "window" the read ends before the first window of so many bases
+    whose mean quality is below trimq."""
     limit = 10 ** (-trimq / 10)
     start = F.struct(F.lit(0.0).alias("run"), F.lit(1).alias("from"), F.lit(0.0).alias("best"), F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("i"))
 
@@ -43,9 +45,22 @@ def quality_trim(bases: Column, quals: Column, trimq: float = 6.0, offset: int =
         return F.struct(run.alias("run"), begin.alias("from"), F.when(better, run).otherwise(s["best"]).alias("best"), F.when(better, begin).otherwise(s["a"]).alias("a"), F.when(better, s["i"]).otherwise(s["b"]).alias("b"), (s["i"] + 1).alias("i"))
 
     def cut(w: Column) -> Column:
-        n = w["b"] - w["a"] + 1
-        return F.struct(F.substring(bases, w["a"], n).alias("bases"), F.substring(quals, w["a"], n).alias("quals"), (F.length(bases) - n).cast("bigint").alias("trimmed"))
+        first = F.lit(1) if mode == "right" else w["a"]
+        n = (F.length(bases) if mode == "left" else w["b"]) - first + 1
+        return taken(first, n)
 
+    def taken(first: Column, n: Column) -> Column:
+        n = F.greatest(n, F.lit(0))
+        return F.struct(F.substring(bases, first, n).alias("bases"), F.substring(quals, first, n).alias("quals"), (F.length(bases) - n).cast("bigint").alias("trimmed"))
+
+    if mode == "window":
+
+        def before_low(q: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(q) - window + 1, F.lit(1)))
+            low = F.filter(starts, lambda i: F.aggregate(F.slice(q, i, window), F.lit(0.0), lambda s, x: s + x) < trimq * F.least(F.lit(window), F.size(q)))
+            return taken(F.lit(1), F.coalesce(F.get(low, F.lit(0)) - 1, F.length(bases)))
+
+        return F.transform(F.array(phred(quals, offset)), before_low)[0]
     return F.transform(F.array(F.aggregate(phred(quals, offset), start, step)), cut)[0]
 
 
@@ -154,11 +169,21 @@ def mask_repeats(df: DataFrame, key: str, k: int = 5, min_count: int = 4, bases:
 
 
 def mask_ranges(df: DataFrame, ranges: DataFrame, key: str = "name", bases: str = "bases") -> DataFrame:
-    """Bases in the ranges (key, start, stop; 1-based, inclusive) become N: coverage masks use depth ranges."""
-    spans = ranges.groupBy(key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    inside = lambda i: F.exists("spans", lambda r: (i + 1 >= r["start"]) & (i + 1 <= r["stop"]))
-    masked = F.array_join(F.transform(letters(F.col(bases)), lambda c, i: F.when(inside(i), F.lit("N")).otherwise(c)), "")
-    return df.join(spans, key, "left").withColumn(bases, F.when(F.col("spans").isNull(), F.col(bases)).otherwise(masked)).drop("spans")
+    """Bases in the ranges (key, start, stop; 1-based, inclusive) become N: coverage masks use depth ranges. Ranges are
+    merged first, and a sequence is rebuilt from the pieces between them."""
+    from strandlake.operators.windows import merge_ranges
+
+    spans = merge_ranges(ranges.select(key, "start", "stop"), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("at"))
+
+    def add(s: Column, r: Column) -> Column:
+        start = F.greatest(r["start"].cast("int"), s["at"])
+        stop = F.least(r["stop"].cast("int"), F.length(bases))
+        more = F.array(F.substring(bases, s["at"], start - s["at"]), F.repeat(F.lit("N"), F.greatest(stop - start + 1, F.lit(0))))
+        return F.struct(F.concat(s["out"], more).alias("out"), F.greatest(s["at"], stop + 1).alias("at"))
+
+    done = F.transform(F.array(F.aggregate("spans", begin, add)), lambda s: F.concat(F.array_join(s["out"], ""), F.substring(bases, s["at"], F.length(bases))))[0]
+    return df.join(spans, key, "left").withColumn(bases, F.when(F.col("spans").isNull(), F.col(bases)).otherwise(done)).drop("spans")
 
 
 def one_hot(bases: Column, width: int) -> Column:

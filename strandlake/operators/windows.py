@@ -141,11 +141,6 @@ def blur_tiles(tiles: DataFrame, value: str = "v") -> DataFrame:
     return g.where("own").select("lane", "tile", "bx", "by", F.round(F.col("x") / F.col("w"), 6).alias("smooth"))
 
 
-def widen_tiles(tiles: DataFrame, value: str = "v") -> DataFrame:
-    half = lambda c: F.floor(F.col(c) / 2).alias(c)
-    return tiles.groupBy("lane", "tile", half("bx"), half("by")).agg(F.sum(value).alias(value))
-
-
 def pivot_kmers(df: DataFrame, k: int, id_col: str = "ordinal") -> DataFrame:
     """(id, pivot): the k-mer of the largest md5 in each read. Reads without a k-mer have a null pivot."""
     best = F.array_max(F.transform(kmers(F.col("bases"), k), lambda x: F.struct(F.md5(canonical(x)).alias("h"), canonical(x).alias("k"))))

@@ -91,11 +91,26 @@ def _(r):
     return r.select("ordinal", S.recode_quality(F.col("bases"), F.col("quals"), 2, 41, [2, 11, 25, 37]).alias("quals"))
 
 
-@query("quality_trim", "dv_reads")
+#: Prefix sums of gains; the best run ends where the sum stands highest over the lowest sum before it.
+TRIM = "g as (select ordinal, bases, quals, i, sum(0.06309573444801933 - pow(10.0, -(ascii(quals[i])-33)/10.0)) over (partition by ordinal order by i) as p from (select *, unnest(range(1,length(quals)+1)) as i from dv_reads)), h as (select *, coalesce(min(p) over (partition by ordinal order by i rows between unbounded preceding and 1 preceding),0.0) as m from g), l as (select ordinal, i, p, least(m, 0.0) as m from h), e as (select ordinal, arg_max(i, p-m) as b, arg_max(m, p-m) as m, max(p-m) as top from l group by all), a as (select e.ordinal, case when top>0 then b else 0 end as b, case when top>0 then coalesce(max(l.i) filter (where l.p=e.m and l.i<e.b),0)+1 else 1 end as a from e join l using(ordinal) group by e.ordinal, top, b)"
+
+
+@query("quality_trim", "dv_reads", sql=f"with {TRIM} select ordinal, substr(bases,a::int,(b-a+1)::int) as bases, substr(quals,a::int,(b-a+1)::int) as quals, length(bases)-(b-a+1) as trimmed from dv_reads join a using(ordinal)")
 def _(r):
     return r.select("ordinal", pr.quality_trim(F.col("bases"), F.col("quals"), 12.0).alias("t")).select("ordinal", "t.*")
 
 
+@query("quality_trim_ends", "dv_reads", sql=f"with {TRIM} select ordinal, substr(bases,a::int) as left_trimmed, substr(bases,1,b::int) as right_trimmed from dv_reads join a using(ordinal)")
+def _(r):
+    t = lambda mode: pr.quality_trim(F.col("bases"), F.col("quals"), 12.0, mode=mode)["bases"]
+    return r.select("ordinal", t("left").alias("left_trimmed"), t("right").alias("right_trimmed"))
+
+
+@query("quality_trim_window", "dv_reads", sql="with w as (select ordinal, i, sum(ascii(quals[i])-33) over (partition by ordinal order by i rows between current row and 3 following) as s, count(*) over (partition by ordinal order by i rows between current row and 3 following) as n from (select *, unnest(range(1,length(quals)+1)) as i from dv_reads)), f as (select ordinal, min(i) as i from w where n=4 and s<20*4 group by all) select ordinal, substr(bases,1,coalesce(i-1,length(bases))::int) as bases from dv_reads left join f using(ordinal)")
+def _(r):
+    return r.select("ordinal", pr.quality_trim(F.col("bases"), F.col("quals"), 20.0, mode="window")["bases"].alias("bases"))
+
+
 @query("force_trim", "dv_reads", sql="select ordinal, substr(bases, 6, ((81-5-3) - (81-5-3)%4)::int) as bases from dv_reads")
 def _(r):
     return r.select("ordinal", S.force_trim(F.col("bases"), 5, 80, 3, 4).alias("bases"))
@@ -135,7 +150,7 @@ def _(c):
     return pr.translate6(c).select("contig_id", "frame", "amino")
 
 
-@query("homopolymer_adjust", "dv_contigs")
+@query("homopolymer_adjust", "dv_contigs", sql="select contig_id, array_to_string(list_transform(regexp_extract_all(bases,'(A+|C+|G+|T+|N+)'), lambda r: case when length(r)>1 then substr(r,2) else r end),'') as bases from dv_contigs")
 def _(c):
     return c.select("contig_id", pr.adjust_homopolymers(F.col("bases"), -1).alias("bases"))
 
@@ -150,7 +165,7 @@ def _(c):
     return pr.mask_repeats(c, "contig_id", 2, 7).select("contig_id", "bases")
 
 
-@query("mask_by_coverage", "dv_contigs", "dv_aln")
+@query("mask_by_coverage", "dv_contigs", "dv_aln", sql="with e as (select rname as name, pos as p, 1 as d from dv_aln union all select rname, pos+ref_len, -1 from dv_aln), t as (select name, p, sum(sum(d)) over (partition by name order by p) as depth, lead(p) over (partition by name order by p) as q from e group by name, p), m as (select name, unnest(range(p,q)) as i from t where depth>=20) select contig_id, string_agg(case when m.i is null then c.b else 'N' end, '' order by c.i) as bases from (select contig_id, name, i, bases[i] as b from (select *, unnest(range(1,length(bases)+1)) as i from dv_contigs)) c left join m on m.name=c.name and m.i=c.i group by contig_id")
 def _(c, a):
     from strandlake.operators.aggregates import depth_segments
 
@@ -193,7 +208,7 @@ def _(v):
     return pr.split_substitutions(w).groupBy("chrom", "pos", "ref", "alt").agg(F.count("*").alias("n"))
 
 
-@query("canonize", "dv_var")
+@query("canonize", "dv_var", sql="with w as (select chrom, pos, 'C' || ref || 'GT' as ref, 'C' || alt || 'AGT' as alt from dv_var where ref<>alt), t as (select *, (select coalesce(max(n),0) from unnest(range(1,least(length(ref),length(alt)))) u(n) where substr(ref,length(ref)-n+1)=substr(alt,length(alt)-n+1)) as tail from w), u as (select chrom, pos, ref[:length(ref)-tail] as ref, alt[:length(alt)-tail] as alt from t), h as (select *, (select coalesce(max(n),0) from unnest(range(1,least(length(ref),length(alt)))) u(n) where substr(ref,1,n::int)=substr(alt,1,n::int)) as head from u) select chrom, pos+head as pos, substr(ref,(head+1)::int) as ref, substr(alt,(head+1)::int) as alt, count(*) as n from h group by all")
 def _(v):
     w = v.where("ref <> alt").select("chrom", "pos", F.concat(F.lit("C"), "ref", F.lit("GT")).alias("ref"), F.concat(F.lit("C"), "alt", F.lit("AGT")).alias("alt"))
     return pr.canonize(w).groupBy("chrom", "pos", "ref", "alt").agg(F.count("*").alias("n"))
@@ -288,9 +303,9 @@ def _(a):
     return fl.filter_edits(sam_like(a), max_subs=2, max_clips=4, min_identity=0.8).select("aln_id")
 
 
-@query("filter_sub_quality", "dv_reads")
+@query("filter_sub_quality", "dv_reads", sql="select ordinal from (select ordinal, unnest(range(1,length(bases)+1)) as i, bases, reverse(bases) as r, quals from dv_reads) where bases[i]<>r[i] and ascii(quals[i])-33 between 30 and 40 group by ordinal having count(*)>=55")
 def _(r):
-    return fl.filter_subs(r.withColumn("ref_bases", F.reverse("bases")), 30, 40, 20).select("ordinal")
+    return fl.filter_subs(r.withColumn("ref_bases", F.reverse("bases")), 30, 40, 55).select("ordinal")
 
 
 @query("filter_vcf", "dv_var", sql="select chrom, pos, ref, alt, sample, round(qual,6)::double as qual from dv_var where ref<>alt and pos between 5 and 25 and qual>=100")

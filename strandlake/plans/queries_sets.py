@@ -343,9 +343,9 @@ def _(a):
     return ag.depth_per_base(ag.depth_segments(a)).withColumn("depth", F.col("depth").cast("bigint"))
 
 
-@query("covstats", "dv_aln", "dv_contigs", sql=f"with {DEPTH}, v as (select contig, sum(stop-start+1) as covered, sum((stop-start+1)*depth) as total, sum((stop-start+1)*depth*depth) as sq, max(depth) as md from seg group by all), t as (select rname as contig, count(*) filter (where strand=0) as p, count(*) filter (where strand=1) as m from dv_aln group by all) select c.name as contig, length(bases) as length, round((length(bases)-length(translate(bases,'GC','')))/(length(bases)-length(translate(bases,'ACGT',''))),6) as ref_gc, round(coalesce(total,0)/length(bases),6) as avg_fold, coalesce(covered,0)::bigint as covered, round(100*least(coalesce(covered,0),length(bases))/length(bases),6) as covered_percent, coalesce(md,0)::bigint as max_depth, coalesce(p,0) as plus_reads, coalesce(m,0) as minus_reads, round(sqrt(greatest(coalesce(sq,0)/length(bases)-(coalesce(total,0)/length(bases))*(coalesce(total,0)/length(bases)),0)),6) as std_dev from dv_contigs c left join v on v.contig=c.name left join t on t.contig=c.name")
+@query("covstats", "dv_aln", "dv_contigs", sql=f"with {DEPTH}, v as (select contig, sum(stop-start+1) as covered, sum((stop-start+1)*depth) as total, sum((stop-start+1)*depth*depth) as sq, max(depth) as md from seg group by all), t as (select rname as contig, count(*) filter (where strand=0) as p, count(*) filter (where strand=1) as m, round(sum((pos%10)/10.0*ref_len)/sum(ref_len),6) as rg from dv_aln group by all), bs as (select contig, unnest(range(start,stop+1)) as pos, depth from seg union all select name, unnest(range(1,(greatest(0,length(bases)-coalesce(covered,0))+1)::bigint)), 0 from dv_contigs left join v on v.contig=name), md as (select contig, quantile_disc(depth,0.5)::bigint as md from bs group by all) select c.name as contig, coalesce(md.md,0) as median_fold, coalesce(rg,0) as read_gc, length(bases) as length, round((length(bases)-length(translate(bases,'GC','')))/(length(bases)-length(translate(bases,'ACGT',''))),6) as ref_gc, round(coalesce(total,0)/length(bases),6) as avg_fold, coalesce(covered,0)::bigint as covered, round(100*least(coalesce(covered,0),length(bases))/length(bases),6) as covered_percent, coalesce(v.md,0)::bigint as max_depth, coalesce(p,0) as plus_reads, coalesce(m,0) as minus_reads, round(sqrt(greatest(coalesce(sq,0)/length(bases)-(coalesce(total,0)/length(bases))*(coalesce(total,0)/length(bases)),0)),6) as std_dev from dv_contigs c left join v on v.contig=c.name left join t on t.contig=c.name left join md on md.contig=c.name")
 def _(a, c):
-    return ag.covstats(ag.depth_segments(a), c, a)
+    return ag.covstats(ag.depth_segments(a), c, a.withColumn("gc", (F.col("pos") % 10) / 10.0))
 
 
 @query("coverage_binned", "dv_aln", sql=f"with {DEPTH}, b as (select contig, unnest(range(start,stop+1)) as pos, depth from seg) select contig, (pos-1)//10 as bin, round(sum(depth)/10.0,6) as depth from b group by all")
@@ -384,10 +384,10 @@ def _(a):
     return ag.est_stats(a.select(F.col("rname").alias("est"), F.lit(900).alias("est_length"), F.col("ref_len").alias("aligned"), F.col("rf").alias("scaffold"), F.col("pos").alias("intron")))
 
 
-@query("call_variants", "dv_var", "dv_aln")
+@query("call_variants", "dv_var", "dv_aln", sql=f"with {DEPTH}, o as (select chrom, pos, ref, alt, qual::double%40 as q, pos%2 as st from dv_var where ref<>alt), g as (select chrom, pos, ref, alt, count(*) as c, sum(q) as qs, max(q) as qm, count(*) filter (where st=0) as plus from o group by all), d as (select g.*, coalesce(depth,0) as depth from g left join seg on seg.contig=chrom and pos between start and stop), x as (select *, round(c/greatest(depth,c),6) as fraction, round(qs/c*sqrt(c)-case when plus=0 or plus=c then 10 else 0 end,6) as score from d) select chrom, pos, ref, alt, c as count, plus, fraction, score from x where c>=2 and fraction>=0.1 and score>=5")
 def _(v, a):
     obs = v.where("ref <> alt").select("chrom", "pos", "ref", "alt", (F.col("qual") % 40).alias("base_qual"), F.lit(30).alias("mapq"), (F.col("pos") % 2).alias("strand"), F.lit(20).alias("end_distance"))
-    return ag.call_variants(obs, ag.depth_segments(a), ploidy=2)
+    return ag.call_variants(obs, ag.depth_segments(a), ploidy=2).select("chrom", "pos", "ref", "alt", "count", "plus", "fraction", "score")
 
 
 @query("merge_samples", "dv_var", sql="select chrom, pos, ref, alt, count(*) as n, round(max(qual),6)::double as qual, arg_max(sample, {'q': qual, 's': sample}) as best_sample, array_to_string(list_sort(list(distinct sample)),',') as samples from dv_var group by all")
@@ -595,7 +595,7 @@ def _(f):
     return wi.merge_ranges(f.select("seqid", "start", "stop"), "seqid")
 
 
-@query("call_peaks", "dv_reads")
+@query("call_peaks", "dv_reads", sql=f"with {km('k','dv_reads','ordinal',7)}, c as (select kmer, count(*) as n from k group by all), h as (select n as value, count(*) as count from c group by all), s as (select value, count, (3.0*count+2.0*coalesce(lag(count) over w,0)+2.0*coalesce(lead(count) over w,0)+coalesce(lag(count,2) over w,0)+coalesce(lead(count,2) over w,0))/9.0 as sm from h window w as (order by value)), m as (select *, sm>coalesce(lag(sm) over w,-1) and sm>=coalesce(lead(sm) over w,-1) and sm>=2 as peak, sm<=coalesce(lag(sm) over w,-1) and sm<coalesce(lead(sm) over w,-1) as valley from s window w as (order by value)), i as (select *, sum(valley::int) over (order by value) as island from m), g as (select island, sum(count)::bigint as volume, max(case when peak then row(sm, value) end) as p from i group by all) select p[2] as value, round(p[1],6)::double as height, volume from g where p is not null")
 def _(r):
     h = ag.kmer_hist(ag.kmer_count(r, 7)).withColumnsRenamed({"depth": "value", "kmers": "count"})
     return wi.call_peaks(h)
@@ -757,7 +757,7 @@ def _(c):
     return si.clade_spectra(c.withColumn("clade", F.col("contig_id") % 40), "clade").select("clade", F.round("gc", 6).alias("gc"), F.size("spectrum").alias("n"))
 
 
-@query("clade_search", "dv_contigs")
+@query("clade_search", "dv_contigs", sql=f"with {km('k','dv_contigs','contig_id',3)}, u as (select contig_id%40 as clade, kmer from k), a as (select distinct clade from u), m as (select distinct kmer from u), n as (select clade, kmer, count(*) as n from u group by all), t as (select clade, sum(n) as t, sum(n*(length(kmer)-length(translate(kmer,'GC',''))))/(sum(n)*3) as gc from n group by all), f as (select a.clade, m.kmer, coalesce(n.n,0)/t.t as x, gc from a cross join m left join n using(clade,kmer) join t on t.clade=a.clade), d as (select p.clade as query, q.clade as ref, round(sum(abs(p.x-q.x)),6) as distance from f p join f q using(kmer) where p.clade<>q.clade and abs(p.gc-q.gc)<=0.1 group by all) select * from (select *, row_number() over (partition by query order by distance, ref) as rank from d) where rank<=2")
 def _(c):
     s = si.clade_spectra(c.withColumn("clade", F.col("contig_id") % 40), "clade")
     return si.clade_search(s, s, "clade", 2)
