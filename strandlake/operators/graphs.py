@@ -72,56 +72,98 @@ def dbscan(edges: DataFrame, eps: float, min_points: int) -> DataFrame:
     return found.withColumn("core", F.lit(True)).union(border.select(F.col("a").alias("node"), "cluster", F.lit(False)))
 
 
-def communities(edges: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """(node, community): label propagation by edge weight (a, b, w), ties to the least label; nodes of odd and even
-    hash move in turn, so that labels settle."""
-    e = settled(edges.select("a", "b", "w").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    labels = settled(e.select(F.col("a").alias("node")).distinct().withColumn("l", F.col("node")))
-    for r in range(max_rounds):
-        votes = e.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy("a", "l").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("a").agg(F.max(F.struct("w", (-F.col("l")).alias("m"))).alias("t")).select(F.col("a").alias("node"), (-F.col("t.m")).alias("n"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        nxt = settled(labels.join(best, "node", "left").select("node", F.col("l").alias("old"), F.when(turn & F.col("n").isNotNull(), F.col("n")).otherwise(F.col("l")).alias("l")))
-        stable = nxt.where("l <> old").isEmpty()
-        labels = nxt.select("node", "l")
-        if stable and r:
-            break
-    return labels.withColumnRenamed("l", "community")
-
-
-def kmer_filter_set(rows: DataFrame, id_col: str = "ordinal", per_round: int = 1) -> DataFrame:
-    """Greedy k-mer set (id, kmer rows) such that each sequence has one: the most common k-mer is taken, its
-    sequences leave, and so on. Rows of covered sequences leave the table, so rounds shrink."""
-    left, picked = settled(rows.select(id_col, "kmer").distinct()), []
-    while True:
-        top = left.groupBy("kmer").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kmer").limit(per_round).collect()
-        if not top:
-            break
-        picked += [(r["kmer"], r["n"]) for r in top]
-        done = left.where(F.col("kmer").isin([r["kmer"] for r in top])).select(id_col).distinct()
+def modularity(edges: DataFrame, labels: DataFrame) -> float:
+    """Of a partition (node, l): the share of edge weight (a, b, w) inside communities less what chance gives."""
+    side = lambda n: labels.select(F.col("node").alias(n), F.col("l").alias(f"l{n}"))
+    e = edges.join(side("a"), "a").join(side("b"), "b")
+    total, inside = e.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("la") == F.col("lb"), F.col("w"))), F.lit(0))).first()
+    if not total:
+        return 0.0
+    degree = e.select(F.explode(F.array("la", "lb")).alias("l"), "w").groupBy("l").agg((F.sum("w") / (2.0 * float(total))).alias("d"))
+    return float(inside) / float(total) - float(degree.agg(F.sum(F.col("d") * F.col("d"))).first()[0])
+
+
+def communities(edges: DataFrame, max_rounds: int = 5) -> DataFrame:
+    """(node, community): local moves that raise modularity. In each round nodes of one half of the hashes may move to the
+    neighbouring community of the highest gain (ties to the least label); a round counts only if modularity rises, and
+    two halves without a rise end it. A label is the least node of its community."""
+    one = settled(edges.where("a <> b").select("a", "b", F.col("w").cast("double")))
+    e = settled(one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    degree = settled(e.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+    twice = degree.agg(F.sum("k")).first()[0] or 1.0
+    labels, best, idle = settled(degree.select("node", F.col("node").alias("l"))), None, 0
+    for r in range(2 * max_rounds):
+        placed = labels.join(degree, "node")
+        total = placed.groupBy("l").agg(F.sum("k").alias("t"))
+        links = e.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy(F.col("a").alias("node"), "l").agg(F.sum("w").alias("in"))
+        # a node's own community is an option even without links into it, and counts without the node itself
+        options = links.union(labels.select("node", "l", F.lit(0.0).alias("in"))).groupBy("node", "l").agg(F.sum("in").alias("in"))
+        options = options.join(total, "l").join(placed.select("node", "k", F.col("l").alias("own")), "node")
+        rest = F.col("t") - F.when(F.col("l") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
+        gain = F.round(F.col("in") - F.col("k") * rest / F.lit(twice), 9)
+        choice = options.groupBy("node").agg(F.max(F.struct(gain.alias("g"), (F.col("l") == F.col("own")).alias("stay"), (-F.col("l")).alias("m"))).alias("c")).select("node", (-F.col("c.m")).alias("n"))
+        turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        moved = settled(labels.join(choice, "node").select("node", F.when(turn, F.col("n")).otherwise(F.col("l")).alias("l")))
+        best = modularity(one, labels) if best is None else best
+        now = modularity(one, moved)
+        if now > best + 1e-12:
+            labels, best, idle = moved, now, 0
+        else:
+            idle += 1
+            if idle == 2:
+                break
+    least = labels.groupBy("l").agg(F.min("node").alias("community"))
+    return labels.join(least, "l").select("node", "community")
+
+
+def kmer_filter_set(rows: DataFrame, id_col: str = "ordinal") -> DataFrame:
+    """Greedy k-mer set (kmer, covered) such that each sequence (id, kmer rows) has one: the most common k-mer is taken
+    (of equals the least), its sequences leave, and so on.
+
+    A round takes every k-mer that is the first choice of all its sequences: no k-mer that greedy takes before it
+    holds one of them, so the result is that of one at a time. Rows of covered sequences leave the table."""
+    left, picked = settled(rows.select(id_col, "kmer").distinct()), None
+    while not left.isEmpty():
+        n = left.groupBy("kmer").agg(F.count("*").alias("n"))
+        choice = left.join(n, "kmer").groupBy(id_col).agg(F.min(F.struct((-F.col("n")).alias("m"), "kmer")).alias("c"))
+        top = settled(choice.groupBy(F.col("c.kmer").alias("kmer")).agg(F.count("*").alias("covered")).join(n, "kmer").where("covered = n").select("kmer", "covered"))
+        picked = top if picked is None else picked.union(top)
+        done = left.join(top.select("kmer"), "kmer", "left_semi").select(id_col).distinct()
         left = settled(left.join(done, id_col, "left_anti"))
-    return rows.sparkSession.createDataFrame(picked, "kmer string, covered long")
+    return picked if picked is not None else left.groupBy("kmer").agg(F.count("*").alias("covered"))
+
+
+def chain_places(nodes: DataFrame, link: DataFrame) -> DataFrame:
+    """(kmer, p, d): the first k-mer of each one's chain of links (a, b), and its place there, by pointer doubling. K-mers
+    on a cycle are left out."""
+    ptr = settled(nodes.join(link, nodes["kmer"] == link["b"], "left").select("kmer", F.coalesce("a", "kmer").alias("p"), F.when(F.col("a").isNull(), 0).otherwise(1).cast("bigint").alias("d"), F.col("a").isNull().alias("done")))
+    left, rounds = ptr.where("not done").count(), 0
+    while left:
+        up = ptr.select(F.col("kmer").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"), F.col("done").alias("over"))
+        further = ptr.where("not done").join(up, "p").select("kmer", F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d"), F.col("over").alias("done"))
+        ptr = settled(ptr.where("done").union(further))
+        still, rounds = ptr.where("not done").count(), rounds + 1
+        if still == left and 2**rounds > 2 * left:
+            break
+        left = still
+    return ptr.where("done").drop("done")
 
 
 def unitigs(kmers: DataFrame, k: int) -> DataFrame:
     """(bases, kmers): maximal non-branching paths of a set of k-mers on one strand. Links join on k - 1 bases where
     both sides are unbranched; pointer doubling gives each k-mer its path's first k-mer and its place, and paths are
-    put together by place. Cycles of links have no first k-mer and are not returned."""
+    put together by place. A cycle of links is cut before its least k-mer."""
     s = settled(kmers.select("kmer").distinct())
     out = s.select(F.col("kmer").alias("a"), F.substring("kmer", 2, k - 1).alias("j"))
     into = s.select(F.col("kmer").alias("b"), F.left("kmer", F.lit(k - 1)).alias("j"))
     single = lambda d, c: d.groupBy("j").agg(F.count("*").alias("n"), F.first(c).alias(c)).where("n = 1").drop("n")
     link = settled(single(out, "a").join(single(into, "b"), "j").where("a <> b").select("a", "b"))
-    ptr = settled(s.join(link, s["kmer"] == link["b"], "left").select("kmer", F.coalesce("a", "kmer").alias("p"), F.when(F.col("a").isNull(), 0).otherwise(1).cast("bigint").alias("d")))
-    while True:
-        up = ptr.select(F.col("kmer").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"))
-        nxt = settled(ptr.join(up, "p").select("kmer", F.col("p").alias("old"), F.col("pp").alias("p"), (F.col("d") + F.col("dd")).alias("d")))
-        done = nxt.where("p <> old").isEmpty()
-        ptr = nxt.select("kmer", "p", "d")
-        if done or nxt.agg(F.max("d")).first()[0] > (1 << 40):
-            break
-    heads = s.join(link.select(F.col("b").alias("kmer")), "kmer", "left_anti")
-    rows = ptr.join(heads.select(F.col("kmer").alias("p")), "p", "left_semi")
+    rows = settled(chain_places(s, link))
+    round_ = settled(s.join(rows.select("kmer"), "kmer", "left_anti"))
+    if not round_.isEmpty():
+        own = link.join(round_.select(F.col("kmer").alias("b")), "b", "left_semi")
+        cut = own.join(connected_components(own).withColumnRenamed("node", "b"), "b").where("b <> component").select("a", "b")
+        rows = rows.union(chain_places(round_, settled(cut)))
     parts = F.array_sort(F.collect_list(F.struct("d", F.right("kmer", F.lit(1)).alias("x"))))
     return rows.groupBy("p").agg(parts.alias("x"), F.count("*").alias("kmers")).select(F.concat(F.left("p", F.lit(k - 1)), F.array_join(F.transform("x", lambda y: y["x"]), "")).alias("bases"), "kmers")
 

@@ -234,3 +234,39 @@ def test_joined_locations_and_embl(spark, tmp_path):
     e.write_text('ID   E1; SV 1;\nFT   CDS             join(1..2,4..6)\nFT                   /gene="y z"\n//\n')
     got = fm.read_gbff(spark, str(e)).orderBy("part").collect()
     assert [(r["seqid"], r["start"], r["stop"], r["attributes"]) for r in got] == [("E1", 1, 2, {"gene": "y z"}), ("E1", 4, 6, {"gene": "y z"})]
+
+
+def test_cycles_of_kmers(spark):
+    whole = "ACGTTAGC"
+    ring = whole + whole[:3]
+    k = spark.createDataFrame([(ring[i : i + 4],) for i in range(8)] + [("TTTT",), ("GGGA",), ("GGAC",)], "kmer string")
+    got = {(r["bases"], r["kmers"]) for r in gr.unitigs(k, 4).collect()}
+    assert got == {("ACGTTAGCACG", 8), ("TTTT", 1), ("GGGAC", 2)}
+
+
+def test_communities_raise_modularity(spark):
+    clique = lambda a, n: [(a + i, a + j, 1.0) for i in range(n) for j in range(i)]
+    e = spark.createDataFrame(clique(0, 6) + clique(10, 5) + clique(20, 7) + [(0, 10, 1.0), (11, 20, 1.0)], "a long, b long, w double")
+    got = {r["node"]: r["community"] for r in gr.communities(e).collect()}
+    assert {frozenset(n for n in got if got[n] == c) for c in set(got.values())} == {frozenset(range(6)), frozenset(range(10, 15)), frozenset(range(20, 27))}
+    m = 15 + 10 + 21 + 2
+    want = (15 + 10 + 21) / m - sum((d / (2 * m)) ** 2 for d in (31, 22, 43))
+    labels = spark.createDataFrame(list(got.items()), "node long, l long")
+    assert abs(gr.modularity(e, labels) - want) < 1e-9
+
+
+def test_kmer_cover_is_the_greedy_one(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(5)
+    rows = {(i, r.choice("ABCDEFGHIJ")) for i in range(60) for _ in range(3)}
+    left, want = set(rows), []
+    while left:
+        n = Counter(k for _, k in left)
+        k = min(n, key=lambda x: (-n[x], x))
+        want.append((k, n[k]))
+        done = {i for i, x in left if x == k}
+        left = {(i, x) for i, x in left if i not in done}
+    got = gr.kmer_filter_set(spark.createDataFrame(sorted(rows), "ordinal long, kmer string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
