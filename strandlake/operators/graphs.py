@@ -254,7 +254,3 @@ def id_tree(pairs: DataFrame, components: DataFrame) -> DataFrame:
         return pd.DataFrame({"component": [pdf["component"].iloc[0]], "newick": [next(iter(parts)) + ";"]})
 
     return rows.groupBy("component").applyInPandas(grow, "component long, newick string")
-
-
-def rank_windows(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))

@@ -12,7 +12,7 @@ from strandlake.operators import graphs as gr
 from strandlake.operators import joins as jo
 from strandlake.operators import sets as st
 from strandlake.operators import windows as wi
-from strandlake.plans.queries_rows import query
+from strandlake.plans.queries_rows import query, rc
 from strandlake.sources import formats as fm
 from strandlake.sources.shared import fresh_path
 from strandlake.streaming import flows
@@ -232,6 +232,34 @@ def placed(ordered: DataFrame, key: str) -> DataFrame:
     return rows.join(before, "p").select(key, (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
 
 
+@query("sort_by_list", "dv_contigs", sql="select contig_id, row_number() over (order by contig_id desc) - 1 as place from dv_contigs")
+def _(c):
+    order = c.select("name", (-F.col("contig_id")).alias("ordinal"))
+    return placed(wi.sort_by_list(c, order), "contig_id")
+
+
+@query("drop_contained", "dv_features", sql="select seqid, start, stop from (select *, max(stop) over (partition by seqid order by start, stop desc rows between unbounded preceding and 1 preceding) as r from dv_features) where r is null or stop>r")
+def _(f):
+    return wi.drop_contained(f.select("seqid", "start", "stop"), "seqid")
+
+
+@query("mark_reverse", "dv_reads", sql=f"select ordinal, bases>{rc('bases')} as reversed from dv_reads")
+def _(r):
+    return wi.mark_reverse(r).select("ordinal", "reversed")
+
+
+@query("lowest_error", "dv_reads", sql="with e as (select ordinal, barcode, round(list_sum(list_transform(string_split(quals,''), lambda c: pow(10.0, -(ascii(c)-33)/10.0))),9) as e from dv_reads) select barcode, ordinal from (select *, row_number() over (partition by barcode order by e, ordinal) as k from e) where k=1")
+def _(r):
+    return st.lowest_error(r, "barcode").select("barcode", "ordinal")
+
+
+@query("split_junction", "dv_reads", sql="select ordinal, case when instr(bases,'GATC')>0 then substr(bases,1,instr(bases,'GATC')-1) else bases end as \"left\", case when instr(bases,'GATC')>0 then substr(bases,instr(bases,'GATC')+4) end as \"right\" from dv_reads")
+def _(r):
+    from strandlake.operators import similarity as si
+
+    return si.split_junction(r, "GATC").select("ordinal", "left", "right")
+
+
 @query("shuffle", "dv_reads", sql="select count(*) as rows, count(*) as rows_kept, true as moved from dv_reads")
 def _(r):
     p = placed(wi.shuffle(r, 3), "ordinal").join(r.select("ordinal"), "ordinal")

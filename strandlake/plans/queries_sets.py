@@ -746,6 +746,12 @@ def _(r):
     return si.compare_sketch(s, s, "barcode", 12, skip_same=True)
 
 
+@query("sketch_unique_hits", "dv_reads", sql=SK + ", t as (select * from s where rank<=200), o as (select key, any_value(barcode) as ref from t group by all having count(*)=1) select t.barcode as query, ref, count(*) as \"unique\" from t join o using(key) group by all")
+def _(r):
+    s = si.sketch(r, "barcode", 12, 200)
+    return si.unique_hits(s, s, "barcode")
+
+
 @query("sketch_invert", "dv_reads", sql=SK + ", i as (select distinct kmer from n) select md5(kmer) as key, kmer from i where md5(kmer) in (select key from s where rank<=5)")
 def _(r):
     s = si.sketch(r, "barcode", 12, 5)
