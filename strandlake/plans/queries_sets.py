@@ -401,7 +401,7 @@ def _(c, v):
     return ag.consensus(votes, c.select("name", "bases"))
 
 
-@query("apply_variants", "dv_contigs", "dv_var")
+@query("apply_variants", "dv_contigs", "dv_var", sql="with g as (select chrom, pos, ref, alt, count(*) as n from dv_var where ref<>alt group by all), b as (select chrom, pos, alt from (select *, row_number() over (partition by chrom, pos order by n desc, ref, alt) as k from g) where k=1), u as (select name, bases, unnest(range(1,length(bases)+1)) as i from dv_contigs) select name, string_agg(coalesce(b.alt, bases[i]), '' order by i) as bases from u left join b on b.chrom=name and b.pos=i group by all")
 def _(c, v):
     g = v.where("ref <> alt").groupBy("chrom", "pos", "ref", "alt").agg(F.count("*").alias("count"))
     return ag.apply_variants(c.select("name", "bases"), g)
@@ -839,7 +839,7 @@ def _(e):
     return gr.communities(e.select("a", "b", (1 + (F.col("a") + F.col("b")) % 3).alias("w")))
 
 
-@query("recluster_by_kmer", "dv_reads", "dv_contigs")
+@query("recluster_by_kmer", "dv_reads", "dv_contigs", sql=f"with {km('r','dv_reads','ordinal',3)}, {km('c','dv_contigs','contig_id',3)}, m as (select distinct kmer from c), n as (select 'r' || ordinal::varchar as id, kmer, count(*) as n from r group by all union all select 'c' || (contig_id%20)::varchar, kmer, count(*) from c group by all), t as (select id, sum(n) as t, sum(n*(length(kmer)-length(translate(kmer,'GC',''))))/(sum(n)*3) as gc from n group by all), f as (select t.id, m.kmer, coalesce(n.n,0)/t.t as x, gc from t cross join m left join n on n.id=t.id and n.kmer=m.kmer), d as (select p.id as query, q.id as ref, round(sum(abs(p.x-q.x)),6) as distance from f p join f q using(kmer) where p.id[1]='r' and q.id[1]='c' and abs(p.gc-q.gc)<=0.1 group by all) select * from (select *, row_number() over (partition by query order by distance, ref) as rank from d) where rank<=1")
 def _(r, c):
     q = si.clade_spectra(r.withColumn("id", F.concat(F.lit("r"), F.col("ordinal").cast("string"))), "id")
     ref = si.clade_spectra(c.withColumn("id", F.concat(F.lit("c"), (F.col("contig_id") % 20).cast("string"))), "id")
