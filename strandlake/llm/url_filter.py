@@ -2,9 +2,9 @@
 
 Hosts and paths are cut with column expressions. Names that run together ("casinowin") are split by Viterbi over a
 unigram model of words that hosts and paths of the corpus show between marks. Multinomial naive Bayes is trained on the
-words that these splits give, all URLs counted: a URL is an example of "block" where a seed word stands in its host
-between marks, else of "allow". Seed words are examples, not rules: what else such hosts and their paths are made of
-scores as well.
+words that these splits give, all URLs counted: a URL is an example of "block" where a seed word is among the words of
+its host, else of "allow". Seed words are examples, not rules: what else such hosts and their paths are made of scores as
+well.
 
 The counts of all words stay a Spark table. Substrings of the distinct names join it, so that each name is split with
 the words it holds; a name of any length is split as a whole.
@@ -16,7 +16,7 @@ import math
 from collections import ChainMap
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import ascii_lower, read, stored
@@ -29,7 +29,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Words that mark a host as an example of "block" when they stand between marks.
+#: Words that mark a host as an example of "block".
 SEED_WORDS = ["ads", "adult", "bet", "bets", "casino", "cheap", "crack", "escort", "loan", "loans", "pills", "poker", "porn", "replica", "sex", "spam", "track", "viagra", "warez", "xxx"]
 #: Longer words are known only as whole names.
 LONGEST_WORD = 24
@@ -126,10 +126,13 @@ def split_names(distinct: DataFrame, words: DataFrame, total: float) -> DataFram
 
 
 def segmented(urls: DataFrame, seeds: list[str] = SEED_WORDS) -> DataFrame:
-    """(row, at, bad, words): the words of each name of each URL (row, host, path), and whether a seed word stands between
-    marks in its host."""
-    parts = urls.select("row", F.arrays_overlap(names(bare_host(F.col("host"))), F.array(*map(F.lit, seeds))).alias("bad"), F.posexplode(F.concat(names(bare_host(F.col("host"))), names(F.col("path")))).alias("at", "name"))
-    return stored(parts.join(split_names(parts.select("name").distinct(), *unigrams(urls, seeds)), "name").select("row", "at", "bad", "words"))
+    """(row, at, bad, words): the words of each name of each URL (row, host, path), and whether a seed word is among those
+    of its host."""
+    host = names(bare_host(F.col("host")))
+    parts = urls.select("row", F.size(host).alias("n"), F.posexplode(F.concat(host, names(F.col("path")))).alias("at", "name"))
+    cut = parts.join(split_names(parts.select("name").distinct(), *unigrams(urls, seeds)), "name")
+    seeded = (F.col("at") < F.col("n")) & F.arrays_overlap("words", F.array(*map(F.lit, seeds)))
+    return stored(cut.withColumn("bad", F.max(seeded).over(Window.partitionBy("row"))).select("row", "at", "bad", "words"))
 
 
 def fit(parts: DataFrame) -> tuple[DataFrame, float]:
