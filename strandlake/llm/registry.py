@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from strandlake.llm import decontaminate, importance, jaccard_join, line_dedup, piece_sampling, pii, quality_rules, substring_dedup, token_binary, url_filter
+from strandlake.llm import decontaminate, importance, jaccard_join, lexical_search, line_dedup, piece_sampling, pii, quality_rules, substring_dedup, token_binary, url_filter
 
 QUERIES = {
     "op2_piece_sampling": piece_sampling.op2,
@@ -13,9 +13,11 @@ QUERIES = {
     "op9_token_binary": token_binary.op9,
     "op10_quality_rules": quality_rules.op10,
     "op6_line_dedup": line_dedup.op6,
+    "op11_lexical_search": lexical_search.op11,
 }
 ORACLES = {
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }
