@@ -2,10 +2,14 @@
 
 import math
 import re
+import zlib
+from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from strandlake.llm import lexical_search
+from strandlake.llm import lexical_search, source_mix, spelling
 from tests.conftest import SF
 
 TERM = re.compile(lexical_search.TERM)
@@ -61,13 +65,12 @@ def test_search_on_empty_tables(spark, odd, empty):
     assert [x[2] for x in found(lexical_search.search(odd, items))] == [9, 10]
 
 
-def test_bags_that_look_alike_are_scored_once(spark):
-    docs = spark.createDataFrame([(i, f"red x{i} y{i}") for i in range(200)], "doc_id long, text string")
+def test_bags_that_look_alike_are_one_class(spark):
+    docs = spark.createDataFrame([(i, f"red x{i} y{i}" if i % 2 else f"green x{i} y{i}") for i in range(200)], "doc_id long, text string")
+    bag = lexical_search.bags(docs, ["blue", "red"], "doc_id", "text").where("size(terms) > 0")
+    assert bag.count() == 100 and bag.select("n", "terms", "tfs").distinct().count() == 1
     items = spark.createDataFrame([(7, "red blue")], "item_id long, text string")
-    bag = lexical_search.bags(docs, ["blue", "red"], "doc_id", "text")
-    assert bag.select("n", "terms", "tfs").distinct().count() == 1
-    # half of all documents would have a weight; a term of all has none
-    assert found(lexical_search.search(docs, items)) == found(lexical_search.search(docs.where("false"), items))[:0] or all(s > 0 for *_, s in found(lexical_search.search(docs, items)))
+    assert [x[2] for x in sorted(found(lexical_search.search(docs, items)), key=lambda x: x[1])] == list(range(1, 100, 2))
 
 
 def test_search_query(spark):
@@ -78,3 +81,164 @@ def test_search_query(spark):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(lexical_search.ORACLE).fetchall()
     assert found(lexical_search.op11(spark, SF)) == sorted(want, key=str)
+
+
+# -- spelling ---------------------------------------------------------------------------------------------------
+
+
+def near(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text("abc", min_size=0, max_size=6), min_size=1, max_size=40))
+def test_composition_by_brute_force(words):
+    words = sorted(words)
+    a = spelling.Acceptor(words)
+    assert a.count[a.initial] == len(words)
+    got = spelling.one_edit_pairs(a)
+    want = {(x, y) for x in words for y in words if near(x, y) and (len(x), x) < (len(y), y)}
+    assert len(got) == len(want)
+    assert {tuple(sorted((words[i], words[j]), key=lambda w: (len(w), w))) for i, j in got} == want
+
+
+def test_acceptor_is_minimal():
+    a = spelling.Acceptor(["baking", "making", "talking"])
+    assert len(a.arcs) == 9  # five of -king, one behind b- and m-, two behind t-, the initial one
+
+
+@pytest.mark.parametrize("group", [4096, 12, 1])
+def test_near_pairs(spark, group):
+    words = sorted({"".join("abé"[(i // 3**k) % 3] for k in range(n)) for n in (4, 5, 6) for i in range(0, 3**n, 2)} | {"x" * 3000, "x" * 3001, "x" * 1500 + "y" + "x" * 1499})
+    frame = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    got = [tuple(r) for r in spelling.near_pairs(frame, group).collect()]
+    by = {}
+    for w in words:
+        for i in range(len(w) if len(w) < 9 else 0):
+            by.setdefault((w[:i], w[i + 1 :]), []).append(w)
+    want = {(a, b) for own in by.values() for a in own for b in own if a != b}
+    want |= {(a, b) for a in words for i in range(len(a) if len(a) < 9 else 0) for b in [a[:i] + a[i + 1 :]] if b in set(words)}
+    want |= {(b, a) for a, b in want}
+    long = [w for w in words if len(w) > 9]
+    want |= {(a, b) for a in long for b in long if a != b and near(a, b)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def variants(docs):
+    words = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            words[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    words = {w: n for w, n in words.items() if len(w) >= 5 and n >= 3}
+    out = {}
+    for w, n in words.items():
+        close = sorted((-words[x], x) for x in words if abs(len(x) - len(w)) < 2 and x != w and near(w, x))
+        form = close[0][1] if close and -close[0][0] >= 2 * n else None
+        out[w] = (n, len(close), form, words[form] if form else None)
+    rows = []
+    for w, (n, k, form, form_n) in out.items():
+        root = w
+        while out[root][2]:
+            root = out[root][2]
+        rows.append((w, n, k, form, form_n, root))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("group", [4096, 2])
+def test_variants_by_brute_force(spark, odd, group):
+    docs = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] != 4]
+    docs += [(i, "colour " * (i % 4) + "color COLOR kolor Couleur couleurs couleur, colours ÉCOLE école éccole" + " color" * (i % 3)) for i in range(40)] + [(None, "colonr colonr colonr kolort kolort kolort")]
+    frame = spark.createDataFrame([(*d, 1, "w") for d in docs], "doc_id long, text string, n int, word string")
+    got = sorted(map(tuple, spelling.group_variants(frame, group=group).select("word", "n", "n_near", "form", "form_n", "root").collect()))
+    assert got == variants(docs) and any(r[5] != r[3] and r[3] for r in got)
+
+
+def test_variants_of_empty_tables_and_bad_ratios(spark, odd, empty):
+    assert spelling.group_variants(empty).count() == 0
+    assert spelling.group_variants(odd.where("text is null")).count() == 0
+    with pytest.raises(ValueError):
+        spelling.group_variants(odd, ratio=1)
+
+
+# -- mixing -----------------------------------------------------------------------------------------------------
+
+
+def wanted(sizes, times=3):
+    """Targets by the sources in order."""
+    weight = {s: 1 + k % 3 for k, s in enumerate(sizes)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left = [s for s in sizes if s not in capped]
+        level = (total - sum(times * sizes[s] for s in capped)) / max(1, sum(weight[s] for s in left))
+        more = {s for s in left if times * sizes[s] <= level * weight[s]}
+        if not more:
+            return {s: times * sizes[s] if s in capped else level * weight[s] for s in sizes}
+        capped |= more
+
+
+def test_mix_comes_near_its_targets(spark, odd):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" * 3 for _ in range(rng.randrange(400))), rng.choice(["a", "b", "é", "z", None, "z", "z"])) for i in range(600)]
+    rows += [(1000, "tiny words", "t"), (1001, None, "t"), (1002, "", "void"), (None, "x " * 500, "n"), *[(7, "same row " * 20, "a")] * 30]
+    docs = spark.createDataFrame([(*r, 3, 4) for r in rows], "doc_id long, text string, source string, taken int, at int")
+    got = source_mix.mix(docs).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, text, source in sorted(rows, key=lambda r: (r[2] is None, r[2] or "")):
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    aims = wanted(sizes)
+    taken = dict.fromkeys(sizes, 0)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(aims[r["source"]])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s in sizes:
+        assert abs(taken[s] - aims[s]) <= 4 * source_mix.BLOCK
+    assert sorted(map(str, got)) == sorted(map(str, source_mix.mix(docs.repartition(7)).collect()))
+
+
+def test_schedule_is_spread_and_covers_each_block_once(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g " * (i % 9), "xyz"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    own = source_mix.sized(docs)
+    pieces, sources = source_mix.schedule(own)
+    rows = pieces.collect()
+    assert len({(r["source"], r["doc_id"], r["start"], r["epoch"]) for r in rows}) == len(rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r["slot"], []).append(r)
+    assert all(len({r["source"] for r in x}) == 1 and sum(r["words"] for r in x) <= source_mix.BLOCK for x in by.values())
+    share = {r["source"]: r["target"] for r in sources.collect()}
+    total = sum(share.values())
+    for lo in range(0, len(by) - 200, 50):  # any stretch of slots is mixed by the targets
+        for s, t in share.items():
+            n = sum(by[k][0]["source"] == s for k in range(lo, lo + 200) if k in by)
+            assert abs(n - 200 * t / total) < 6
+
+
+def test_mix_of_odd_and_empty_tables(spark, odd, empty):
+    named = odd.withColumnRenamed("e", "source")
+    assert source_mix.mix(named).count() == named.count()
+    assert source_mix.mix(named.where("false")).count() == 0
+    assert [r["target"] for r in source_mix.mix(named.where("text is null")).collect()] == [0.0]
+
+
+@pytest.mark.parametrize("name", ["op12_spelling", "op13_source_mix"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from strandlake.llm import registry
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = registry.QUERIES[name](spark, SF)
+    want = con.execute(registry.ORACLES[name])
+    names = [x[0] for x in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())
