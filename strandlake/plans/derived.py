@@ -57,6 +57,27 @@ from orders""",
   union all select vec_id, lead(vec_id, 5) over (partition by label order by vec_id), cast(label as bigint), cast(label as bigint) from embeddings) x
 where b is not null""",
     ),
+    # alignments of 30 reference bases with planted changes: at base 12 (X), GT before 16, 20 and 21 gone, and clipped ends
+    "dv_sam": (
+        ["lineitem", "part"],
+        """select aln_id, rname, pos, strand, mapq,
+  case kind when 2 then concat(cast(16-pos as STR),'M2I',cast(14+pos as STR),'M') when 3 then concat(cast(20-pos as STR),'M2D',cast(8+pos as STR),'M')
+    when 4 then '3S30M' when 5 then concat(cast(20-pos as STR),'M2D',cast(8+pos as STR),'M') else '30M' end as cigar,
+  case kind when 1 then concat(substr(b,cast(pos as int),cast(12-pos as int)),alt,substr(b,13,cast(17+pos as int)))
+    when 2 then concat(substr(b,cast(pos as int),cast(16-pos as int)),'GT',substr(b,16,cast(14+pos as int)))
+    when 3 then concat(substr(b,cast(pos as int),cast(20-pos as int)),substr(b,22,cast(8+pos as int)))
+    when 4 then concat('TTT',substr(b,cast(pos as int),30))
+    when 5 then concat(substr(b,cast(pos as int),cast(12-pos as int)),alt,substr(b,13,7),substr(b,22,cast(8+pos as int)))
+    else substr(b,cast(pos as int),30) end as seq,
+  substr(marks,1,case kind when 2 then 32 when 3 then 28 when 4 then 33 when 5 then 28 else 30 end) as quals
+from (select concat(cast(l_orderkey as STR),'-',cast(l_linenumber as STR),'-',cast(l_partkey as STR),'-',cast(l_suppkey as STR)) as aln_id,
+    concat('ctg_', cast(l_partkey as STR)) as rname, cast(1+l_suppkey%10 as bigint) as pos,
+    cast(l_linenumber%2 as bigint) as strand, cast(round(l_discount*400) as bigint) as mapq, (l_orderkey+l_linenumber+l_partkey)%7 as kind,
+    translate(concat(md5(cast(l_orderkey as STR)),md5(cast(l_linenumber as STR))),'0123456789abcdef','+5?DGHIIIIIII!5?') as marks,
+    b, translate(substr(b,12,1),'ACGTN','CGTAA') as alt
+  from lineitem join (select p_partkey, substr(translate(concat(md5(concat('x',cast(p_partkey as STR))),md5(concat('y',cast(p_partkey as STR))),
+      md5(concat('z',cast(p_partkey as STR))),md5(concat('w',cast(p_partkey as STR)))),'0123456789abcdef','ACGTACGTACGTACGN'),1,cast(40+p_size as int)) as b from part) p on p_partkey=l_partkey) x""",
+    ),
     "dv_features": (
         ["lineitem"],
         """select concat('ctg_', cast(l_partkey as STR)) as seqid, case when l_linenumber%3=0 then 'gene' else 'CDS' end as type,
