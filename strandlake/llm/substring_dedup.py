@@ -11,12 +11,16 @@ shuffle would move the corpus many times over, so edges are made in bundles wher
 2. Edges that several documents hold are the repeated part of the graph. In- and out-degrees come from aggregates; where
    a node has one edge in and one out, a join makes the second edge follow the first. Pointer doubling over these joins
    compacts nonbranching paths to unitigs, each edge with its offset in words. Edges on a cycle stay single.
-3. An edge of a document that also is in a smaller one is covered; neighbouring edges of a unitig that come from the same
-   place of the same source document are one span, with its source coordinates.
+3. Documents walk through unitigs: each occurrence of an edge is a place (unitig, offset). A place has one source, the
+   smallest document that walks through it; other documents are covered there. Neighbouring places of a unitig with the
+   same source are one span, with its source coordinates.
 4. Anchors with more than one key are where paths branch: windows of different edges may still be equal. Only there the
    first occurrence of each edge is opened into single windows, which join on their own hash and digest. What is found
    in it holds as well for later occurrences of the edge in the same document, moved by their distance.
-5. The words under the spans go.
+5. Source coordinates verify the spans: the words of each span and those at its source are read once more and compared
+   by a digest of their bytes. The words under verified spans go.
+
+Texts are told apart by id and a hash of the text, so rows that share an id may differ; they are one document then.
 
 A window is removed from a document exactly if its word sequence also starts in a document with a smaller id.
 """
@@ -38,7 +42,8 @@ ANCHOR = 16
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    return rows.select("i", F.xxhash64("t").alias("r"), "t")
 
 
 class Words:
@@ -74,12 +79,12 @@ def text_paths(words: Words, window: int = WINDOW, anchor: int = ANCHOR):
     return text[first], start[first] - words.at[:-1][text[first]], n, least[first]
 
 
-PATHS = ["i long", "s int", "n int", "a long", "k long", "v long", "from long", "to long"]
+PATHS = ["i long", "r long", "s int", "n int", "a long", "k long", "v long", "from long", "to long"]
 
 
 def paths(rows: DataFrame) -> DataFrame:
-    """(i, s, n, a, k, v, from, to): document, first window, number of windows, anchor, hash and digest of the words,
-    nodes."""
+    """(i, r, s, n, a, k, v, from, to): document, its text, first window, number of windows, anchor, hash and digest of the
+    words, nodes."""
 
     def run(batches):
         for batch in batches:
@@ -89,7 +94,7 @@ def paths(rows: DataFrame) -> DataFrame:
                 x = words.at[:-1][text] + s
                 end = x + n + WINDOW - 1
                 long = [words.roll.ranges(x, end), words.digests(x, end), words.roll.ranges(x, x + WINDOW - 1), words.roll.ranges(x + n, end)]
-                yield pa.RecordBatch.from_arrays([part["i"].take(pa.array(text)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), long_array(a), *map(long_array, long)], names=[c.split()[0] for c in PATHS])
+                yield pa.RecordBatch.from_arrays([*(part[c].take(pa.array(text)) for c in "ir"), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), long_array(a), *map(long_array, long)], names=[c.split()[0] for c in PATHS])
 
     return rows.mapInArrow(run, ", ".join(f"`{c.split()[0]}` {c.split()[1]}" for c in PATHS))
 
@@ -125,54 +130,90 @@ def unitigs(edges: DataFrame) -> DataFrame:
     return out
 
 
-def open_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Windows (i, s, f, a, h, v) of the paths in spans (i, s, n, a), f being a path's s; the documents are dropped at the
-    scan by a filter unless they have such a path."""
-    words = id_filter(spans, "i")
-    per_doc = spans.groupBy("i").agg(F.collect_list(F.struct("s", "n", "a")).alias("p"))
+def _near(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (i, r, t), each once, of documents with an id in ids (column i); a filter may let a few more through."""
+    words = id_filter(ids, "i")
 
     def near(batches):
         for batch in batches:
             yield batch.filter(pa.array(in_filter(words, batch["i"].to_numpy())))
 
+    return rows.mapInArrow(near, "i long, r long, t string").groupBy("i", "r").agg(F.first("t").alias("t"))
+
+
+def _flat(column: pa.Array, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many structs each row's list has, and their fields."""
+    flat = column.flatten()
+    return np.diff(column.offsets.to_numpy()), [flat.field(x).to_numpy() for x in range(fields)]
+
+
+def open_windows(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Windows (i, r, s, f, a, h, v) of the paths in spans (i, r, s, n, a), f being a path's s; the documents are dropped
+    at the scan by a filter unless they have such a path."""
+    per_doc = spans.groupBy("i", "r").agg(F.collect_list(F.struct("s", "n", "a")).alias("p"))
+
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "t"):
                 own = Words(part["t"])
-                flat = part["p"].flatten()
-                per = np.diff(part["p"].offsets.to_numpy())
-                s, n, a = (flat.field(x).to_numpy() for x in range(3))
+                per, (s, n, a) = _flat(part["p"], 3)
                 base = np.repeat(own.at[:-1], per)
                 at_doc = np.repeat(np.arange(len(per)), per)
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 pos = np.repeat(s, n) + step
                 begin = np.repeat(base, n) + pos
                 hashes = [own.roll.ranges(begin, begin + WINDOW), own.digests(begin, begin + WINDOW)]
-                yield pa.RecordBatch.from_arrays(
-                    [part["i"].take(pa.array(np.repeat(at_doc, n))), pa.array(pos.astype(np.int32)), pa.array(np.repeat(s, n)), pa.array(np.repeat(a, n)), *map(long_array, hashes)],
-                    names=["i", "s", "f", "a", "h", "v"],
-                )
+                at = pa.array(np.repeat(at_doc, n))
+                yield pa.RecordBatch.from_arrays([part["i"].take(at), part["r"].take(at), pa.array(pos.astype(np.int32)), pa.array(np.repeat(s, n)), pa.array(np.repeat(a, n)), *map(long_array, hashes)], names=["i", "r", "s", "f", "a", "h", "v"])
 
-    some = rows.mapInArrow(near, "i long, t string").groupBy("i").agg(F.min("t").alias("t"))
-    return some.join(per_doc.hint("shuffle_hash"), "i").select("i", "t", "p").mapInArrow(run, "i long, s int, f int, a long, h long, v long")
+    joined = _near(rows, spans).join(per_doc.hint("shuffle_hash"), ["i", "r"])
+    return joined.select("i", "r", "t", "p").mapInArrow(run, "i long, r long, s int, f int, a long, h long, v long")
 
 
 def runs(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans (i, s, e, fi, fs) of hits (i, s, n, fi, fs and keys): windows s to s + n in document i, of the words at fs in
-    document fi. Hits of one key that follow each other without a gap are one span."""
-    keys = ["i", "fi", "shift", *keys]
+    """Spans (i, r, s, e, fi, fr, fs) of hits (i, r, s, n, fi, fr, fs and keys): windows s to s + n in text (i, r), of the
+    words at fs in text (fi, fr). Hits of one key that follow each other without a gap are one span."""
+    keys = ["i", "r", "fi", "fr", "shift", *keys]
     before = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     placed = hits.withColumn("shift", F.col("s") - F.col("fs")).dropDuplicates([*keys, "s"])
     placed = placed.withColumn("run", F.col("s") - F.coalesce(F.sum("n").over(before), F.lit(0)))
     merged = placed.groupBy(*keys, "run").agg(F.min("s").alias("s"), F.sum("n").alias("n"), F.min("fs").alias("fs"))
-    return merged.select("i", "s", (F.col("s") + F.col("n") + WINDOW - 1).cast("int").alias("e"), "fi", "fs")
+    return merged.select("i", "r", "s", (F.col("s") + F.col("n") + WINDOW - 1).cast("int").alias("e"), "fi", "fr", "fs")
 
 
-def sourced_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, s, e, fi, fs): word ranges [s, e) of documents to remove, each with the place fs in the smaller document fi that
-    has the same words. Ranges of one document may overlap.
+def range_digests(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(i, r, s, e, d): a digest of the words [s, e) of each range (i, r, s, e); null where a text has fewer words."""
+    per_doc = ranges.groupBy("i", "r").agg(F.collect_set(F.struct("s", "e")).alias("p"))
 
-    Rows that repeat an id are taken to repeat its text; of several texts the least is opened."""
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "t"):
+                own = Words(part["t"])
+                per, (s, e) = _flat(part["p"], 2)
+                base, top = np.repeat(own.at[:-1], per), np.repeat(own.at[1:], per)
+                fits = (base + e <= top) & (s < e)
+                d = np.zeros(len(s), np.int64)
+                d[fits] = own.digests((base + s)[fits], (base + e)[fits]).view(np.int64)
+                at = pa.array(np.repeat(np.arange(len(per)), per))
+                yield pa.RecordBatch.from_arrays([part["i"].take(at), part["r"].take(at), pa.array(s), pa.array(e), pa.array(d, mask=~fits)], names=["i", "r", "s", "e", "d"])
+
+    joined = _near(rows, ranges).join(per_doc.hint("shuffle_hash"), ["i", "r"])
+    return joined.select("i", "r", "t", "p").mapInArrow(run, "i long, r long, s int, e int, d long")
+
+
+def verified(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans whose words are those at their source."""
+    ends = F.col("fs") + F.col("e") - F.col("s")
+    there = spans.select(F.col("fi").alias("i"), F.col("fr").alias("r"), F.col("fs").alias("s"), ends.cast("int").alias("e"))
+    read = stored(range_digests(rows, stored(spans.select("i", "r", "s", "e").union(there).distinct())))
+    source = read.select(F.col("i").alias("fi"), F.col("r").alias("fr"), F.col("s").alias("fs"), F.col("e").alias("fe"), F.col("d").alias("fd"))
+    out = spans.withColumn("fe", ends.cast("int")).join(read, ["i", "r", "s", "e"]).join(source, ["fi", "fr", "fs", "fe"])
+    return out.where("d = fd").select("i", "r", "s", "e", "fi", "fr", "fs")
+
+
+def sourced_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(i, r, s, e, fi, fr, fs): word ranges [s, e) of texts to remove, each with the place fs in the text (fi, fr) of a
+    smaller document that has the same words. Ranges of one text may overlap. A text is a document's id and a hash."""
     rows = _rows(docs, id_col, text_col)
     found = paths(rows)
     anchors = found.groupBy("a").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.min("k").alias("k0"), F.max("k").alias("k1"))
@@ -180,29 +221,34 @@ def sourced_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = stored(found.join(shared, "a"))
     key = ["a", "k", "v"]
     first = near.groupBy(*key).agg(
-        F.min(F.struct("i", "s")).alias("f"), F.max(F.struct(F.bitwise_not("i"), "s")).alias("l"), F.max("i").alias("last"), *[F.first(c).alias(c) for c in ("n", "branch", "from", "to")]
+        F.min(F.struct("i", "r", "s")).alias("f"), F.max(F.struct(F.bitwise_not("i"), "r", "s")).alias("l"), F.max("i").alias("last"), *[F.first(c).alias(c) for c in ("n", "branch", "from", "to")]
     )
-    first = stored(first.select(*key, F.col("f.i").alias("fi"), F.col("f.s").alias("fs"), F.col("l.s").alias("ls"), "last", "n", "branch", "from", "to"))
+    again = (F.col("f.r") != F.col("l.r")) | (F.col("f.s") != F.col("l.s"))  # occurs again in its first document
+    first = stored(first.select(*key, F.col("f.i").alias("fi"), F.col("f.r").alias("fr"), F.col("f.s").alias("fs"), again.alias("again"), "last", "n", "branch", "from", "to"))
     edges = first.where("fi <> last")
     # one row for each k: keys of one rolling hash and several digests, should there be any, stay single
     compact = unitigs(edges.groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "from", "to")], F.count("*").alias("c")).where("c = 1").drop("c"))
-    placed = stored(edges.join(compact, "k", "left").select(*key, "fi", "fs", F.coalesce("u", "k").alias("u")))
-    whole = runs(near.join(placed, key).where("i > fi").select("i", "s", "n", "fi", "fs", "u"), ["u"])
-    windows = stored(open_windows(rows, first.where("branch").select(F.col("fi").alias("i"), F.col("fs").alias("s"), "n", "a")))
-    earliest = windows.groupBy("a", "h", "v").agg(F.min(F.struct("i", "s")).alias("w"), F.max("i").alias("last"))
-    earliest = stored(earliest.where("w.i <> last").select("a", "h", "v", F.col("w.i").alias("fi"), F.col("w.s").alias("fs")))
-    part = stored(windows.join(earliest, ["a", "h", "v"]).where("i > fi").select("i", "s", "f", "a", "fi", "fs"))
-    again = near.join(first.where("branch and fs <> ls").select(*key, "fi", "fs"), key).where("i = fi and s > fs").select("i", "a", F.col("fs").alias("f"), (F.col("s") - F.col("fs")).alias("d"))
-    moved = part.join(again, ["i", "a", "f"]).select("i", (F.col("s") + F.col("d")).alias("s"), "fi", "fs")
-    single = runs(part.select("i", "s", "fi", "fs").union(moved).withColumn("n", F.lit(1)), [])
-    out = stored(whole.union(single))
-    discard(shared, near, first, compact, placed, windows, earliest, part)
+    placed = edges.join(compact, "k", "left").select(*key, F.coalesce("u", F.xxhash64("k", "v")).alias("u"), F.coalesce("o", F.lit(0)).cast("long").alias("o"))
+    walks = stored(near.join(placed, key).select("i", "r", "s", "n", "u", "o"))
+    source = walks.groupBy("u", "o").agg(F.min(F.struct("i", "r", "s")).alias("f")).select("u", "o", F.col("f.i").alias("fi"), F.col("f.r").alias("fr"), F.col("f.s").alias("fs"))
+    whole = runs(walks.join(source, ["u", "o"]).where("i > fi").select("i", "r", "s", "n", "fi", "fr", "fs", "u"), ["u"])
+    windows = stored(open_windows(rows, first.where("branch").select(F.col("fi").alias("i"), F.col("fr").alias("r"), F.col("fs").alias("s"), "n", "a")))
+    earliest = windows.groupBy("a", "h", "v").agg(F.min(F.struct("i", "r", "s")).alias("w"), F.max("i").alias("last"))
+    earliest = stored(earliest.where("w.i <> last").select("a", "h", "v", F.col("w.i").alias("fi"), F.col("w.r").alias("fr"), F.col("w.s").alias("fs")))
+    part = stored(windows.join(earliest, ["a", "h", "v"]).where("i > fi").select("i", "r", "s", "f", "a", "fi", "fr", "fs"))
+    more = near.join(first.where("branch and again").select(*key, "fi", F.col("fr").alias("r0"), F.col("fs").alias("f")), key).where("i = fi and (r <> r0 or s <> f)")
+    more = more.select("i", "r0", F.col("r").alias("to"), "a", "f", (F.col("s") - F.col("f")).alias("d"))
+    moved = part.withColumnRenamed("r", "r0").join(more, ["i", "r0", "a", "f"]).select("i", F.col("to").alias("r"), (F.col("s") + F.col("d")).alias("s"), "fi", "fr", "fs")
+    single = runs(part.select("i", "r", "s", "fi", "fr", "fs").union(moved).withColumn("n", F.lit(1)), [])
+    spans = stored(whole.union(single))
+    out = stored(verified(rows, spans))
+    discard(shared, near, first, compact, walks, windows, earliest, part, spans)
     return out
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, spans): per document with repeated windows the word ranges [s, e) to remove, unmerged."""
-    return sourced_spans(docs, id_col, text_col).groupBy("i").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    """(i, r, spans): per text with repeated windows the word ranges [s, e) to remove, unmerged."""
+    return sourced_spans(docs, id_col, text_col).groupBy("i", "r").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def kept_words(data: np.ndarray, offsets: np.ndarray, spans: list) -> list[tuple[int, int, bytes]]:
@@ -225,10 +271,11 @@ def kept_words(data: np.ndarray, offsets: np.ndarray, spans: list) -> list[tuple
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (words that stay, joined by one space). Null texts have no words;
-    rows with a null id lose nothing; documents without repeated windows do not pass the join."""
+    rows with a null id lose nothing; rows that share an id are one document, each with its own text; documents without
+    repeated windows do not pass the join."""
     spans = stored(repeated_spans(docs, id_col, text_col))
     words = id_filter(spans, "i")
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).select("i", F.xxhash64("t").alias("r"), "t")
     kind = "doc_id long, n_words long, n_removed long, kept string"
 
     def emit(part, cover):
@@ -252,7 +299,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for part in chunks(batch, "t"):
                 yield emit(part, part["spans"].to_pylist())
 
-    joined = rows.mapInArrow(maybe, "i long, t string").join(spans.hint("shuffle_hash"), "i", "left").select("i", "t", "spans")
+    joined = rows.mapInArrow(maybe, "i long, r long, t string").join(spans.hint("shuffle_hash"), ["i", "r"], "left").select("i", "t", "spans")
     return rows.mapInArrow(untouched, kind).union(joined.mapInArrow(cut, kind))
 
 

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.llm import lexical_search, source_mix, spelling
+from strandlake.llm import lexical_search, source_mix, spelling, substring_dedup
 from tests.conftest import SF
 
 TERM = re.compile(lexical_search.TERM)
@@ -242,3 +242,34 @@ def test_queries_against_sql(spark, name):
     want = con.execute(registry.ORACLES[name])
     names = [x[0] for x in want.description]
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())
+
+
+# -- substring dedup of ids with several texts --------------------------------------------------------------------
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    import random
+
+    rnd = random.Random(8)
+    new = lambda n, tag="w": [f"{tag}{rnd.randrange(10**6)}" for _ in range(n)]
+    shared, other = new(60), new(90)
+    rows = [(1, new(40, "a") + shared + new(40, "b")), (2, new(300) + shared), (2, ["b", "short"]), (3, new(400) + shared), (3, ["a", "tiny", "text"])]
+    rows += [(3, shared + other + shared), (4, other[:70] + shared + other), (4, other + new(3)), (5, new(5)), (2, new(20) + other + shared + new(9) + other)]
+    first, want = {}, []
+    for i, w in sorted(rows, key=lambda r: r[0]):
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s : s + 50]), i)
+    for i, w in rows:
+        gone = {x for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < i for x in range(s, s + 50)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.dedup(docs).collect())) == sorted(want)
+    assert sorted(map(tuple, substring_dedup.dedup(docs.union(docs)).collect())) == sorted(want * 2)
+
+
+def test_spans_are_verified_at_their_source(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f"), (2, "x b c d y"), (2, "q")], "i long, t string").selectExpr("i", "xxhash64(t) as r", "t")
+    r = {x["t"][0]: x["r"] for x in rows.collect()}
+    spans = [(2, r["x"], 1, 4, 1, r["a"], 1), (2, r["x"], 1, 4, 1, r["a"], 2), (2, r["x"], 1, 5, 1, r["a"], 1), (2, r["q"], 0, 9, 1, r["a"], 0)]
+    frame = spark.createDataFrame(spans, "i long, r long, s int, e int, fi long, fr long, fs int")
+    assert [tuple(x) for x in substring_dedup.verified(rows, frame).collect()] == spans[:1]
