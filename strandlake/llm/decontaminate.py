@@ -2,8 +2,8 @@
 
 Tokens are lower-cased words without marks around them. Every run of MIN_MATCH tokens is a seed with a rolling
 Karp-Rabin hash; seeds of documents are dropped at the scan unless a fixed-size filter over the benchmark's seeds
-passes them, and the rest joins the benchmark's seeds. An item of fewer tokens is one seed as a whole and
-meets only documents that are made of just these tokens: so short a run inside a longer text is no evidence. Matches of a
+passes them, and the rest joins the benchmark's seeds. An item of fewer tokens is one seed as a whole; documents have
+seeds of such a length too if the benchmark has items of it. Matches of a
 document and an item are maximal runs of seeds on a diagonal, found by a window, so that a phrase that both repeat is a
 row for each diagonal. Greedy string tiling then marks the longest match again and again, none overlapping another, and the share
 of the item's tokens under tiles is its coverage: a reordered passage is covered in pieces.
@@ -54,6 +54,22 @@ def seeds(texts: pa.Array, n: int = MIN_MATCH) -> tuple[np.ndarray, np.ndarray,
     return h.view(np.int64), np.concatenate([text, short]), np.concatenate([start - at[text], np.zeros(len(short), np.int64)])
 
 
+def windows(texts: pa.Array, n: int, short: list[int] | tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, token position) of all windows of n tokens, and of the first of each kind in a text of those
+    with a length in short: an item of so few tokens is covered by one."""
+    words, at = tokens(texts)
+    roll, found = Rolling(words), []
+    for k in [n, *short]:
+        start, text = window_starts(at, k)
+        h = roll.ranges(start, start + k).view(np.int64)
+        if k != n:
+            order = np.lexsort((start, h, text))
+            new = np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(text[order]) != 0)])[: len(order)]
+            start, text, h = (x[order[new]] for x in (start, text, h))
+        found.append((h, text, start - at[text]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def benchmark_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = MIN_MATCH) -> DataFrame:
     """item_id, item_pos, item_tokens, seed. Null ids and texts without tokens are left out."""
 
@@ -67,13 +83,13 @@ def benchmark_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "
     return rows.mapInArrow(run, "item_id long, item_pos long, item_tokens long, seed long")
 
 
-def document_seeds(docs: DataFrame, words: np.ndarray, id_col: str = "doc_id", text_col: str = "text", n: int = MIN_MATCH) -> DataFrame:
-    """doc_id, doc_pos, seed of the windows that the filter passes."""
+def document_seeds(docs: DataFrame, words: np.ndarray, id_col: str = "doc_id", text_col: str = "text", n: int = MIN_MATCH, short: list[int] | tuple = ()) -> DataFrame:
+    """doc_id, doc_pos, seed of the windows of n tokens, and of the lengths in short, that the filter passes."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "t"):
-                h, text, pos = seeds(part["t"], n)
+                h, text, pos = windows(part["t"], n, short)
                 some = np.flatnonzero(in_filter(words, h))
                 yield pa.RecordBatch.from_arrays([part["i"].take(pa.array(text[some])), pa.array(pos[some]), pa.array(h[some])], names=["doc_id", "doc_pos", "seed"])
 
@@ -125,7 +141,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     A document id that is repeated with one text counts once; with several texts, their seeds count together."""
     bench = stored(benchmark_seeds(items, item_col, item_text, n))
     words = id_filter(bench.select("seed"), "seed", FILTER_BITS)
-    found = document_seeds(docs, words, id_col, text_col, n).join(bench, "seed")
+    short = [r[0] for r in bench.where(F.col("item_tokens") < n).select("item_tokens").distinct().collect()]  # below n
+    found = document_seeds(docs, words, id_col, text_col, n, short).join(bench, "seed")
     by = ["doc_id", "item_id", "item_tokens", "shift"]
     placed = found.select(*by[:3], (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "doc_pos", "item_pos").dropDuplicates([*by, "doc_pos"])
     placed = placed.withColumn("run", F.col("doc_pos") - F.row_number().over(Window.partitionBy(*by).orderBy("doc_pos")))

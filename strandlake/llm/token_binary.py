@@ -230,7 +230,6 @@ def shared_words(path: str) -> Words:
 
 SEGMENTS = "shard long, seq long, n_tokens long, payload binary"
 DOCS_MAGIC = b"DOCS1\0"
-NO_ID = np.iinfo(np.int64).min
 
 
 def pack(ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> bytes:
@@ -267,14 +266,15 @@ def write_segments(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         parts, held = [], 0
 
         def segment():
-            ids, lengths, flat = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            payload = pack(ids, ids != NO_ID, lengths, flat)
+            ids, known, lengths, flat = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            payload = pack(ids, known, lengths, flat)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((shard, pa.int64()), (seq, pa.int64()), (len(flat), pa.int64()), (payload, pa.binary()))], names=["shard", "seq", "n_tokens", "payload"])
 
         for batch in batches:
             for piece in chunks(batch, "text"):
                 flat, lengths = words.encode(piece["text"])
-                parts.append((piece["doc_id"].fill_null(NO_ID).to_numpy(), lengths, flat))
+                known = piece["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+                parts.append((piece["doc_id"].fill_null(0).to_numpy(), known, lengths, flat))
                 held += len(flat)
                 if held >= SEGMENT:
                     yield segment()

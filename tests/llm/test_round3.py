@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.llm import lexical_search, source_mix, spelling, substring_dedup
+from strandlake.llm import decontaminate, lexical_search, quality_rules, source_mix, spelling, substring_dedup, token_binary
 from tests.conftest import SF
 
 TERM = re.compile(lexical_search.TERM)
@@ -273,3 +273,32 @@ def test_spans_are_verified_at_their_source(spark):
     spans = [(2, r["x"], 1, 4, 1, r["a"], 1), (2, r["x"], 1, 4, 1, r["a"], 2), (2, r["x"], 1, 5, 1, r["a"], 1), (2, r["q"], 0, 9, 1, r["a"], 0)]
     frame = spark.createDataFrame(spans, "i long, r long, s int, e int, fi long, fr long, fs int")
     assert [tuple(x) for x in substring_dedup.verified(rows, frame).collect()] == spans[:1]
+
+
+# -- repairs ----------------------------------------------------------------------------------------------------
+
+
+def test_short_items_inside_longer_documents(spark):
+    docs = spark.createDataFrame([(1, "we say Alpha, beta gamma! here"), (2, "alpha beta"), (3, "gamma beta alpha"), (4, "delta"), (5, "alpha beta gamma"), (6, None), (7, "so delta, and delta")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta"), (3, "one two three four five six")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.overlaps(docs, items).collect()}
+    assert got == {(1, 1): 1.0, (5, 1): 1.0, (4, 2): 1.0, (7, 2): 1.0}
+
+
+def test_the_least_id_comes_back(spark):
+    import public_tokenizers
+
+    least = -(2**63)
+    docs = spark.createDataFrame([(least, "a b"), (None, "c"), (0, ""), (least, "a b")], "doc_id long, text string")
+    got = token_binary.read_segments(token_binary.write_segments(docs, public_tokenizers.path("word_bpe_49k.json"))).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, least, least, 0]
+
+
+def test_strata_and_trials(spark):
+    rows = [(i, "word " * 30, None if i % 3 == 0 else "" if i % 3 == 1 else "en") for i in range(30)] + [(1, "word " * 40, "")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    measured = quality_rules.metrics(docs)
+    assert {r[0] for r in measured.select("stratum").distinct().collect()} == {"", "=", "=en"}
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(30)], "doc_id long, quality int")
+    for r in quality_rules.fit_cutoffs(measured, labels, alpha=0.99, delta=0.99).collect():
+        assert r["good"] + r["bad"] == 10  # a repeated row is no further trial
