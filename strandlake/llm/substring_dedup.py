@@ -230,7 +230,9 @@ def sourced_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     compact = unitigs(edges.groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "from", "to")], F.count("*").alias("c")).where("c = 1").drop("c"))
     placed = edges.join(compact, "k", "left").select(*key, F.coalesce("u", F.xxhash64("k", "v")).alias("u"), F.coalesce("o", F.lit(0)).cast("long").alias("o"))
     walks = stored(near.join(placed, key).select("i", "r", "s", "n", "u", "o"))
+    # stored, so that the join stands alone and Spark can split a place that many documents walk through
     source = walks.groupBy("u", "o").agg(F.min(F.struct("i", "r", "s")).alias("f")).select("u", "o", F.col("f.i").alias("fi"), F.col("f.r").alias("fr"), F.col("f.s").alias("fs"))
+    source = stored(source)
     whole = runs(walks.join(source, ["u", "o"]).where("i > fi").select("i", "r", "s", "n", "fi", "fr", "fs", "u"), ["u"])
     windows = stored(open_windows(rows, first.where("branch").select(F.col("fi").alias("i"), F.col("fr").alias("r"), F.col("fs").alias("s"), "n", "a")))
     earliest = windows.groupBy("a", "h", "v").agg(F.min(F.struct("i", "r", "s")).alias("w"), F.max("i").alias("last"))
@@ -242,7 +244,7 @@ def sourced_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     single = runs(part.select("i", "r", "s", "fi", "fr", "fs").union(moved).withColumn("n", F.lit(1)), [])
     spans = stored(whole.union(single))
     out = stored(verified(rows, spans))
-    discard(shared, near, first, compact, walks, windows, earliest, part, spans)
+    discard(shared, near, first, compact, walks, source, windows, earliest, part, spans)
     return out
 
 
