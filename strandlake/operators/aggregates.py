@@ -320,20 +320,21 @@ def est_stats(df: DataFrame) -> DataFrame:
 # -- variants ---------------------------------------------------------------------------------------------------
 
 
-def call_variants(obs: DataFrame, segments: DataFrame, min_count: int = 2, min_fraction: float = 0.1, min_score: float = 5.0, ploidy: int = 1) -> DataFrame:
+def call_variants(obs: DataFrame, segments: DataFrame, min_count: int = 2, min_fraction: float = 0.1, min_score: float = 1.0, ploidy: int = 1) -> DataFrame:
     """obs: chrom, pos, ref, alt, base_qual, mapq, strand, end_distance of every allele seen in a read.
 
-    The score is a documented stand-in: mean quality times the square root of the count, less 10 for one strand only
-    and 5 for alleles only near read ends."""
+    For alleles that are already told; pileup.call_alignments finds them in alignments. The score is that of
+    pileup.phred_score."""
     g = obs.groupBy("chrom", "pos", "ref", "alt").agg(F.count("*").alias("count"), F.sum("base_qual").alias("qual_sum"), F.max("base_qual").alias("qual_max"), F.max("mapq").alias("mapq_max"), F.count_if(F.col("strand") == 0).alias("plus"), F.max("end_distance").alias("end_max"))
     from strandlake.operators.joins import interval_join
+    from strandlake.operators.pileup import phred_score
 
     # places meet depth runs in bins; no two runs of a contig hold one place
     places = g.select("chrom", F.col("pos").alias("start"), F.col("pos").alias("stop")).distinct()
     s = interval_join(places, segments.select(F.col("contig").alias("chrom"), "start", "stop", "depth"), "chrom")
     rows = g.join(s.select("chrom", F.col("start").alias("pos"), F.col("depth_b").alias("depth")), ["chrom", "pos"], "left").fillna(0, ["depth"])
-    score = F.col("qual_sum") / F.col("count") * F.sqrt("count") - F.when((F.col("plus") == 0) | (F.col("plus") == F.col("count")), 10).otherwise(0) - F.when(F.col("end_max") < 5, 5).otherwise(0)
     fraction = F.col("count") / F.greatest("depth", "count")
+    score = phred_score(fraction, F.col("qual_sum") / F.col("count"), F.greatest("depth", "count"))
     rows = rows.withColumns({"fraction": F.round(fraction, 6), "score": F.round(score, 6)})
     copies = F.greatest(F.lit(1), F.round(fraction * ploidy)).cast("int")
     genotype = F.array_join(F.concat(F.array_repeat(F.lit("0"), F.lit(ploidy) - copies), F.array_repeat(F.lit("1"), copies)), "/")
@@ -349,32 +350,27 @@ def merge_samples(df: DataFrame) -> DataFrame:
 
 def consensus(votes: DataFrame, reference: DataFrame, min_depth: int = 1) -> DataFrame:
     """Reference bases by weighted votes (contig, pos, base, weight): the reference stays unless it has less than half
-    of the weight. Returns (contig, bases)."""
-    w = votes.groupBy("contig", "pos", "base").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
-    top = w.groupBy("contig", "pos").agg(F.max(F.struct("w", "base")).alias("t"), F.sum("w").alias("total"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("base", "w"))).alias("m"))
-    made = top.where(F.col("n") >= min_depth).groupBy("contig").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("t.base", "total", "m")))).alias("v"))
-    rows = reference.join(made, reference["name"] == F.col("contig"), "left")
-
-    def one(b: Column, i: Column) -> Column:
-        x = F.try_element_at("v", (i + 1).cast("bigint"))
-        own = F.coalesce(F.try_element_at(x["m"], b), F.lit(0).cast("bigint"))
-        return F.when(x.isNull() | (own * 2 >= x["total"]), b).otherwise(x["base"])
+    of the weight. Votes meet the reference in tiles. Returns (contig, bases). pileup.consensus_alignments votes on
+    insertions and deletions too."""
+    from strandlake.operators.pileup import TILE, rebuilt, tiles
 
-    return rows.select(F.col("name").alias("contig"), F.when(F.col("v").isNull(), F.col("bases")).otherwise(F.array_join(F.transform(letters(F.col("bases")), one), "")).alias("bases"))
+    w = votes.groupBy("contig", "pos", "base").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    at = w.withColumns({"chrom": F.col("contig"), "tile": F.floor((F.col("pos") - 1) / TILE)}).join(tiles(reference), ["chrom", "tile"])
+    own = F.col("base") == F.substring("ref", (F.col("pos") - F.col("tile") * TILE).cast("int"), F.lit(1))
+    top = at.groupBy("contig", "pos").agg(F.max(F.struct("w", "base")).alias("t"), F.sum("w").alias("total"), F.sum("n").alias("n"), F.sum(F.when(own, F.col("w")).otherwise(0)).alias("own"))
+    changed = top.where((F.col("n") >= min_depth) & (F.col("own") * 2 < F.col("total")))
+    edits = changed.select(F.col("contig").alias("name"), F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"), F.col("t.base").alias("put"))
+    return rebuilt(reference, edits).withColumnRenamed("name", "contig")
 
 
 def apply_variants(reference: DataFrame, variants: DataFrame) -> DataFrame:
     """reference (name, bases) with variants (chrom, pos, ref, alt, count) put in; of those that overlap the one with
-    the higher count wins, then the earlier one."""
-    v = variants.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), F.col("pos").cast("int").alias("p"), "ref", "alt"))).alias("v"))
-    empty = F.array().cast("array<struct<p:int,ref:string,alt:string>>")
-    clash = lambda s, x: F.exists(s, lambda y: (x["p"] < y["p"] + F.length(y["ref"])) & (y["p"] < x["p"] + F.length(x["ref"])))
-    chosen = F.array_sort(F.aggregate("v", empty, lambda s, x: F.when(clash(s, x), s).otherwise(F.concat(s, F.array(F.struct(x["p"].alias("p"), x["ref"].alias("ref"), x["alt"].alias("alt")))))))
-    rows = reference.join(v, reference["name"] == F.col("chrom"), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-    add = lambda s, x: F.struct(F.concat(s["out"], F.substring("bases", s["at"], x["p"] - s["at"]), x["alt"]).alias("out"), (x["p"] + F.length(x["ref"])).alias("at"))
-    done = F.transform(F.array(F.aggregate(chosen, start, add)), lambda s: F.concat(s["out"], F.substring("bases", s["at"], F.length("bases"))))[0]
-    return rows.select("name", F.when(F.col("v").isNull(), F.col("bases")).otherwise(done).alias("bases"))
+    the higher count wins, then the earlier one. Sequences are put together from tiles."""
+    from strandlake.operators.pileup import rebuilt, settle_overlaps
+
+    pos = F.col("pos").cast("long")
+    chosen = settle_overlaps(variants.withColumn("pos", pos))
+    return rebuilt(reference, chosen.select(F.col("chrom").alias("name"), F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("stop"), F.col("alt").alias("put")))
 
 
 def consect(original: DataFrame, corrected: list[DataFrame], id_col: str = "ordinal") -> DataFrame:

@@ -23,6 +23,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = nxt.select("x", "l")
 
 
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, w) with a < b: the spanning forest of most weight of undirected edges (a, b, w). Equal weights are ordered by
+    (a, b), so the forest is one; of edges of one pair the heaviest counts, loops do not.
+
+    Boruvka rounds: every component takes the best edge that leaves it (a partial aggregate, so a hub is no group), and
+    components merge over what was taken; the number of components at least halves each time."""
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a < b")
+    left = settled(e.groupBy("a", "b").agg(F.max("w").alias("w")).select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    forest = left.select("a", "b", "w").where("false")
+    while not left.isEmpty():
+        order = F.struct((-F.col("w")).alias("m"), "a", "b")
+        ends = left.select(F.col("ca").alias("c"), order.alias("o")).union(left.select("cb", order))
+        taken = settled(ends.groupBy("c").agg(F.min("o").alias("o")).select("o.a", "o.b").distinct().join(left, ["a", "b"]))
+        forest = settled(forest.union(taken.select("a", "b", "w")))
+        merged = settled(connected_components(taken, "ca", "cb"))
+        for c in ("ca", "cb"):
+            left = left.join(merged.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+        left = settled(left.where("ca <> cb").select("a", "b", "w", "ca", "cb"))
+    return forest
+
+
 def representatives(edges: DataFrame, nodes: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Greedy cover: nodes (id, size) by sum + 0.25 * sum * ln(size), falling; a node is taken if no taken neighbour
     comes before it. Rounds take every node that leads its open neighbours, which gives the greedy order's answer."""
@@ -149,34 +170,77 @@ def chain_places(nodes: DataFrame, link: DataFrame) -> DataFrame:
     return ptr.where("done").drop("done")
 
 
-def unitigs(kmers: DataFrame, k: int) -> DataFrame:
-    """(bases, kmers): maximal non-branching paths of a set of k-mers on one strand. Links join on k - 1 bases where
-    both sides are unbranched; pointer doubling gives each k-mer its path's first k-mer and its place, and paths are
-    put together by place. A cycle of links is cut before its least k-mer."""
-    s = settled(kmers.select("kmer").distinct())
-    out = s.select(F.col("kmer").alias("a"), F.substring("kmer", 2, k - 1).alias("j"))
-    into = s.select(F.col("kmer").alias("b"), F.left("kmer", F.lit(k - 1)).alias("j"))
-    single = lambda d, c: d.groupBy("j").agg(F.count("*").alias("n"), F.first(c).alias(c)).where("n = 1").drop("n")
-    link = settled(single(out, "a").join(single(into, "b"), "j").where("a <> b").select("a", "b"))
-    rows = settled(chain_places(s, link))
-    round_ = settled(s.join(rows.select("kmer"), "kmer", "left_anti"))
+#: Bases of a piece when a path is put together.
+PATH_PIECE = 1000
+
+
+def compact(nodes: DataFrame, link: DataFrame, k: int) -> DataFrame:
+    """(bases, kmers, circle): nodes (kmer) put together along links (a, b), each end of a link unbranched. Pointer doubling
+    gives every k-mer its path's first one and its place there; paths are put together from pieces. A circle of links is
+    cut before its least k-mer."""
+    rows = settled(chain_places(nodes, link))
+    round_ = settled(nodes.join(rows.select("kmer"), "kmer", "left_anti"))
+    rows = rows.withColumn("circle", F.lit(False))
     if not round_.isEmpty():
         own = link.join(round_.select(F.col("kmer").alias("b")), "b", "left_semi")
         cut = own.join(connected_components(own).withColumnRenamed("node", "b"), "b").where("b <> component").select("a", "b")
-        rows = rows.union(chain_places(round_, settled(cut)))
-    parts = F.array_sort(F.collect_list(F.struct("d", F.right("kmer", F.lit(1)).alias("x"))))
-    return rows.groupBy("p").agg(parts.alias("x"), F.count("*").alias("kmers")).select(F.concat(F.left("p", F.lit(k - 1)), F.array_join(F.transform("x", lambda y: y["x"]), "")).alias("bases"), "kmers")
-
-
-def tax_closure(nodes: DataFrame, most: int = 40) -> DataFrame:
-    """(id, ancestor, distance) for every node and each of its ancestors, itself included."""
-    parent = settled(nodes.where("id <> pid").select(F.col("id").alias("ancestor"), "pid"))
-    rows = level = settled(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("distance")))
-    for _ in range(most):
-        level = settled(level.join(parent, "ancestor").select("id", F.col("pid").alias("ancestor"), (F.col("distance") + 1).alias("distance")))
-        if level.isEmpty():
-            break
-        rows = rows.union(level)
+        rows = rows.union(chain_places(round_, settled(cut)).withColumn("circle", F.lit(True)))
+    text = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda y: y[c]), "")
+    last = rows.select("p", "circle", "d", F.right("kmer", F.lit(1)).alias("x"), F.floor(F.col("d") / PATH_PIECE).alias("piece"))
+    pieces = last.groupBy("p", "circle", "piece").agg(text("x", "d").alias("t"), F.count("*").alias("n"))
+    whole = pieces.groupBy("p", "circle").agg(text("t", "piece").alias("t"), F.sum("n").alias("kmers"))
+    return whole.select(F.concat(F.left("p", F.lit(k - 1)), "t").alias("bases"), "kmers", "circle")
+
+
+def plain_links(nodes: DataFrame, k: int) -> DataFrame:
+    """(a, b): k-mers that overlap by k - 1 bases, where neither has another such neighbour on that side."""
+    out = nodes.select(F.col("kmer").alias("a"), F.substring("kmer", 2, k - 1).alias("j"))
+    into = nodes.select(F.col("kmer").alias("b"), F.left("kmer", F.lit(k - 1)).alias("j"))
+    single = lambda d, c: d.groupBy("j").agg(F.count("*").alias("n"), F.first(c).alias(c)).where("n = 1").drop("n")
+    return single(out, "a").join(single(into, "b"), "j").where("a <> b").select("a", "b")
+
+
+def unitigs(kmers: DataFrame, k: int) -> DataFrame:
+    """(bases, kmers): maximal non-branching paths of a set of k-mers on one strand."""
+    s = settled(kmers.select("kmer").distinct())
+    return compact(s, settled(plain_links(s, k)), k).drop("circle")
+
+
+def unitigs_both(kmers: DataFrame, k: int) -> DataFrame:
+    """(bases, kmers): maximal non-branching paths of the bidirected graph of canonical k-mers, each k-mer (with its reverse
+    complement) in one of them; bases are canonical.
+
+    Nodes are (k-mer, side) as oriented k-mers: each k-mer and its reverse complement. A link holds for both strands or
+    for none, so every path comes twice, turned around, and the least one stays. No link joins a k-mer to itself turned
+    around, nor to one that is its own reverse complement (even k)."""
+    from strandlake.functions.sequence import canonical, revcomp
+
+    one = kmers.select(canonical(F.col("kmer")).alias("kmer")).distinct()
+    s = settled(one.select(F.explode(F.array_distinct(F.array("kmer", revcomp(F.col("kmer"))))).alias("kmer")))
+    own = lambda c: F.col(c) == revcomp(F.col(c))
+    links = plain_links(s, k).where(~own("a") & ~own("b") & (canonical(F.col("a")) != canonical(F.col("b"))))
+    both = compact(s, settled(links), k)
+    # a circle starts with its least k-mer; turned around it starts with another, so these two are compared
+    turned = F.transform(F.sequence(F.lit(1), F.length("bases") - k + 1), lambda i: revcomp(F.substring("bases", i, F.lit(k))))
+    first = F.left("bases", F.lit(k)) <= F.array_min(turned)
+    return both.where(F.when(F.col("circle"), first).otherwise(F.col("bases") <= revcomp(F.col("bases")))).drop("circle")
+
+
+def tax_closure(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) for every node and each of its ancestors, itself included, at any depth. Rounds double the
+    distance: what is known up to d steps is joined with itself. Raises ValueError where parents form a cycle."""
+    n = nodes.count()
+    rows = settled(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("distance")))
+    reach, step = settled(nodes.where("id <> pid").select("id", F.col("pid").alias("ancestor"))), 1
+    while not reach.isEmpty():  # reach: the ancestor just `step` above each node
+        if step > n:
+            raise ValueError("parents form a cycle")
+        more = rows.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("top"), F.col("distance").alias("d"))
+        new = reach.join(more, "ancestor", "left")  # an ancestor that is no node itself has none
+        new = new.select("id", F.coalesce("top", "ancestor").alias("ancestor"), (F.coalesce("d", F.lit(0)) + step).cast("bigint").alias("distance"))
+        rows = settled(rows.union(new))
+        ahead = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("far"))
+        reach, step = settled(reach.join(ahead, "ancestor").select("id", F.col("far").alias("ancestor"))), step * 2
     return rows
 
 

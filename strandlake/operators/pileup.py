@@ -24,13 +24,13 @@ _op = re.compile(rb"(\d+)([MIDNSHP=X])")
 
 
 def tiles(reference: DataFrame, size: int = TILE, name: str = "name", bases: str = "bases") -> DataFrame:
-    """(chrom, tile, ref) of reference sequences; an empty sequence has one empty tile."""
+    """(chrom, tile, ref) of reference sequences. The last tile is shorter than the others, or empty."""
 
     def run(batches):
         for batch in batches:
             for chrom, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 text = text or ""
-                cut = [text[i : i + size] for i in range(0, max(len(text), 1), size)]
+                cut = [text[i : i + size] for i in range(0, len(text) + 1, size)]
                 for at in range(0, len(cut), 4096):
                     some = cut[at : at + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array([chrom] * len(some), pa.string()), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.string())], names=["chrom", "tile", "ref"])
@@ -60,6 +60,7 @@ def aligned_pieces(aln: DataFrame, tile: int = TILE, id_col: str = "aln_id", mor
     A deletion carries the qualities on both sides of it. Rows without a code or a place, and rows whose code does not
     fit the length of their bases, have no pieces; missing qualities are 0."""
     kinds = dict(aln.dtypes)
+    aln = aln if "quals" in kinds else aln.withColumn("quals", F.lit(None).cast("string"))
     fit = F.when(F.length("quals") == F.length("seq"), F.col("quals")).otherwise(F.repeat(F.lit("!"), F.length("seq")))
     rows = aln.where("cigar is not null and rname is not null and pos is not null and seq is not null")
     rows = rows.select(id_col, *more, "rname", F.col("pos").cast("long").alias("pos"), "cigar", "seq", fit.alias("quals"))
@@ -218,8 +219,8 @@ def quality_accuracy(aln: DataFrame, reference: DataFrame, by_position: bool = F
 def rebuilt(reference: DataFrame, edits: DataFrame, tile: int = TILE) -> DataFrame:
     """reference (name, bases) with edits (name, start, stop, put) made: bases start to stop - 1 (1-based) give way to
     put; where stop = start, put enters before start (start may be one past the end). Edits may touch, never overlap;
-    several insertions at one place enter in the order of their text, before an edit that starts there. Each tile is
-    put together with its own edits."""
+    several insertions at one place enter in the order of their text, before an edit that starts there. Edits that start
+    beyond a sequence are left out. Each tile is put together with its own edits."""
     lo, hi = F.col("start") - 1, F.greatest(F.col("stop") - 1, F.col("start"))
     spread = F.explode(F.sequence(F.floor(lo / tile), F.floor((hi - 1) / tile)))
     own = edits.select(F.col("name").alias("chrom"), "start", "stop", "put", spread.alias("tile"))
@@ -227,14 +228,24 @@ def rebuilt(reference: DataFrame, edits: DataFrame, tile: int = TILE) -> DataFra
     first = F.floor((F.col("start") - 1) / tile) == F.col("tile")
     cut = own.select("chrom", "tile", F.struct((from_ - F.col("tile") * tile).cast("int").alias("a"), (to - F.col("tile") * tile).cast("int").alias("b"), F.when(first, F.col("put")).otherwise("").alias("put")).alias("e"))
     held = cut.groupBy("chrom", "tile").agg(F.array_sort(F.collect_list("e")).alias("e"))
-    # an insertion behind a sequence that fills its last tile has that tile's successor
-    rows = tiles(reference, tile).join(held, ["chrom", "tile"], "full_outer").withColumn("ref", F.coalesce("ref", F.lit("")))
+    rows = tiles(reference, tile).join(held, ["chrom", "tile"], "left").withColumn("e", F.filter("e", lambda x: x["a"] <= F.length("ref")))
     before = lambda i: F.when(i == 0, 0).otherwise(F.get("e", i - 1)["b"])
     parts = F.transform("e", lambda x, i: F.concat(F.substring("ref", before(i) + 1, x["a"] - before(i)), x["put"]))
-    tail = F.substring("ref", F.element_at("e", -1)["b"] + 1, F.length("ref"))
-    made = rows.select("chrom", "tile", F.when(F.col("e").isNull(), F.col("ref")).otherwise(F.concat(F.array_join(parts, ""), tail)).alias("text"))
+    tail = F.substring("ref", F.try_element_at("e", F.lit(-1))["b"] + 1, F.length("ref"))
+    made = rows.select("chrom", "tile", F.when(F.coalesce(F.size("e"), F.lit(0)) < 1, F.col("ref")).otherwise(F.concat(F.array_join(parts, ""), tail)).alias("text"))
     whole = made.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "text"))), lambda x: x["text"]), "").alias("bases"))
-    return whole.join(reference.select(F.col("name").alias("chrom")).distinct(), "chrom", "left_semi").select(F.col("chrom").alias("name"), "bases")
+    return whole.select(F.col("chrom").alias("name"), "bases")
+
+
+def cut_ranges(reference: DataFrame, ranges: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+    """(keys, bases): of ranges (keys, chrom, start, stop; 1-based, stop behind the last base) the bases in the reference
+    (name, bases), fetched tile by tile. What is beyond a sequence is missing; ranges without a base have no row."""
+    spread = F.explode(F.sequence(F.floor((F.col("start") - 1) / tile), F.floor((F.col("stop") - 2) / tile)))
+    asked = ranges.where("stop > start").select(*keys, "chrom", "start", "stop", spread.alias("tile"))
+    from_, to = F.greatest(F.col("start") - 1, F.col("tile") * tile), F.least(F.col("stop") - 1, (F.col("tile") + 1) * tile)
+    text = F.substring("__text", (from_ - F.col("tile") * tile + 1).cast("int"), (to - from_).cast("int"))
+    got = asked.join(tiles(reference, tile).withColumnRenamed("ref", "__text"), ["chrom", "tile"]).select(*keys, F.struct("tile", text.alias("t")).alias("p"))
+    return got.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "").alias("bases")).where("bases <> ''")
 
 
 def consensus_alignments(aln: DataFrame, reference: DataFrame, min_depth: int = 1, tile: int = TILE) -> DataFrame:

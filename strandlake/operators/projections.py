@@ -158,14 +158,15 @@ def mask_entropy(df: DataFrame, key: str, window: int = 80, k: int = 5, least: f
 
 
 def mask_repeats(df: DataFrame, key: str, k: int = 5, min_count: int = 4, bases: str = "bases") -> DataFrame:
-    """Bases under k-mers that occur min_count times or more in their own sequence become N."""
-    n = F.length(bases)
-    places = df.where(n >= k).select(key, F.posexplode(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(bases, i, F.lit(k)))).alias("pos", "kmer"))
-    frequent = places.groupBy(key, "kmer").count().where(F.col("count") >= min_count).drop("count")
-    hits = places.join(frequent, [key, "kmer"]).groupBy(key).agg(F.collect_set("pos").alias("hits"))
-    covered = lambda i: F.exists("hits", lambda p: (p <= i) & (p > i - k))
-    masked = F.array_join(F.transform(letters(F.col(bases)), lambda c, i: F.when(covered(i), F.lit("N")).otherwise(c)), "")
-    return df.join(hits, key, "left").withColumn(bases, F.when(F.col("hits").isNull(), F.col(bases)).otherwise(masked)).drop("hits")
+    """Bases under k-mers that occur min_count times or more in their own sequence become N. K-mers are cut from pieces;
+    the places of frequent ones are masked as ranges."""
+    from strandlake.functions.sequence import PIECE, pieces, words
+
+    cut = df.select(key, F.posexplode(pieces(F.col(bases), k)).alias("__piece", "__c"))
+    places = cut.select(key, "__piece", F.posexplode(words(F.col("__c"), k, False)).alias("__at", "__w"))
+    frequent = places.groupBy(key, "__w").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_count).drop("__n")
+    start = F.col("__piece") * PIECE + F.col("__at") + 1
+    return mask_ranges(df, places.join(frequent, [key, "__w"]).select(key, start.alias("start"), (start + (k - 1)).alias("stop")), key, bases)
 
 
 def mask_ranges(df: DataFrame, ranges: DataFrame, key: str = "name", bases: str = "bases") -> DataFrame:
@@ -173,17 +174,25 @@ def mask_ranges(df: DataFrame, ranges: DataFrame, key: str = "name", bases: str
     merged first, and a sequence is rebuilt from the pieces between them."""
     from strandlake.operators.windows import merge_ranges
 
-    spans = merge_ranges(ranges.select(key, "start", "stop"), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("at"))
+    spans = merge_ranges(ranges.select(key, "start", "stop"), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
 
-    def add(s: Column, r: Column) -> Column:
-        start = F.greatest(r["start"].cast("int"), s["at"])
-        stop = F.least(r["stop"].cast("int"), F.length(bases))
-        more = F.array(F.substring(bases, s["at"], start - s["at"]), F.repeat(F.lit("N"), F.greatest(stop - start + 1, F.lit(0))))
-        return F.struct(F.concat(s["out"], more).alias("out"), F.greatest(s["at"], stop + 1).alias("at"))
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, spans, strict=True):
+            if text is None or own is None:
+                out.append(text)
+                continue
+            parts, at = [], 0
+            for r in own:
+                start, stop = max(int(r["start"]) - 1, at), min(int(r["stop"]), len(text))
+                if stop > start:
+                    parts += [text[at:start], "N" * (stop - start)]
+                    at = stop
+            out.append("".join([*parts, text[at:]]))
+        return pd.Series(out)
 
-    done = F.transform(F.array(F.aggregate("spans", begin, add)), lambda s: F.concat(F.array_join(s["out"], ""), F.substring(bases, s["at"], F.length(bases))))[0]
-    return df.join(spans, key, "left").withColumn(bases, F.when(F.col("spans").isNull(), F.col(bases)).otherwise(done)).drop("spans")
+    return df.join(spans, key, "left").withColumn(bases, F.when(F.col("__spans").isNull(), F.col(bases)).otherwise(masked(F.col(bases), F.col("__spans")))).drop("__spans")
 
 
 def one_hot(bases: Column, width: int) -> Column:
@@ -249,27 +258,13 @@ def sam_to_old(df: DataFrame, cigar: str = "cigar") -> DataFrame:
     return df.withColumn(cigar, cigar_to_m(F.col(cigar)))
 
 
-def sam_to_new(df: DataFrame, reference: DataFrame) -> DataFrame:
-    """"M" runs as "=" and "X" by comparing the read with its reference (name, bases), both in the row."""
-    @F.pandas_udf("string")
-    def expand(cigars: pd.Series, seqs: pd.Series, refs: pd.Series, starts: pd.Series) -> pd.Series:
-        import re
-
-        out = []
-        for cigar, seq, ref, pos in zip(cigars, seqs, refs, starts, strict=True):
-            i, j, ops = 0, int(pos) - 1, []
-            for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar or ""):
-                n = int(n)
-                marks = ["=" if seq[i + x] == ref[j + x] else "X" for x in range(n)] if op == "M" else [op] * n
-                i += n if op in "MIS=X" else 0
-                j += n if op in "MDN=X" else 0
-                for m in marks:
-                    if ops and ops[-1][1] == m:
-                        ops[-1][0] += 1
-                    else:
-                        ops.append([1, m])
-            out.append("".join(f"{n}{m}" for n, m in ops))
-        return pd.Series(out)
+def sam_to_new(df: DataFrame, reference: DataFrame, id_col: str = "aln_id") -> DataFrame:
+    """"M" runs as "=" and "X" by the reference (name, bases), which alignments (rname, pos, cigar, seq) meet in tiles. Rows
+    without a column id_col, which has to tell them apart, are numbered."""
+    from strandlake.operators.pileup import exact_codes
+    from strandlake.sources.shared import stored
 
-    refs = reference.select(F.col("name").alias("rname"), F.col("bases").alias("__ref"))
-    return df.join(refs, "rname").withColumn("cigar", expand("cigar", "seq", "__ref", "pos")).drop("__ref")
+    if id_col in df.columns:
+        return df.drop("cigar").join(exact_codes(df, reference, id_col=id_col), id_col)
+    own = stored(df.withColumn(id_col, F.monotonically_increasing_id()))
+    return own.drop("cigar").join(exact_codes(own, reference, id_col=id_col), id_col).drop(id_col)

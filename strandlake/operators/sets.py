@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import canonical, expected_errors, hamming, parse_header, revcomp
+from strandlake.functions.sequence import PIECE, canonical, expected_errors, hamming, parse_header, pieces, revcomp, words
 from strandlake.operators.filters import first_of_group
+from strandlake.sources.shared import stored
 
 VARIANT = ["chrom", "pos", "ref", "alt"]
 FEATURE = ["seqid", "start", "stop", "strand"]
@@ -112,22 +113,61 @@ def unique_prefixes(df: DataFrame, n: int, order: str = "ordinal") -> DataFrame:
     return df.join(top.select(order), order, "left_semi")
 
 
-def dedupe_containment(df: DataFrame, k: int = 31, id_col: str = "name", min_identity: float = 100.0) -> DataFrame:
-    """Sequences that lie whole in a longer one (either strand) go, equal ones but the first too. Candidates share the
-    first k-mer; with min_identity below 100 candidates share the first or last k-mer and edit distance decides."""
+def contained_exact(df: DataFrame, k: int, id_col: str) -> DataFrame:
+    """(s, l): sequences of at least k bases that lie whole in l, on either strand; candidates share the first k-mer."""
     b = F.length("bases")
     short = df.where(b >= k).select(F.col(id_col).alias("s"), F.col("bases").alias("sb"))
-    both = short.select("s", "sb", F.explode(F.array("sb", revcomp(F.col("sb")))).alias("q"))
-    seeds = both.select("s", "q", F.explode(F.array(F.left("q", F.lit(k)), F.right("q", F.lit(k))) if min_identity < 100 else F.array(F.left("q", F.lit(k)))).alias("kmer"))
-    places = short.select(F.col("s").alias("l"), F.explode(F.transform(F.sequence(F.lit(1), F.length("sb") - k + 1), lambda i: F.substring("sb", i, F.lit(k)))).alias("kmer")).distinct()
+    both = short.select("s", F.explode(F.array("sb", revcomp(F.col("sb")))).alias("q"))
+    seeds = both.select("s", "q", F.left("q", F.lit(k)).alias("kmer"))
+    cut = df.select(F.col(id_col).alias("l"), F.explode(pieces(F.col("bases"), k)).alias("c"))
+    places = cut.select("l", F.explode(words(F.col("c"), k, False)).alias("kmer")).distinct()
     cand = seeds.join(places, "kmer").where("s <> l").select("s", "l", "q").distinct()
     full = cand.join(df.select(F.col(id_col).alias("l"), F.col("bases").alias("lb")), "l")
     longer = (F.length("lb") > F.length("q")) | ((F.length("lb") == F.length("q")) & (F.col("l") < F.col("s")))
-    inside = F.contains("lb", F.col("q"))
-    if min_identity < 100:
-        limit = F.floor(F.length("q") * (1 - min_identity / 100)).cast("int")
-        inside = inside | (F.levenshtein("lb", "q") - (F.length("lb") - F.length("q")) <= limit)
-    return df.join(full.where(longer & inside).select(F.col("s").alias(id_col)).distinct(), id_col, "left_anti")
+    return full.where(longer & F.contains("lb", F.col("q"))).select("s", "l").distinct()
+
+
+def contained_near(df: DataFrame, min_identity: float, id_col: str) -> DataFrame:
+    """(s, l, edits): sequences that lie in l, on either strand, with at most floor(length * (1 - min_identity / 100))
+    edits, e of them.
+
+    Every such place is found: of e + 1 pieces of the short sequence one is free of edits (pigeonhole) and joins the
+    words of the long ones, which gives a diagonal; the long sequence's bases around it, e more on each side, are fetched
+    from tiles and aligned in a band with free ends. Sequences of e bases or fewer are left out."""
+    from strandlake.operators.aligner import with_edits
+    from strandlake.operators.pileup import cut_ranges
+
+    n = F.length("bases")
+    e = F.floor(n * (1 - min_identity / 100) + 1e-9).cast("int")
+    short = df.select(F.col(id_col).alias("s"), F.explode(F.array("bases", revcomp(F.col("bases")))).alias("q"), n.alias("n"), e.alias("e")).where("n > e")
+    m = F.col("e") + 1
+    cut = F.transform(F.sequence(F.lit(0), F.col("e")), lambda i: F.struct(F.floor(i * F.col("n") / m).cast("int").alias("at"), F.floor((i + 1) * F.col("n") / m).cast("int").alias("end")))
+    seeds = short.select("s", "q", "n", "e", F.explode(cut).alias("c"))
+    seeds = stored(seeds.select("s", "q", "n", "e", "c.at", F.substring("q", F.col("c.at") + 1, F.col("c.end") - F.col("c.at")).alias("seed")))
+    sizes = [r[0] for r in seeds.select(F.length("seed")).distinct().collect()]  # a few lengths
+    size = F.length("bases").alias("size")
+    parts = [df.select(F.col(id_col).alias("l"), size, F.posexplode(pieces(F.col("bases"), w)).alias("piece", "c")).select("l", "size", "piece", F.posexplode(words(F.col("c"), w, False)).alias("i", "seed")) for w in sizes]
+    if not parts:
+        return df.select(F.col(id_col).alias("s"), F.col(id_col).alias("l"), F.lit(0).cast("long").alias("edits")).where("false")
+    places = reduce(lambda x, y: x.union(y), parts).select("l", "size", "seed", (F.col("piece") * PIECE + F.col("i")).alias("place"))
+    met = seeds.join(places, "seed").where("s <> l and (size > n or (size = n and l < s))")
+    keys = ["s", "q", "n", "e", "l", "d"]
+    met = met.select("s", "q", "n", "e", "l", (F.col("place") - F.col("at")).alias("d")).distinct()
+    kind = dict(df.dtypes)[id_col]
+    start = F.greatest(F.col("d") - F.col("e"), F.lit(0))
+    asked = met.select(*keys, F.col("l").cast("string").alias("chrom"), (start + 1).alias("start"), (F.col("d") + F.col("n") + F.col("e") + 1).alias("stop"))
+    facing = cut_ranges(df.select(F.col(id_col).cast("string").alias("name"), "bases"), asked, keys)
+    rows = facing.select("s", "l", "q", "bases", F.col("e").cast("long").alias("e"), (2 * F.col("e")).cast("long").alias("free"))
+    exact = rows.where(F.contains("bases", F.col("q"))).select("s", "l", F.lit(0).cast("long").alias("edits"))
+    near = with_edits(rows.where("e > 0").where(~F.contains("bases", F.col("q"))), "q", "bases", "e", "free").where("edits is not null").select("s", "l", "edits")
+    return exact.union(near).groupBy("s", "l").agg(F.min("edits").alias("edits")).select(F.col("s").cast(kind).alias("s"), F.col("l").cast(kind).alias("l"), "edits")
+
+
+def dedupe_containment(df: DataFrame, k: int = 31, id_col: str = "name", min_identity: float = 100.0) -> DataFrame:
+    """Sequences that lie whole in a longer one (either strand) go, equal ones but the first too: exactly, or with
+    min_identity below 100 with as many edits as that allows (then k does not count)."""
+    found = contained_exact(df, k, id_col) if min_identity >= 100 else contained_near(df, min_identity, id_col)
+    return df.join(found.select(F.col("s").alias(id_col)).distinct(), id_col, "left_anti")
 
 
 def overlap_edges(df: DataFrame, min_overlap: int = 200, id_col: str = "name") -> DataFrame:
@@ -147,6 +187,17 @@ def overlap_clusters(df: DataFrame, min_overlap: int = 200, id_col: str = "name"
     return df.select(id_col).distinct().join(found, id_col, "left").select(id_col, F.coalesce("component", id_col).alias("cluster"))
 
 
+def cluster_summary(df: DataFrame, clusters: DataFrame, edges: DataFrame, id_col: str = "name") -> DataFrame:
+    """Per cluster of overlap_clusters: size, bases, links (distinct pairs), and the representative: the longest sequence,
+    of equals the one with most links, then the least id."""
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).groupBy(id_col).agg(F.count("*").alias("k"))
+    rows = df.select(id_col, F.length("bases").cast("bigint").alias("n")).join(clusters, id_col).join(links, id_col, "left").fillna(0, ["k"])
+    best = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("k")).alias("k"), F.col(id_col).alias("i"))).alias("b")
+    g = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("bases"), (F.sum("k") / 2).cast("bigint").alias("links"), best)
+    return g.select("cluster", "size", "bases", "links", F.col("b.i").alias("representative"))
+
+
 def diff_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Lines (ordinal, value) that differ by position; a missing line is null."""
     x, y = a.select("ordinal", F.col("value").alias("a")), b.select("ordinal", F.col("value").alias("b"))

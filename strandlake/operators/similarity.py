@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import hamming, letters, revcomp, translate_frame, vector_distance
+from strandlake.functions.sequence import PIECE, hamming, letters, pieces, revcomp, translate_frame, vector_distance
+from strandlake.functions.sequence import words as sequence_words
 from strandlake.operators.joins import kmer_rows
+from strandlake.operators.pileup import cut_ranges
+from strandlake.sources.shared import settled, stored
 
 
 def sketch(df: DataFrame, by: str, k: int = 32, size: int = 10_000, min_count: int = 1, hash_of=F.md5) -> DataFrame:
@@ -112,16 +117,23 @@ def identity_search(queries: DataFrame, refs: DataFrame, id_col: str = "name") -
 def seeded_search(queries: DataFrame, refs: DataFrame, max_subs: int = 3) -> DataFrame:
     """(query, ref, pos, subs): best place (0-based) of short queries in references without gaps, up to max_subs
     differences. A query is cut into max_subs + 1 pieces of which one fits exactly (pigeonhole): pieces join the
-    references' words, so that only places with a piece in common are compared. Queries of one length meet at a time."""
+    references' words (place and length only), and what a query faces at such a place is fetched from the tiles."""
     q = queries.select(F.col("name").alias("query"), F.col("bases").alias("q"), F.length("bases").alias("n")).where(F.col("n") > max_subs)
     m = max_subs + 1
     cut = F.transform(F.sequence(F.lit(0), F.lit(max_subs)), lambda i: F.struct(F.floor(i * F.col("n") / m).cast("int").alias("at"), F.floor((i + 1) * F.col("n") / m).cast("int").alias("end")))
     seeds = q.select("query", "q", "n", F.explode(cut).alias("c")).select("query", "q", "n", F.col("c.at").alias("at"), F.substring("q", F.col("c.at") + 1, F.col("c.end") - F.col("c.at")).alias("seed"))
+    seeds = settled(seeds)
     sizes = [r[0] for r in seeds.select(F.length("seed")).distinct().collect()]  # a few lengths
-    words = refs.select(F.col("name").alias("ref"), F.col("bases").alias("r"), F.explode(F.array(*map(F.lit, sizes))).alias("w")).where(F.length("r") >= F.col("w"))
-    words = words.select("ref", "r", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("r") - F.col("w") + 1), lambda i: F.substring("r", i, F.col("w")))).alias("place", "seed"))
-    near = seeds.join(words, "seed").withColumn("pos", F.col("place") - F.col("at")).where((F.col("pos") >= 0) & (F.col("pos") + F.col("n") <= F.length("r")))
-    subs = near.select("query", "ref", F.col("pos").cast("bigint").alias("pos"), hamming(F.substring("r", F.col("pos") + 1, F.col("n")), F.col("q")).cast("bigint").alias("subs")).where(F.col("subs") <= max_subs)
+    cut = lambda w: refs.select(F.col("name").alias("ref"), F.length("bases").alias("size"), F.posexplode(pieces(F.col("bases"), w)).alias("piece", "c"))
+    words = [cut(w).select("ref", "size", "piece", F.posexplode(sequence_words(F.col("c"), w, False)).alias("at_piece", "seed")) for w in sizes]
+    words = [x.select("ref", "size", "seed", (F.col("piece") * PIECE + F.col("at_piece")).alias("place")) for x in words]
+    if not words:
+        return seeds.select("query", F.lit("").alias("ref"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("subs")).where("false")
+    near = seeds.join(reduce(lambda x, y: x.union(y), words), "seed").withColumn("pos", (F.col("place") - F.col("at")).cast("long"))
+    near = near.where((F.col("pos") >= 0) & (F.col("pos") + F.col("n") <= F.col("size"))).select("query", "q", "n", "ref", "pos").distinct()
+    keys = ["query", "q", "n", "ref", "pos"]
+    facing = cut_ranges(refs, near.select(*keys, F.col("ref").alias("chrom"), (F.col("pos") + 1).alias("start"), (F.col("pos") + 1 + F.col("n")).alias("stop")), keys)
+    subs = facing.select("query", "ref", "pos", hamming(F.col("bases"), F.col("q")).cast("bigint").alias("subs")).where(F.col("subs") <= max_subs)
     return subs.groupBy("query", "ref").agg(F.min(F.struct("subs", "pos")).alias("b")).select("query", "ref", "b.pos", "b.subs")
 
 
@@ -210,18 +222,72 @@ def trim_contigs(contigs: DataFrame, covered: DataFrame, min_length: int = 1) ->
     return out.where(F.length("bases") >= min_length).select(F.concat_ws("_", "name", F.col("start").cast("string")).alias("name"), "bases")
 
 
+#: Codons of a block in which the next stop is looked for.
+ORF_BLOCK = 4096
+
+
+def frame_codons(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, frame, i, stop): the start (ATG, GTG, TTG) and stop codons of six frames with their number in the frame, read
+    in slices of bounded length; frames 3-5 are of the reverse complement."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(df.dtypes)[id_col]
+    slice_ = 1 << 20
+    code = np.full((2, 256), 64, np.int16)
+    code[0, list(b"ACGT")] = range(4)
+    code[1, list(b"TGCAU")] = [0, 1, 2, 3, 0]  # complements: T -> A, G -> C, C -> G, A -> T, U -> A
+    number = lambda c: 16 * code[0, ord(c[0])] + 4 * code[0, ord(c[1])] + code[0, ord(c[2])]
+    what = np.zeros(64, np.int8)
+    what[[number(c) for c in ("ATG", "GTG", "TTG")]] = 1
+    what[[number(c) for c in ("TAA", "TAG", "TGA")]] = 2
+
+    def run(batches):
+        for batch in batches:
+            for i, text in zip(batch[0], batch[1].to_pylist(), strict=True):
+                data = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+                n = len(data)
+                for lo in range(0, n - 2, slice_):
+                    part = np.minimum(data[lo : lo + slice_ + 2], 255).astype(np.uint8)
+                    for back in (0, 1):
+                        c = code[back, part]
+                        c = c[2:] + 4 * c[1:-1] + 16 * c[:-2] if not back else c[:-2] + 4 * c[1:-1] + 16 * c[2:]
+                        found = np.zeros(len(c), np.int8)
+                        found[c < 64] = what[c[c < 64]]
+                        at = np.flatnonzero(found)
+                        place = (n - 3 - (at + lo)) if back else at + lo
+                        yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(at), batch[0].type), pa.array(3 * back + place % 3), pa.array(place // 3), pa.array(found[at] == 2)], names=[id_col, "frame", "i", "stop"])
+
+    return df.select(id_col, "bases").mapInArrow(run, f"`{id_col}` {kind}, frame long, i long, stop boolean")
+
+
+def orf_places(df: DataFrame, min_length: int = 60, id_col: str = "name") -> DataFrame:
+    """(id, frame, start, stop) of find_orfs. Each start codon looks for the next stop in its block, else takes the first
+    stop of the blocks behind; of the starts of one stop the first counts. No window holds a sequence's codons."""
+    rows = stored(frame_codons(df, id_col).withColumn("blk", F.floor(F.col("i") / ORF_BLOCK)))
+    first = rows.where("stop").groupBy(id_col, "frame", "blk").agg(F.min("i").alias("first"))
+    every = rows.select(id_col, "frame", "blk").distinct().join(first, [id_col, "frame", "blk"], "left")
+    behind = every.withColumn("behind", F.min("first").over(Window.partitionBy(id_col, "frame").orderBy("blk").rowsBetween(1, Window.unboundedFollowing))).drop("first")
+    here = Window.partitionBy(id_col, "frame", "blk").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    starts = rows.withColumn("next", F.min(F.when(F.col("stop"), F.col("i"))).over(here)).where("not stop")
+    ends = starts.join(behind, [id_col, "frame", "blk"]).withColumn("b", F.coalesce("next", "behind")).where("b is not null")
+    out = ends.groupBy(id_col, "frame", "b").agg(F.min("i").alias("start"))
+    return out.select(id_col, "frame", "start", F.col("b").alias("stop")).where((F.col("stop") - F.col("start") + 1) * 3 >= min_length)
+
+
 def find_orfs(df: DataFrame, min_length: int = 60, id_col: str = "name") -> DataFrame:
     """(id, frame, start, stop, amino): in each of six frames every stretch from the first start codon (ATG, GTG, TTG)
-    after a stop to the next stop; coordinates in codons of the frame."""
-    frames = F.array(*[F.struct(F.lit(i).cast("bigint").alias("frame"), F.substring(revcomp(F.col("bases")) if i > 2 else F.col("bases"), F.lit(i % 3 + 1), F.length("bases")).alias("s")) for i in range(6)])
-    rows = df.select(id_col, F.explode(frames).alias("f")).select(id_col, "f.*").where(F.length("s") >= 3)
-    codons = rows.select(id_col, "frame", "s", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.length("s") / 3).cast("int") - 1), lambda i: F.substring("s", i * 3 + 1, F.lit(3)))).alias("i", "codon"))
-    stop = F.col("codon").isin("TAA", "TAG", "TGA")
-    w = Window.partitionBy(id_col, "frame").orderBy("i")
-    seg = F.sum(stop.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - stop.cast("int")
-    g = codons.withColumn("seg", seg).groupBy(id_col, "frame", "seg").agg(F.min(F.when(F.col("codon").isin("ATG", "GTG", "TTG"), F.col("i"))).alias("a"), F.max(F.when(stop, F.col("i"))).alias("b"), F.first("s").alias("s"))
-    out = g.where("a is not null and b is not null").withColumn("n", (F.col("b") - F.col("a") + 1) * 3).where(F.col("n") >= min_length)
-    return out.select(id_col, "frame", F.col("a").cast("bigint").alias("start"), F.col("b").cast("bigint").alias("stop"), translate_frame(F.substring("s", F.col("a") * 3 + 1, F.col("n")), 0).alias("amino"))
+    after a stop to the next stop; coordinates in codons of the frame. Ids are names of one sequence each; the bases of
+    an ORF are fetched from tiles."""
+    kind = dict(df.dtypes)[id_col]
+    at = orf_places(df, min_length, id_col).join(df.select(id_col, F.length("bases").alias("size")), id_col)
+    shift, n = F.col("frame") % 3, (F.col("stop") - F.col("start") + 1) * 3
+    lo = F.when(F.col("frame") < 3, shift + F.col("start") * 3).otherwise(F.col("size") - shift - (F.col("stop") + 1) * 3)
+    keys = ["chrom", "frame", "start", "stop"]
+    spans = at.select(F.col(id_col).cast("string").alias("chrom"), "frame", F.col("start").alias("a"), F.col("stop").alias("b"), (lo + 1).alias("start"), (lo + 1 + n).alias("stop"))
+    got = cut_ranges(df.select(F.col(id_col).cast("string").alias("name"), "bases"), spans, ["chrom", "frame", "a", "b"]).withColumnsRenamed({"a": "start", "b": "stop"})
+    own = F.when(F.col("frame") < 3, F.col("bases")).otherwise(revcomp(F.col("bases")))
+    return got.select(F.col("chrom").cast(kind).alias(id_col), *keys[1:], translate_frame(own, 0).alias("amino"))
 
 
 def score_orfs(orfs: DataFrame, model: DataFrame, k: int, bases: str = "bases", keys: tuple = ("orf",)) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import canonical, expected_errors, kmers, revcomp
 from strandlake.operators.joins import kmer_rows
+from strandlake.sources.shared import stored
 
 SORT_KEYS = {
     "name": lambda: [F.col("name")],
@@ -106,16 +107,97 @@ def find_repeats(df: DataFrame, k: int = 31, min_depth: int = 2, gap: int = 0, m
     return merge_ranges(hit, id_col, gap).where(F.col("stop") - F.col("start") + 1 >= min_repeat)
 
 
-def find_crisprs(df: DataFrame, k: int = 20, spacer: tuple[int, int] = (14, 60), id_col: str = "name") -> DataFrame:
-    """(id, start, repeat_length, spacer_length): the same sequence twice, a spacer between; seeds of length k on one
-    diagonal are extended to the longest repeat."""
-    rows = kmer_rows(df, id_col, k, rcomp=False)
-    nxt = Window.partitionBy(id_col, "kmer").orderBy("pos")
-    pairs = rows.withColumn("b", F.lead("pos").over(nxt)).where("b is not null").withColumn("d", F.col("b") - F.col("pos")).where(F.col("d") >= k + spacer[0])
-    run = F.col("pos") - F.row_number().over(Window.partitionBy(id_col, "d").orderBy("pos"))
-    g = pairs.withColumn("g", run).groupBy(id_col, "d", "g").agg(F.min("pos").alias("start"), F.count("*").alias("n"))
-    out = g.select(id_col, F.col("start").cast("bigint").alias("start"), (F.col("n") + k - 1).alias("repeat_length"), (F.col("d") - F.col("n") - k + 1).alias("spacer_length"))
-    return out.where(F.col("spacer_length").between(*spacer))
+def extend_repeat(text: str, at: int, d: int, k: int, mismatches: int, reach: int) -> tuple[int, int, int]:
+    """(start, length, mismatches) of the longest stretch around text[at : at + k] that differs from the one d further in at
+    most so many places, both ends alike (of equals the leftmost). It grows reach places to each side at most."""
+    lo, hi = max(at - reach, 0), min(at + k + reach, len(text) - d)
+    same = [text[t] == text[t + d] and text[t] in "ACGT" for t in range(lo, hi)]
+    left, right = [at], [at + k]  # with so many mismatches on a side, where the stretch ends
+    t = at
+    for _ in range(mismatches + 1):
+        while t > lo and same[t - 1 - lo]:
+            t -= 1
+        left.append(t if t < left[-1] and same[t - lo] else left[-1])
+        t = max(t - 1, lo)
+    t = at + k
+    for _ in range(mismatches + 1):
+        while t < hi and same[t - lo]:
+            t += 1
+        right.append(t if t > right[-1] and same[t - 1 - lo] else right[-1])
+        t = min(t + 1, hi)
+    _, start = min((left[i + 1] - right[mismatches - i + 1], left[i + 1]) for i in range(mismatches + 1))
+    stop = max(right[mismatches - i + 1] for i in range(mismatches + 1) if left[i + 1] == start)
+    return start, stop - start, sum(not same[t - lo] for t in range(start, stop))
+
+
+def stem_length(text: str, max_loop: int = 8) -> int:
+    """The most bases that pair with their reverse complement around a loop of at most max_loop bases."""
+    pair = {"A": "T", "C": "G", "G": "C", "T": "A"}
+    best = 0
+    for right in range(1, len(text)):
+        for loop in range(min(max_loop, right - 1) + 1):
+            i, j, n = right - loop - 1, right, 0
+            while i >= 0 and j < len(text) and pair.get(text[i]) == text[j]:
+                i, j, n = i - 1, j + 1, n + 1
+            best = max(best, n)
+    return best
+
+
+def find_crisprs(df: DataFrame, k: int = 12, spacer: tuple[int, int] = (14, 60), id_col: str = "name", repeat: tuple[int, int] = (20, 60), mismatches: int = 3) -> DataFrame:
+    """(id, start, repeat_length, spacer_length, mismatches, stem): the same stretch twice, a spacer between. start is
+    0-based; stem is how many bases of the first copy pair within it (a palindrome).
+
+    Seeds are k bases alike at a distance that repeat and spacer allow; those of one id meet in bins of the largest
+    distance, so a common k-mer pairs with its near places only. From the first seed of each run on a diagonal the repeat
+    is extended to both sides (see extend_repeat) in bases fetched from tiles. Ids are names of one sequence each."""
+    import pyarrow as pa
+
+    from strandlake.operators.pileup import cut_ranges
+
+    kind = dict(df.dtypes)[id_col]
+    near, far, reach = repeat[0] + spacer[0], repeat[1] + spacer[1], repeat[1] + mismatches + 1
+    rows = kmer_rows(df, id_col, k, rcomp=False).select(id_col, "kmer", F.col("pos").cast("long").alias("pos"))
+    at = F.floor(F.col("pos") / far)
+    later = rows.select(id_col, "kmer", F.col("pos").alias("q"), at.alias("bin"))
+    pairs = rows.withColumn("bin", F.explode(F.array(at, at + 1))).join(later, [id_col, "kmer", "bin"])
+    pairs = stored(pairs.withColumn("d", F.col("q") - F.col("pos")).where(F.col("d").between(near, far)).select(id_col, "d", "pos"))
+    first = pairs.join(pairs.withColumn("pos", F.col("pos") + 1), [id_col, "d", "pos"], "left_anti")
+    low = F.greatest(F.col("pos") - reach, F.lit(0))
+    asked = first.select(F.col(id_col).cast("string").alias("chrom"), "d", (F.col("pos") - low).alias("at"), low.alias("low"), (low + 1).alias("start"), (F.col("pos") + F.col("d") + k + reach + 1).alias("stop"))
+    facing = cut_ranges(df.select(F.col(id_col).cast("string").alias("name"), "bases"), asked, ["chrom", "d", "at", "low"])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for chrom, d, own, low, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start, n, wrong = extend_repeat(text, own, d, k, mismatches, reach)
+                if repeat[0] <= n <= repeat[1] and spacer[0] <= d - n <= spacer[1]:
+                    out.append((chrom, low + start, n, d - n, wrong, stem_length(text[start : start + n])))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["chrom", "start", "repeat_length", "spacer_length", "mismatches", "stem"])
+
+    found = facing.select("chrom", "d", "at", "low", "bases").mapInArrow(run, "chrom string, start long, repeat_length long, spacer_length long, mismatches long, stem long")
+    return found.distinct().select(F.col("chrom").cast(kind).alias(id_col), "start", "repeat_length", "spacer_length", "mismatches", "stem")
+
+
+def crispr_arrays(pairs: DataFrame, id_col: str = "name", slip: int = 3) -> DataFrame:
+    """Repeats of find_crisprs chained to arrays: a pair whose second copy is the first one of another (up to slip bases
+    apart) goes on there. (id, start, stop, copies, repeat_length): from the first copy to the end of the last one, the
+    number of copies, the most common repeat length (of equals the least)."""
+    from strandlake.operators.graphs import connected_components
+
+    second = F.col("start") + F.col("repeat_length") + F.col("spacer_length")
+    node = F.struct(F.col(id_col).alias("i"), F.col("start").alias("s"), F.col("repeat_length").alias("r"), F.col("spacer_length").alias("p"))
+    rows = stored(pairs.select(id_col, "start", "repeat_length", "spacer_length", second.alias("second"), node.alias("node")))
+    ahead = rows.select(id_col, F.col("start").alias("place"), F.col("node").alias("b"))
+    links = rows.withColumn("place", F.explode(F.sequence(F.col("second") - slip, F.col("second") + slip))).join(ahead, [id_col, "place"]).select(F.col("node").alias("a"), "b")
+    parts = connected_components(links)
+    every = rows.join(parts, "node", "left").withColumn("array", F.coalesce("component", "node"))
+    copies = every.select(id_col, "array", "repeat_length", F.explode(F.array(F.col("start"), F.col("second"))).alias("x"))
+    w = Window.partitionBy(id_col, "array").orderBy("x")
+    new = copies.withColumn("new", F.coalesce((F.col("x") - F.lag("x").over(w) > slip).cast("int"), F.lit(1)))
+    g = new.groupBy(id_col, "array").agg(F.min("x").alias("start"), F.max(F.col("x") + F.col("repeat_length")).alias("stop"), F.sum("new").alias("copies"), F.mode("repeat_length", True).alias("repeat_length"))
+    return g.drop("array")
 
 
 def top_hits(df: DataFrame, query: str, score: str, n: int, tie: str) -> DataFrame:

@@ -384,7 +384,7 @@ def _(a):
     return ag.est_stats(a.select(F.col("rname").alias("est"), F.lit(900).alias("est_length"), F.col("ref_len").alias("aligned"), F.col("rf").alias("scaffold"), F.col("pos").alias("intron")))
 
 
-@query("call_variants", "dv_var", "dv_aln", sql=f"with {DEPTH}, o as (select chrom, pos, ref, alt, qual::double%40 as q, pos%2 as st from dv_var where ref<>alt), g as (select chrom, pos, ref, alt, count(*) as c, sum(q) as qs, max(q) as qm, count(*) filter (where st=0) as plus from o group by all), d as (select g.*, coalesce(depth,0) as depth from g left join seg on seg.contig=chrom and pos between start and stop), x as (select *, round(c/greatest(depth,c),6) as fraction, round(qs/c*sqrt(c)-case when plus=0 or plus=c then 10 else 0 end,6) as score from d) select chrom, pos, ref, alt, c as count, plus, fraction, score from x where c>=2 and fraction>=0.1 and score>=5")
+@query("call_variants", "dv_var", "dv_aln", sql=f"with {DEPTH}, o as (select chrom, pos, ref, alt, qual::double%40 as q, pos%2 as st from dv_var where ref<>alt), g as (select chrom, pos, ref, alt, count(*) as c, sum(q) as qs, max(q) as qm, count(*) filter (where st=0) as plus from o group by all), d as (select g.*, coalesce(depth,0) as depth from g left join seg on seg.contig=chrom and pos between start and stop), x as (select *, round(c/greatest(depth,c),6) as fraction, 1.0-c/greatest(depth,c)*least(1.0,qs/c/40)*least(1.0,greatest(depth,c)/10) as doubt from d), y as (select *, round(case when doubt<=1e-6 then 60.0 else least(60.0,-10.0*log10(doubt)) end,6)::double as score from x) select chrom, pos, ref, alt, c as count, plus, fraction, score from y where c>=2 and fraction>=0.1 and score>=1")
 def _(v, a):
     obs = v.where("ref <> alt").select("chrom", "pos", "ref", "alt", (F.col("qual") % 40).alias("base_qual"), F.lit(30).alias("mapq"), (F.col("pos") % 2).alias("strand"), F.lit(20).alias("end_distance"))
     return ag.call_variants(obs, ag.depth_segments(a), ploidy=2).select("chrom", "pos", "ref", "alt", "count", "plus", "fraction", "score")
@@ -606,11 +606,32 @@ def _(c):
     return wi.find_repeats(c, 6, 60, 0, 8)
 
 
-@query("find_crisprs", "dv_contigs")
-def _(c):
+#: Repeats by their definition: on each diagonal (d apart) the stretches between mismatches, three of them inside.
+REPEATS = """b as (select contig_id as name, substr(bases,1,25) || substr(bases,26,15) || substr(bases,1,9) || translate(substr(bases,10,1),'ACGTN','CGTAA') || substr(bases,11,15) || substr(bases,27,14) || substr(bases,1,25) || reverse(bases) as bases from dv_contigs),
+dg as (select name, d, p, bases[p]=bases[p+d] and bases[p] in ('A','C','G','T') as m from (select *, unnest(range(1,length(bases)-d+1)) as p from (select *, unnest(range(34,51)) as d from b))),
+mis as (select name, d, p as x from dg where not m union all select distinct name, d, 0 from dg union all select name, d, max(p)+1 from dg group by all),
+iv as (select name, d, x as lo, coalesce(lead(x,4) over w, max(x) over (partition by name, d)) as hi from mis window w as (partition by name, d order by x)),
+st as (select name, d, lo, min(p) as s, max(p) as e, count(*) as ok from iv join dg using (name, d) where p>lo and p<hi and m group by all),
+ru as (select name, d, min(p) as r from (select *, p-row_number() over (partition by name, d order by p) as g from dg where m) group by name, d, g having count(*)>=8),
+rep as (select distinct name, d, q.s, q.e-q.s+1 as n, q.e-q.s+1-q.ok as wrong from (select ru.name, ru.d, ru.r, arg_max({'s': s, 'e': e, 'ok': ok}, (e-s, -s)) as q from ru join st on st.name=ru.name and st.d=ru.d and s<=r and e>=r+7 group by all)),
+hits as (select name, s-1 as start, n as repeat_length, d-n as spacer_length, wrong as mismatches from rep where n between 20 and 30 and d-n between 14 and 20)"""
+
+
+def with_repeats(c):
     b = F.col("bases")
-    made = c.withColumn("bases", F.concat(F.left(b, F.lit(25)), F.substring(b, 26, 15), F.left(b, F.lit(25)), F.reverse(b)))
-    return wi.find_crisprs(made, 20)
+    changed = F.translate(F.substring(b, 10, 1), "ACGTN", "CGTAA")
+    made = F.concat(F.left(b, F.lit(25)), F.substring(b, 26, 15), F.left(b, F.lit(9)), changed, F.substring(b, 11, 15), F.substring(b, 27, 14), F.left(b, F.lit(25)), F.reverse(b))
+    return wi.find_crisprs(c.select(F.col("contig_id").alias("name"), made.alias("bases")), 8, (14, 20), repeat=(20, 30))
+
+
+@query("find_crisprs", "dv_contigs", sql=f"with {REPEATS} select * from hits")
+def _(c):
+    return with_repeats(c).drop("stem")
+
+
+@query("crispr_arrays", "dv_contigs", sql=f"with {REPEATS}, l as (select a.name, a.start as a, a.repeat_length as ar, a.spacer_length as asp, b.start as b, b.repeat_length as br, b.spacer_length as bsp from hits a join hits b on a.name=b.name and abs(a.start+a.repeat_length+a.spacer_length-b.start)<=3), n as (select name, {{'s': start, 'r': repeat_length, 'p': spacer_length}} as x, start, repeat_length, spacer_length from hits), e as (select name, {{'s': a, 'r': ar, 'p': asp}} as x, {{'s': b, 'r': br, 'p': bsp}} as y from l), ee as (select name, x, y from e union all select name, y, x from e), r(name, x, y) as (select name, x, x from n union select r.name, r.x, ee.y from r join ee on ee.name=r.name and ee.x=r.y), g as (select name, x, min(y) as grp from r group by all), c as (select n.name, grp, repeat_length, unnest([start, start+repeat_length+spacer_length]) as y from n join g on g.name=n.name and g.x=n.x), w as (select *, coalesce((y-lag(y) over (partition by name, grp order by y)>3)::int, 1) as fresh from c), mo as (select name, grp, repeat_length, row_number() over (partition by name, grp order by count(*) desc, repeat_length) as k from w group by name, grp, repeat_length) select w.name, min(y) as start, max(y+w.repeat_length) as stop, sum(fresh)::bigint as copies, any_value(mo.repeat_length) as repeat_length from w join mo on mo.name=w.name and mo.grp=w.grp and mo.k=1 group by w.name, w.grp")
+def _(c):
+    return wi.crispr_arrays(with_repeats(c))
 
 
 @query("top_hits", "dv_var", sql="select chrom, sample, pos, rank from (select *, row_number() over (partition by chrom order by qual desc, pos) as rank from dv_var) where rank<=3")
@@ -686,6 +707,32 @@ def _(c):
     return st.overlap_clusters(overlapping(c), 15)
 
 
+#: Of each cluster; and the forest by the cycle rule: an edge stays unless better ones already join its ends.
+CLUSTERS = "x as (select a, b from e union select b, a from e), r(a, t) as (select name, name from s union select r.a, x.b from r join x on x.a=r.t), cl as (select a as name, min(t) as cluster from r group by all), pr as (select least(a,b) as a, greatest(a,b) as b, max(overlap) as w from e group by all)"
+
+
+@query("overlap_representatives", "dv_contigs", sql=f"with {OVERLAPS}, {CLUSTERS}, dg as (select name, count(*) as k from (select a as name from pr union all select b from pr) group by all), n as (select cl.name, cluster, length(s.b) as n, coalesce(k,0) as k from cl join s on s.name=cl.name left join dg on dg.name=cl.name) select cluster, count(*) as size, sum(n)::bigint as bases, (sum(k)//2)::bigint as links, arg_min(name,(-n,-k,name)) as representative from n group by all")
+def _(c):
+    rows = overlapping(c)
+    return st.cluster_summary(rows, st.overlap_clusters(rows, 15), st.overlap_edges(rows, 15))
+
+
+@query("overlap_spanning_forest", "dv_contigs", sql=f"with {OVERLAPS}, {CLUSTERS}, o as (select *, row_number() over (order by w desc, a, b) as k from pr), bt as (select o.k, o2.a, o2.b from o join cl ca on ca.name=o.a join o o2 on o2.k<o.k join cl cy on cy.name=o2.a and cy.cluster=ca.cluster), bb as (select k, a, b from bt union all select k, b, a from bt), h(k, y) as (select k, a from o union select h.k, bb.b from h join bb on bb.k=h.k and bb.a=h.y) select a, b, w::bigint as w from o where not exists (select 1 from h where h.k=o.k and h.y=o.b)")
+def _(c):
+    return gr.spanning_forest(st.overlap_edges(overlapping(c), 15).withColumnRenamed("overlap", "w"))
+
+
+#: Short copies with a base changed or gone lie in their contigs; seeds by pigeonhole, edits against all substrings nearby.
+@query("dedupe_containment_inexact", "dv_contigs", sql="with s as (select name, bases from dv_contigs union all select 'x' || contig_id::varchar, case contig_id%4 when 3 then translate(substr(bases,5,30),'ACGTN','CGTAA') when 0 then substr(bases,5,12) || translate(substr(bases,17,1),'ACGTN','CGTAA') || substr(bases,18,20) when 1 then substr(bases,5,12) || substr(bases,18,20) else " + rc("substr(bases,4,12) || 'GT' || substr(bases,16,18)") + " end from dv_contigs), q as (select name, length(bases) as n, (length(bases)*0.1+1e-9)::double as f, bases as q from s where length(bases)<40 union all select name, length(bases), (length(bases)*0.1+1e-9)::double, " + rc("bases") + " from s where length(bases)<40), q2 as (select name, n, floor(f)::int as e, q from q), c as (select *, (i*n)//(e+1) as a, ((i+1)*n)//(e+1) as z from (select *, unnest(range(0,e+1)) as i from q2)), g as (select *, substr(q,(a+1)::int,(z-a)::int) as seed from c), p as (select name as l, bases as lb, w, i, substr(bases,(i+1)::int,w::int) as seed from (select *, unnest(range(0,length(bases)-w+1)) as i from s, (select distinct z-a as w from g))), m as (select distinct g.name, q, n, e, lb, p.i-a as d from g join p on p.seed=g.seed where l<>g.name and (length(lb)>n or (length(lb)=n and l<g.name))), t as (select m.*, unnest(range(greatest(0,d-e),d+e+1)) as st from m), t2 as (select *, unnest(range(n-e,n+e+1)) as ln from t), hit as (select distinct name from t2 where levenshtein(q,substr(lb,(st+1)::int,ln::int))<=e) select name from s where length(bases)<40 and name not in (select name from hit)")
+def _(c):
+    b = F.col("bases")
+    kind, changed = F.col("contig_id") % 4, F.concat(F.substring(b, 5, 12), F.translate(F.substring(b, 17, 1), "ACGTN", "CGTAA"), F.substring(b, 18, 20))
+    more = S.revcomp(F.concat(F.substring(b, 4, 12), F.lit("GT"), F.substring(b, 16, 18)))
+    part = c.select(F.concat(F.lit("x"), F.col("contig_id").cast("string")).alias("name"), F.when(kind == 0, changed).when(kind == 1, F.concat(F.substring(b, 5, 12), F.substring(b, 18, 20))).when(kind == 2, more).otherwise(F.translate(F.substring(b, 5, 30), "ACGTN", "CGTAA")).alias("bases"))
+    rows = c.select("name", "bases").union(part)
+    return st.dedupe_containment(rows, min_identity=90).where("length(bases) < 40").select("name")
+
+
 @query("count_duplicates", "dv_reads", sql="with g as (select bases, count(*) as n from dv_reads group by all) select sum(n)::bigint as reads, sum(n-1)::bigint as duplicates, round(sum(n-1)/sum(n),6) as fraction from g")
 def _(r):
     return st.count_duplicates(r)
@@ -921,11 +968,20 @@ def _(c):
     return si.chain_orfs(o)
 
 
-@query("unitigs", "dv_reads")
+#: Links of k-mers s that do not branch, walked from their first one; reads have no circles of 15-mers.
+WALKED = "so as (select substr(kmer,2,14) as j, any_value(kmer) as a from s group by 1 having count(*)=1), si as (select substr(kmer,1,14) as j, any_value(kmer) as b from s group by 1 having count(*)=1), l as (select a, b from so join si using(j) where {where}), w(p, x, d) as (select kmer, kmer, 0 from s where kmer not in (select b from l) union all select p, l.b, d+1 from w join l on l.a=w.x), u as (select substr(p,1,14) || string_agg(right(x,1),'' order by d) as bases, count(*) as kmers from w group by p)"
+
+
+@query("unitigs", "dv_reads", sql=f"with {km('k','dv_reads','ordinal',15,False)}, s as (select distinct kmer from k), {WALKED.format(where='a<>b')} select * from u")
 def _(r):
     return gr.unitigs(ag.kmer_count(r, 15, rcomp=False).select("kmer"), 15)
 
 
+@query("unitigs_both_strands", "dv_reads", sql=f"with {km('k','dv_reads','ordinal',15,False)}, s as (select kmer from k union select {rc('kmer')} from k), {WALKED.format(where='a<>b and a<>' + rc('b'))} select * from u where bases<={rc('bases')}")
+def _(r):
+    return gr.unitigs_both(ag.kmer_count(r, 15).select("kmer"), 15)
+
+
 @query("label_repair", "dv_aln", sql="select aln_id, case when pos%4=3 then -1 when pos%4=2 then 1 else 0 end::bigint as fixed, pos%4<>3 as valid from dv_aln")
 def _(a):
     raw = F.when(F.col("pos") % 4 == 0, " ").when(F.col("pos") % 4 == 1, "00").when(F.col("pos") % 4 == 2, " 11 ").otherwise("01")
