@@ -202,6 +202,40 @@ def filter_homopolymer(df: DataFrame, symbols: str = "GC", at_least: int = 6, ba
     return df.where(~F.col(bases).rlike("|".join(f"{s}{{{at_least},}}" for s in symbols)))
 
 
+def read_entropy(df: DataFrame, k: int = 4, id_col: str = "ordinal") -> DataFrame:
+    """(id, entropy): entropy of a sequence's k-mers (one strand) as a share of the most that so many can have; 1 with one
+    k-mer. Sequences without a k-mer have no row."""
+    from strandlake.operators.joins import kmer_rows
+
+    n = kmer_rows(df, id_col, k, rcomp=False).groupBy(id_col, "kmer").agg(F.count("*").alias("c"))
+    g = n.groupBy(id_col).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    most = F.log(F.least(F.col("n"), F.lit(4**k)).cast("double"))
+    return g.select(id_col, F.when(F.col("n") == 1, 1.0).otherwise((F.log("n") - F.col("s") / F.col("n")) / most).alias("entropy"))
+
+
+def filter_poly(df: DataFrame, symbols: str = "GC", k: int = 31, min_count: int = 2, min_polymer: int = 20, min_polymer2: int = 29, ldf: float = 0.24, ldf2: float = 1.1, entropy: float = 0.67, entropy2: float = 0.2, quality: float = 12.5, quality2: float = 7.5, entropy_k: int = 4, id_col: str = "ordinal", pair_col: str | None = None) -> DataFrame:
+    """Reads without suspicious homopolymers of the symbols. A read goes if its longest run has min_polymer2 bases, its
+    share of k-mers that occur fewer than min_count times in all reads is ldf2, its entropy is below entropy2 or its
+    average quality below quality2; and if it has a run of min_polymer bases together with a share of ldf, an entropy
+    below entropy or a quality below quality. With pair_col all reads of one pair go together.
+
+    Depths are counts of k-mers over all reads; a k-mer of many reads is one row when it meets them. A read without
+    k-mers is not of low depth."""
+    from strandlake.operators.joins import kmer_rows
+
+    rows = kmer_rows(df, id_col, k).groupBy(id_col, "kmer").agg(F.count("*").alias("c"))
+    rare = rows.groupBy("kmer").agg(F.sum("c").alias("n")).where(F.col("n") < min_count).select("kmer", F.lit(1).alias("rare"))
+    low = rows.join(rare, "kmer", "left").groupBy(id_col).agg((F.sum(F.when(F.col("rare") == 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("low"))
+    runs = lambda n: F.col("bases").rlike("|".join(f"{s}{{{n},}}" for s in symbols))
+    checks = df.select(id_col, *([F.col(pair_col).alias("__pair")] if pair_col else []), runs(min_polymer).alias("run"), runs(min_polymer2).alias("run2"), F.round(average_quality(F.col("quals")), 9).alias("q"))
+    rows = checks.join(low, id_col, "left").join(read_entropy(df, entropy_k, id_col), id_col, "left")
+    x, e, q = F.coalesce("low", F.lit(0.0)), F.coalesce(F.round("entropy", 9), F.lit(1.0)), F.coalesce("q", F.lit(float("inf")))
+    bad = rows.where(F.coalesce("run2", F.lit(False)) | (x >= ldf2) | (e < entropy2) | (q < quality2) | (F.coalesce("run", F.lit(False)) & ((x >= ldf) | (e < entropy) | (q < quality))))
+    if pair_col:
+        return df.join(bad.select(F.col("__pair").alias(pair_col)).distinct(), pair_col, "left_anti")
+    return df.join(bad.select(id_col).distinct(), id_col, "left_anti")
+
+
 def filter_by_tile(df: DataFrame, metrics: list[str], xsize: int = 500, ysize: int = 500, deviations=None, fractions=None, absolutes=None, least_reads: int = 500, target: int = 0) -> DataFrame:
     """Reads (lane, tile, x, y and metric columns) outside bad micro-tiles. A tile is bad if a metric lies below the
     mean over tiles by more than d deviations and f times the mean and an absolute amount. Tiles with fewer reads

@@ -9,17 +9,53 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import PIECE, hamming, letters, pieces, revcomp, translate_frame, vector_distance
 from strandlake.functions.sequence import words as sequence_words
+from strandlake.operators.aligner import bounded_identity
 from strandlake.operators.joins import kmer_rows
 from strandlake.operators.pileup import cut_ranges
 from strandlake.sources.shared import settled, stored
 
 
-def sketch(df: DataFrame, by: str, k: int = 32, size: int = 10_000, min_count: int = 1, hash_of=F.md5) -> DataFrame:
-    """(id, key, rank): the largest hashes of each id's canonical k-mers, at most size of them."""
+def uniform(key: Column, kind: str) -> Column:
+    """A hash key as a number in [0, 1) in the order of the keys: of hexadecimal text by its first 8 digits, of longs."""
+    if kind == "string":
+        return F.conv(F.left(key, F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    return (key.cast("double") + float(1 << 63)) / float(1 << 64)
+
+
+def sketch_keys(df: DataFrame, by: str, k: int, min_count: int = 1, hash_of=F.md5) -> DataFrame:
     n = kmer_rows(df, by, k).groupBy(by, "kmer").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    keys = n.select(by, hash_of(F.col("kmer")).alias("key"), F.col("n").alias("depth"))
+    return n.select(by, hash_of(F.col("kmer")).alias("key"), F.col("n").alias("depth"))
+
+
+def top_keys(keys: DataFrame, by: str, size: int) -> DataFrame:
+    """The rows of the size largest keys of each id, with their rank. Keys are hashes, so of n the largest lie above about
+    1 - size / n: each id's rows below a cut with a margin go where they are, and only the few left are ranked. Ids for
+    which the margin was too small are ranked whole."""
+    keys = stored(keys)
+    u = uniform(F.col("key"), dict(keys.dtypes)["key"])
+    counts = keys.groupBy(by).agg(F.count("*").alias("__n"))
+    cut = counts.withColumn("__cut", 1 - (size + 6 * F.sqrt(F.lit(float(size))) + 20) / F.col("__n"))
+    rows = stored(keys.join(cut, by).where(u >= F.col("__cut")).select(*keys.columns, "__n"))
+    short = rows.groupBy(by, "__n").agg(F.count("*").alias("__k")).where((F.col("__k") < size) & (F.col("__k") < F.col("__n"))).select(by)
+    none = counts.join(rows.select(by).distinct(), by, "left_anti").select(by)
+    short = stored(short.union(none))
+    if not short.isEmpty():
+        rows = rows.select(*keys.columns).join(short, by, "left_anti").unionByName(keys.join(short, by, "left_semi"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("key")))
-    return keys.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= size)
+    return rows.select(*keys.columns).withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= size)
+
+
+def sketch(df: DataFrame, by: str, k: int = 32, size: int = 10_000, min_count: int = 1, hash_of=F.md5) -> DataFrame:
+    """(id, key, depth, rank): the largest hashes of each id's canonical k-mers, at most size of them."""
+    return top_keys(sketch_keys(df, by, k, min_count, hash_of), by, size)
+
+
+def sketch_density(df: DataFrame, by: str, k: int = 32, density: float = 0.01, min_count: int = 1, hash_of=F.md5) -> DataFrame:
+    """(id, key, depth): of each id's canonical k-mers the hashes in the top share `density` of all hashes: as many as
+    k-mers ask for, with neither a sort nor a limit. K-mers outside leave before they are counted."""
+    rows = kmer_rows(df, by, k).select(by, hash_of(F.col("kmer")).alias("key"))
+    rows = rows.where(uniform(F.col("key"), dict(rows.dtypes)["key"]) >= 1 - density)
+    return rows.groupBy(by, "key").agg(F.count("*").alias("depth")).where(F.col("depth") >= min_count)
 
 
 def subsketch(sk: DataFrame, by: str, size: int) -> DataFrame:
@@ -30,9 +66,7 @@ def merge_sketches(parts: list[DataFrame], by: str, size: int) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    n = out.groupBy(by, "key").agg(F.sum("depth").alias("depth"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("key")))
-    return n.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= size)
+    return top_keys(out.groupBy(by, "key").agg(F.sum("depth").alias("depth")), by, size)
 
 
 def blacklist(sk: DataFrame, by: str, n: int) -> DataFrame:
@@ -100,18 +134,25 @@ def identity(a: str, b: str) -> Column:
     return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 6)
 
 
-def identity_pairs(df: DataFrame, id_col: str = "name", k: int = 8) -> DataFrame:
-    """(a, b, identity) of sequences that share a k-mer."""
+def identity_pairs(df: DataFrame, id_col: str = "name", k: int = 8, least: float | None = None) -> DataFrame:
+    """(a, b, identity) of sequences that share a k-mer. With least only pairs of at least that identity, aligned in a
+    band of the width that it allows."""
     side = lambda n: df.select(F.col(id_col).alias(n), F.col("bases").alias(f"s{n}"))
     keys = kmer_rows(df, id_col, k, rcomp=False).select(id_col, "kmer").distinct()
     pairs = keys.withColumnRenamed(id_col, "a").join(keys.withColumnRenamed(id_col, "b"), "kmer").where("a < b").select("a", "b").distinct()
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", identity("sa", "sb").alias("identity"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    if least is not None:
+        return bounded_identity(both, "sa", "sb", least).select("a", "b", "identity")
+    return both.select("a", "b", identity("sa", "sb").alias("identity"))
 
 
-def identity_search(queries: DataFrame, refs: DataFrame, id_col: str = "name") -> DataFrame:
-    """(a, b, identity) of all queries and references of other names, in blocks."""
+def identity_search(queries: DataFrame, refs: DataFrame, id_col: str = "name", least: float | None = None) -> DataFrame:
+    """(a, b, identity) of all queries and references of other names, in blocks; least as in identity_pairs."""
     side = lambda df, n: df.select(F.col(id_col).alias(n), F.col("bases").alias(f"s{n}"))
-    return in_blocks(side(queries, "a"), side(refs, "b"), "a", "b").where("a <> b").select("a", "b", identity("sa", "sb").alias("identity"))
+    both = in_blocks(side(queries, "a"), side(refs, "b"), "a", "b").where("a <> b")
+    if least is not None:
+        return bounded_identity(both, "sa", "sb", least).select("a", "b", "identity")
+    return both.select("a", "b", identity("sa", "sb").alias("identity"))
 
 
 def seeded_search(queries: DataFrame, refs: DataFrame, max_subs: int = 3) -> DataFrame:
@@ -186,6 +227,23 @@ def merge_pairs(df: DataFrame, min_overlap: int = 12, min_insert: int = 15, max_
     return best.select(id_col, pick(F.col("i")).alias("insert"), pick(F.col("o")).alias("overlap"), pick(F.col("m")).alias("mismatches"), pick(merged).alias("merged"))
 
 
+def adapter_consensus(df: DataFrame, min_votes: int = 2, min_share: float = 0.5, max_length: int = 64, **limits) -> DataFrame:
+    """(mate, adapter, pairs): what stands behind short inserts. Pairs (ordinal, bases1, bases2) are merged; of those with
+    an insert shorter than a mate, its bases beyond the insert vote by their place, and each place takes the base with
+    most votes (of equals the least) up to the first one with fewer than min_votes or not above min_share of its votes.
+    pairs is how many vote at the first place."""
+    m = merge_pairs(df, **limits).where("insert is not null").select("ordinal", F.col("insert").cast("int").alias("insert"))
+    rows = df.join(m, "ordinal")
+    tail = lambda c: F.substring(c, F.col("insert") + 1, F.lit(max_length))
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("mate"), tail(f"bases{i}").alias("t")) for i in (1, 2)])).alias("x")).select("x.mate", F.posexplode(letters(F.col("x.t"))).alias("i", "base"))
+    votes = each.where(F.col("base").isin(*"ACGT")).groupBy("mate", "i", "base").agg(F.count("*").alias("n"))
+    place = votes.groupBy("mate", "i").agg(F.min(F.struct((-F.col("n")).alias("m"), "base")).alias("b"), F.sum("n").alias("total"))
+    good = (-F.col("b.m") >= min_votes) & (-F.col("b.m") > min_share * F.col("total"))
+    w = Window.partitionBy("mate").orderBy("i")  # max_length rows at most
+    kept = place.withColumns({"nth": F.row_number().over(w) - 1, "good": good}).withColumn("stop", F.sum(F.when(F.col("good") & (F.col("nth") == F.col("i")), 0).otherwise(1)).over(w)).where("stop = 0")
+    return kept.groupBy("mate").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("b.base").alias("base")))), lambda x: x["base"]), "").alias("adapter"), F.max(F.when(F.col("i") == 0, F.col("total"))).alias("pairs"))
+
+
 def trim_by_overlap(df: DataFrame, **limits) -> DataFrame:
     """Mates cut to their insert where it is shorter than they are."""
     m = merge_pairs(df, **limits).select("ordinal", "insert")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -281,6 +283,13 @@ def _(n):
     return st.concat_text(n.sparkSession, [f"{path}/part=0", f"{path}/part=1"])
 
 
+def runs_of_events(events: DataFrame) -> DataFrame:
+    """Runs of depth of summed events (contig, p, d)."""
+    w = Window.partitionBy("contig").orderBy("p")
+    runs = events.where("d <> 0").select("contig", F.col("p").alias("start"), (F.lead("p").over(w) - 1).alias("stop"), F.sum("d").over(w).alias("depth"))
+    return runs.where("depth > 0")
+
+
 # -- streams: files that arrive in the shared folder, each query ends when all are read ----------------------------
 
 
@@ -298,9 +307,64 @@ def drained(sdf: DataFrame, mode: str) -> DataFrame:
 
 @query("stream_reads", "dv_reads", sql="select name, bases, quals from dv_reads")
 def _(r):
-    path = fresh_path(r.sparkSession, "arriving")
+    spark = r.sparkSession
+    path, out, state = (fresh_path(spark, x) for x in ("arriving", "out", "state"))
     fm.write_reads(r, path, "fastq")
-    return drained(flows.stream_fastq(r.sparkSession, path), "append")
+    sink = lambda batch, number: batch.select("name", "bases", "quals").write.mode("overwrite").parquet(f"{out}/batch={number}")
+    flows.follow_fastq(spark, path, sink, max_files=2).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def replayed(df: DataFrame, cuts: list, column: str, flow, mode: str) -> DataFrame:
+    """The rows that a stream gives of a table which arrives in parts: rows below each cut of a column, and the rest. Each
+    part is written, and the query started again from its checkpoint to take it, so state is stored and read between."""
+    spark = df.sparkSession
+    path, out, state = (fresh_path(spark, x) for x in ("arriving", "out", "state"))
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number if mode == 'append' else 0}")
+
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = df if low is None else df.where(F.col(column) >= F.lit(low))
+        (part if high is None else part.where(F.col(column) < F.lit(high))).write.mode("append").parquet(path)
+        arriving = spark.readStream.schema(df.schema).parquet(path)
+        flow(arriving).writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def middle(df: DataFrame, column: str):
+    row = df.agg(F.percentile_approx(column, 0.5).alias("m")).first()
+    return [row["m"]] if row["m"] is not None else []
+
+
+@query("stream_counts", "dv_reads", sql="select barcode, count(*) as n from dv_reads group by all")
+def _(r):
+    rows = r.select("ordinal", "barcode")
+    return replayed(rows, middle(rows, "ordinal"), "ordinal", lambda x: flows.stream_counts(x, "barcode"), "complete")
+
+
+@query("stream_pileup", "dv_aln", sql="with e as (select rname as contig, pos as p, 1 as d from dv_aln union all select rname, pos+ref_len, -1 from dv_aln) select contig, p, sum(d)::bigint as d from e group by all")
+def _(a):
+    rows = a.select("aln_id", "rname", "pos", "ref_len")
+    return replayed(rows, middle(rows, "aln_id"), "aln_id", flows.stream_pileup, "complete")
+
+
+@query("stream_coverage", "dv_aln", sql="with e as (select rname as contig, pos as p, 1 as d from dv_aln union all select rname, pos+ref_len, -1 from dv_aln), g as (select contig, p, sum(d) as d from e group by all having sum(d)<>0), r as (select contig, p as start, sum(d) over (partition by contig order by p) as depth, lead(p) over (partition by contig order by p) - 1 as stop from g) select contig, start, stop, depth::bigint as depth from r where depth>0")
+def _(a):
+    rows = a.select("aln_id", "rname", "pos", "ref_len")
+    return runs_of_events(replayed(rows, middle(rows, "aln_id"), "aln_id", flows.stream_pileup, "complete"))
+
+
+@query("stream_log_windows", "events", sql="select time_bucket(interval '1 hour', ts, timestamp '1970-01-01') as window_start, event_type as status, count(*) as n, round(avg(value),6) as mean_latency from events group by all")
+def _(e):
+    rows = e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"), F.col("value").alias("latency"))
+    top = rows.agg(F.max("ts").alias("t")).where("t is not null")
+    closing = top.select((F.col("t") + F.expr("interval 30 days")).alias("ts"), F.lit("end").alias("status"), F.lit(0.0).alias("latency"))
+    ends = [r[0] for r in closing.select("ts").collect()]
+    # a row far ahead moves the watermark past all windows, so that append mode gives them all; its own stays in state
+    flow = lambda x: flows.webcheck_windows(x, "1 hour")
+    return replayed(rows.union(closing).union(closing.withColumn("ts", F.col("ts") + F.expr("interval 30 days"))), [*middle(rows, "ts"), *ends, *[x + timedelta(days=1) for x in ends]], "ts", flow, "append").where("status <> 'end'").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_dedupe", "dv_reads", sql="select distinct bases as value from dv_reads")

@@ -313,6 +313,11 @@ def _(v):
     return fl.filter_vcf(v, min_qual=100, start=5, stop=25).withColumn("qual", F.round("qual", 6).cast("double"))
 
 
+@query("filter_poly", "dv_reads", sql="with k as (select ordinal, least(x," + rc("x") + ") as kmer from (select ordinal, substr(bases,(i+1)::int,12) as x from (select *, unnest(range(0,length(bases)-11)) as i from dv_reads)) where not regexp_matches(x,'[^ACGT]')), r as (select kmer from k group by all having count(*)<12), l as (select ordinal, count(r.kmer)/count(*) as low from k left join r using(kmer) group by all), e as (select ordinal, x, count(*) as c from (select ordinal, substr(bases,(i+1)::int,3) as x from (select *, unnest(range(0,length(bases)-2)) as i from dv_reads)) where not regexp_matches(x,'[^ACGT]') group by all), h as (select ordinal, round((ln(sum(c))-sum(c*ln(c))/sum(c))/ln(least(sum(c),64)),9) as entropy from e group by all), q as (select ordinal, round(-10*log10(list_sum(list_transform(string_split(quals,''), lambda c: pow(10.0,-(ascii(c)-33)/10.0)))/length(quals)),9) as q from dv_reads) select ordinal from dv_reads join q using(ordinal) left join l using(ordinal) left join h using(ordinal) where not (regexp_matches(bases,'G{6,}|C{6,}') or low>=0.9 or coalesce(entropy,1)<0.2 or q<9 or (regexp_matches(bases,'G{4,}|C{4,}') and (coalesce(low,0)>=0.24 or coalesce(entropy,1)<0.9 or q<10)))")
+def _(r):
+    return fl.filter_poly(r, "GC", 12, 12, 4, 6, 0.24, 0.9, 0.9, 0.2, 10, 9, 3).select("ordinal")
+
+
 @query("filter_homopolymer", "dv_reads", sql="select ordinal from dv_reads where not regexp_matches(bases,'G{4,}|C{4,}')")
 def _(r):
     return fl.filter_homopolymer(r, "GC", 4).select("ordinal")

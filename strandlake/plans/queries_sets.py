@@ -771,6 +771,11 @@ def _(r):
 SK = f"with {km('k','dv_reads','barcode',12)}, n as (select barcode, kmer, count(*) as depth from k group by all), s as (select barcode, md5(kmer) as key, depth, row_number() over (partition by barcode order by md5(kmer) desc) as rank from n)"
 
 
+@query("sketch_density", "dv_reads", sql=SK + " select barcode, key, depth from s where ('0x' || left(key,8))::bigint/4294967296.0>=0.95 and depth>=2")
+def _(r):
+    return si.sketch_density(r, "barcode", 12, 0.05, 2)
+
+
 @query("sketch_make", "dv_reads", sql=SK + " select * from s where rank<=200")
 def _(r):
     return si.sketch(r, "barcode", 12, 200)
@@ -838,6 +843,11 @@ def _(c):
     return si.seeded_search(c.where("contig_id % 20 = 0").select("name", F.substring("bases", 5, 10).alias("bases")), c, 3)
 
 
+@query("banded_identity", "dv_reads", sql=f"with {km('k','dv_reads','ordinal',24,False)}, u as (select distinct bases from dv_reads), s as (select bases, unnest(range(0,length(bases)-23)) as i from u), x as (select distinct bases, substr(bases,(i+1)::int,24) as kmer from s where not regexp_matches(substr(bases,(i+1)::int,24),'[^ACGT]')), p as (select distinct a.bases as a, b.bases as b from x a join x b using(kmer) where a.bases<b.bases), i as (select a, b, round(1-levenshtein(a,b)/greatest(length(a),length(b)),6) as identity from p) select * from i where identity>=0.58")
+def _(r):
+    return si.identity_pairs(r.select("bases").distinct().withColumn("name", F.col("bases")), k=24, least=0.58)
+
+
 @query("representative_set", "dv_edges")
 def _(e):
     w = e.select("a", "b", (((F.col("a") * 7 + F.col("b") * 3) % 100) / 100.0).alias("w"))
@@ -928,6 +938,19 @@ def _(r):
     return si.merge_pairs(p, 16).select("ordinal", "insert", "overlap", "merged")
 
 
+def short_inserts(r):
+    """Mates of 48 bases on inserts of 25 to 40, which run into the adapters."""
+    insert = F.left("bases", (25 + F.col("ordinal") % 16).cast("int"))
+    one, two = F.lit("AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"), F.lit("ACACTCTTTCCCTACACGACGCTCTTCCGATCT")
+    rows = r.withColumn("bases", F.translate("bases", "N", "A"))
+    return rows.select("ordinal", F.left(F.concat(insert, one), F.lit(48)).alias("bases1"), F.left(F.concat(S.revcomp(insert), two), F.lit(48)).alias("bases2"))
+
+
+@query("adapter_consensus", "dv_reads", sql="select mate, left(adapter,23) as adapter, n as pairs from (select unnest([1,2]) as mate, unnest(['AGATCGGAAGAGCACACGTCTGAACTCCAGTCA','ACACTCTTTCCCTACACGACGCTCTTCCGATCT']) as adapter), (select count(*) as n from dv_reads)")
+def _(r):
+    return si.adapter_consensus(short_inserts(r), min_overlap=16)
+
+
 @query("adapter_trim_by_overlap", "dv_reads", sql="select ordinal, substr(translate(bases,'N','A'),1,(25+ordinal%16)::int) as bases1 from dv_reads")
 def _(r):
     n = (25 + F.col("ordinal") % 16).cast("int")  # inserts shorter than the reads, which run into the adapters
@@ -1005,21 +1028,6 @@ def _(e):
 # -- streaming flows in batch form ------------------------------------------------------------------------------
 
 
-@query("stream_counts", "dv_reads", sql="select barcode, count(*) as n from dv_reads group by all")
-def _(r):
-    return flows.stream_counts(r, "barcode")
-
-
-@query("stream_pileup", "dv_aln", sql="with e as (select rname as contig, pos as p, 1 as d from dv_aln union all select rname, pos+ref_len, -1 from dv_aln) select contig, p, sum(d)::bigint as d from e group by all")
-def _(a):
-    return flows.stream_pileup(a)
-
-
 @query("stream_cardinality_stop", "dv_reads", sql=f"with {km('k','dv_reads','ordinal',9)}, f as (select kmer, min(ordinal) as o from k group by all), p as (select o, count(*) as n from f group by all), c as (select o, sum(n) over (order by o) as c from p) select ordinal from dv_reads where ordinal <= (select min(o) from c where c>=20000)")
 def _(r):
     return flows.kmer_limit(r, 9, 20000).select("ordinal")
-
-
-@query("stream_log_windows", "events", sql="select time_bucket(interval '1 hour', ts, timestamp '1970-01-01') as window_start, event_type as status, count(*) as n, round(avg(value),6) as mean_latency from events group by all")
-def _(e):
-    return flows.webcheck_windows(e.withColumnsRenamed({"event_type": "status", "value": "latency"}), "1 hour")

@@ -19,6 +19,22 @@ def stream_fastq(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
     return lines.select(record.alias("r")).select(F.substring(F.get(p, F.lit(0)), F.lit(2), F.length("r")).alias("name"), F.get(p, F.lit(1)).alias("bases"), F.get(p, F.lit(3)).alias("quals"))
 
 
+def follow_fastq(spark: SparkSession, path: str, sink, malformed: str = "keep", max_files: int = 100):
+    """A writer that reads FASTQ files as they arrive and hands their records to sink(batch, number), each batch a table of
+    formats.read_fastq: files split at record starts, so a large one is many tasks, and what is no record is reported
+    (a row without a name, or an error) and never dropped. The stream itself carries paths only."""
+    from strandlake.sources.formats import read_fastq
+
+    def each(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.select("path").collect()]  # max_files at most
+        if paths:
+            sink(read_fastq(spark, paths, malformed=malformed), number)
+
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("maxFilesPerTrigger", max_files).load(path).select("path")
+    return files.writeStream.foreachBatch(each)
+
+
 def stream_counts(sdf: DataFrame, key: str) -> DataFrame:
     return sdf.groupBy(key).agg(F.count("*").alias("n"))
 
@@ -63,16 +79,19 @@ def kmer_limit(df: DataFrame, k: int, limit: int, order: str = "ordinal") -> Dat
 
 
 def limit_stream(sdf: DataFrame, k: int, limit: int, state_path: str, sink):
-    """Writes micro-batches to sink(batch) until a sketch of distinct k-mers passes the limit. The sketch of each batch
-    is stored under state_path, so a restarted query goes on from there."""
+    """Writes micro-batches to sink(batch) until a sketch of distinct k-mers passes the limit. Under state_path each batch
+    stores the sketch of all up to it, made of the one before and its own rows, so a batch reads one row however long the
+    stream has run, and a restarted query goes on from there."""
     from strandlake.functions.sequence import canonical, kmers
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         rows = batch.select(F.explode(kmers(F.col("bases"), k)).alias("x"))
-        rows.agg(F.hll_sketch_agg(F.xxhash64(canonical(F.col("x"))), F.lit(14)).alias("s")).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-        seen = spark.read.parquet(state_path).where(F.col("batch") < number).agg(F.hll_sketch_estimate(F.hll_union_agg("s"))).first()[0]
+        own = rows.agg(F.hll_sketch_agg(F.xxhash64(canonical(F.col("x"))), F.lit(14)).alias("s"))
+        before = spark.read.parquet(f"{state_path}/batch={number - 1}").select("s") if number else own.where("false")
+        seen = before.agg(F.max(F.hll_sketch_estimate("s"))).first()[0]
+        before.union(own).agg(F.hll_union_agg("s").alias("s")).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
         if (seen or 0) < limit:
             sink(batch)
         batch.unpersist()
