@@ -146,8 +146,10 @@ def variant_coverage(variants: DataFrame, depth: DataFrame) -> DataFrame:
     return rows.groupBy("chrom", "pos", "ref", "alt").agg(F.when(F.max(F.length("alt")) > F.max(F.length("ref")), F.ceil(mean).cast("double")).otherwise(mean).alias("coverage"))
 
 
-def filter_sam_vars(read_vars: DataFrame, supported: DataFrame, most: int = 2, keys=("chrom", "pos", "alt")) -> DataFrame:
-    """Reads with more than most variants that are not supported. read_vars has read and the keys."""
+def filter_sam_vars(read_vars: DataFrame, supported: DataFrame, most: int = 2, keys=("chrom", "pos", "alt"), border: int = 0) -> DataFrame:
+    """Reads with more than most variants that are not supported. read_vars has read and the keys; with border also
+    end_distance, and variants nearer to an end of their read do not count. pileup.filter_bad_reads works on alignments."""
+    read_vars = read_vars.where(F.col("end_distance") >= border) if border else read_vars
     bad = read_vars.join(supported.select(*keys).distinct(), list(keys), "left_anti").groupBy("read").agg(F.count("*").alias("unsupported"))
     return bad.where(F.col("unsupported") > most)
 
@@ -165,23 +167,29 @@ def kmer_rows(df: DataFrame, id_col: str, k: int, bases: str = "bases", rcomp: b
     return rows.select(id_col, (F.col("__piece") * PIECE + F.col("pos")).alias("pos"), "kmer")
 
 
-def seal(reads: DataFrame, refs: DataFrame, k: int = 31, min_hits: int = 1, min_fraction: float = 0.0, ambiguous: str = "random", read_id: str = "ordinal", ref_id: str = "name", hdist: int = 0, clearzone: int = 0, mask_middle: bool = False, seed: int = 1) -> DataFrame:
+def seal(reads: DataFrame, refs: DataFrame, k: int = 31, min_hits: int = 1, min_fraction: float = 0.0, ambiguous: str = "random", read_id: str = "ordinal", ref_id: str = "name", hdist: int = 0, clearzone: int = 0, mask_middle: bool = False, seed: int = 1, edist: int = 0) -> DataFrame:
     """(read, ref, hits, kmers): the reference with the most k-mers of the read. References within clearzone hits of the
     best are ties: "random" takes one by a hash of read and reference, "first" the first name, "toss" none, "all" all.
 
-    hdist 1 lets a read's k-mer match a reference's with one other base; mask_middle ignores the middle base (two of
-    an even k) on both sides. A read's equal k-mers are counted before they meet the references."""
+    hdist lets a read's k-mer match a reference's with so many other bases, edist with so many bases more or less too;
+    mask_middle ignores the middle base (two of an even k) on both sides. A reference's k-mers grow to their neighbours
+    in rounds on distinct rows, about 3 * k times in each. A read's equal k-mers are counted before they meet them."""
     mid = slice((k - 1) // 2, k // 2 + 1)
     masked = lambda c: F.concat(F.left(c, F.lit(mid.start)), F.lit("N" * (mid.stop - mid.start)), F.substring(c, mid.stop + 1, k)) if mask_middle else F.col(c)
     # a masked k-mer is compared on the strand of its unmasked canonical form
     r = kmer_rows(reads, read_id, k).select(read_id, masked("kmer").alias("kmer")).groupBy(read_id, "kmer").agg(F.count("*").alias("__n"))
     total = r.groupBy(read_id).agg(F.sum("__n").alias("kmers"))
     keys = kmer_rows(refs.withColumnRenamed(ref_id, "__ref"), "__ref", k).select("__ref", "kmer")
-    if hdist == 1:
-        one = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.concat(F.left("kmer", i - 1), b, F.substring("kmer", i + 1, F.lit(k)))))
-        keys = keys.distinct().select("__ref", F.explode(F.flatten(one)).alias("kmer")).select("__ref", canonical(F.col("kmer")).alias("kmer"))
-    elif hdist:
-        raise ValueError("hdist is 0 or 1")
+    if hdist or edist:
+        from strandlake.operators.sets import kmer_neighbors
+
+        if edist:  # what enters at an end depends on the strand
+            keys = keys.select("__ref", F.explode(F.array("kmer", revcomp(F.col("kmer")))).alias("kmer"))
+        grown = kmer_neighbors(keys, hdist, keep=("__ref",))
+        for _ in range(edist):
+            sub, ins, gone = (kmer_neighbors(grown, *x, keep=("__ref",)) for x in ((1, 0, 0), (0, 1, 0), (0, 0, 1)))
+            grown = sub.union(ins).union(gone).distinct()
+        keys = grown.select("__ref", canonical(F.col("kmer")).alias("kmer"))
     keys = keys.select("__ref", masked("kmer").alias("kmer")).distinct()
     hits = r.join(keys, "kmer").groupBy(read_id, "__ref").agg(F.sum("__n").alias("hits")).join(total, read_id)
     hits = hits.where((F.col("hits") >= min_hits) & (F.col("hits") >= min_fraction * F.col("kmers")))

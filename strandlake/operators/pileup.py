@@ -206,6 +206,19 @@ def call_alignments(aln: DataFrame, reference: DataFrame, min_count: int = 2, mi
     return kept.withColumns({**rounded, "genotype": genotype}).select(*keys, "count", "plus", "minus", "quality", "quality_max", "mapq_max", "end_mean", "end_max", "depth", "fraction", "score", "genotype")
 
 
+def filter_bad_reads(aln: DataFrame, reference: DataFrame, most: int = 1, max_count: int = 1, max_fraction: float = 0.0, border: int = 5, tile: int = TILE) -> DataFrame:
+    """(aln_id, unsupported): alignments that show more than most unsupported alleles, border bases or more from their
+    ends. An allele is unsupported if at most max_count alignments show it, or at most a share of max_fraction of its depth."""
+    pieces = stored(aligned_pieces(aln, tile))
+    seen = stored(alleles_of(pieces, reference, tile, ["aln_id"]))
+    counts = settled(seen.groupBy(*ALLELE).agg(F.count("*").alias("n")))
+    depth = depth_at(counts.select("chrom", "start", "stop").distinct(), depth_runs(pieces))
+    rare = counts.join(depth, ["chrom", "start", "stop"], "left")
+    rare = rare.where((F.col("n") <= max_count) | (F.col("n") <= max_fraction * F.coalesce("depth", F.lit(0.0)))).select(*ALLELE)
+    bad = seen.where(F.col("end_distance") >= border).join(rare, ALLELE).groupBy("aln_id").agg(F.count("*").alias("unsupported"))
+    return bad.where(F.col("unsupported") > most)
+
+
 def quality_accuracy(aln: DataFrame, reference: DataFrame, by_position: bool = False, tile: int = TILE) -> DataFrame:
     """Called against observed quality: by called quality (and place in the read) bases, errors (substitutions), and the
     phred value of the observed share with one error added. Bases that face other letters than ACGT do not count."""

@@ -39,9 +39,10 @@ def kmer_set(counts: DataFrame, low: int = 1, high: int | None = None) -> DataFr
     return counts.where(keep & (F.col("count") <= high) if high is not None else keep).select("kmer")
 
 
-def kmer_neighbors(df: DataFrame, subs: int = 1, ins: int = 0, dels: int = 0) -> DataFrame:
+def kmer_neighbors(df: DataFrame, subs: int = 1, ins: int = 0, dels: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """All k-mers (column kmer) within so many edits; substitutions, insertions (a base enters and the last one
-    leaves) and deletions (a base leaves and any base enters at the end) each in rounds on distinct rows."""
+    leaves) and deletions (a base leaves and any base enters at the end) each in rounds on distinct rows. Columns in keep
+    go with each k-mer."""
     acgt = F.array(*map(F.lit, "ACGT"))
 
     def once(d: DataFrame, kind: str) -> DataFrame:
@@ -50,9 +51,9 @@ def kmer_neighbors(df: DataFrame, subs: int = 1, ins: int = 0, dels: int = 0) ->
         head, rest = F.left("kmer", F.col("i") - 1), F.substring("kmer", F.col("i"), n)
         tail = F.substring("kmer", F.col("i") + 1, n)
         made = {"sub": F.concat(head, "b", tail), "ins": F.left(F.concat(head, "b", rest), n), "del": F.concat(head, tail, "b")}[kind]
-        return each.select(made.alias("kmer")).union(d).distinct()
+        return each.select(*keep, made.alias("kmer")).union(d).distinct()
 
-    out = df.select("kmer").distinct()
+    out = df.select(*keep, "kmer").distinct()
     for kind, times in (("sub", subs), ("ins", ins), ("del", dels)):
         for _ in range(times):
             out = once(out, kind)

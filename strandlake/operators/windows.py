@@ -107,27 +107,31 @@ def find_repeats(df: DataFrame, k: int = 31, min_depth: int = 2, gap: int = 0, m
     return merge_ranges(hit, id_col, gap).where(F.col("stop") - F.col("start") + 1 >= min_repeat)
 
 
-def extend_repeat(text: str, at: int, d: int, k: int, mismatches: int, reach: int) -> tuple[int, int, int]:
-    """(start, length, mismatches) of the longest stretch around text[at : at + k] that differs from the one d further in at
-    most so many places, both ends alike (of equals the leftmost). It grows reach places to each side at most."""
+def extend_repeat(text: str, at: int, d: int, k: int, mismatches: int, reach: int, penalty: int = 3) -> tuple[int, int, int]:
+    """(start, length, mismatches) of the stretch around text[at : at + k] that is most like the one d further: of those
+    with at most so many mismatches and with ends alike, the one with the most matches less penalty for each mismatch
+    (of equals fewer mismatches, then the leftmost). It grows reach places to each side at most."""
     lo, hi = max(at - reach, 0), min(at + k + reach, len(text) - d)
     same = [text[t] == text[t + d] and text[t] in "ACGT" for t in range(lo, hi)]
-    left, right = [at], [at + k]  # with so many mismatches on a side, where the stretch ends
-    t = at
-    for _ in range(mismatches + 1):
-        while t > lo and same[t - 1 - lo]:
-            t -= 1
-        left.append(t if t < left[-1] and same[t - lo] else left[-1])
-        t = max(t - 1, lo)
-    t = at + k
-    for _ in range(mismatches + 1):
-        while t < hi and same[t - lo]:
-            t += 1
-        right.append(t if t > right[-1] and same[t - 1 - lo] else right[-1])
-        t = min(t + 1, hi)
-    _, start = min((left[i + 1] - right[mismatches - i + 1], left[i + 1]) for i in range(mismatches + 1))
-    stop = max(right[mismatches - i + 1] for i in range(mismatches + 1) if left[i + 1] == start)
-    return start, stop - start, sum(not same[t - lo] for t in range(start, stop))
+
+    def ends(places, step):
+        """(mismatches, matches) on the way to the far end of each run of matches."""
+        out, wrong, right = [(0, 0)], 0, 0
+        for t in places:
+            if same[t - lo]:
+                right += 1
+                if not (lo <= t + step < hi and same[t + step - lo]):
+                    out.append((wrong, right))
+            else:
+                wrong += 1
+                if wrong > mismatches:
+                    break
+        return out
+
+    left, right = ends(range(at - 1, lo - 1, -1), -1), ends(range(at + k, hi), 1)
+    choices = ((-(m + n) + penalty * (v + w), v + w, at - m - v, at + k + n + w) for v, m in left for w, n in right if v + w <= mismatches)
+    _, wrong, start, stop = min(choices)
+    return start, stop - start, wrong
 
 
 def stem_length(text: str, max_loop: int = 8) -> int:

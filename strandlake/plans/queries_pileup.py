@@ -77,3 +77,9 @@ r as (select *, row_number() over (partition by aln_id order by k, i) as a, row_
 select aln_id, string_agg(n::bigint::varchar || op,'' order by a) as cigar from g group by all""")
 def _(a, c):
     return pi.exact_codes(a, c)
+
+
+@query("filter_bad_alignments", "dv_sam", "dv_contigs", sql=f"""with {WALK}, {AT}, n as (select chrom, start, stop, type, allele, count(*) as n from al group by all),
+rare as (select n.* from n left join atd using (chrom,start,stop) where n<=3 or n<=0.15*coalesce(depth,0)) select aln_id, count(*) as unsupported from al join rare using (chrom,start,stop,type,allele) where end_distance>=3 group by all having count(*)>1""")
+def _(a, c):
+    return pi.filter_bad_reads(a, c, 1, 3, 0.15, 3)

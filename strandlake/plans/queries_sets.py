@@ -127,11 +127,11 @@ def _(v, a):
     return jo.variant_coverage(v.select("chrom", "pos", "ref", "alt"), depth).withColumn("coverage", F.col("coverage").cast("double"))
 
 
-@query("filter_bad_vars", "dv_var", sql="with s as (select chrom,pos,alt from dv_var where ref<>alt group by all having count(*)>=10) select sample || chrom as \"read\", count(*) as unsupported from dv_var v where ref<>alt and not exists (select 1 from s where s.chrom=v.chrom and s.pos=v.pos and s.alt=v.alt) group by 1 having count(*)>2")
+@query("filter_bad_vars", "dv_var", sql="with v as (select *, (pos*7+ascii(ref))%20 as e from dv_var), s as (select chrom,pos,alt from v where ref<>alt group by all having count(*)>=20) select sample || chrom as \"read\", count(*) as unsupported from v where ref<>alt and e>=5 and not exists (select 1 from s where s.chrom=v.chrom and s.pos=v.pos and s.alt=v.alt) group by 1 having count(*)>2")
 def _(v):
-    rows = v.where("ref <> alt").withColumn("read", F.concat("sample", "chrom"))
-    good = rows.groupBy("chrom", "pos", "alt").agg(F.count("*").alias("n")).where("n >= 10")
-    return jo.filter_sam_vars(rows.select("read", "chrom", "pos", "alt"), good)
+    rows = v.where("ref <> alt").withColumns({"read": F.concat("sample", "chrom"), "end_distance": (F.col("pos") * 7 + F.ascii("ref")) % 20})
+    good = rows.groupBy("chrom", "pos", "alt").agg(F.count("*").alias("n")).where("n >= 20")
+    return jo.filter_sam_vars(rows.select("read", "chrom", "pos", "alt", "end_distance"), good, border=5)
 
 
 @query("mapping_diff", "dv_aln", sql="select aln_id as \"read\" from dv_aln where mapq<8 and aln_id not in (select aln_id from dv_aln where pos%2=1)")
@@ -610,10 +610,11 @@ def _(c):
 REPEATS = """b as (select contig_id as name, substr(bases,1,25) || substr(bases,26,15) || substr(bases,1,9) || translate(substr(bases,10,1),'ACGTN','CGTAA') || substr(bases,11,15) || substr(bases,27,14) || substr(bases,1,25) || reverse(bases) as bases from dv_contigs),
 dg as (select name, d, p, bases[p]=bases[p+d] and bases[p] in ('A','C','G','T') as m from (select *, unnest(range(1,length(bases)-d+1)) as p from (select *, unnest(range(34,51)) as d from b))),
 mis as (select name, d, p as x from dg where not m union all select distinct name, d, 0 from dg union all select name, d, max(p)+1 from dg group by all),
-iv as (select name, d, x as lo, coalesce(lead(x,4) over w, max(x) over (partition by name, d)) as hi from mis window w as (partition by name, d order by x)),
-st as (select name, d, lo, min(p) as s, max(p) as e, count(*) as ok from iv join dg using (name, d) where p>lo and p<hi and m group by all),
+mj as (select *, row_number() over (partition by name, d order by x) as j from mis),
+iv as (select a.name, a.d, a.x as lo, b.x as hi from mj a join mj b on a.name=b.name and a.d=b.d and b.j between a.j+1 and a.j+4),
+st as (select distinct name, d, s, e, ok from (select name, d, lo, hi, min(p) as s, max(p) as e, count(*) as ok from iv join dg using (name, d) where p>lo and p<hi and m group by all)),
 ru as (select name, d, min(p) as r from (select *, p-row_number() over (partition by name, d order by p) as g from dg where m) group by name, d, g having count(*)>=8),
-rep as (select distinct name, d, q.s, q.e-q.s+1 as n, q.e-q.s+1-q.ok as wrong from (select ru.name, ru.d, ru.r, arg_max({'s': s, 'e': e, 'ok': ok}, (e-s, -s)) as q from ru join st on st.name=ru.name and st.d=ru.d and s<=r and e>=r+7 group by all)),
+rep as (select distinct name, d, q.s, q.e-q.s+1 as n, q.e-q.s+1-q.ok as wrong from (select ru.name, ru.d, ru.r, arg_max({'s': s, 'e': e, 'ok': ok}, (4*ok-3*(e-s+1), ok-(e-s+1), -s, -e)) as q from ru join st on st.name=ru.name and st.d=ru.d and s<=r and e>=r+7 group by all)),
 hits as (select name, s-1 as start, n as repeat_length, d-n as spacer_length, wrong as mismatches from rep where n between 20 and 30 and d-n between 14 and 20)"""
 
 
@@ -660,7 +661,7 @@ def _(r):
 
 for _mode, _sql in (("union", "union"), ("intersection", "intersect"), ("difference", "except")):
     query(f"vcf_set_ops_{_mode}", "dv_var", sql=f"select chrom,pos,ref,alt from dv_var where sample='s0' {_sql} select chrom,pos,ref,alt from dv_var where sample='s1'")(lambda v, m=_mode: st.compare_vcf([v.where("sample = 's0'"), v.where("sample = 's1'")], m))
-    query(f"gff_set_ops_{_mode}", "dv_features", sql=f"select seqid,start,stop,strand from dv_features where line=1 and type='CDS' {_sql} select seqid,start,stop,strand from dv_features where line=2 and type='CDS'")(lambda f, m=_mode: st.gff_set_op(f.where("line = 1"), f.where("line = 2"), m))
+    query(f"gff_set_ops_{_mode}", "dv_features", sql=f"select seqid,start,stop,strand from dv_features where line<=2 and type='CDS' {_sql} select seqid,start,stop,strand from dv_features where line>=2 and type='CDS'")(lambda f, m=_mode: st.gff_set_op(f.where("line <= 2"), f.where("line >= 2"), m))
 
 
 @query("kmer_set_ops", "dv_reads", sql=f"with {km('k','dv_reads','ordinal',7)} select kmer from k group by all having count(*) between 10 and 60")
@@ -678,9 +679,11 @@ def _(r):
     return st.dedupe(r).select("ordinal")
 
 
-@query("dedupe_unique_only", "dv_reads", sql=f"select min(ordinal) as ordinal from (select ordinal, substr(bases,1,8) as bases from dv_reads) group by least(bases,{rc('bases')}) having count(*)=1")
-def _(r):
-    return st.dedupe(r.select("ordinal", F.left("bases", F.lit(8)).alias("bases")), unique_only=True).select("ordinal")
+@query("dedupe_unique_only", "dv_reads", "dv_contigs", sql=f"select min(ordinal) as ordinal from (select ordinal, bases from dv_reads union all select -contig_id, bases from dv_contigs union all select -1000000-contig_id, {rc('bases')} from dv_contigs where contig_id%3=0) group by least(bases,{rc('bases')}) having count(*)=1")
+def _(r, c):
+    other = c.where("contig_id % 3 = 0").select(-1000000 - F.col("contig_id"), S.revcomp(F.col("bases")))
+    rows = r.select("ordinal", "bases").union(c.select(-F.col("contig_id"), "bases")).union(other)
+    return st.dedupe(rows, unique_only=True).select("ordinal")
 
 
 @query("dedupe_containment", "dv_contigs", sql="with s as (select contig_id::varchar as name, substr(bases,5,30) as bases from dv_contigs union all select 'x' || contig_id::varchar, bases from dv_contigs where contig_id%3<2), k as (select name, bases, unnest([substr(bases,1,15), substr(" + rc("bases") + ",1,15)]) as seed from s), p as (select name as l, bases as lb, substr(bases,(i+1)::int,15) as seed from (select *, unnest(range(0,length(bases)-14)) as i from s)) select name from s where name not in (select k.name from k join p using(seed) where l<>name and (contains(lb,k.bases) or contains(lb," + rc("k.bases") + ")) and (length(lb)>length(k.bases) or (length(lb)=length(k.bases) and l<k.name)))")
@@ -798,10 +801,10 @@ def _(r):
     return si.compare_sketch(s, s, "barcode", 12, skip_same=True)
 
 
-@query("sketch_unique_hits", "dv_reads", sql=SK + ", t as (select * from s where rank<=200), o as (select key, any_value(barcode) as ref from t group by all having count(*)=1) select t.barcode as query, ref, count(*) as \"unique\" from t join o using(key) group by all")
-def _(r):
-    s = si.sketch(r, "barcode", 12, 200)
-    return si.unique_hits(s, s, "barcode")
+@query("sketch_unique_hits", "dv_contigs", sql=f"with {km('k','dv_contigs','contig_id',6)}, n as (select contig_id, kmer, count(*) as depth from k group by all), t as (select contig_id, key from (select contig_id, md5(kmer) as key, row_number() over (partition by contig_id order by md5(kmer) desc) as rank from n) where rank<=20), o as (select key, any_value(contig_id) as ref from t group by all having count(*)=1) select t.contig_id as query, ref, count(*) as \"unique\" from t join o using(key) group by all")
+def _(c):
+    s = si.sketch(c, "contig_id", 6, 20)
+    return si.unique_hits(s, s, "contig_id")
 
 
 @query("sketch_invert", "dv_reads", sql=SK + ", i as (select distinct kmer from n) select md5(kmer) as key, kmer from i where md5(kmer) in (select key from s where rank<=5)")
@@ -810,9 +813,11 @@ def _(r):
     return si.invert_keys(s, r.select("bases"), 12)
 
 
-@query("clade_spectra", "dv_contigs", sql=f"with {km('k','dv_contigs','contig_id',3)}, u as (select contig_id%40 as clade, kmer from k) select clade, round(sum(length(kmer)-length(translate(kmer,'GC','')))/(count(*)*3),6) as gc, 32 as n from u group by all")
+@query("clade_spectra", "dv_contigs", sql=f"with {km('k','dv_contigs','contig_id',3)}, u as (select contig_id%40 as clade, kmer from k), x as (select a.b || b.b || c.b as kmer from (select unnest(['A','C','G','T']) as b) a, (select unnest(['A','C','G','T']) as b) b, (select unnest(['A','C','G','T']) as b) c), m as (select kmer, row_number() over (order by kmer) as i from x where kmer<={rc('kmer')}), t as (select clade, count(*) as t, sum(length(kmer)-length(translate(kmer,'GC',''))) as g from u group by all), n as (select clade, kmer, count(*) as n from u group by all) select t.clade, round(g/(t*3),6) as gc, i, round(coalesce(n,0)/t,6)::double as share from t cross join m left join n on n.clade=t.clade and n.kmer=m.kmer")
 def _(c):
-    return si.clade_spectra(c.withColumn("clade", F.col("contig_id") % 40), "clade").select("clade", F.round("gc", 6).alias("gc"), F.size("spectrum").alias("n"))
+    s = si.clade_spectra(c.withColumn("clade", F.col("contig_id") % 40), "clade")
+    each = s.select("clade", F.round("gc", 6).alias("gc"), F.posexplode("spectrum").alias("i", "x"))
+    return each.select("clade", "gc", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("share"))
 
 
 @query("clade_search", "dv_contigs", sql=f"with {km('k','dv_contigs','contig_id',3)}, u as (select contig_id%40 as clade, kmer from k), a as (select distinct clade from u), m as (select distinct kmer from u), n as (select clade, kmer, count(*) as n from u group by all), t as (select clade, sum(n) as t, sum(n*(length(kmer)-length(translate(kmer,'GC',''))))/(sum(n)*3) as gc from n group by all), f as (select a.clade, m.kmer, coalesce(n.n,0)/t.t as x, gc from a cross join m left join n using(clade,kmer) join t on t.clade=a.clade), d as (select p.clade as query, q.clade as ref, round(sum(abs(p.x-q.x)),6) as distance from f p join f q using(kmer) where p.clade<>q.clade and abs(p.gc-q.gc)<=0.1 group by all) select * from (select *, row_number() over (partition by query order by distance, ref) as rank from d) where rank<=2")
