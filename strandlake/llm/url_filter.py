@@ -6,20 +6,22 @@ words that these splits give, all URLs counted: a URL is an example of "block" w
 its host, else of "allow". Seed words are examples, not rules: what else such hosts and their paths are made of scores as
 well.
 
-The counts of all words stay a Spark table. Substrings of the distinct names join it, so that each name is split with
-the words it holds; a name of any length is split as a whole.
+The counts of all words stay a Spark table. Stretches of the distinct names join it, so that each name is split with
+the words it holds, however long these are; a name of any length is split as a whole.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import ChainMap
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import ascii_lower, read, stored
+from strandlake.llm.common import ascii_lower, id_filter, in_filter, read, stored
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = [
@@ -31,8 +33,8 @@ RULES = [
 ]
 #: Words that mark a host as an example of "block".
 SEED_WORDS = ["ads", "adult", "bet", "bets", "casino", "cheap", "crack", "escort", "loan", "loans", "pills", "poker", "porn", "replica", "sex", "spam", "track", "viagra", "warez", "xxx"]
-#: Longer words are known only as whole names.
-LONGEST_WORD = 24
+#: Words meet names by their first letters, so many of them at most; longer words are compared with what follows there.
+KEY_LETTERS = 24
 #: Words of up to so many letters are held by every task; the alphabet has 47,988 of them.
 SHORT_WORD = 3
 MARKS = "[^a-z0-9]+"
@@ -57,14 +59,14 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return out
 
 
-def split(name: str, cost: dict[str, float], unknown: float) -> tuple[str, ...]:
-    """From a name to its most likely words. Unknown stretches cost more with each letter."""
+def split(name: str, cost: dict[str, float], unknown: float, sizes: tuple[int, ...] = ()) -> tuple[str, ...]:
+    """From a name to its most likely words: stretches of up to KEY_LETTERS letters, and of the sizes of longer words.
+    Unknown stretches cost more with each letter."""
     best = [(0.0, 0)]
     for j in range(1, len(name) + 1):
-        spans = ((best[i][0] + cost.get(name[i:j], unknown + 2.5 * (j - i)), i) for i in range(max(0, j - LONGEST_WORD), j))
-        best.append(min(spans))
-    if name in cost:
-        best[-1] = min(best[-1], (cost[name], 0))
+        near = [(best[i][0] + cost.get(name[i:j], unknown + 2.5 * (j - i)), i) for i in range(max(0, j - KEY_LETTERS), j)]
+        far = [(best[j - n][0] + cost[name[j - n : j]], j - n) for n in sizes if n <= j and name[j - n : j] in cost]
+        best.append(min(near + far))
     out, j = [], len(name)
     while j:
         i = best[j][1]
@@ -93,25 +95,31 @@ def unigrams(urls: DataFrame, seeds: list[str] = SEED_WORDS) -> tuple[DataFrame,
 
 
 def split_names(distinct: DataFrame, words: DataFrame, total: float) -> DataFrame:
-    """(name, words) of distinct names."""
+    """(name, words) of distinct names. Of a name's stretches only those leave the scan that a fixed-size filter over the
+    words' first letters passes; they join the words, and longer words have to go on as the name does."""
     keyed = distinct.select(F.md5("name").alias("k"), "name")
+    long = words.where(F.length("w") > SHORT_WORD).withColumn("key", F.left("w", F.lit(KEY_LETTERS)))
+    known = id_filter(long.select(F.crc32(F.col("key").cast("binary")).alias("c")), "c")
 
-    def substrings(frames):
+    def stretches(frames):
         for f in frames:
-            out: list[tuple[str, str]] = []
+            out: set[tuple[str, str]] = set()
             for k, name in zip(f["k"], f["name"], strict=True):
                 for i in range(len(name) - SHORT_WORD):
-                    out += [(k, name[i:j]) for j in range(i + SHORT_WORD + 1, min(len(name), i + LONGEST_WORD) + 1)]
+                    some = [name[i:j] for j in range(i + SHORT_WORD + 1, min(len(name), i + KEY_LETTERS) + 1)]
+                    passed = in_filter(known, np.fromiter((zlib.crc32(x.encode()) for x in some), np.int64, len(some)))
+                    out.update((k, some[j]) for j in np.flatnonzero(passed).tolist())
                     if len(out) > 100_000:
-                        yield pd.DataFrame(out, columns=["k", "w"])
-                        out = []
-                if len(name) > LONGEST_WORD:
-                    out.append((k, name))
-            yield pd.DataFrame(out, columns=["k", "w"])
-
-    is_long = F.length("w") > SHORT_WORD
-    hits = keyed.mapInPandas(substrings, "k string, w string").join(words.where(is_long), "w").groupBy("k").agg(F.collect_set(F.struct("w", "n")).alias("hits"))
-    short = {r["w"]: -math.log(r["n"] / total) for r in words.where(~is_long).collect()}
+                        yield pd.DataFrame(list(out), columns=["k", "key"])
+                        out = set()
+            yield pd.DataFrame(list(out), columns=["k", "key"])
+
+    met = stored(keyed.mapInPandas(stretches, "k string, key string").join(long, "key").select("k", "w", "n"))
+    beyond = F.length("w") > KEY_LETTERS
+    held = met.where(beyond).distinct().join(keyed, "k").where(F.contains("name", F.col("w"))).select("k", "w", "n")
+    met = met.where(~beyond).union(held)
+    hits = met.groupBy("k").agg(F.collect_set(F.struct("w", "n")).alias("hits"))
+    short = {r["w"]: -math.log(r["n"] / total) for r in words.where(F.length("w") <= SHORT_WORD).collect()}
     unknown = math.log(total) + 2.0
 
     def run(frames):
@@ -119,7 +127,8 @@ def split_names(distinct: DataFrame, words: DataFrame, total: float) -> DataFram
             out = []
             for name, found in zip(f["name"], f["hits"], strict=True):
                 own = {x["w"]: -math.log(x["n"] / total) for x in found} if found is not None else {}
-                out.append((name, list(split(name, ChainMap(own, short), unknown))))
+                sizes = tuple(sorted({len(w) for w in own if len(w) > KEY_LETTERS}))
+                out.append((name, list(split(name, ChainMap(own, short), unknown, sizes))))
             yield pd.DataFrame(out, columns=["name", "words"])
 
     return stored(keyed.join(hits, "k", "left").select("name", "hits").mapInPandas(run, "name string, words array<string>"))

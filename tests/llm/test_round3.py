@@ -9,7 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.llm import decontaminate, lexical_search, quality_rules, source_mix, spelling, substring_dedup, token_binary
+from strandlake.llm import decontaminate, lexical_search, quality_rules, source_mix, spelling, substring_dedup, token_binary, url_filter
+from strandlake.llm.common import read
 from tests.conftest import SF
 
 TERM = re.compile(lexical_search.TERM)
@@ -302,3 +303,66 @@ def test_strata_and_trials(spark):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(30)], "doc_id long, quality int")
     for r in quality_rules.fit_cutoffs(measured, labels, alpha=0.99, delta=0.99).collect():
         assert r["good"] + r["bad"] == 10  # a repeated row is no further trial
+
+
+def test_long_words_are_segments_of_longer_names(spark):
+    word = "pneumonoultramicroscopicsilicosis"
+    near = word[:24] + "qqqq"
+    urls = [f"http://a-b.org/{word}/x{i}" for i in range(30)] + [f"http://a-b.org/{near}/y{i}" for i in range(5)]
+    urls += [f"http://ward{word}clinic.org/", f"http://{near}.org/", "http://clinic-ward.org/clinic/ward"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["words"] for r in url_filter.judge(pages).collect()}
+    assert got[35] == f"ward {word} clinic" and got[36] == near
+
+
+def pages_verdicts(rows):
+    """op5 by brute force on a table of URLs: words between marks, dynamic splits over all of them, Bayes on the splits."""
+    cut, counts = [], Counter(dict.fromkeys(url_filter.SEED_WORDS, 0))
+    names = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x and not re.fullmatch("[0-9]+", x)]
+    for i, url in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = lowered(host)
+        bare = host.rpartition(".")[0]
+        counts.update(names(".".join(x for x in bare.split(".") if re.search("[^a-z0-9]", x))) + names(path) if host else [])
+        cut.append((i, host, path, names(bare), names(path)))
+    counts = {w: max(n, 1) for w, n in counts.items()}
+    total = sum(counts.values()) + 1.0
+    cost = {w: -math.log(n / total) for w, n in counts.items()}
+    unknown = math.log(total) + 2.0
+
+    def split(name):
+        best = [(0.0, 0)]
+        for j in range(1, len(name) + 1):
+            best.append(min((best[i][0] + cost.get(name[i:j], unknown + 2.5 * (j - i)), i) for i in range(j)))
+        out, j = [], len(name)
+        while j:
+            out.append(name[best[j][1] : j])
+            j = best[j][1]
+        return out[::-1]
+
+    parted = [(i, h, p, [split(x) for x in a], [split(x) for x in b]) for i, h, p, a, b in cut]
+    seeded = lambda a: any(w in url_filter.SEED_WORDS for x in a for w in x)
+    good, bad, n_bad, n = Counter(), Counter(), 0, 0
+    for _, host, _, a, b in parted:
+        if host and a + b:
+            n, n_bad = n + 1, n_bad + seeded(a)
+            (bad if seeded(a) else good).update(w for x in a + b for w in x)
+    size = len(set(good) | set(bad)) + 1
+    odds = lambda w: math.log((bad[w] + 1) / (bad.total() + size)) - math.log((good[w] + 1) / (good.total() + size))
+    prior = math.log((n_bad + 1) / (n - n_bad + 1))
+    out = {}
+    for i, host, path, a, b in parted:
+        rule, verdict = None, "block" if host and prior + sum(odds(w) for x in a + b for w in x) > 0 else "allow"
+        for v, h, p in url_filter.RULES:
+            if (host == h or host.endswith("." + h)) and path.startswith(p) and len(h + p) > len(rule or ""):
+                rule, verdict = h + p, v
+        out[i] = (host, path, rule, verdict, " ".join(w for x in a + b for w in x))
+    return out
+
+
+def test_url_query_by_brute_force(spark):
+    rows = [(r["page_id"], r["url"]) for r in read(spark, SF, "pages").select("page_id", "url").collect()]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["words"]) for r in url_filter.op5(spark, SF).collect()}
+    assert got == pages_verdicts(rows)
