@@ -121,37 +121,39 @@ def adjust_homopolymers(bases: Column, delta: int) -> Column:
 def mask_entropy(df: DataFrame, key: str, window: int = 80, k: int = 5, least: float = 0.7, bases: str = "bases") -> DataFrame:
     """Bases under windows whose k-mer entropy, as a share of the most possible, is below least become N.
 
-    A window is window bases (the whole sequence where it is shorter). Uses one pass of Arrow batches; a sequence
-    stays in its row."""
+    A window is window bases (the whole sequence where it is shorter); all windows of a sequence are sorted and counted
+    together, some thousand at a time."""
     columns = df.columns
 
     def run(batches):
         import numpy as np
 
+        def low(s):
+            """Whether each base is under a window of low entropy; None where none can be."""
+            size = min(window, len(s))
+            m = size - k + 1
+            if m < 2:
+                return None
+            code = np.unique(np.lib.stride_tricks.sliding_window_view(np.frombuffer(s.encode("utf-32-le"), np.uint32), k), axis=0, return_inverse=True)[1].reshape(-1)
+            weight = np.arange(m + 1) * np.log(np.maximum(np.arange(m + 1), 1))
+            windows = np.lib.stride_tricks.sliding_window_view(code, m)
+            steps = np.zeros(len(s) + 1, np.int64)
+            for at in range(0, len(windows), 4096):
+                some = np.sort(windows[at : at + 4096], axis=1)
+                new = np.ones(some.shape, bool)
+                new[:, 1:] = some[:, 1:] != some[:, :-1]
+                begin = np.flatnonzero(new)
+                total = np.bincount(begin // m, weight[np.diff(np.append(begin, some.size))], len(some))
+                hit = at + np.flatnonzero((np.log(m) - total / m) / np.log(min(m, 4**k)) < least)
+                np.add.at(steps, hit, 1)
+                np.add.at(steps, hit + size, -1)
+            return steps.cumsum()[:-1] > 0
+
         for pdf in batches:
             out = []
             for s in pdf[bases]:
-                n = len(s or "")
-                size = min(window, n)
-                m = size - k + 1
-                if n == 0 or m < 2:
-                    out.append(s)
-                    continue
-                words = pd.factorize(np.array([s[i : i + k] for i in range(n - k + 1)]))[0]
-                top, covered = np.log(min(m, 4**k)), np.zeros(n + 1, int)
-                counts = np.bincount(words[:m], minlength=words.max() + 1)
-                total = sum(c * np.log(c) for c in counts if c)
-                for i in range(n - size + 1):
-                    if i:
-                        for w, d in ((words[i - 1], -1), (words[i + m - 1], 1)):
-                            c = counts[w]
-                            total += ((c + d) * np.log(c + d) if c + d else 0.0) - (c * np.log(c) if c else 0.0)
-                            counts[w] += d
-                    if (np.log(m) - total / m) / top < least:
-                        covered[i] += 1
-                        covered[i + size] -= 1
-                hit = covered.cumsum()[:n] > 0
-                out.append("".join("N" if h else c for c, h in zip(s, hit, strict=True)))
+                hit = low(s) if s else None
+                out.append(s if hit is None or not hit.any() else "".join("N" if h else c for c, h in zip(s, hit.tolist(), strict=True)))
             yield pdf.assign(**{bases: out})[columns]
 
     return df.mapInPandas(run, df.schema)

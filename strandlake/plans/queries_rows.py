@@ -155,7 +155,7 @@ def _(c):
     return c.select("contig_id", pr.adjust_homopolymers(F.col("bases"), -1).alias("bases"))
 
 
-@query("mask_low_complexity", "dv_contigs")
+@query("mask_low_complexity", "dv_contigs", sql="with b as (select contig_id, repeat('A',30) || bases as s from dv_contigs), w as (select contig_id, st, substr(s,(st+i)::int,3) as x from (select *, unnest(range(1,length(s)-23)) as st from b), (select unnest(range(0,23)) as i)), c as (select contig_id, st, x, count(*) as c from w group by all), h as (select contig_id, st from c group by all having (ln(23)-sum(c*ln(c))/23)/ln(23)<0.7), m as (select distinct contig_id, unnest(range(st,st+25)) as p from h) select b.contig_id, string_agg(case when m.p is null then substr(s,j::int,1) else 'N' end, '' order by j) as bases from (select *, unnest(range(1,length(s)+1)) as j from b) b left join m on m.contig_id=b.contig_id and m.p=b.j group by b.contig_id")
 def _(c):
     return pr.mask_entropy(c.withColumn("bases", F.concat(F.repeat(F.lit("A"), F.lit(30)), "bases")), "contig_id", 25, 3).select("contig_id", "bases")
 

@@ -473,9 +473,9 @@ def _(c):
     return ag.keep_best_copy(c.withColumn("taxid", F.col("contig_id") % 90)).select("name")
 
 
-@query("rpkm", "dv_aln", "dv_contigs", sql="with h as (select rname as ref, count(*) as reads from dv_aln where pos<15 group by all) select name as ref, length(bases) as length, coalesce(reads,0) as reads, round(coalesce(reads,0)*1e9/(length(bases)*(select sum(reads) from h)),6) as rpkm from dv_contigs left join h on h.ref=name")
+@query("rpkm", "dv_aln", "dv_contigs", sql="with h as (select rname as ref, count(*) as reads from dv_aln group by all) select name as ref, length(bases) as length, coalesce(reads,0) as reads, round(coalesce(reads,0)*1e9/(length(bases)*(select sum(reads) from h)),6) as rpkm from dv_contigs left join h on h.ref=name")
 def _(a, c):
-    h = a.where("pos < 15").groupBy(F.col("rname").alias("ref")).agg(F.count("*").alias("reads"))
+    h = a.groupBy(F.col("rname").alias("ref")).agg(F.count("*").alias("reads"))
     return ag.rpkm(h, c.select(F.col("name").alias("ref"), F.length("bases").cast("bigint").alias("length")))
 
 
@@ -853,14 +853,18 @@ def _(r):
     return si.identity_pairs(r.select("bases").distinct().withColumn("name", F.col("bases")), k=24, least=0.58)
 
 
-@query("representative_set", "dv_edges")
+#: Nodes o (k, id, nb: neighbours) one after the other: each is taken unless a neighbour is.
+GREEDY = "r(k, taken) as (select 0::bigint, []::bigint[] union all select r.k+1, case when list_has_any(nb, taken) then taken else list_append(taken, id) end from r join o on o.k=r.k+1) select unnest(taken) as id from r where k=(select max(k) from o)"
+
+
+@query("representative_set", "dv_edges", sql=f"with e as (select distinct a, b, ((a*7+b*3)%100)/100.0 as w from dv_edges), x as (select a, b, w from e union select b, a, w from e), n as (select distinct a as id from x), s as (select a, sum(w::double-0.2) as s from x group by all), p as (select id, coalesce(s+0.25*s*ln((2+id%5)::double),0) as p from n left join s on s.a=id), g as (select a, list(distinct b) as nb from x group by a), o as (select row_number() over (order by p desc, id) as k, id, coalesce(nb,[]) as nb from p left join g on g.a=id), {GREEDY}")
 def _(e):
     w = e.select("a", "b", (((F.col("a") * 7 + F.col("b") * 3) % 100) / 100.0).alias("w"))
     nodes = e.select(F.col("a").alias("id")).union(e.select("b")).distinct().withColumn("size", 2 + F.col("id") % 5)
     return gr.representatives(w, nodes, 0.2)
 
 
-@query("pick_subset", "dv_edges")
+@query("pick_subset", "dv_edges", sql=f"with e as (select a, b from dv_edges where ((a*7+b*3)%100)/100.0>0.5), x as (select a, b from e union select b, a from e), n as (select a as id from dv_edges union select b from dv_edges), g as (select a, list(distinct b) as nb from x group by a), o as (select row_number() over (order by id%97, id) as k, id, coalesce(nb,[]) as nb from n left join g on g.a=id), {GREEDY}")
 def _(e):
     w = e.select("a", "b", (((F.col("a") * 7 + F.col("b") * 3) % 100) / 100.0).alias("w"))
     nodes = e.select(F.col("a").alias("id")).union(e.select("b")).distinct().withColumn("rank", F.col("id") % 97)
