@@ -366,3 +366,94 @@ def test_url_query_by_brute_force(spark):
     rows = [(r["page_id"], r["url"]) for r in read(spark, SF, "pages").select("page_id", "url").collect()]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["words"]) for r in url_filter.op5(spark, SF).collect()}
     assert got == pages_verdicts(rows)
+
+
+# -- outputs of whole queries by brute force ----------------------------------------------------------------------
+
+
+def test_decontamination_query_by_brute_force(spark):
+    from tests.llm.test_methods import only_shared, tile_brute
+
+    def tokens(text):
+        out = []
+        for w in re.findall("[^\\x20\\x09-\\x0D]+", lowered(text or "")):
+            inner = re.sub("^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$", "", w)
+            out += [inner] if inner else []
+        return out
+
+    docs = {r["doc_id"]: tokens(r["text"]) for r in read(spark, SF, "documents").select("doc_id", "text").collect()}
+    items = {r["item_id"]: tokens(r["text"]) for r in read(spark, SF, "benchmark").collect()}
+    grams = lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    of_item = {i: grams(w) for i, w in items.items()}
+    want = {}
+    for d, w in docs.items():
+        own, hits = grams(w), []
+        for i, item in items.items():
+            if own & of_item[i]:
+                covered, tiles, _ = tile_brute(only_shared(w, item, 4), item, 4)
+                if covered >= 0.5 * len(item):
+                    hits.append((covered / len(item), -i, tiles))
+        best = max(hits) if hits else None
+        want[d] = (bool(hits), -best[1] if best else None, round(best[0], 6) if best else None, best[2] if best else None, len(hits))
+    got = {r["doc_id"]: (r["contaminated"], r["item_id"], r["coverage"], r["tiles"], r["items"]) for r in decontaminate.op3(spark, SF).collect()}
+    assert got == want and any(x[0] for x in want.values())
+
+
+def test_quality_query_keeps_what_rules_and_cutoffs_allow(spark):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    measured = quality_rules.metrics(docs)
+    cutoffs = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality_rules.fit_cutoffs(measured, labels).collect()}
+    want = {}
+    for r in measured.collect():
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        over = any(r[rule] > cut for (stratum, rule), cut in cutoffs.items() if stratum == r["stratum"])
+        want[r["doc_id"]] = (r["n_words"], failed, not failed and not over)
+    assert {r["doc_id"]: (r["n_words"], r["base_failed"], r["kept"]) for r in quality_rules.op10(spark, SF).collect()} == want
+
+
+def test_sampled_pieces_spell_their_texts(spark):
+    """op2's columns: samples of a text are distinct, decode to it, and their probabilities and inclusion are in range."""
+    from strandlake.llm import piece_sampling
+
+    rows = {}
+    for r in piece_sampling.op2(spark, SF).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    texts = {r["doc_id"]: r["text"] for r in read(spark, SF, "documents").select("doc_id", "text").collect()}
+    assert set(rows) == set(texts)
+    for i, own in rows.items():
+        assert all(r["decoded_ok"] for r in own) and [r["sample"] for r in sorted(own, key=lambda r: r["sample"])] == list(range(len(own)))
+        assert len({r["ids_crc32"] for r in own}) == len(own)
+        assert all((r["n_pieces"] > 0) == bool((texts[i] or "").strip()) for r in own)
+
+
+def test_field_recall_on_kinds_of_writing_it_has_not_seen(spark, monkeypatch):
+    """Whole ways of rewriting are held out of the fit (measured: 72 of 81 spans found)."""
+    from strandlake.llm import pii
+
+    def ways(kind, s):
+        """(seen in the fit, held out)"""
+        user, _, host = s.partition("@")
+        digits = "".join(c for c in s if c.isdigit())
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return {
+            "email": ([f"{user} [at] {host}", f"{user}[at]{host.replace('.', '[dot]')}", f"{user} @ {host}"], [f"{user}(at){host}", f"{user}@ {host}", f"{user} (at) {host.replace('.', ' (dot) ')}"]),
+            "phone": ([s.lstrip("+"), s.lstrip("+").replace(" ", "-"), re.sub(r"^\+[0-9]+ ", "", s)], ["00" + s.lstrip("+"), s.lstrip("+").replace(" ", "."), s.lstrip("+").replace("-", " ")]),
+            "card": ([".".join(groups), "  ".join(groups)], ["/".join(groups), " - ".join(groups)]),
+            "ip": ([s.replace(".", "[.]")], [s.replace(".", "(.)"), s.replace(".", " . ")]),
+        }[kind]
+
+    docs = read(spark, "/root/testdata/sf0.1", "documents")
+    import pyspark.sql.functions as F
+
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    monkeypatch.setattr(pii, "rewritten", lambda kind, s, rng: rng.choice(ways(kind, s)[0]))
+    field = pii.fit(docs.where(part != 0))
+    held = [r["text"] for r in docs.where(part == 0).select("text").collect() if r["text"]]
+    monkeypatch.setattr(pii, "rewritten", lambda kind, s, rng: rng.choice(ways(kind, s)[1]))
+    want, found = Counter(), Counter()
+    for text, missed, base in pii.planted(held, 77):
+        got = set(pii.field_spans(text, field.weights, base, field.least))
+        want.update(k for k, _, _ in missed)
+        found.update(x[0] for x in missed if x in got)
+    assert set(want) == set(pii.KINDS) and found.total() >= 0.8 * want.total()
+    assert all(found[k] >= 0.6 * want[k] for k in want)
