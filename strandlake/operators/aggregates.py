@@ -405,23 +405,34 @@ def recalibrate(quals: Column, table: dict[int, int], offset: int = 33) -> Colum
 # -- barcodes, labels, taxa, reports ----------------------------------------------------------------------------
 
 
+def each_pair(rows: DataFrame, panel: DataFrame, row_id: str, panel_id: str) -> DataFrame:
+    """Every row with every row of a panel (other column names)."""
+    from strandlake.operators.joins import PANEL
+    from strandlake.operators.similarity import in_blocks
+
+    small = panel.limit(PANEL + 1).count() <= PANEL
+    return rows.crossJoin(F.broadcast(panel)) if small else in_blocks(rows, panel, row_id, panel_id)
+
+
 def count_barcodes(df: DataFrame, expected: DataFrame) -> DataFrame:
-    """(barcode, count, hamming, edit, valid) of distinct barcodes against a panel."""
+    """(barcode, count, hamming, edit, valid) of distinct barcodes against a panel, which is broadcast if a count shows it
+    small; else both sides meet in blocks."""
     n = df.groupBy("barcode").agg(F.count("*").alias("count"))
-    pairs = n.join(F.broadcast(expected.select(F.col("barcode").alias("e")).distinct()))
+    pairs = each_pair(n, expected.select(F.col("barcode").alias("e")).distinct(), "barcode", "e")
     out = pairs.groupBy("barcode", "count").agg(F.min(hamming(F.col("barcode"), F.col("e"))).cast("bigint").alias("hamming"), F.min(F.levenshtein("barcode", "e")).cast("bigint").alias("edit"))
     return out.withColumn("valid", F.col("hamming") == 0)
 
 
 def analyze_barcodes(df: DataFrame, expected: DataFrame, half: int) -> DataFrame:
-    """Unexpected pairs of halves: count, and what independent halves would give."""
+    """Unexpected pairs of the expected halves: count, and what independent halves would give. A row for each pair."""
     halves = lambda d: d.withColumns({"left": F.left("barcode", F.lit(half)), "right": F.substring("barcode", half + 1, 1000)})
     n = halves(df.groupBy("barcode").agg(F.count("*").alias("n")))
     valid = n.join(expected.select("barcode").distinct(), "barcode")
     total = valid.agg(F.sum("n").alias("valid"))
     lefts, rights = n.groupBy("left").agg(F.sum("n").alias("nl")), n.groupBy("right").agg(F.sum("n").alias("nr"))
     e = halves(expected.select("barcode").distinct())
-    cells = e.select("left").distinct().join(lefts, "left").crossJoin(F.broadcast(e.select("right").distinct().join(rights, "right"))).join(e.select("left", "right"), ["left", "right"], "left_anti")
+    known = e.select("left").distinct().join(lefts, "left"), e.select("right").distinct().join(rights, "right")
+    cells = each_pair(*known, "left", "right").join(e.select("left", "right"), ["left", "right"], "left_anti")
     out = cells.join(n.select("left", "right", "n"), ["left", "right"], "left").crossJoin(F.broadcast(total)).fillna(0, ["n"])
     return out.select("left", "right", F.col("n").alias("actual"), F.round(F.col("nl") * F.col("nr") / F.col("valid"), 6).alias("chance"))
 

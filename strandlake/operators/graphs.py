@@ -104,16 +104,18 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return float(inside) / float(total) - float(degree.agg(F.sum(F.col("d") * F.col("d"))).first()[0])
 
 
-def communities(edges: DataFrame, max_rounds: int = 5) -> DataFrame:
+def communities(edges: DataFrame, least_rise: float = 5e-3) -> DataFrame:
     """(node, community): local moves that raise modularity. In each round nodes of one half of the hashes may move to the
     neighbouring community of the highest gain (ties to the least label); a round counts only if modularity rises, and
-    two halves without a rise end it. A label is the least node of its community."""
+    two halves in a row that raise it by less than least_rise end it. A label is the least node of its community."""
     one = settled(edges.where("a <> b").select("a", "b", F.col("w").cast("double")))
     e = settled(one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     degree = settled(e.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
     twice = degree.agg(F.sum("k")).first()[0] or 1.0
     labels, best, idle = settled(degree.select("node", F.col("node").alias("l"))), None, 0
-    for r in range(2 * max_rounds):
+    r = -1
+    while idle < 2:  # every half that counts raises modularity
+        r += 1
         placed = labels.join(degree, "node")
         total = placed.groupBy("l").agg(F.sum("k").alias("t"))
         links = e.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy(F.col("a").alias("node"), "l").agg(F.sum("w").alias("in"))
@@ -127,12 +129,9 @@ def communities(edges: DataFrame, max_rounds: int = 5) -> DataFrame:
         moved = settled(labels.join(choice, "node").select("node", F.when(turn, F.col("n")).otherwise(F.col("l")).alias("l")))
         best = modularity(one, labels) if best is None else best
         now = modularity(one, moved)
+        idle = 0 if now - best >= least_rise else idle + 1
         if now > best + 1e-12:
-            labels, best, idle = moved, now, 0
-        else:
-            idle += 1
-            if idle == 2:
-                break
+            labels, best = moved, now
     least = labels.groupBy("l").agg(F.min("node").alias("community"))
     return labels.join(least, "l").select("node", "community")
 
