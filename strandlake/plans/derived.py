@@ -70,7 +70,8 @@ where b is not null""",
     when 5 then concat(substr(b,cast(pos as int),cast(12-pos as int)),alt,substr(b,13,7),substr(b,22,cast(8+pos as int)))
     else substr(b,cast(pos as int),30) end as seq,
   substr(marks,1,case kind when 2 then 32 when 3 then 28 when 4 then 33 when 5 then 28 else 30 end) as quals
-from (select concat(cast(l_orderkey as STR),'-',cast(l_linenumber as STR),'-',cast(l_partkey as STR),'-',cast(l_suppkey as STR)) as aln_id,
+from (select concat(cast(l_orderkey as STR),'-',cast(l_linenumber as STR),'-',cast(l_partkey as STR),'-',cast(l_suppkey as STR),'-',cast(cast(l_quantity as bigint) as STR),'-',
+      cast(cast(round(l_extendedprice*100) as bigint) as STR)) as aln_id,
     concat('ctg_', cast(l_partkey as STR)) as rname, cast(1+l_suppkey%10 as bigint) as pos,
     cast(l_linenumber%2 as bigint) as strand, cast(round(l_discount*400) as bigint) as mapq, (l_orderkey+l_linenumber+l_partkey)%7 as kind,
     translate(concat(md5(cast(l_orderkey as STR)),md5(cast(l_linenumber as STR))),'0123456789abcdef','+5?DGHIIIIIII!5?') as marks,
