@@ -1,9 +1,11 @@
 """Plans and results that hold as tables grow: no broadcast of what k-mers make of small files, ids and texts that meet."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from strandlake.operators import joins
-from strandlake.plans import derived, registry
+from strandlake.operators import aggregates, joins, sets
+from strandlake.plans import derived, queries_io, queries_sets, registry
 from tests.conftest import SF
 
 
@@ -32,3 +34,27 @@ def test_equal_reads_are_classified_once(spark):
         got = {tuple(r) for r in joins.seal(reads, refs, 5, ambiguous=ambiguous).select("read", "ref", "hits", "kmers").collect()}
         assert {(1, "r1", 6, 6), (2, "r1", 6, 6), (4, "r2", 3, 5), (5, "r2", 5, 5)} <= got
         assert {r[0] for r in got} == {1, 2, 4, 5}
+
+
+def test_a_kmer_histogram_has_every_depth(spark):
+    counts = spark.createDataFrame([("A", 100_000), ("C", 100_001), ("G", 7_000_000), ("T", 7_000_000)], "kmer string, count long")
+    assert {tuple(r) for r in aggregates.kmer_hist(counts).collect()} == {(100_000, 1), (100_001, 1), (7_000_000, 2)}
+    assert {tuple(r) for r in aggregates.kmer_hist(counts, 100_000).collect()} == {(100_000, 4)}
+
+
+def test_places_come_from_one_sort(spark):
+    draw = F.udf(lambda: random.random(), "double").asNondeterministic()  # a sort that no second run repeats
+    ordered = spark.range(0, 2000, 1, 8).withColumn("r", draw()).orderBy("r")
+    assert sorted(r.place for r in queries_io.placed(ordered, "id").collect()) == list(range(2000))
+
+
+def test_equal_numbers_of_other_sequences(spark):
+    df = spark.createDataFrame([(1, "ACGTT"), (1, "GGGAC"), (2, "GGGAC"), (3, None), (4, None)], "ordinal long, bases string")
+    assert [tuple(r) for r in sets.dedupe(df, unique_only=True).collect()] == [(1, "ACGTT")]
+    assert sorted(r.ordinal for r in sets.dedupe(df).collect()) == [1, 1, 3]
+
+
+def test_overlaps_and_containment_are_not_broadcast(spark):
+    rows = queries_sets.overlapping(*derived.tables(spark, SF, "dv_contigs"))
+    assert "BroadcastHashJoin" not in plan(sets.overlap_edges(rows, 15))
+    assert "BroadcastHashJoin" not in plan(sets.dedupe_containment(rows, 15))
