@@ -39,12 +39,12 @@ def read_fastq(spark: SparkSession, path, qin: int = 33, malformed: str = "raise
     rows = rows.withColumn("n", n_lines).withColumn("v", F.when(F.col("n") > 1, F.regexp_replace("v", "^@", "")).otherwise(F.col("v")))
     rows = rows.withColumns({"v": F.when(F.col("v").rlike("^[^\n]*\n\n\\+[^\n]*$"), F.concat("v", F.lit("\n"))).otherwise(F.col("v"))}).withColumn("n", n_lines)
     whole, odd = rows.where("n = 4"), rows.where("n <> 4")
-    heads, tails = odd.where("n = 3"), odd.where("n = 1").select("file", F.col("block").alias("block2"), F.col("at").alias("at2"), F.col("v").alias("tail"))
-    near = F.when(tails["block2"] == heads["block"], F.col("at2") == F.col("at") + 1).otherwise(tails["block2"] == heads["block"] + heads["size"])
-    joined = heads.join(tails, ["file"]).where(near)
-    # a block has one head at most that reaches into the next block: its last; and one tail that belongs there: its first
-    last = F.row_number().over(Window.partitionBy("file", "at").orderBy("at2"))
-    joined = joined.withColumn("k", last).where("k = 1")
+    heads, tails = odd.where("n = 3"), odd.where("n = 1").select("file", "block", F.col("at").alias("at2"), F.col("v").alias("tail"))
+    # the piece right behind a head in its block; else, as a block's last head may reach into the next one, the first there
+    behind = tails.select("file", "block", (F.col("at2") - 1).alias("at"), F.struct("at2", "tail").alias("own"))
+    first = tails.groupBy("file", F.col("block").alias("end")).agg(F.min(F.struct("at2", "tail")).alias("next"))
+    joined = heads.withColumn("end", F.col("block") + F.col("size")).join(behind, ["file", "block", "at"], "left").join(first, ["file", "end"], "left")
+    joined = joined.withColumn("t", F.coalesce("own", "next")).where("t is not null").select("file", "block", "at", "v", "t.at2", "t.tail")
     whole = whole.select("file", "block", "at", "v").union(joined.select("file", "block", "at", F.concat("v", F.lit("\n@"), "tail")))
     used = joined.select("file", F.col("at")).union(joined.select("file", "at2"))
     rest = odd.where("v <> ''").join(used, ["file", "at"], "left_anti").select("file", "block", "at", "v")

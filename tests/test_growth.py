@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import aggregates, joins, sets
 from strandlake.plans import derived, queries_io, queries_sets, registry
+from strandlake.sources import formats
 from tests.conftest import SF
 
 
@@ -58,3 +59,19 @@ def test_overlaps_and_containment_are_not_broadcast(spark):
     rows = queries_sets.overlapping(*derived.tables(spark, SF, "dv_contigs"))
     assert "BroadcastHashJoin" not in plan(sets.overlap_edges(rows, 15))
     assert "BroadcastHashJoin" not in plan(sets.dedupe_containment(rows, 15))
+
+
+def test_pieces_of_fastq_records_meet_on_their_places(spark, tmp_path):
+    records = [f"@r{i}\nACGT\n+\n{'@' if i % 3 == 0 else 'I'}III" for i in range(3000)]
+    (tmp_path / "x.fq").write_text("\n".join(records) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4001)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        got = formats.read_fastq(spark, str(tmp_path / "x.fq"))
+        joins_ = [x for x in plan(got).splitlines() if "Join" in x]
+        assert joins_ and all("," in x[x.index("[") : x.index("]")] for x in joins_)  # never by the file alone
+        rows = got.orderBy("ordinal").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r.name, r.bases, r.quals) for r in rows] == [(f"r{i}", "ACGT", ("@" if i % 3 == 0 else "I") + "III") for i in range(3000)]
