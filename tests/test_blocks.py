@@ -68,3 +68,21 @@ def test_bins_are_components_of_all_links(spark, monkeypatch):
             own[y] = x
     assert got == {x: top(x) for x in own}
     assert len(set(got.values())) < 395
+
+
+def test_short_queries_face_every_place(spark):
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choice("ACGTN") for _ in range(n))
+    refs = [(f"r{i}", text(n)) for i, n in enumerate([3, 40, 60, 4005, 0])] + [("none", None)]
+    long = refs[3][1][1980:2030]  # over the end of a piece, found by its seeds
+    queries = [("a", text(10)), ("b", text(6)), ("c", refs[3][1][1996:2008]), ("d", "AC"), ("e", long[:20] + "T" + long[21:])]
+    frame = lambda rows: spark.createDataFrame(rows, "name string, bases string")
+    got = {tuple(r) for r in similarity.seeded_search(frame(queries), frame(refs), 3).collect()}
+    want = set()
+    for q, x in queries:
+        for r, y in refs:
+            places = [(sum(a != b for a, b in zip(x, y[i : i + len(x)], strict=True)), i) for i in range(len(y) - len(x) + 1)] if y and len(x) > 3 else []
+            if places and min(places)[0] <= 3:
+                want.add((q, r, min(places)[1], min(places)[0]))
+    assert got == want
+    assert {("c", "r3", 1996, 0)} <= got and any(g[:2] == ("e", "r3") for g in got)
