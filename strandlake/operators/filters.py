@@ -219,16 +219,18 @@ def filter_poly(df: DataFrame, symbols: str = "GC", k: int = 31, min_count: int
     average quality below quality2; and if it has a run of min_polymer bases together with a share of ldf, an entropy
     below entropy or a quality below quality. With pair_col all reads of one pair go together.
 
-    Depths are counts of k-mers over all reads; a k-mer of many reads is one row when it meets them. A read without
-    k-mers is not of low depth."""
-    from strandlake.operators.joins import kmer_rows
+    Depths are counts of k-mers over all reads; a k-mer of many reads is one row when it meets them, and of reads of one
+    sequence only one meets the counts. A read without k-mers is not of low depth."""
+    from strandlake.operators.joins import for_each_read, kmer_rows, one_of_each
 
-    rows = kmer_rows(df, id_col, k).groupBy(id_col, "kmer").agg(F.count("*").alias("c"))
-    rare = rows.groupBy("kmer").agg(F.sum("c").alias("n")).where(F.col("n") < min_count).select("kmer", F.lit(1).alias("rare"))
+    same, own = one_of_each(df, id_col)
+    rows = kmer_rows(own, id_col, k, keep=("__w",)).groupBy(id_col, "kmer").agg(F.count("*").alias("c"), F.sum("__w").alias("w"))
+    rare = rows.groupBy("kmer").agg(F.sum("w").alias("n")).where(F.col("n") < min_count).select("kmer", F.lit(1).alias("rare"))
     low = rows.join(rare, "kmer", "left").groupBy(id_col).agg((F.sum(F.when(F.col("rare") == 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("low"))
     runs = lambda n: F.col("bases").rlike("|".join(f"{s}{{{n},}}" for s in symbols))
     checks = df.select(id_col, *([F.col(pair_col).alias("__pair")] if pair_col else []), runs(min_polymer).alias("run"), runs(min_polymer2).alias("run2"), F.round(average_quality(F.col("quals")), 9).alias("q"))
-    rows = checks.join(low, id_col, "left").join(read_entropy(df, entropy_k, id_col), id_col, "left")
+    of_kmers = for_each_read(low.join(read_entropy(own, entropy_k, id_col), id_col, "full_outer"), same, id_col)
+    rows = checks.join(of_kmers, id_col, "left")
     x, e, q = F.coalesce("low", F.lit(0.0)), F.coalesce(F.round("entropy", 9), F.lit(1.0)), F.coalesce("q", F.lit(float("inf")))
     bad = rows.where(F.coalesce("run2", F.lit(False)) | (x >= ldf2) | (e < entropy2) | (q < quality2) | (F.coalesce("run", F.lit(False)) & ((x >= ldf) | (e < entropy) | (q < quality))))
     if pair_col:
