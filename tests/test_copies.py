@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
-from strandlake.operators import aggregates, filters, joins, projections, sets
+from strandlake.operators import aggregates, filters, graphs, joins, projections, sets
 
 FIELDS = "ordinal long, bases string"
 
@@ -81,3 +81,17 @@ def test_equal_reads_meet_the_counts_once(spark, monkeypatch):
     aggregates.ecc_by_depth(df, 9).collect()
     assert {r.ordinal for r in filters.filter_poly(df, "GC", 9, 9, 20, 20, quality=0.0, quality2=0.0, ldf2=0.01, entropy2=0.0).collect()} >= {900, 901}
     assert given and max(given) <= 11
+
+
+def test_equal_values_go_by_the_least_id(spark):
+    # 0.1 + 0.2 is more than 0.3 in doubles
+    nodes = spark.createDataFrame([(i, 2) for i in (1, 2, 3, 5, 6)], "id long, size int")
+    edges = spark.createDataFrame([(1, 2, 0.0), (1, 3, 0.3), (2, 5, 0.1), (2, 6, 0.2)], "a long, b long, w double")
+    assert {r.id for r in graphs.representatives(edges, nodes).collect()} == {1, 5, 6}
+
+
+def test_edges_that_are_given_are_not_made_again(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "ACGTACGGTT"), ("b", "ACGGTTCCCC"), ("c", "GGGGGGAAAA")], "name string, bases string")
+    edges = sets.overlap_edges(rows, 5)
+    monkeypatch.setattr(sets, "overlap_edges", None)
+    assert {tuple(r) for r in sets.overlap_clusters(rows, edges=edges).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
