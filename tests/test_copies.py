@@ -95,3 +95,48 @@ def test_edges_that_are_given_are_not_made_again(spark, monkeypatch):
     edges = sets.overlap_edges(rows, 5)
     monkeypatch.setattr(sets, "overlap_edges", None)
     assert {tuple(r) for r in sets.overlap_clusters(rows, edges=edges).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_near_kmers_are_all_found(spark):
+    draw = random.Random(8)
+    turn = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    some = lambda n: {min(x, turn(x)) for x in ("".join(draw.choice("ACGT") for _ in range(5)) for _ in range(n))}
+    one, two = some(30), some(90)
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "kmer string")
+    far = lambda x, y: min(sum(a != b for a, b in zip(x, z, strict=True)) for z in (y, turn(y)))
+    for a, b in ((one, two), (two, one)):
+        for subs in (1, 2):
+            got = {tuple(r) for r in sets.near_kmers(frame(a), frame(b), subs).collect()}
+            assert got == {(x, y) for x in a for y in b if far(x, y) <= subs}
+
+
+def test_references_do_not_grow_for_fewer_kmers_of_reads(spark, monkeypatch):
+    grown, near = [], sets.near_kmers
+    monkeypatch.setattr(sets, "near_kmers", lambda *a: grown.append(1) or near(*a))
+    reads = spark.createDataFrame([(1, "ACGTTGCA"), (2, "ACGATGCA"), (3, "CCCCCCCC")], FIELDS)
+    refs = spark.createDataFrame([("r", "TTACGTTGCATT")], "name string, bases string")
+    got = {tuple(r) for r in joins.seal(reads, refs, 8, ambiguous="all", hdist=1).collect()}
+    assert got == {(1, "r", 1, 1), (2, "r", 1, 1)} and grown
+
+
+def test_few_kmers_are_taken_as_in_rounds(spark, monkeypatch):
+    draw = random.Random(12)
+    rows = [(i, "".join(draw.choice("ACGT") for _ in range(3))) for i in range(300) for _ in range(draw.randrange(1, 9))]
+    df = spark.createDataFrame(rows, "ordinal long, kmer string")
+    held = {}
+    for i, x in rows:
+        held.setdefault(i, set()).add(x)
+    want = []
+    while held:
+        n = {}
+        for x in (x for each in held.values() for x in each):
+            n[x] = n.get(x, 0) + 1
+        m, x = min((-m, x) for x, m in n.items())
+        want.append((x, -m))
+        held = {i: each for i, each in held.items() if x not in each}
+    rounds, taken = graphs.settled, []
+    monkeypatch.setattr(graphs, "settled", lambda d: taken.append(1) or rounds(d))
+    assert sorted(tuple(r) for r in graphs.kmer_filter_set(df).collect()) == sorted(want)
+    assert len(taken) <= 2 + len(want) // 16  # a table for many picks
+    monkeypatch.setattr(graphs, "FEW_KMERS", 0)
+    assert sorted(tuple(r) for r in graphs.kmer_filter_set(df).collect()) == sorted(want)
