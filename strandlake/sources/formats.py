@@ -67,8 +67,17 @@ def read_fastq(spark: SparkSession, path, qin: int = 33, malformed: str = "raise
     return placed.select("file", "ordinal", "name", F.when(mate != "", mate.cast("int")).alias("pair"), "bases", "quals")
 
 
+def _places(df: DataFrame) -> DataFrame:
+    """Reads of files with the ordinal counted over all files."""
+    files = df.groupBy("file").agg(F.count("*").alias("__c"))
+    before = files.select("file", (F.sum("__c").over(Window.orderBy("file")) - F.col("__c")).alias("__before"))
+    return df.join(before, "file").withColumn("ordinal", F.col("__before") + F.col("ordinal")).drop("__before")
+
+
 def pair_reads(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
-    """Two reads tables by position, or one interleaved one: name, bases1, quals1, bases2, quals2."""
+    """Two reads tables by position, or one interleaved one: name, bases1, quals1, bases2, quals2. Positions of a table that
+    was read from several files go on from file to file, by the files' names."""
+    a, b = (d if d is None or "file" not in d.columns else _places(d) for d in (a, b))
     if b is None:
         even = F.col("ordinal") % 2
         a, b = a.where(even == 0).withColumn("ordinal", (F.col("ordinal") / 2).cast("bigint")), a.where(even == 1).withColumn("ordinal", ((F.col("ordinal") - 1) / 2).cast("bigint"))

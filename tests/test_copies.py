@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
 from strandlake.operators import aggregates, filters, graphs, joins, projections, sets
+from strandlake.plans import derived
+from strandlake.sources import formats
 
 FIELDS = "ordinal long, bases string"
 
@@ -140,3 +142,22 @@ def test_few_kmers_are_taken_as_in_rounds(spark, monkeypatch):
     assert len(taken) <= 2 + len(want) // 16  # a table for many picks
     monkeypatch.setattr(graphs, "FEW_KMERS", 0)
     assert sorted(tuple(r) for r in graphs.kmer_filter_set(df).collect()) == sorted(want)
+
+
+def test_rows_of_a_task_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(derived, "SPREAD_ROWS", 10)
+    assert derived.spread(spark.range(0, 10_000, 1, 1)).rdd.getNumPartitions() == 1000
+
+
+def test_mates_of_several_files_are_paired_by_place(spark, tmp_path):
+    for folder, sizes in (("a", (3, 4, 1)), ("b", (1, 2, 5))):
+        (tmp_path / folder).mkdir()
+        at = 0
+        for i, n in enumerate(sizes):
+            (tmp_path / folder / f"part-{i}.fq").write_text("".join(f"@r{j}\n{'ACGT' * (j + 1)}{'A' if folder == 'a' else 'C'}\n+\n{'I' * (4 * j + 5)}\n" for j in range(at, at + n)))
+            at += n
+    a, b = (formats.read_fastq(spark, str(tmp_path / x)) for x in "ab")
+    got = {r.name: (r.bases1, r.bases2) for r in formats.pair_reads(a, b).collect()}
+    assert got == {f"r{j}": ("ACGT" * (j + 1) + "A", "ACGT" * (j + 1) + "C") for j in range(8)}
+    formats.convert(spark, str(tmp_path / "a"), str(tmp_path / "out"), "fastq", "fastq", mates=str(tmp_path / "b"))
+    assert formats.read_fastq(spark, str(tmp_path / "out")).count() == 16
