@@ -161,3 +161,15 @@ def test_mates_of_several_files_are_paired_by_place(spark, tmp_path):
     assert got == {f"r{j}": ("ACGT" * (j + 1) + "A", "ACGT" * (j + 1) + "C") for j in range(8)}
     formats.convert(spark, str(tmp_path / "a"), str(tmp_path / "out"), "fastq", "fastq", mates=str(tmp_path / "b"))
     assert formats.read_fastq(spark, str(tmp_path / "out")).count() == 16
+
+
+def test_only_sequences_that_are_asked_for_are_cut_to_seeds(spark, monkeypatch):
+    draw = random.Random(14)
+    long = "".join(draw.choice("ACGT") for _ in range(80))
+    rows = [("a", long), ("b", long[10:40]), ("c", long[:20] + "T" * 12), ("d", long[1:79])]
+    df = spark.createDataFrame(rows, "name string, bases string")
+    kept, cut = [], sets.stored
+    monkeypatch.setattr(sets, "stored", lambda d: kept.append(cut(d)) or kept[-1])
+    got = sets.dedupe_containment(df, min_identity=90, ask="length(bases) < 40").collect()
+    assert {r.name for r in got} == {"c"}
+    assert {r.s for r in kept[0].select("s").distinct().collect()} == {"b", "c"}
