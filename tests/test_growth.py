@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import aggregates, joins, sets
 from strandlake.plans import derived, queries_io, queries_sets, registry
-from strandlake.sources import formats
+from strandlake.sources import formats, shared
 from tests.conftest import SF
 
 
@@ -75,3 +75,12 @@ def test_pieces_of_fastq_records_meet_on_their_places(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [(r.name, r.bases, r.quals) for r in rows] == [(f"r{i}", "ACGT", ("@" if i % 3 == 0 else "I") + "III") for i in range(3000)]
+
+
+def test_rounds_do_not_multiply_guessed_sizes(spark):
+    rows = shared.settled(spark.range(4))
+    for _ in range(6):  # a guess that lasts squares each round
+        rows = shared.settled(rows.join(rows.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1e6
+    assert sorted(r.id for r in rows.collect()) == [0, 1, 2, 3]
+    assert "BroadcastHashJoin" not in plan(rows.join(spark.range(4), "id"))
