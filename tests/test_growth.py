@@ -84,3 +84,14 @@ def test_rounds_do_not_multiply_guessed_sizes(spark):
     assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1e6
     assert sorted(r.id for r in rows.collect()) == [0, 1, 2, 3]
     assert "BroadcastHashJoin" not in plan(rows.join(spark.range(4), "id"))
+
+
+def test_pairs_are_counted_without_listing_them(spark):
+    some = random.Random(3)
+    rows = [(i, some.choice([0.3, 0.31, 0.325, 0.33, 0.5, 0.52]), some.choice([1, 2, 3, None])) for i in some.sample(range(10_000), 300)] + [(20_000, 0.9, 1), (20_001, None, 1)]
+    contigs = spark.createDataFrame(rows, "id long, gc double, genome long").repartition(5)
+    listed = joins.pair_vectors(contigs.withColumn("vector", F.array("gc")), rate=None)
+    first = listed.groupBy("id").agg(F.count("*").alias("pairs"), F.count_if(F.col("label") == 1).alias("same"))
+    assert sorted(map(tuple, joins.pair_counts(contigs).select("id", "pairs", "same").collect())) == sorted(map(tuple, first.collect()))
+    many = spark.range(0, 300_000, 1, 8).select("id", F.lit(0.5).alias("gc"), (F.col("id") % 2).alias("genome"))  # 45 billion pairs
+    assert joins.pair_counts(many).agg(F.sum("pairs"), F.sum("same")).first() == (300_000 * 299_999 // 2, 150_000 * 149_999)
