@@ -46,7 +46,7 @@ g as (select chrom, start, stop, type, allele, sample, count(*) as count from s
 select g.*, round(greatest(depth,count)::double,6) as depth, round(count/greatest(depth,count),6) as fraction from g join atd using (chrom,start,stop,sample) where count/greatest(depth,count)>=0.2""")
 def _(a, c):
     rows = a.withColumn("sample", F.pmod("mapq", F.lit(3)))
-    return pi.call_alignments(rows, c, min_count=1, min_fraction=0.2, sample="sample").select(*pi.ALLELE, "sample", "count", "depth", "fraction")
+    return pi.call_alignments(rows, c, min_count=1, min_fraction=0.2, sample="sample", quality=False).select(*pi.ALLELE, "sample", "count", "depth", "fraction")
 
 
 @query("quality_accuracy", "dv_sam", "dv_contigs", sql=f"with {WALK} select v as quality, count(*) as bases, count(*) filter (where x<>y) as errors, round(-10*log10((count(*) filter (where x<>y)+1)/(count(*)+1)),6) as observed from base where x in ('A','C','G','T') and y in ('A','C','G','T') group by all")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandlake.operators import aggregates, joins, sets
+from strandlake.operators import aggregates, joins, pileup, sets
 from strandlake.plans import derived, queries_io, queries_sets, registry
 from strandlake.sources import formats, shared
 from tests.conftest import SF
@@ -95,3 +95,24 @@ def test_pairs_are_counted_without_listing_them(spark):
     assert sorted(map(tuple, joins.pair_counts(contigs).select("id", "pairs", "same").collect())) == sorted(map(tuple, first.collect()))
     many = spark.range(0, 300_000, 1, 8).select("id", F.lit(0.5).alias("gc"), (F.col("id") % 2).alias("genome"))  # 45 billion pairs
     assert joins.pair_counts(many).agg(F.sum("pairs"), F.sum("same")).first() == (300_000 * 299_999 // 2, 150_000 * 149_999)
+
+
+def test_alignments_are_read_without_what_is_not_asked_for(spark):
+    ref = spark.createDataFrame([("c", "ACGTACGTACGTACGTACGT")], "name string, bases string")
+    rows = [(i, "c", 3, "6M", "GTACTT" if i < 3 else "GTACGT", 0, 30) for i in range(4)] + [(9, "c", 1, "2M2M1I3=", "ACGCTACG", 1, 30)]
+    aln = spark.createDataFrame(rows, "aln_id long, rname string, pos long, cigar string, seq string, strand long, mapq long")
+    unread = aln.withColumn("quals", F.raise_error(F.lit("qualities were read")).cast("string"))
+    assert dict(pileup.exact_codes(unread, ref, tile=4).collect()) == {0: "4=1X1=", 1: "4=1X1=", 2: "4=1X1=", 3: "6=", 9: "3=1X1I3="}
+    assert pileup.consensus_alignments(unread, ref, tile=4).first()["bases"] == "ACGTACTTACGTACGTACGT"
+    assert sorted(map(tuple, pileup.filter_bad_reads(unread, ref, 0, 1, border=0, tile=4).collect())) == [(9, 2)]
+    called = pileup.call_alignments(unread, ref, min_count=3, tile=4, quality=False).drop("end_mean").first()
+    assert (called["start"], called["allele"], called["count"], called["depth"]) == (7, "T", 3, 5.0)
+
+
+def test_qualities_are_counted_without_a_row_for_each_base(spark):
+    a, c = derived.tables(spark, SF, "dv_sam", "dv_contigs")
+    assert "Generate" not in plan(pileup.quality_accuracy(a, c))
+    far = spark.createDataFrame([("c", "ACéTAC")], "name string, bases string")
+    aln = spark.createDataFrame([(1, "c", 1, "8M", "ACGTACGT", "IIIIIIII", 0, 30)], "aln_id long, rname string, pos long, cigar string, seq string, quals string, strand long, mapq long")
+    assert [tuple(r)[:3] for r in pileup.quality_accuracy(aln, far).collect()] == [(40, 5, 0)]
+    assert pileup.exact_codes(aln, far).first()["cigar"] == "2=1X3=2X"
