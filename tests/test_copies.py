@@ -54,6 +54,19 @@ def test_versions_of_a_read_agree_place_by_place(spark):
     assert got == {1: text.replace("A", "C"), 2: "CAAC", 3: "CCAA", 4: None, 5: "AAAA"}
 
 
+def test_versions_without_a_valid_base_do_not_vote_and_quality_is_the_highest(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "ordinal long, bases string, quals string")
+    a = frame((1, "AAAAA", "55555"), (2, "AA", None), (3, "AA", "55"))
+    b = frame((1, "CCCCN", "+I?I+"), (2, "CC", "II"), (3, "uN", "??"))
+    c = frame((1, "CNGCN", "?III+"), (2, "CC", "II"), (3, "TN", "I+"))
+    d = frame((1, "NCCC", "IIII"), (2, "CC", "II"), (3, "NC", "II"))
+    got = {r.ordinal: (r.bases, r.quals) for r in aggregates.consect(a, [b, c, d]).collect()}
+    assert got == {1: ("CCACA", "?I5I5"), 2: ("CC", None), 3: ("TA", "I5")}
+    assert [(r.bases, r.quals) for r in aggregates.consect(a, [b]).where("ordinal = 1").collect()] == [("AAAAA", "55555")]
+    bare = [x.drop("quals") for x in (b, c, d)]
+    assert {r.ordinal: r.quals for r in aggregates.consect(a, bare).collect()} == {1: "!!5!5", 2: None, 3: "!5"}
+
+
 def test_equal_reads_meet_the_counts_once(spark, monkeypatch):
     draw = random.Random(6)
     texts = ["".join(draw.choice("ACGT") for _ in range(40)) for _ in range(5)]
