@@ -25,6 +25,35 @@ def test_pairs_of_blocks_are_many_tasks(spark):
     assert met.rdd.getNumPartitions() >= 90  # 3 blocks and 30
 
 
+def test_blocks_meet_without_copies(spark):
+    q, r = spark.range(300).select(F.col("id").alias("a")), spark.range(3000).select(F.col("id").alias("b"))
+    met = similarity.block_pairs(q, r, "a", "b", 100)
+    assert met.agg(F.sum(F.size("q_rows") * F.size("r_rows"))).first()[0] == 900_000
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "Join" not in plan
+    own = similarity.block_pairs(r, r, "b", "b", 100, same=True)
+    assert own.agg(F.sum(F.when(F.col("q") == F.col("r"), 1).otherwise(2) * F.size("q_rows") * F.size("r_rows"))).first()[0] == 9_000_000
+
+
+def test_identity_matrix_has_all_pairs(spark):
+    draw = random.Random(8)
+    text = lambda n: "".join(draw.choice("ACGTN") for _ in range(n))
+    rows = [(f"c{i}", text(draw.choice([5, 63, 64, 70, 128]))) for i in range(70)] + [("e", ""), ("m", None), ("twice", "ACGT"), ("twice", "ACGA")]
+    got = similarity.identity_matrix(spark.createDataFrame(rows, "name string, bases string")).collect()
+    share = lambda x, y: None if x is None or y is None else float(np.floor((1 - edits(x, y) / max(len(x), len(y), 1)) * 1e6 + 0.5)) / 1e6
+    want = [(a, b, share(x, y)) for a, x in rows for b, y in rows if a != b]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+
+
+def test_all_to_all_takes_every_row(spark):
+    from strandlake.plans import registry
+    from tests.conftest import SF
+
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    got = registry.QUERIES["all_to_all_identity"](spark, SF)
+    assert got.count() == n * (n - 1) and got.select("a").distinct().count() == n
+
+
 def test_all_edits_are_those_of_the_table():
     draw = random.Random(3)
     one, two = (["".join(draw.choice("ACGTN") for _ in range(draw.choice([0, 1, 9, 63, 64, 65, 90, 128, 129]))) for _ in range(n)] for n in (25, 30))
