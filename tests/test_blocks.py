@@ -115,3 +115,11 @@ def test_short_queries_face_every_place(spark):
                 want.add((q, r, min(places)[1], min(places)[0]))
     assert got == want
     assert {("c", "r3", 1996, 0)} <= got and any(g[:2] == ("e", "r3") for g in got)
+
+
+def test_cells_send_as_many_rows_as_blocks(spark):
+    rows = spark.range(4000).select("id", F.lit(3).cast("bigint").alias("size"), (F.col("id") % 2).alias("cell"))
+    left, right = similarity.cells_dealt(rows, "id", ["size", "cell"], [(0, 0), (0, 1)], 50)  # 40 blocks in each cell
+    assert left.count() < 4 * 4000 and right.count() < 4 * 4000
+    met = similarity.cell_pairs(rows.where("id < 100"), rows, "id", ["size", "cell"], 50)
+    assert met.agg(F.sum(F.size("own") * F.size("others"))).first()[0] == 400_000
