@@ -117,6 +117,30 @@ def test_short_queries_face_every_place(spark):
     assert {("c", "r3", 1996, 0)} <= got and any(g[:2] == ("e", "r3") for g in got)
 
 
+def test_short_copies_with_edits_are_found_without_sending_places(spark):
+    from strandlake.operators import sets
+
+    draw = random.Random(12)
+    text = lambda n: "".join(draw.choice("ACGTN") for _ in range(n))
+    long = [(f"l{i}", text(n)) for i, n in enumerate([60, 90, 4100])]
+    big = long[2][1]
+    parts = [("a", big[1985:2015]), ("b", big[1990:2000] + "T" + big[2000:2019]), ("c", long[0][1][3:15] + long[0][1][16:34]), ("d", text(30)), ("e", big[4075:]), ("f", big[1985:2015])]
+    df = spark.createDataFrame([*long, *parts, ("none", None)], "name string, bases string")
+    asked = df.where("length(bases) < 40").select(F.col("name").alias("s"), F.col("bases").alias("q"), F.length("bases").alias("n"), F.floor(F.length("bases") * 0.1).cast("int").alias("e"))
+    faced = sets.faced_near(asked, df, "name")
+    got = {(r.s, r.l) for r in faced.collect()}
+    want = set()
+    for s, x in parts:
+        for name, y in [*long, *parts]:
+            most = len(x) // 10
+            near = min(edits(x, y[i : i + k]) for i in range(len(y)) for k in range(max(len(x) - most, 1), len(x) + most + 1)) if abs(len(y)) < 200 else (0 if x in y else 1 if s == "b" else 9)
+            if s != name and (len(y) > len(x) or (len(y) == len(x) and name < s)) and near <= most:
+                want.add((s, name))
+    assert got == want and {("a", "l2"), ("b", "l2"), ("c", "l0"), ("e", "l2"), ("f", "a")} <= got
+    plan = faced._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Join" not in plan
+
+
 def test_cells_send_as_many_rows_as_blocks(spark):
     rows = spark.range(4000).select("id", F.lit(3).cast("bigint").alias("size"), (F.col("id") % 2).alias("cell"))
     left, right = similarity.cells_dealt(rows, "id", ["size", "cell"], [(0, 0), (0, 1)], 50)  # 40 blocks in each cell
