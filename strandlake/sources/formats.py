@@ -62,7 +62,8 @@ def read_fastq(spark: SparkSession, path, qin: int = 33, malformed: str = "raise
     # ordinals: places in a block, after the counts of the blocks before it
     blocks = out.groupBy("file", "block").agg(F.count("*").alias("c"))
     before = blocks.select("file", "block", (F.sum("c").over(Window.partitionBy("file").orderBy("block")) - F.col("c")).alias("before"))
-    placed = out.join(before, ["file", "block"]).withColumn("ordinal", F.col("before") + F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1)
+    # each block is there once: where ordinals are not asked for, Spark leaves this join and its sort out
+    placed = out.join(before, ["file", "block"], "left").withColumn("ordinal", F.col("before") + F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1)
     mate = F.coalesce(F.regexp_extract("name", "(?:/| )([12])(?::.*)?$", 1), F.lit(""))
     return placed.select("file", "ordinal", "name", F.when(mate != "", mate.cast("int")).alias("pair"), "bases", "quals")
 

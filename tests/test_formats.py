@@ -270,3 +270,12 @@ def test_kmer_cover_is_the_greedy_one(spark):
         left = {(i, x) for i, x in left if i not in done}
     got = gr.kmer_filter_set(spark.createDataFrame(sorted(rows), "ordinal long, kmer string")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_records_without_ordinals_are_not_sorted(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(50)))
+    got = fm.read_fastq(spark, str(tmp_path / "a.fq"))
+    assert [r.ordinal for r in got.orderBy("ordinal").collect()] == list(range(50))
+    bare = got.select("name", "bases", "quals")
+    plan = bare._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and bare.count() == 50
