@@ -125,6 +125,22 @@ def test_near_kmers_are_all_found(spark):
             assert got == {(x, y) for x in a for y in b if far(x, y) <= subs}
 
 
+def test_kmers_grow_in_many_tasks_and_as_numbers(spark):
+    draw = random.Random(18)
+    turn = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for k in (21, 31, 32):
+        one = [min(x, turn(x)) for x in ("".join(draw.choice("ACGT") for _ in range(k)) for _ in range(50))] + ["A" * k]
+        two = [x[:i] + draw.choice("ACGT") + x[i + 1 :] for i, x in enumerate(one[:20])] + ["A" * (k - 1) + "C"]
+        two = [min(x, turn(x)) for x in two] + [min(x, turn(x)) for x in ("".join(draw.choice("ACGT") for _ in range(k)) for _ in range(60))]
+        frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "kmer string")
+        far = lambda x, y: min(sum(a != b for a, b in zip(x, z, strict=True)) for z in (y, turn(y)))
+        got = {tuple(r) for r in sets.near_kmers(frame(one), frame(two), 1).collect()}
+        assert got == {(x, y) for x in one for y in two if far(x, y) <= 1} and len(got) >= 20
+    many = spark.range(9000).select(F.translate(F.lpad(F.conv(F.col("id").cast("string"), 10, 4), 21, "0"), "0123", "ACGT").alias("kmer"))
+    plan = sets.near_kmers(many, many.withColumn("kmer", F.col("kmer")), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_references_do_not_grow_for_fewer_kmers_of_reads(spark, monkeypatch):
     grown, near = [], sets.near_kmers
     monkeypatch.setattr(sets, "near_kmers", lambda *a: grown.append(1) or near(*a))
